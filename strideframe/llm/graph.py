@@ -1,0 +1,30 @@
+"""Connected components of a link table by minimum labels with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strideframe.llm.common import materialize
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """node, label (the smallest node reachable) of every node in ``edges`` (a, b); labels stay distributed.
+
+    Each round takes the least label among a node and its neighbours, then follows the label's own label, so
+    chains shorten by halves. Every round is written to the shared folder; joins read from there, so that
+    adaptive execution can split a node with very many links.
+    """
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    for _ in range(max_rounds):
+        near = both.join(labels.hint("merge").withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        lower = labels.join(near.hint("merge"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        lower = materialize(lower, "lower")
+        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        new = materialize(lower.join(jump.hint("merge"), "label").select("node", "old", F.least("label", "up").alias("label")), "labels")
+        changed = new.where(F.col("old") != F.col("label")).limit(1).count()
+        labels = new.select("node", "label")
+        if not changed:
+            return labels
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
