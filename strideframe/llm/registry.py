@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideframe.llm import chat_format, html_extract, packing, quality_rules, secret_scan, simhash_dedup, url_filter
+from strideframe.llm import chat_format, html_extract, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, url_filter
 from strideframe.llm.common import prepare
 
 
@@ -25,6 +25,7 @@ QUERIES = {
     "op2_html_extract": html_extract.query,
     "op3_secret_scan": secret_scan.query,
     "op4_chat_format": chat_format.query,
+    "op5_quality_classifier": quality_classifier.query,
     "op6_simhash_dedup": simhash_dedup.query,
     "op9_best_fit_packing": packing.query,
     "op10_quality_rules": quality_rules.query,
