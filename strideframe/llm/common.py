@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,20 +93,40 @@ PUNCTUATION = separators(bytes(c for c in range(128) if not chr(c).isalnum()))
 SPACES = separators()
 
 
+def groups(blobs: list[bytes], size: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``size`` bytes together, whose arrays stay in the processor's cache."""
+    begin = total = 0
+    for i, b in enumerate(blobs):
+        total += len(b)
+        if total >= size:
+            yield begin, i + 1
+            begin, total = i + 1, 0
+    if begin < len(blobs):
+        yield begin, len(blobs)
+
+
 def hash_words(blobs: list[bytes], split_at: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, and where each text's words begin (length n + 1).
 
-    One polynomial hash per word over its bytes, computed for the whole batch without a loop over words.
+    One polynomial hash per word over its bytes, computed for many texts at once without a loop over words.
     """
+    parts, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for a, b in groups(blobs):
+        hashes, n = _hash_words(blobs[a:b], split_at)
+        parts.append(hashes)
+        counts.append(n)
+    return np.concatenate(parts), np.cumsum(np.concatenate(counts))
+
+
+def _hash_words(blobs: list[bytes], split_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join(blobs) + b"\n", np.uint8)
-    lengths = np.fromiter(map(len, blobs), np.int64, len(blobs)) + 1
-    ends = np.cumsum(lengths) if blobs else np.zeros(0, np.int64)
+    ends = np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs)) + 1)
     word = ~split_at[data]
     before = np.empty_like(word)
-    before[:1], before[1:] = False, word[:-1]
+    before[0], before[1:] = False, word[:-1]
     starts = np.flatnonzero(word & ~before)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(blobs) + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(blobs), np.int64)
     sizes = np.flatnonzero(before & ~word) - starts
     letters = data[word]
     at = np.cumsum(sizes) - sizes
@@ -115,5 +136,4 @@ def hash_words(blobs: list[bytes], split_at: np.ndarray = SPACES) -> tuple[np.nd
     hashes ^= hashes >> np.uint64(29)
     hashes *= _MULT
     hashes ^= hashes >> np.uint64(32)
-    offsets = np.concatenate([[0], np.searchsorted(starts, ends)])
-    return hashes, offsets
+    return hashes, np.diff(np.searchsorted(starts, ends), prepend=0)

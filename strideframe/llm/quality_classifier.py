@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType, DoubleType
 
-from strideframe.llm.common import crc_of_id, hash_words, materialize, table, whole
+from strideframe.llm.common import crc_of_id, groups, hash_words, materialize, table, whole
 
 
 @dataclass(frozen=True)
@@ -71,10 +71,11 @@ def buckets_of(blobs: list[bytes], params: SubwordParams) -> list[tuple[np.ndarr
 def margins(blobs: list[bytes], weights: np.ndarray, params: SubwordParams) -> np.ndarray:
     """Mean over all n-grams of each text of its buckets' numbers; 0 where there are none."""
     total, count = np.zeros(len(blobs)), np.zeros(len(blobs), np.int64)
-    for buckets, offsets in buckets_of(blobs, params):
-        running = np.concatenate([[0.0], np.cumsum(weights[buckets], dtype=np.float64)])
-        total += running[offsets[1:]] - running[offsets[:-1]]
-        count += np.diff(offsets)
+    for a, b in groups(blobs):
+        for buckets, offsets in buckets_of(blobs[a:b], params):
+            running = np.concatenate([[0.0], np.cumsum(weights[buckets], dtype=np.float64)])
+            total[a:b] += running[offsets[1:]] - running[offsets[:-1]]
+            count[a:b] += np.diff(offsets)
     return total / np.maximum(count, 1)
 
 

@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideframe.llm import chat_format, html_extract, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, url_filter
+from strideframe.llm import chat_format, decontaminate, html_extract, lm_score, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, url_filter
 from strideframe.llm.common import prepare
 
 
@@ -27,6 +27,8 @@ QUERIES = {
     "op4_chat_format": chat_format.query,
     "op5_quality_classifier": quality_classifier.query,
     "op6_simhash_dedup": simhash_dedup.query,
+    "op7_lm_score": lm_score.query,
+    "op8_decontaminate": decontaminate.query,
     "op9_best_fit_packing": packing.query,
     "op10_quality_rules": quality_rules.query,
 }
