@@ -44,7 +44,7 @@ class RiskParams:
     alpha: float = 0.05  # largest share of a stratum's good documents that may be rejected
     delta: float = 0.05  # probability that the guarantee fails anywhere
     grid: tuple[float, ...] = tuple(round(1.25**-k, 6) for k in range(-6, 25))  # cutoffs, mildest first
-    good_cost: float = 5.0  # a good document lost weighs as much as so many bad ones caught
+    good_cost: float = 20.0  # a good document lost weighs as much as so many bad ones caught
 
 
 def measure_text(text: str) -> tuple[int, ...]:
