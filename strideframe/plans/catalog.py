@@ -1,15 +1,19 @@
-"""All queries over the movement operators."""
+"""All queries over the movement operators, and the SQL that checks them."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from strideframe.plans import body, routes
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return body.com_speed(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return body.QUERIES | routes.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return body.SQL | routes.SQL
