@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideframe.plans import body, routes
+from strideframe.plans import body, routes, steps
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,8 +12,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return body.QUERIES | routes.QUERIES
+    return body.QUERIES | steps.QUERIES | routes.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return body.SQL | routes.SQL
+    return body.SQL | steps.SQL | routes.SQL
