@@ -63,7 +63,7 @@ def step_scores(frames: DataFrame, steps: DataFrame, weights: StepWeights = Step
 
 
 def band(score: Column) -> Column:
-    return F.when(score >= 0.8, "excellent").when(score >= 0.6, "good").when(score >= 0.4, "average").when(score >= 0.2, "poor").otherwise("very_poor")
+    return F.when(score >= 0.8, "excellent").when(score >= 0.6, "good").when(score >= 0.4, "moderate").when(score >= 0.2, "poor").otherwise("very_poor")
 
 
 def recent_score(frames: DataFrame, window: int = 5) -> DataFrame:

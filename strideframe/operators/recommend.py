@@ -57,7 +57,9 @@ def plan_moves(frames: DataFrame, holds: DataFrame, params: PlannerParams = Plan
         score = 1 / (distance(com, (h["x"], h["y"])) / F.col("_scale") + 1e-6) + F.when(h["y"] < com_y, params.upward_bias * (com_y - h["y"])).otherwise(0.0) + F.coalesce(bonus(h["hold_type"], h["y"], True), F.lit(0.0))
         return F.struct((-score).alias("cost"), h["hold_ord"].alias("hold_ord"), h["hold_id"].alias("hold_id"), h["x"].alias("x"), h["y"].alias("y"), h["hold_type"].alias("hold_type"))
 
-    rows = settled(frames.join(hold_lists(holds), "video_id"), _scale=scale(), _supports=supports)
+    needed = ["video_id", "frame_index", "com_x", "com_y", "body_scale", "hip_center_x", "hip_center_y", "climber_height", "climber_wingspan", "climber_flexibility", *[f"{p}_{c}" for p in LIMBS for c in ("x", "y", "target_x", "target_y", "contact_on", "contact_hold")]]
+    slim = frames.select(F.explode(F.array(F.struct(*needed))).alias("_f")).select("_f.*")  # a barrier: what made the columns is not copied into each use
+    rows = settled(slim.join(hold_lists(holds), "video_id"), _scale=scale(), _supports=supports)
     free = F.filter("_holds", lambda h: ~F.coalesce(F.array_contains(used, h["hold_id"]), F.lit(False)))
     rows = rows.where(F.col("com_x").isNotNull() & F.col("com_y").isNotNull()).withColumn("_c", F.slice(F.array_sort(F.transform(free, sample)), 1, params.candidates))
     keep = [c for c in rows.columns if c not in ("_holds", "_c")]

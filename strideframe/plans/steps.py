@@ -149,7 +149,7 @@ EFF = (
 )
 
 
-@query("step_efficiency", sql(b.NEARED, TOUCH + TENS + EFF + ", g AS (SELECT video_id, segment_id, avg(stability) AS stability, avg(support_penalty) AS support_penalty, avg(wall_penalty) AS wall_penalty, avg(jerk_penalty) AS jerk_penalty, avg(reach_penalty) AS reach_penalty, CASE WHEN count(*) >= 2 THEN sqrt((arg_max(com_x, frame_index) - arg_min(com_x, frame_index))**2 + (arg_max(com_y, frame_index) - arg_min(com_y, frame_index))**2) / (sum(hop) + 1e-6) ELSE 0 END AS path_efficiency FROM es GROUP BY ALL), s AS (SELECT *, 0.35 * stability + 0.25 * path_efficiency - (0.2 * support_penalty + 0.1 * wall_penalty + 0.07 * jerk_penalty + 0.03 * reach_penalty) AS score FROM g) SELECT video_id, segment_id, round(stability, 6) AS stability, round(support_penalty, 6) AS support_penalty, round(wall_penalty, 6) AS wall_penalty, round(jerk_penalty, 4) AS jerk_penalty, round(reach_penalty, 6) AS reach_penalty, round(path_efficiency, 6) AS path_efficiency, round(score, 4) AS score, CASE WHEN score >= 0.8 THEN 'excellent' WHEN score >= 0.6 THEN 'good' WHEN score >= 0.4 THEN 'average' WHEN score >= 0.2 THEN 'poor' ELSE 'very_poor' END AS band FROM s"))
+@query("step_efficiency", sql(b.NEARED, TOUCH + TENS + EFF + ", g AS (SELECT video_id, segment_id, avg(stability) AS stability, avg(support_penalty) AS support_penalty, avg(wall_penalty) AS wall_penalty, avg(jerk_penalty) AS jerk_penalty, avg(reach_penalty) AS reach_penalty, CASE WHEN count(*) >= 2 THEN sqrt((arg_max(com_x, frame_index) - arg_min(com_x, frame_index))**2 + (arg_max(com_y, frame_index) - arg_min(com_y, frame_index))**2) / (sum(hop) + 1e-6) ELSE 0 END AS path_efficiency FROM es GROUP BY ALL), s AS (SELECT *, 0.35 * stability + 0.25 * path_efficiency - (0.2 * support_penalty + 0.1 * wall_penalty + 0.07 * jerk_penalty + 0.03 * reach_penalty) AS score FROM g) SELECT video_id, segment_id, round(stability, 6) AS stability, round(support_penalty, 6) AS support_penalty, round(wall_penalty, 6) AS wall_penalty, round(jerk_penalty, 4) AS jerk_penalty, round(reach_penalty, 6) AS reach_penalty, round(path_efficiency, 6) AS path_efficiency, round(score, 4) AS score, CASE WHEN score >= 0.8 THEN 'excellent' WHEN score >= 0.6 THEN 'good' WHEN score >= 0.4 THEN 'moderate' WHEN score >= 0.2 THEN 'poor' ELSE 'very_poor' END AS band FROM s"))
 def step_efficiency(spark, sf_dir):
     """E1 to E14, over steps of ten frames (no technique tags)."""
     t = touching(spark, sf_dir)
