@@ -39,6 +39,7 @@ class UrlParams:
     sample: int = 20_000  # labelled urls that the trees are fitted on, and so the bound of the suffix tables
     trees: int = 12
     depth: int = 4
+    folds: int = 5  # a training url's suffix statistics come from the other folds
     smoothing: float = 10.0  # prior weight of a suffix's blocked share
 
 
@@ -95,17 +96,23 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     seen = sample.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("share")).first()
     if not seen["n"] or seen["share"] in (0.0, 1.0):
         return ruled.select(id_col, "host", "path", "rule", F.coalesce("ruled", F.lit("block" if seen["n"] and seen["share"] == 1.0 else "allow")).alias("verdict"), F.lit(None).cast("double").alias("block_share"))
-    rates = {
-        k: materialize(sample.groupBy(f"k_{k}").agg(((F.sum("label") + params.smoothing * seen["share"]) / (F.count(F.lit(1)) + params.smoothing)).alias(f"rate_{k}")), f"rate_{k}")
-        for k in ("top", "domain", "segment")
-    }
-
-    def featured(df: DataFrame) -> DataFrame:
-        for k, rate in rates.items():  # at most params.sample rows each, as the sample has no more
-            df = df.join(F.broadcast(rate), f"k_{k}", "left").withColumn(f"rate_{k}", F.coalesce(f"rate_{k}", F.lit(seen["share"])))
+    prior, keys = F.lit(seen["share"]), ("top", "domain", "segment")
+    folded = sample.withColumn("_fold", F.pmod(F.xxhash64("url", F.lit(1)), F.lit(params.folds)))
+    sums = {k: materialize(folded.groupBy(f"k_{k}").agg(F.sum("label").alias(f"_s_{k}"), F.count(F.lit(1)).alias(f"_n_{k}")), f"suffix_{k}") for k in keys}
+    own = {k: materialize(folded.groupBy(f"k_{k}", "_fold").agg(F.sum("label").alias(f"_fs_{k}"), F.count(F.lit(1)).alias(f"_fn_{k}")), f"suffix_fold_{k}") for k in keys}
+
+    def featured(df: DataFrame, training: bool = False) -> DataFrame:
+        """The blocked share by suffix; of training urls from the other folds alone, so that a rare suffix does not give its label away."""
+        for k in keys:  # at most params.sample rows each, as the sample has no more
+            df = df.join(F.broadcast(sums[k]), f"k_{k}", "left")
+            s, n = F.coalesce(f"_s_{k}", F.lit(0.0)), F.coalesce(f"_n_{k}", F.lit(0))
+            if training:
+                df = df.join(F.broadcast(own[k]), [f"k_{k}", "_fold"], "left")
+                s, n = s - F.coalesce(f"_fs_{k}", F.lit(0.0)), n - F.coalesce(f"_fn_{k}", F.lit(0))
+            df = df.withColumn(f"rate_{k}", (s + params.smoothing * prior) / (n + params.smoothing))
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(df)
 
-    training = featured(sample).select("features", "label").coalesce(4)
+    training = featured(folded, True).select("features", "label").coalesce(4)
     model = GBTClassifier(maxIter=params.trees, maxDepth=params.depth, stepSize=0.3, seed=42).fit(training)
     scored = model.transform(featured(lexical(ruled)))
     share = vector_to_array("probability")[1]

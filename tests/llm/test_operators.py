@@ -1,0 +1,474 @@
+"""The training-data operators against brute force, exact round trips, held-out accuracy, and odd inputs."""
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from strideframe.llm import chat_format, decontaminate, html_extract, lm_score, packing, quality_classifier, quality_rules, registry, secret_scan, simhash_dedup, url_filter
+from strideframe.llm.common import hash_words, prepare
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+BLANK = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module", autouse=True)
+def ready(spark):
+    prepare(spark)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls everywhere, empty and very long texts, repeated rows and ids, and columns whose names clash."""
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n\t ", "en", "s", 4), (4, "word " * 30000, "en", "s", 150000), (5, "a b c d e f g h i j k l", "en", "s", 23), (5, "a b c d e f g h i j k l", "en", "s", 23), (6, "a b c d e f g h i j k l", "de", "t", 23), (None, "another text of no id, with some words in it and more", None, "s", 5), (7, "x" * 100000, "en", "s", 100000)]
+    df = spark.createDataFrame(rows, DOCS)
+    clash = ["m", "fp", "token", "hash", "score", "live", "label", "rank", "_id", "length", "offset", "piece", "spans", "kept", "_row"]
+    return df.select("*", *[F.lit("clash").alias(c) for c in clash])
+
+
+def test_hash_words_is_by_word():
+    texts = [b"one two  one", b"", b" two\nThree ", "é x".encode()]
+    h, at = hash_words(texts)
+    assert at.tolist() == [0, 3, 3, 5, 6] and h[0] == h[2] and h[1] == h[3] and len(set(h.tolist())) == 4
+
+
+# -- 1 url filter --------------------------------------------------------------------------------------
+
+
+def test_urls(spark, sf):
+    urls = [None, "no scheme", "http://Example.com", "https://a.EXAMPLE.com/en/x?y=1", "http://www.example.com/en/", "ftp://x.net/es/1", "http://x.net/de/", "http://net/fr/#z", "://", "http://u.org/a/b?c=1&d=2"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").unionByName(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url"))
+    got = url_filter.filter_urls(df.withColumn("host", F.lit("clash"))).collect()
+    assert len(got) == df.count()
+    for r in got:
+        assert r.verdict in ("allow", "block")
+    by = {(r.host, r.path): (r.rule, r.verdict) for r in got}
+    assert by["", ""][0] is None and by["example.com", ""][0] is None
+    assert by["a.example.com", "/en/x"] == ("example.com/en/", "block") and by["www.example.com", "/en/"] == ("www.example.com/en/", "allow")
+    assert by["x.net", "/es/1"] == ("net/es/", "block") and by["net", "/fr/"] == ("net/fr/", "block") and by["x.net", "/de/"][0] is None
+    rule = {r: v for r, v in url_filter.RULES.items()}
+    for r in got:  # brute force over the rules
+        fit = [x for x in rule if (r.host == x.split("/")[0] or r.host.endswith("." + x.split("/")[0])) and r.path.startswith(x[x.index("/") :])]
+        assert r.rule == max(fit, key=len, default=None) and (not fit or r.verdict == rule[r.rule])
+
+
+def test_urls_without_labels(spark):
+    df = spark.createDataFrame([(1, "http://a.org/"), (1, "http://a.org/"), (2, None)], "page_id long, url string")
+    assert [r.verdict for r in url_filter.filter_urls(df).collect()] == ["allow"] * 3
+    assert url_filter.filter_urls(df.limit(0)).count() == 0
+
+
+def test_url_trees_learn(spark):
+    """Held-out accuracy: hosts with many digits are blocked."""
+    draw = random.Random(1)
+    urls = [(i, f"http://{''.join(draw.choice('0123456789' if i % 2 else 'abcdefgh') for _ in range(8))}.x.test/{'b' if i % 2 else 'g'}{i}") for i in range(400)]
+    rules = {"x.test/b": "block", "x.test/g": "allow"}
+    fresh = [(1000 + i, u.replace("test/b", "test/z").replace("test/g", "test/z")) for i, u in urls[:100]]
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(urls + fresh, "page_id long, url string"), rules=rules).where("page_id >= 1000").collect()}
+    assert np.mean([(got[1000 + i] == "block") == bool(i % 2) for i in range(100)]) > 0.9
+
+
+# -- 2 html --------------------------------------------------------------------------------------------
+
+
+def test_html():
+    page = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a>Menu</a></nav><div class='ad'>Buy</div><article><h1>Head &amp; line</h1><p>One,  two<br>three</p><p>Four &lt;five&gt;</p></article><div id=comments><p>Reader says, a lot, of things, here</p></div><footer>&copy;</footer></body></html>"
+    assert html_extract.extract(page) == "Head & line\nOne, two three\nFour <five>"
+    assert html_extract.extract("") == "" and html_extract.extract("<div><p>Only this") == "Only this"
+    assert html_extract.extract("<article><p>A sentence, that is cut <a hre") == "A sentence, that is cut"
+    links = "<div><p>" + "<a>link, link, link</a> " * 30 + "</p></div><div><p>" + "Real words, with commas, and length. " * 6 + "</p></div>"
+    assert "link" not in html_extract.extract(links)
+    assert html_extract.extract("<div>" * 3000 + "<p>deep</p>") == "deep"
+
+
+def test_html_pages(spark, sf):
+    """Against a reading of the pages' one template with regular expressions."""
+    import html as h
+
+    rows = html_extract.extract_pages(spark.read.parquet(f"{sf}/pages.parquet")).collect()
+    for r in rows:
+        m = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)
+        inner = re.sub(r"<[^>]*\Z", "", m[1]) if m else ""
+        blocks = [" ".join(h.unescape(re.sub(r"<[^>]+>", lambda t: " " if t[0] == "<br>" else "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
+        assert r.text == "\n".join(x for x in blocks if x)
+    df = spark.createDataFrame([(1, "u", None), (2, None, "")], "page_id long, url string, html string")
+    assert [r.text for r in html_extract.extract_pages(df).collect()] == ["", ""]
+
+
+# -- 3 secrets -----------------------------------------------------------------------------------------
+
+
+def plain_spans(text):
+    rx = (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+"))
+    out = []
+    for k, (r, least) in enumerate(zip(rx, (8, 16, 32), strict=True)):
+        out += [(m.start(), k, m.end()) for m in r.finditer(text or "") if len(m[2] if k == 0 else m[0]) >= least]
+    return sorted(out)
+
+
+def test_secrets(spark, docs, odd):
+    extra = spark.createDataFrame([(10**6 + i, t, "en", f"src{i}", 0) for i, t in enumerate(["é PassWord : 'abc12345678' AKIAABCDEFGHIJKL0 x", "token=short", "api_key=AAAA1111bbbb2222", "api_key=AAAA1111bbbb2222", "api_key=AAAA1111bbbb2222", "see Zq8+x/Y7pL0aaBB12cd9 there"])], DOCS)
+    df = docs.unionByName(extra)
+    texts = {r.doc_id: r.text for r in df.collect()}
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(df).collect()}
+    for d, r in got.items():
+        base = plain_spans(texts[d])
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[1] == k for s in base) for k in range(3)]
+        assert r.base_sha256 == hashlib.sha256(secret_scan.joined(base).encode()).hexdigest()
+        assert [(s.start, s.kind, s.end) for s in r.judged if s.kind < 3] == base
+    assert [s.live for s in got[10**6 + 2].judged] == [False]  # three owners hold it
+    assert [s.live for s in got[10**6].judged] == [True, True] and [s.kind for s in got[10**6 + 5].judged] == [3]
+    assert secret_scan.scan_secrets(odd).count() == odd.count() and secret_scan.scan_secrets(odd.limit(0)).count() == 0
+    clean = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert clean[10**6] == "é [SECRET]' [SECRET] x" and clean[10**6 + 2] == texts[10**6 + 2]
+    assert all(clean[d] == texts[d] for d, r in got.items() if not r.judged)
+    out = secret_scan.redact(odd)
+    assert out.columns == odd.columns and out.count() == odd.count()
+
+
+# -- 4 chat --------------------------------------------------------------------------------------------
+
+
+def test_chat_round_trip(spark):
+    evil = [chat_format.PROBE, "\\<|x|>", "<\\|im_end|>", "\\\\", "a\nb", "", None, "<|im_start|>", "é<|", "|>\\|"]
+    rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(evil)] + [(2, 0, "odd\nrole\\", "x"), (3, None, None, None), (None, 0, "user", "y"), (2, 0, "odd\nrole\\", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(df)).collect()}
+    assert [(t.role, t.text) for t in got[1].turns] == [(r[2], r[3] or "") for r in rows[:10]]
+    assert [t.text for t in got[1].turns if t.loss] == [r[3] or "" for r in rows[:10] if r[2] == "assistant"]
+    assert [t.role for t in got[2].turns] == ["odd\nrole\\"] * 2 and [t.role for t in got[3].turns] == [""]
+    assert chat_format.format_conversations(df.limit(0)).count() == 0
+
+
+def test_chat_parts(spark):
+    parts = [("text", "see <|image|>", None, None), ("image", None, "s3://a", 4), ("audio", None, "b", 10), ("document", None, "c", None)]
+    df = spark.createDataFrame([(1, 0, "user", parts)], f"conv_id long, turn long, role string, parts array<{chat_format.PART}>")
+    r = chat_format.format_conversations(df, parts_col="parts").first()
+    assert r.formatted == "<|im_start|>user\nsee <\\|image|><|image|><|audio|><|document|><|im_end|>\n"
+    assert [(a.pos, a.type, a.ref, a.tokens) for a in r.attachments] == [(1, "image", "s3://a", 1024), (2, "audio", "b", 250), (3, "document", "c", 512)] and r.expanded_tokens == 1786
+
+
+def test_chat_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{sf}/conversations.parquet')")
+    cur = con.execute(registry.oracle_sql()["op4_chat_format"])
+    names = [d[0] for d in cur.description]
+    got = registry.queries()["op4_chat_format"](spark, sf)
+    assert sorted(map(str, (tuple(r[n] for n in names) for r in got.collect()))) == sorted(map(str, cur.fetchall()))
+
+
+# -- 5 classifier --------------------------------------------------------------------------------------
+
+
+def test_classifier(spark, docs, sf, odd):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r.doc_id: r for r in quality_classifier.score_documents(docs, labels).collect()}
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 3 == 1) for d, r in got.items())
+    held = [(got[r.doc_id].score, r.quality) for r in labels.collect() if r.doc_id in got and got[r.doc_id].held_out]
+    good, bad = [s for s, q in held if q == 1], [s for s, q in held if q == 0]
+    assert np.mean([[g > b for b in bad] for g in good]) > 0.9
+    flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = {r.doc_id: r.score for r in quality_classifier.score_documents(docs, flipped).collect()}
+    assert all(abs(again[d] - r.score) < 1e-9 for d, r in got.items())  # held-out labels are never seen
+    none = labels.limit(0)
+    assert {r.score for r in quality_classifier.score_documents(odd, none).collect()} == {0.5}
+    assert quality_classifier.score_documents(odd, labels).count() == odd.count() and quality_classifier.score_documents(odd.limit(0), labels).count() == 0
+
+
+def test_margins_do_not_depend_on_the_batch():
+    p = quality_classifier.SubwordParams()
+    w = np.random.default_rng(0).normal(size=1 << p.bits).astype(np.float32)
+    texts = [b"", b"a", b"ab abc", b"the cat the cat", "é è".encode(), b"   ", b"x" * 5000]
+    together = quality_classifier.margins(texts, w, p)
+    assert np.allclose(together, [quality_classifier.margins([t], w, p)[0] for t in texts]) and together[0] == 0
+
+
+# -- 6 simhash -----------------------------------------------------------------------------------------
+
+
+def plain_fingerprint(text):
+    w = BLANK.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    sh = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def plain_components(rows):
+    root = list(range(len(rows)))
+    fps = [plain_fingerprint(t) for _, t in rows]
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= 4:
+            root[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[find(i)] = min(low.get(find(i), d), d)
+    return sorted((str(d), f"{f:016x}", str(low.get(find(i)))) for i, ((d, _), f) in enumerate(zip(rows, fps, strict=True)))
+
+
+@pytest.mark.parametrize("params", [simhash_dedup.SimHashParams(), simhash_dedup.SimHashParams(blocks=1), simhash_dedup.SimHashParams(bucket=2)])
+def test_simhash(spark, docs, odd, params):
+    df = docs.select("doc_id", "text").union(odd.select("doc_id", "text"))
+    got = simhash_dedup.group_near_duplicates(df, params=params).collect()
+    assert sorted((str(r._id), f"{r.fingerprint & (1 << 64) - 1:016x}", str(r.component_id)) for r in got) == plain_components([(r.doc_id, r.text) for r in df.collect()])
+
+
+def test_links_of_dense_fingerprints(spark):
+    """Chains and clusters of close fingerprints, where buckets are full."""
+    draw = random.Random(3)
+    centres = [draw.getrandbits(64) for _ in range(3)]
+    fps = sorted({c ^ sum(1 << b for b in draw.sample(range(64), draw.randint(0, 5))) for c in centres for _ in range(60)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    label = list(range(len(fps)))
+    for _ in fps:
+        label = [min(label[j] for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 4) for i in range(len(fps))]
+    want = collections.Counter(label)
+    for p in (simhash_dedup.SimHashParams(), simhash_dedup.SimHashParams(bucket=3)):
+        comps = simhash_dedup.components(simhash_dedup.block_links(df, p)).groupBy("label").count().collect()
+        assert sorted(r["count"] for r in comps) == sorted(n for n in want.values() if n > 1)
+
+
+def test_keep_one(spark, docs, odd):
+    kept = simhash_dedup.keep_one(docs)
+    comps = {r._id: r.component_id for r in simhash_dedup.group_near_duplicates(docs).collect()}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(comps.values())) and kept.columns == docs.columns
+    out = simhash_dedup.keep_one(odd)
+    assert out.columns == odd.columns and sorted(str(r.doc_id) for r in out.collect()) == ["1", "4", "5", "7", "None"]
+    assert simhash_dedup.keep_one(docs.limit(0)).count() == 0
+
+
+# -- 7 language model ----------------------------------------------------------------------------------
+
+
+def test_lm(spark, docs, odd):
+    df = docs.select("doc_id", "text").union(odd.select("doc_id", "text").where("doc_id IS NOT NULL AND doc_id <> 4"))
+    small = lm_score.BilinearParams(head=500, words=200, classes=16)
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    toks = lambda t: BLANK.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) + ["\n"]
+    c = collections.Counter(w for d, t in rows if not held(d) for w in toks(t))
+    n, v = sum(c.values()), len(c)
+    want = sorted((d, held(d), len(toks(t)), sum(c[w] > 0 for w in toks(t)), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in toks(t)), 4)) for d, t in rows)
+    got = lm_score.score_documents(df, params=small).collect()
+    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
+    test = [r for r in got if r.held_out]
+    assert sum(r.score for r in test) > sum(r.base_score for r in test)  # better than the unigram model on held-out texts
+    empty = lm_score.score_documents(docs.limit(0), params=small)
+    assert empty.count() == 0
+
+
+def test_lm_probabilities_sum_to_one():
+    p = lm_score.BilinearParams(words=30, classes=4, dim=5)
+    m = lm_score.start_model(lm_score.Vocabulary(100, 40, {}, np.arange(34), np.zeros(4)), p)
+    s1, s2, z = lm_score.tables(m, p)
+    for a, b in ((0, 0), (3, 7), (34, 34)):
+        assert (10.0 ** (s1[a] + s2[b] - z[a, b])).sum() == pytest.approx(1, abs=1e-4)
+
+
+# -- 8 decontamination ---------------------------------------------------------------------------------
+
+
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old = 0
+        for j, y in enumerate(b, 1):
+            old, row[j] = row[j], old + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_common_subsequence():
+    draw = random.Random(4)
+    for _ in range(200):
+        a, b = ([draw.randrange(5) for _ in range(draw.randrange(1, 12))] for _ in range(2))
+        assert decontaminate.common_subsequence(decontaminate.position_masks(a), len(a), b) == plain_lcs(a, b)
+
+
+def test_leaks(spark, sf, docs, odd):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = {r.item_id: r.text for r in bench.collect()}
+    draw = random.Random(6)
+    some = [i for i in sorted(items) if len(items[i].split()) >= 20][:12]
+
+    def changed(text):  # a paraphrase: about one word in eight is replaced
+        return " ".join("other" + str(draw.randrange(999)) if draw.random() < 0.12 else w for w in text.split())
+
+    extra = [(10**6 + i, f"Some words before it. {changed(items[i])} And words after it.", "en", "s", 0) for i in some]
+    df = docs.unionByName(spark.createDataFrame(extra, DOCS))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect()}
+    plain = lambda s: " " + " ".join(re.sub(r"[\x00-\x7f]", lambda m: m[0] if m[0].isalnum() else " ", s.lower()).split()) + " "
+    texts = {r.doc_id: plain(r.text) for r in docs.collect()}
+    exact = {(d, i) for d, t in texts.items() for i, x in items.items() if plain(x) in t}
+    assert exact <= got and len([1 for i in some if (10**6 + i, i) in got]) >= 0.9 * len(some)
+    assert all(d >= 10**6 or plain_lcs(plain(items[i]).split(), texts[d].split()) >= 0.6 * len(items[i].split()) for d, i in got)
+    clean = decontaminate.drop_leaks(df, bench)
+    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in df.collect()} - {d for d, _ in got} and clean.columns == df.columns
+    assert decontaminate.find_leaks(odd, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
+    assert decontaminate.drop_leaks(odd, bench).count() == odd.count() and decontaminate.find_leaks(docs.limit(0), bench).count() == 0
+    blocks = decontaminate.LatentParams(block=40)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench, params=blocks).collect()} >= exact
+
+
+def test_svd(spark):
+    a = np.random.default_rng(1).normal(size=(30, 3)) @ np.random.default_rng(2).normal(size=(3, 12))
+    df = spark.createDataFrame([(list(range(12)), r.tolist()) for r in a], "index array<long>, value array<double>")
+    v = decontaminate.randomised_svd(df, 12, 3, decontaminate.LatentParams())
+    assert np.allclose(a @ v @ v.T, a, atol=1e-6)
+
+
+# -- 9 packing -----------------------------------------------------------------------------------------
+
+
+def test_slots():
+    draw = random.Random(8)
+    for _ in range(60):
+        size = draw.choice([12, 30, 100])
+        counts = collections.Counter(min(size, 1 + int(draw.expovariate(4 / size))) for _ in range(draw.randrange(1, 200)))
+        filled = collections.defaultdict(list)
+        placed = collections.Counter()
+        for s in packing.plan_slots(dict(counts), size).itertuples():
+            placed[s.length] += s.n
+            for k in range(s.n):
+                filled[s.sequence + k].append((s.offset, s.length))
+        assert placed == counts
+        for parts in filled.values():
+            at = 0
+            for o, n in sorted(parts):
+                assert o == at
+                at += n
+            assert at <= size
+
+
+def test_reduction_is_safe():
+    """Fixed sets leave an instance whose best packing together with them is a best packing of all."""
+
+    def fewest(items, size):
+        best = len(items)
+
+        def go(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(items):
+                best = len(bins)
+                return
+            for k in range(len(bins)):
+                if bins[k] + items[i] <= size and bins[k] not in bins[:k]:
+                    bins[k] += items[i]
+                    go(i + 1, bins)
+                    bins[k] -= items[i]
+            go(i + 1, bins + [items[i]])
+
+        go(0, [])
+        return best
+
+    draw = random.Random(9)
+    for _ in range(150):
+        items = sorted((draw.randrange(1, 21) for _ in range(draw.randrange(1, 10))), reverse=True)
+        lengths = packing.Lengths(collections.Counter(items))
+        fixed = packing.reduce_lengths(lengths, 20)
+        left = sorted((x for x, n in lengths.count.items() for _ in range(n)), reverse=True)
+        assert sum(n for _, n in fixed) + fewest(left, 20) == fewest(items, 20)
+
+
+def test_packing(spark, docs, odd):
+    from tokenizers import Tokenizer
+
+    df = docs.select("doc_id", "text").union(odd.select("doc_id", "text"))
+    p = packing.PackParams(size=512)
+    t = Tokenizer.from_file(p.path)
+    want = collections.Counter()
+    for r in df.collect():
+        ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        for k in range(0, len(ids), 512):
+            part = ids[k : k + 512]
+            want[r.doc_id, k // 512, k, len(part), zlib.crc32(part.tobytes())] += 1
+    rows = packing.pack(df.withColumn("offset", F.lit("clash")), params=p).collect()
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 512
+    assert len(by) <= math.ceil(sum(r.length for r in rows) / 512) * 1.02 + 1
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_word_ids_match_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    p = packing.PackParams(cache_words=5)
+    texts = ["It's DON'T 123abc", "é ́x", "a b\x1cc d", "ΑΣ ΌΣΟΣ İ ﬁ 日本 🙂a", "<|endoftext|> x<|startoftext|>y", "", " \n", "q" * 3000]
+    ids = packing.WordIds(p)
+    t = Tokenizer.from_file(p.path)
+    for _ in range(3):
+        assert [np.frombuffer(b, "<u4").tolist() for b in ids.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+# -- 10 quality rules ----------------------------------------------------------------------------------
+
+
+def plain_measures(text):
+    text = text or ""
+    w = BLANK.findall(text)
+    wins = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    twice = {x for x, n in collections.Counter(wins).items() if n > 1}
+    lines = [x for x in text.split("\n") if BLANK.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len({i + k for i, x in enumerate(wins) if x in twice for k in range(5)})
+
+
+def test_quality(spark, docs, sf, odd):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    for df in (docs, odd):
+        texts = sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+        got = sorted(quality_rules.judge(df, labels).collect(), key=lambda r: str((r.doc_id, None)))
+        assert len(got) == len(texts)
+        want = collections.Counter((d, *plain_measures(t)) for d, t in texts)
+        assert collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
+        for r in got:
+            assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and (not r.base_failed or not r.kept)
+    kept = quality_rules.keep_good(odd, labels)
+    assert kept.columns == odd.columns and kept.count() == quality_rules.judge(odd, labels).where("kept").count()
+    assert quality_rules.keep_good(docs.limit(0), labels).count() == 0 and quality_rules.judge(odd, labels.limit(0)).count() == odd.count()
+
+
+def test_binomial_bound():
+    for bad, n, level in ((0, 100, 0.05), (3, 50, 0.01), (5, 5, 0.05)):
+        b = quality_rules.upper_bound(bad, n, level)
+        tail = sum(math.comb(n, k) * b**k * (1 - b) ** (n - k) for k in range(bad + 1))
+        assert tail == pytest.approx(level, rel=1e-6) or b == 1.0
+
+
+def test_cutoffs_respect_the_risk(spark):
+    """Bad documents are full of symbols; good ones have few. The rule is cut between them, per stratum, and a small stratum gets none."""
+    rows = [(i, " ".join(f"w{i}x{k}" + ("$" if i % 5 == 0 or (k == 0 and i % 2) else "") for k in range(20)), "en" if i % 50 else "xx", "s", 0) for i in range(4000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(4000)], "doc_id long, quality int")
+    out = {r.doc_id: r.kept for r in quality_rules.judge(docs, labels).collect()}
+    assert all(out[i] == (i % 5 != 0) for i in range(4000) if i % 50) and all(out[i] for i in range(0, 4000, 50))
