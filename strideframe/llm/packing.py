@@ -36,7 +36,7 @@ class PackParams:
     end_id: int = 1
     tokenizer: str = ""  # a path; the default is public_tokenizers' word_bpe_49k.json
     buckets: int = 256  # parts that the pieces of one length are numbered in
-    cache_words: int = 400_000  # words that a worker remembers, twice over
+    cache_words: int = 150_000  # words that a worker remembers, twice over
 
     @property
     def path(self) -> str:
