@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -23,6 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let local Python workers import this package however the driver found it. On a cluster, ship it with the job."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written once and read back."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

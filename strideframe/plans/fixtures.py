@@ -48,11 +48,12 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracked_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "part").where(F.col("p_partkey") % 100 < 10)
+    """Parts as objects that jitter over 40 frames and are missed in one of five; twenty to a video."""
+    p = read(spark, sf_dir, "part")
     key, price, f = F.col("p_partkey"), F.col("p_retailprice").cast("double"), F.col("frame_index")
     rows = p.withColumn("frame_index", F.explode(F.sequence(F.lit(0), F.lit(39)))).where((key + f) % 5 != 0)
     return rows.select(
-        (key % 10).alias("video_id"), f.cast("bigint").alias("frame_index"), key.alias("object_id"),
+        F.floor(key / 20).cast("bigint").alias("video_id"), f.cast("bigint").alias("frame_index"), key.alias("object_id"),
         (F.col("p_size") / 50.0 + ((key * 7 + f * 13) % 11 - 5) * 0.001).alias("x_center"),
         ((price - F.floor(price / 100) * 100) / 100.0 + ((key * 5 + f * 17) % 13 - 6) * 0.001).alias("y_center"),
         F.lit(0.05).alias("width"), F.lit(0.05).alias("height"), (0.5 + ((key + f) % 50) / 100.0).alias("confidence"),

@@ -104,7 +104,7 @@ def density_clusters(spark, sf_dir):
     return b.rounded(holds.cluster_holds(holds.density_clusters(d, 0.02, 3, "det_id")))
 
 
-@query("box_overlap", """WITH t AS (SELECT p_partkey % 10 AS video_id, f AS frame_index, p_partkey AS object_id, CAST(p_size AS DOUBLE) / 50 + ((p_partkey * 7 + f * 13) % 11 - 5) * 0.001::DOUBLE AS x, (CAST(p_retailprice AS DOUBLE) - floor(CAST(p_retailprice AS DOUBLE) / 100) * 100) / 100 + ((p_partkey * 5 + f * 17) % 13 - 6) * 0.001::DOUBLE AS y FROM part, (SELECT range AS f FROM range(40)) WHERE p_partkey % 100 < 10 AND (p_partkey + f) % 5 <> 0),
+@query("box_overlap", """WITH t AS (SELECT p_partkey // 20 AS video_id, f AS frame_index, p_partkey AS object_id, CAST(p_size AS DOUBLE) / 50 + ((p_partkey * 7 + f * 13) % 11 - 5) * 0.001::DOUBLE AS x, (CAST(p_retailprice AS DOUBLE) - floor(CAST(p_retailprice AS DOUBLE) / 100) * 100) / 100 + ((p_partkey * 5 + f * 17) % 13 - 6) * 0.001::DOUBLE AS y FROM part, (SELECT range AS f FROM range(40)) WHERE (p_partkey + f) % 5 <> 0),
 o AS (SELECT a.video_id, a.frame_index, a.object_id, c.object_id AS other_id, greatest(0, 0.05 - abs(a.x - c.x)) * greatest(0, 0.05 - abs(a.y - c.y)) AS i FROM t a JOIN t c ON a.video_id = c.video_id AND a.frame_index = c.frame_index AND a.object_id < c.object_id)
 SELECT video_id, frame_index, object_id, other_id, round(i / (0.005 - i), 6) AS iou FROM o WHERE i / (0.005 - i) > 0.000001""")
 def box_overlap(spark, sf_dir):
@@ -307,13 +307,12 @@ def grey_difference(spark, sf_dir):
     return out.select("vec_id", F.round("difference", 8).alias("difference"))
 
 
-@query("manifest_selection", sql("contact_events contact_rows", ", m AS (SELECT video_id, frame_index, 'f' || frame_index AS relative_path, com_x >= 0.95 AND video_id % 2 = 0 AS sel FROM contact_rows), k AS (SELECT *, max(CASE WHEN sel THEN 1 ELSE 0 END) OVER (PARTITION BY video_id) AS any_in FROM m) SELECT video_id, frame_index, relative_path FROM k WHERE sel OR any_in = 0"))
+@query("manifest_selection", sql("contact_events contact_rows", ", m AS (SELECT video_id, frame_index, 'f' || frame_index AS relative_path, com_x >= 0.99 AS sel FROM contact_rows), k AS (SELECT *, max(CASE WHEN sel THEN 1 ELSE 0 END) OVER (PARTITION BY video_id) AS any_in FROM m) SELECT video_id, frame_index, relative_path FROM k WHERE sel OR any_in = 0"))
 def manifest_selection(spark, sf_dir):
     """A manifest joined with its scores, filtered by the chosen frames, or whole where none is chosen."""
     rows = fx.contact_rows(spark, sf_dir).select("video_id", "frame_index", F.col("frame_index").alias("ordinal"), F.concat(F.lit("f"), F.col("frame_index").cast("string")).alias("relative_path"), "com_x")
     zipped = frames.zip_manifest(rows.drop("com_x"), rows.select("video_id", "ordinal", F.col("com_x").alias("probability")), rows.select("video_id", "ordinal", (F.col("com_x") > 0.5).alias("hold_changed")))
-    chosen = frames.key_frames(zipped, 0.95).where(F.col("video_id") % 2 == 0)
-    return frames.filter_manifest(zipped, chosen).select("video_id", "frame_index", "relative_path")
+    return frames.filter_manifest(zipped, frames.key_frames(zipped, 0.99)).select("video_id", "frame_index", "relative_path")
 
 
 @query("key_labels", sql("contact_events contact_rows", "SELECT video_id, sum(CASE WHEN event_type = 'click' THEN 1::DOUBLE ELSE 0 END) AS chosen, count(*) AS n FROM contact_rows GROUP BY video_id"))
