@@ -191,7 +191,7 @@ def route_holds(spark, sf_dir):
     return out.withColumn("hold_density", F.round("hold_density", 4))
 
 
-@query("hold_spacing", sql("holds", "SELECT video_id, round(avg(d), 6) AS spacing_mean, round(median(d), 6) AS spacing_median, round(stddev_pop(d), 6) AS spacing_std, round(min(d), 6) AS spacing_min, round(max(d), 6) AS spacing_max FROM (SELECT a.video_id, sqrt((a.x - c.x)**2 + (a.y - c.y)**2) AS d FROM holds a JOIN holds c ON a.video_id = c.video_id AND a.hold_ord < c.hold_ord AND c.y < a.y) GROUP BY video_id"))
+@query("hold_spacing", sql("holds", "SELECT video_id, round(coalesce(avg(d), 0), 6) AS spacing_mean, round(coalesce(median(d), 0), 6) AS spacing_median, round(coalesce(stddev_pop(d), 0), 6) AS spacing_std, round(coalesce(min(d), 0), 6) AS spacing_min, round(coalesce(max(d), 0), 6) AS spacing_max FROM (SELECT DISTINCT video_id FROM holds) LEFT JOIN (SELECT a.video_id, sqrt((a.x - c.x)**2 + (a.y - c.y)**2) AS d FROM holds a JOIN holds c ON a.video_id = c.video_id AND a.hold_ord < c.hold_ord AND c.y < a.y) USING (video_id) GROUP BY video_id"))
 def hold_spacing(spark, sf_dir):
     """D2."""
     return b.rounded(grading.spacing(fx.holds(spark, sf_dir)))
