@@ -18,6 +18,7 @@ import bisect
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,10 @@ from pyspark.sql.types import StructField, StructType
 from strideframe.llm.common import fields, materialize, table, whole
 
 
+#: Characters that make one pre-token together, next to letters or not.
+PUNCTUATION_RUN = b".,!?;:|$%&*#"
+
+
 @dataclass(frozen=True)
 class PackParams:
     size: int = 4096
@@ -58,6 +63,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(params.path), params.cache_words
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -69,16 +76,53 @@ class WordIds:
         return cls.kept[key]
 
     def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4000):
-            some = words[at : at + 4000]
+        """Encodes many new words at once. Where one ends is known from its number of pre-tokens, each of which ends in one
+        token of the word-end kind; words of which that number isn't plain are placed by their characters' offsets."""
+        plain, counts, rest = [], [], []
+        for w in words:
+            n = self._pretokens(w)
+            if n:
+                plain.append(w)
+                counts.append(n)
+            else:
+                rest.append(w)
+        for at in range(0, len(plain), 4000):
+            some = plain[at : at + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum(counts[at : at + 4000])
+            if len(ends) != last[-1]:  # not as foreseen
+                rest += some
+                continue
+            raw, cuts = ids.tobytes(), [0, *(4 * ends[last - 1]).tolist()]
+            for w, a, b in zip(some, cuts, cuts[1:], strict=False):
+                self.young[w] = raw[a:b]
+        for at in range(0, len(rest), 4000):
+            some = rest[at : at + 4000]
             texts = [w.decode("utf-8", "surrogatepass") for w in some]
             begins = np.cumsum([0, *[len(t) + 1 for t in texts]])
             encoded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ids = np.array(encoded.ids, "<u4").tobytes()
+            raw = np.array(encoded.ids, "<u4").tobytes()
             first = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(encoded.ids))
             cuts = (4 * np.searchsorted(first, begins)).tolist()
             for w, a, b in zip(some, cuts, cuts[1:], strict=False):
-                self.young[w] = ids[a:b]
+                self.young[w] = raw[a:b]
+
+    @staticmethod
+    def _pretokens(word: bytes) -> int:
+        """1 for letters alone, 2 for letters before or after one run of plain punctuation, else 0 (not plain)."""
+        core = word.strip(PUNCTUATION_RUN)
+        cut = len(word) - len(core)
+        if cut and word.startswith(core) == word.endswith(core):  # on both sides, or nothing but punctuation
+            return 0
+        try:
+            text = core.decode()
+        except UnicodeDecodeError:
+            return 0
+        low = text.lower()
+        if not text.isalpha() or not low.isalpha() or not (text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", low)):
+            return 0
+        return 2 if cut else 1
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
