@@ -8,8 +8,10 @@ the answer (the item's answer column, else its last third): an item leaks if mos
 a good part of it together with the answer. So copies and paraphrases that change or drop words are caught.
 
 Words are lower-cased runs of letters, digits and non-ASCII characters. A word that the benchmark lacks lies
-outside the latent space and weighs as an unseen one. The benchmark is taken in blocks of ``block`` items, so
-what is broadcast is bounded however large it is.
+outside the latent space and weighs nothing: it neither adds to a window's cosine nor lowers it, so the search
+finds the same leaks in a large corpus as in a small one. The benchmark is taken in blocks of ``block`` items
+and at most ``rank`` passages (or one longer item), so what is broadcast is bounded however large it is, and the
+latent space spans all passages of a block.
 
 Cases: null and empty texts and items leak nothing; items of fewer than ``least_words`` words are unused, as
 they say too little. Repeated rows are judged row by row; repeated items each report. A null doc_id stays
@@ -37,16 +39,15 @@ from strideframe.llm.common import PUNCTUATION, fields, hash_words, materialize,
 @dataclass(frozen=True)
 class LatentParams:
     window: int = 24  # words of a passage, and of a window; windows begin every half of it
-    rank: int = 256  # at most; half the passages suffice
+    rank: int = 512  # at most, and passages of a block, so that the rank covers them
     oversample: int = 16
     rounds: int = 4  # power iterations
     cosine: float = 0.3
-    slack: float = 0.8  # windows are settled by sums below so much of the cosine: sums do not see repeated words
     leak: float = 0.8  # share of the item's words in order that is a leak
     paraphrase: float = 0.6  # share that is one together with the answer
     answer: float = 0.8  # share of the answer's words in order
     least_words: int = 8
-    block: int = 250  # items in one pass, so that the rank covers them
+    block: int = 250  # items in one pass
     seed: int = 11
 
 
@@ -76,9 +77,8 @@ class Index:
     """What the executors need of one block of items."""
 
     vocabulary: np.ndarray  # sorted word hashes
-    weight: np.ndarray  # by word, and last for words outside
-    vectors: np.ndarray  # word x rank, weighted; last row zero
-    passages: np.ndarray  # rank x passages, unit columns
+    weight: np.ndarray  # by word; last, for words outside, zero
+    scores: np.ndarray  # word x passages: the word's weighted latent vector times the passage's unit one; last row zero
     item: np.ndarray  # of each passage
     words: list[list[int]]
     answers: list[list[int]]
@@ -161,7 +161,7 @@ def build_index(docs: DataFrame, text_col: str, items: list[tuple[str, str]], pa
         return None
     vocabulary = np.unique(hashes)
     df, n = document_frequency(docs, text_col, vocabulary)
-    idf = np.log((1 + n) / (1 + np.append(df, 0))) + 1e-3  # a word of every document says next to nothing
+    idf = np.append(np.log((1 + n) / (1 + df)) + 1e-3, 0)  # a word of every document says next to nothing
     codes = np.searchsorted(vocabulary, hashes)
     by_item = [codes[a:b] for a, b in zip(offsets, offsets[1:])]
     rows, item = [], []
@@ -176,15 +176,15 @@ def build_index(docs: DataFrame, text_col: str, items: list[tuple[str, str]], pa
     if not rows:
         return None
     matrix = docs.sparkSession.createDataFrame(rows, "index array<long>, value array<double>")
-    v = randomised_svd(matrix, len(vocabulary), min(params.rank, (len(rows) + 1) // 2 + 8), params)
-    vectors = np.vstack([v * idf[:-1, None], np.zeros((1, v.shape[1]))]).astype(np.float32)
+    v = randomised_svd(matrix, len(vocabulary), min(params.rank, len(rows)), params)
     projected = np.stack([np.asarray(value) @ v[index] for index, value in rows], axis=1)
     projected /= np.maximum(np.linalg.norm(projected, axis=0), 1e-9)
+    scores = np.vstack([v * idf[:-1, None] @ projected, np.zeros((1, len(rows)))]).astype(np.float32)
     answers = []
     for c, (_, answer) in zip(by_item, items, strict=True):
         own = words_of([answer])[0].tolist() if answer else []
         answers.append(own or vocabulary[c[len(c) - (len(c) + 2) // 3 :]].tolist())
-    return Index(vocabulary, idf.astype(np.float32), vectors, projected.astype(np.float32), np.array(item), [vocabulary[c].tolist() for c in by_item], answers)
+    return Index(vocabulary, idf.astype(np.float32), scores, np.array(item), [vocabulary[c].tolist() for c in by_item], answers)
 
 
 class Screen:
@@ -198,33 +198,29 @@ class Screen:
     def candidates(self, hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(text, first word of the window in the text, passage, cosine).
 
-        A window's cosine with any passage is at most the share of its length that lies in the benchmark's words, so most
-        windows are settled by two sums; only the others are projected, a bounded number at a time."""
+        The cosine is of the window's words in the benchmark; windows without such words are passed over, the others are
+        projected a bounded number at a time."""
         x, w = self.index, self.params.window
         step = w // 2
-        codes = x.codes(hashes)
-        square = x.weight.astype(np.float64)[codes] ** 2
+        codes = x.codes(hashes).astype(np.int32)
         n_blocks = -(-np.diff(offsets) // step)
         text = np.repeat(np.arange(len(n_blocks)), n_blocks)
         within = (np.arange(len(text)) - (np.cumsum(n_blocks) - n_blocks)[text]) * step
         first = offsets[text] + within
-        inside = np.where(codes < len(x.vocabulary), square, 0)
-        every, known = np.add.reduceat(square, first), np.add.reduceat(inside, first)
+        known = np.add.reduceat((codes < len(x.vocabulary)).astype(np.int64), first)
         same = text[:-1] == text[1:]
-        every[:-1][same] += every[1:][same]
         known[:-1][same] += known[1:][same]
-        some = np.flatnonzero(known >= (self.params.slack * self.params.cosine) ** 2 * every)
-        codes, hashes = np.append(codes, len(x.vocabulary)), np.append(hashes, np.uint64(0))
+        some = np.flatnonzero(known)
+        codes = np.append(codes, np.int32(len(x.vocabulary)))
         for part in np.array_split(some, max(1, -(-len(some) // 1000))):
             at = first[part, None] + np.arange(w)
-            at = np.where(at < offsets[text[part] + 1, None], at, len(codes) - 1)  # past the text's end: a word without weight
-            mine, weight = codes[at], np.where(at < len(codes) - 1, x.weight[codes[at]], 0)
-            again = (hashes[at][:, :, None] == hashes[at][:, None, :]).sum(axis=2)  # a word's squared weight counts once for each time it is said
-            norms = np.sqrt(np.maximum((weight.astype(np.float64) ** 2 * again).sum(axis=1), 1e-12)).astype(np.float32)
-            projected = np.zeros((len(part), x.vectors.shape[1]), np.float32)
+            mine = codes[np.where(at < offsets[text[part] + 1, None], at, len(codes) - 1)]  # past the text's end: a word outside
+            again = (mine[:, :, None] == mine[:, None, :]).sum(axis=2)  # a word's squared weight counts once for each time it is said
+            norms = np.sqrt(np.maximum((x.weight[mine].astype(np.float64) ** 2 * again).sum(axis=1), 1e-12)).astype(np.float32)
+            cosine = np.zeros((len(part), x.scores.shape[1]), np.float32)
             for k in range(w):
-                projected += x.vectors[mine[:, k]]
-            cosine = projected @ x.passages / norms[:, None]
+                cosine += x.scores[mine[:, k]]
+            cosine /= norms[:, None]
             for i, q in zip(*np.nonzero(cosine >= self.params.cosine), strict=True):
                 yield int(text[part[i]]), int(within[part[i]]), int(q), float(cosine[i, q])
 
@@ -241,10 +237,10 @@ class Screen:
             if (text, i) in done:
                 continue
             n = len(x.words[i])
-            begin = max(0, start - n)
-            if begin <= tried.get((text, i), -1) - n // 2:  # the words around were looked through already
+            if tried.get((text, i)) == start:  # another passage of the item led here
                 continue
             tried[text, i] = start
+            begin = max(0, start - n)
             here = hashes[offsets[text] + begin : min(offsets[text] + start + p.window + n, offsets[text + 1])].tolist()
             share = common_subsequence(self.masks[i], n, here) / n
             answer = x.answers[i]
@@ -271,14 +267,17 @@ def leaks_in(text: Column, screen_of, params: LatentParams) -> Column:
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | None, params: LatentParams) -> Iterator[list[tuple]]:
-    """The items, at most ``block`` at a time on the driver."""
+    """The items, at most ``block`` and, unless one alone has more, ``rank`` passages at a time on the driver."""
     answer = F.col(answer_col) if answer_col else F.lit("")
     block: list[tuple] = []
+    passages = 0
     for r in benchmark.select(F.col(id_col).alias("id"), whole(text_col).alias("text"), F.coalesce(answer, F.lit("")).alias("answer")).orderBy("id", "text").toLocalIterator():
-        block.append((r["id"], r["text"], r["answer"]))
-        if len(block) == params.block:
+        n = len(windows_of(words_of([r["text"]])[0], params.window))
+        if block and (len(block) == params.block or passages + n > params.rank):
             yield block
-            block = []
+            block, passages = [], 0
+        block.append((r["id"], r["text"], r["answer"]))
+        passages += n
     if block:
         yield block
 

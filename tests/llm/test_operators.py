@@ -306,6 +306,33 @@ def test_common_subsequence():
         assert decontaminate.common_subsequence(decontaminate.position_masks(a), len(a), b) == plain_lcs(a, b)
 
 
+def test_leaks_are_found_however_large_the_corpus(spark, monkeypatch):
+    """Copies and paraphrases among words that the benchmark lacks, at all offsets to the windows."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(6))
+    items = [[word() for _ in range(n)] for n in (8, 10, 13, 15, 18, 22, 24, 30, 59) for _ in range(3)]
+    texts, want = [], []
+    for i, item in enumerate(items):
+        for shift in range(12):
+            said = item if shift % 2 else [w for k, w in enumerate(item) if k % 3 or k >= len(item) // 2]
+            texts.append(" ".join([word() for _ in range(30 + shift)] + said + [word() for _ in range(40)]))
+            want.append(i)
+    common = spark.createDataFrame([(" ".join(draw.choice(draw.choice(items)) for _ in range(40)),) for _ in range(200)], "text string")
+    count = decontaminate.document_frequency
+    for times in (1, 10**6):
+        monkeypatch.setattr(decontaminate, "document_frequency", lambda *a, times=times: tuple(times * x for x in count(*a)))
+        params = decontaminate.LatentParams()
+        index = decontaminate.build_index(common, "text", [(" ".join(i), "") for i in items], params)
+        got = [{f["item"] for f in found} for found in decontaminate.Screen(index, params).leaks(texts)]
+        assert all(i in g for i, g in zip(want, got, strict=True))
+
+
+def test_item_blocks_fit_the_rank(spark):
+    bench = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(n))) for i, n in enumerate((60, 60, 60, 500, 10))], "item_id long, text string")
+    blocks = list(decontaminate.item_blocks(bench, "item_id", "text", None, decontaminate.LatentParams(rank=6)))
+    assert [[i for i, _, _ in b] for b in blocks] == [[0, 1], [2], [3], [4]]
+
+
 def test_leaks(spark, sf, docs, odd):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     items = {r.item_id: r.text for r in bench.collect()}
