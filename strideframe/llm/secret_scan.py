@@ -2,7 +2,8 @@
 
 Pattern matches and high-entropy tokens are candidates. Every candidate value is hashed; the hashes are
 counted over the corpus by distinct repositories and distinct owners. A value that many owners hold is a
-widely copied example; one that few hold looks live. High-entropy tokens that only look live become spans
+widely copied example; one that few hold looks live, in however many of their repositories it stands (their
+number is reported, and decides nothing). High-entropy tokens that only look live become spans
 of kind ``owned``; base spans always stay, with a verdict beside them. The documents table has neither
 repositories nor owners, so the query reads the source as the owner and the document as its repository.
 
@@ -40,7 +41,6 @@ SCAN = fields("n_assign long, n_access long, n_hex long, base_sha256 string", sp
 @dataclass(frozen=True)
 class OwnershipParams:
     example_owners: int = 3  # a value held by so many owners or more is a copied example
-    example_repositories: int = 50  # or by so many repositories, whoever owns them
     entropy_bits: float = 3.0  # least entropy a character of a token without a pattern
 
 
@@ -102,7 +102,7 @@ def decide(found: DataFrame, params: OwnershipParams) -> DataFrame:
     owned = materialize(ownership(held), "ownership")
     once = some.groupBy("_text_key").agg(F.first("spans").alias("spans"))
     spread = materialize(once.select("_text_key", F.explode("spans").alias("s")).select("_text_key", "s.*"), "spans")
-    live = (F.col("owners") < params.example_owners) & (F.col("repositories") < params.example_repositories)
+    live = F.col("owners") < params.example_owners
     judged = spread.join(owned.hint("merge"), "hash").withColumn("live", live).where((F.col("kind") < 3) | F.col("live"))
     return judged.groupBy("_text_key").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live", "owners", "repositories"))).alias("judged"))
 
