@@ -4,7 +4,7 @@ A rule names a host with its subdomains and a path prefix; the longest that fits
 decides are the labelled ones: a bounded sample of them, in the order of a hash of the url, trains the trees,
 which judge every url that no rule fits. Features are lengths, depth, digit ratio, entropy, parameter counts
 and the smoothed share of blocked urls by suffix (the host's last label, last two labels, and first path
-segment) in that sample.
+segment) among all labelled urls, each counted once.
 
 Cases: a null url, or one without ``://``, has an empty host and path and is judged by the trees. Without
 labelled urls everything is allowed; if all labels agree, that label is the verdict. Equal urls are trained
@@ -36,7 +36,7 @@ FEATURES = ("url_len", "host_len", "path_len", "depth", "labels", "digit_ratio",
 
 @dataclass(frozen=True)
 class UrlParams:
-    sample: int = 20_000  # labelled urls that the trees are fitted on, and so the bound of the suffix tables
+    sample: int = 20_000  # labelled urls that the trees are fitted on; suffixes are counted over all
     trees: int = 12
     depth: int = 4
     folds: int = 5  # a training url's suffix statistics come from the other folds
@@ -65,6 +65,11 @@ def _count(text: Column, character: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(character), F.lit("")))
 
 
+def suffix_keys() -> list[Column]:
+    host, path = F.col("host"), F.col("path")
+    return [F.substring_index(host, ".", -1).alias("k_top"), F.substring_index(host, ".", -2).alias("k_domain"), F.regexp_extract(path, "^/([^/]*)", 1).alias("k_segment")]
+
+
 def lexical(pages: DataFrame) -> DataFrame:
     """Adds the features that need no table, and the suffix keys; expects url, host, path, tail."""
     url, host, path, tail = F.coalesce("url", F.lit("")), F.col("host"), F.col("path"), F.col("tail")
@@ -79,7 +84,7 @@ def lexical(pages: DataFrame) -> DataFrame:
         F.when(n > 0, entropy).otherwise(0.0).alias("entropy"),
         F.regexp_count(tail, F.lit("[?&][^=&#]*=")).cast("double").alias("params"), F.length(tail).cast("double").alias("query_len"),
         tail.contains("#").cast("double").alias("fragment"), url.startswith("https").cast("double").alias("https"),
-        F.substring_index(host, ".", -1).alias("k_top"), F.substring_index(host, ".", -2).alias("k_domain"), F.regexp_extract(path, "^/([^/]*)", 1).alias("k_segment"),
+        *suffix_keys(),
     )
 
 
@@ -92,34 +97,35 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     ruled = ruled.withColumn("ruled", F.element_at(verdict_of, F.col("rule")) if rules else F.lit(None).cast("string"))
     labelled = ruled.where(F.col("rule").isNotNull() & F.col("url").isNotNull())
     once = labelled.groupBy("url").agg(*[F.first(c).alias(c) for c in ("host", "path", "tail", "ruled")])  # equal urls have equal parts
-    sample = materialize(lexical(once.orderBy(F.xxhash64("url"), "url").limit(params.sample)).withColumn("label", (F.col("ruled") == "block").cast("double")), "urls").coalesce(4)
-    seen = sample.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("share")).first()
+    once = materialize(once.withColumn("label", (F.col("ruled") == "block").cast("double")).withColumn("_fold", F.pmod(F.xxhash64("url", F.lit(1)), F.lit(params.folds))), "labelled")
+    seen = once.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("share")).first()
     if not seen["n"] or seen["share"] in (0.0, 1.0):
         return ruled.select(id_col, "host", "path", "rule", F.coalesce("ruled", F.lit("block" if seen["n"] and seen["share"] == 1.0 else "allow")).alias("verdict"), F.lit(None).cast("double").alias("block_share"))
+    sample = materialize(lexical(once.orderBy(F.xxhash64("url"), "url").limit(params.sample)), "urls")
     prior, keys = F.lit(seen["share"]), ("top", "domain", "segment")
-    folded = sample.withColumn("_fold", F.pmod(F.xxhash64("url", F.lit(1)), F.lit(params.folds)))
-    sums = {k: materialize(folded.groupBy(f"k_{k}").agg(F.sum("label").alias(f"_s_{k}"), F.count(F.lit(1)).alias(f"_n_{k}")), f"suffix_{k}") for k in keys}
-    own = {k: materialize(folded.groupBy(f"k_{k}", "_fold").agg(F.sum("label").alias(f"_fs_{k}"), F.count(F.lit(1)).alias(f"_fn_{k}")), f"suffix_fold_{k}") for k in keys}
+    suffixes = once.select("label", "_fold", *suffix_keys())
+    own = {k: materialize(suffixes.groupBy(f"k_{k}", "_fold").agg(F.sum("label").alias(f"_fs_{k}"), F.count(F.lit(1)).alias(f"_fn_{k}")), f"suffix_fold_{k}") for k in keys}
+    sums = {k: materialize(own[k].groupBy(f"k_{k}").agg(F.sum(f"_fs_{k}").alias(f"_s_{k}"), F.sum(f"_fn_{k}").alias(f"_n_{k}")), f"suffix_{k}") for k in keys}
 
     def featured(df: DataFrame, training: bool = False) -> DataFrame:
         """The blocked share by suffix; of training urls from the other folds alone, so that a rare suffix does not give its label away."""
-        for k in keys:  # at most params.sample rows each, as the sample has no more
-            df = df.join(F.broadcast(sums[k]), f"k_{k}", "left")
+        for k in keys:  # as many rows as the labelled urls have suffixes
+            df = df.join(sums[k].hint("merge"), f"k_{k}", "left")
             s, n = F.coalesce(f"_s_{k}", F.lit(0.0)), F.coalesce(f"_n_{k}", F.lit(0))
             if training:
-                df = df.join(F.broadcast(own[k]), [f"k_{k}", "_fold"], "left")
+                df = df.join(own[k].hint("merge"), [f"k_{k}", "_fold"], "left")
                 s, n = s - F.coalesce(f"_fs_{k}", F.lit(0.0)), n - F.coalesce(f"_fn_{k}", F.lit(0))
             df = df.withColumn(f"rate_{k}", (s + params.smoothing * prior) / (n + params.smoothing))
-        return VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(df)
+        return df
 
-    training = featured(folded, True).select("features", "label").coalesce(4)
+    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform
+    training = materialize(featured(sample, True).orderBy("url").select("url", *FEATURES, "label"), "training").coalesce(4)
+    training = assembled(training).select("features", "label")
     model = GBTClassifier(maxIter=params.trees, maxDepth=params.depth, stepSize=0.3, seed=42).fit(training)
-    scored = model.transform(featured(lexical(ruled)))
+    scored = model.transform(assembled(featured(lexical(ruled.where(F.col("rule").isNull())))))
     share = vector_to_array("probability")[1]
-    return scored.select(
-        id_col, "host", "path", "rule", F.coalesce("ruled", F.when(share >= 0.5, "block").otherwise("allow")).alias("verdict"),
-        F.when(F.col("rule").isNull(), share).alias("block_share"),
-    )
+    judged = scored.select(id_col, "host", "path", "rule", F.when(share >= 0.5, "block").otherwise("allow").alias("verdict"), share.alias("block_share"))
+    return judged.unionByName(ruled.where(F.col("rule").isNotNull()).select(id_col, "host", "path", "rule", F.col("ruled").alias("verdict"), F.lit(None).cast("double").alias("block_share")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

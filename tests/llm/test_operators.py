@@ -82,6 +82,16 @@ def test_url_trees_learn(spark):
     assert np.mean([(got[1000 + i] == "block") == bool(i % 2) for i in range(100)]) > 0.9
 
 
+def test_url_suffixes_are_counted_over_all_labelled_urls(spark):
+    """Many domains, each of them blocked or allowed as a whole: those that the sample lacks are judged by all their labelled urls."""
+    rules = {f"x.d{i}.test/": "block" if i % 2 else "allow" for i in range(40)}
+    urls = [(0, f"http://x.d{i}.test/p{j:03d}/") for i in range(40) for j in range(60)] + [(1 + i, f"http://y.d{i}.test/q/") for i in range(40)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    few = url_filter.filter_urls(pages, rules=rules, params=url_filter.UrlParams(sample=60, smoothing=1.0))
+    got = {r.page_id: r.verdict for r in few.where("page_id > 0").collect()}
+    assert got == {1 + i: "block" if i % 2 else "allow" for i in range(40)}
+
+
 # -- 2 html --------------------------------------------------------------------------------------------
 
 
