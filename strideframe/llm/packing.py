@@ -9,20 +9,23 @@ their length by two levels (buckets of a length, then rows of a bucket) and look
 however common, is gathered in one task.
 
 Cases: null and empty texts are the single id 1. Repeated rows are packed as separate pieces. Null ids stay
-null. A very long text becomes many pieces. Empty tables give empty results; extra columns are ignored.
+null. A very long text becomes many pieces. Which of equally long pieces takes which of their places is
+arbitrary, as are the sequences' numbers. Empty tables give empty results; extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -31,8 +34,8 @@ from pyspark.sql.types import StructField, StructType
 from strideframe.llm.common import fields, materialize, table, whole
 
 
-#: Characters that make one pre-token together, next to letters or not.
-PUNCTUATION_RUN = b".,!?;:|$%&*#"
+#: A plain word: letters whose lower case is known, with runs of punctuation before and after them.
+PLAIN = "^(?P<before>[.,!?;:|$%&*#]*)(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)(?P<after>[.,!?;:|$%&*#]*)$"
 
 
 @dataclass(frozen=True)
@@ -40,8 +43,10 @@ class PackParams:
     size: int = 4096
     end_id: int = 1
     tokenizer: str = ""  # a path; the default is public_tokenizers' word_bpe_49k.json
-    buckets: int = 256  # parts that the pieces of one length are numbered in
-    cache_words: int = 150_000  # words that a worker remembers, twice over
+    buckets: int = 256  # parts that the pieces of one length are numbered in, at least
+    bucket_pieces: int = 1_000_000  # more parts are taken where all pieces together would give a part more than this
+    cache_words: int = 400_000  # parts of words that a worker remembers
+    group_bytes: int = 8 << 20  # text that is encoded at once, or one longer text
 
     @property
     def path(self) -> str:
@@ -52,10 +57,49 @@ class PackParams:
         return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class Ids:
+    """Ids of several strings in one run: string i has those from ``ends[i - 1]`` to ``ends[i]``."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.sizes, self.ends = flat, sizes.astype(np.int64), np.cumsum(sizes, dtype=np.int64)
+
+    @classmethod
+    def of(cls, each: list[list[int]]) -> Ids:
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        return cls(np.fromiter((i for ids in each for i in ids), np.uint32, int(sizes.sum())), sizes)
+
+    def take(self, at: np.ndarray) -> Ids:
+        """The strings at ``at``, one after another."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        kind = np.int32 if len(ends) and ends[-1] < 1 << 31 and len(self.flat) < 1 << 31 else np.int64
+        where = np.repeat(((self.ends - self.sizes)[at] - (ends - sizes)).astype(kind), sizes)
+        where += np.arange(len(where), dtype=kind)
+        return Ids(self.flat[where], sizes)
+
+    def __add__(self, more: Ids) -> Ids:
+        return Ids(np.concatenate([self.flat, more.flat]), np.concatenate([self.sizes, more.sizes]))
+
+    def joined(self, n: np.ndarray) -> Ids:
+        """Each ``n[i]`` neighbours as one string."""
+        ends = np.concatenate([[0], self.ends])[np.concatenate([[0], np.cumsum(n)])]
+        return Ids(self.flat, np.diff(ends))
+
+
 class WordIds:
-    """Ids of whole texts as little-endian bytes, word by word: this tokenizer never joins across blanks.
+    """Ids of whole texts by a tokenizer that never joins across blanks, so that each distinct part of a word is encoded once.
 
-    Each worker remembers words in two generations, so that memory is bounded and common words stay."""
+    Arrow splits many texts at once and numbers their distinct words, then the words' parts: a plain word is letters
+    between runs of punctuation, which go straight to the tokenizer's model; any other word is one part and goes through
+    the whole tokenizer. Each worker remembers parts, bounded, and starts again from those of the last texts. A tokenizer
+    of another build (``joins``) encodes whole texts."""
 
     kept: dict[str, WordIds] = {}
 
@@ -63,10 +107,15 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(params.path), params.cache_words
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.model, self.bytes = self.tokenizer.model, byte_letters()
+        self.parts, self.part_ids = pa.array([], pa.string()), Ids.of([])
+        build = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (build["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        lower = [x["type"] for x in (build["normalizer"] or {}).get("normalizers", [])]
+        self.joins = steps != ["Split", "ByteLevel"] or lower != ["NFC", "Replace", "Lowercase"] or not build["model"].get("end_of_word_suffix")
+        if not self.joins:
+            probe = pa.array(["Words, and  more words!\nÉté 12 isn't Words"])
+            self.joins = self.encode(probe).flat.tolist() != self._whole(probe).flat.tolist()
 
     @classmethod
     def of(cls, params: PackParams) -> WordIds:
@@ -75,67 +124,62 @@ class WordIds:
             cls.kept[key] = cls(params)
         return cls.kept[key]
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encodes many new words at once. Where one ends is known from its number of pre-tokens, each of which ends in one
-        token of the word-end kind; words of which that number isn't plain are placed by their characters' offsets."""
-        plain, counts, rest = [], [], []
-        for w in words:
-            n = self._pretokens(w)
-            if n:
-                plain.append(w)
-                counts.append(n)
-            else:
-                rest.append(w)
-        for at in range(0, len(plain), 4000):
-            some = plain[at : at + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum(counts[at : at + 4000])
-            if len(ends) != last[-1]:  # not as foreseen
-                rest += some
-                continue
-            raw, cuts = ids.tobytes(), [0, *(4 * ends[last - 1]).tolist()]
-            for w, a, b in zip(some, cuts, cuts[1:], strict=False):
-                self.young[w] = raw[a:b]
-        for at in range(0, len(rest), 4000):
-            some = rest[at : at + 4000]
-            texts = [w.decode("utf-8", "surrogatepass") for w in some]
-            begins = np.cumsum([0, *[len(t) + 1 for t in texts]])
-            encoded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            raw = np.array(encoded.ids, "<u4").tobytes()
+    def _whole(self, texts: pa.Array) -> Ids:
+        return Ids.of([e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)])
+
+    def _plain(self, parts: list[str]) -> Ids:
+        """Letters in lower case, and runs of punctuation."""
+        tokenize, letters = self.model.tokenize, self.bytes
+        return Ids.of([[t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(letters))] for p in parts])
+
+    def _others(self, words: list[str]) -> Ids:
+        """Many words through the whole tokenizer at once; each one's ids are told by their characters' offsets."""
+        out = Ids.of([])
+        for at in range(0, len(words), 4000):
+            some = words[at : at + 4000]
+            begins = np.cumsum([0, *[len(w) + 1 for w in some]])
+            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             first = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(encoded.ids))
-            cuts = (4 * np.searchsorted(first, begins)).tolist()
-            for w, a, b in zip(some, cuts, cuts[1:], strict=False):
-                self.young[w] = raw[a:b]
-
-    @staticmethod
-    def _pretokens(word: bytes) -> int:
-        """1 for letters alone, 2 for letters before or after one run of plain punctuation, else 0 (not plain)."""
-        core = word.strip(PUNCTUATION_RUN)
-        cut = len(word) - len(core)
-        if cut and word.startswith(core) == word.endswith(core):  # on both sides, or nothing but punctuation
-            return 0
-        try:
-            text = core.decode()
-        except UnicodeDecodeError:
-            return 0
-        low = text.lower()
-        if not text.isalpha() or not low.isalpha() or not (text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", low)):
-            return 0
-        return 2 if cut else 1
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        needed = set().union(*split) - self.young.keys() if split else set()
-        if self.old:
-            known = needed & self.old.keys()
-            self.young.update((w, self.old[w]) for w in known)
-            needed -= known
-        self._learn(sorted(needed))
-        look = self.young.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+            out += Ids(np.array(encoded.ids, np.uint32), np.diff(np.searchsorted(first, begins)))
+        return out
+
+    def _of_parts(self, parts: pa.Array, plain: np.ndarray) -> Ids:
+        """The ids of distinct parts, from memory where known."""
+        known = pc.index_in(parts, value_set=self.parts)
+        new = np.flatnonzero(known.is_null().to_numpy(zero_copy_only=False))
+        told = [new[plain[new]], new[~plain[new]]]
+        learned = self._plain(parts.take(pa.array(told[0])).to_pylist()) + self._others(parts.take(pa.array(told[1])).to_pylist())
+        order = np.concatenate(told)
+        at = known.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[order] = len(self.parts) + np.arange(len(order))
+        every = self.part_ids + learned
+        ids = every.take(at)
+        if len(self.parts) + len(order) > self.limit:
+            self.parts, self.part_ids = parts[: self.limit], ids.take(np.arange(min(len(parts), self.limit)))
+        else:
+            self.parts, self.part_ids = pa.concat_arrays([self.parts, parts.take(pa.array(order))]), every
+        return ids
+
+    def encode(self, texts: pa.Array) -> Ids:
+        if self.joins:
+            return self._whole(texts)
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        found = pc.extract_regex(words, pattern=PLAIN)
+        plain = found.is_valid()
+        parts = [pc.if_else(plain, pc.utf8_lower(found.field("letters")), words), *(pc.if_else(plain, found.field(c), "") for c in ("before", "after"))]
+        numbered = [p.dictionary_encode() for p in parts]
+        distinct = pa.concat_arrays([x.dictionary for x in numbered]).dictionary_encode()
+        is_plain = np.ones(len(distinct.dictionary), bool)
+        place, base, at = distinct.indices.to_numpy(), 0, []
+        for x in numbered:
+            at.append(place[base + x.indices.to_numpy()])
+            base += len(x.dictionary)
+        is_plain[at[0][~plain.to_numpy(zero_copy_only=False)]] = False
+        ids = self._of_parts(distinct.dictionary, is_plain)
+        each = ids.take(np.stack([at[1], at[0], at[2]], axis=1).ravel()).joined(np.full(len(words), 3))
+        return each.take(coded.indices.to_numpy()).joined(split.value_lengths().to_numpy())
 
 
 def pieces_of(docs: DataFrame, id_col: str, text_col: str, params: PackParams) -> DataFrame:
@@ -143,22 +187,43 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, params: PackParams) -
     rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
     schema = StructType([StructField("doc_id", rows.schema["doc_id"].dataType), *fields("piece int, start long, length long, ids_crc32 long").fields])
     end = int(params.end_id).to_bytes(4, "little")
+    full = 4 * params.size
+
+    def pieces(batch: pa.RecordBatch, words: WordIds) -> pa.RecordBatch:
+        row, piece, start, length, crc = [], [], [], [], []
+        ids = words.encode(batch.column(1))
+        raw, at = memoryview(ids.flat.astype("<u4", copy=False)).cast("B"), 0
+        for i, stop in enumerate((4 * ids.ends).tolist()):
+            mine, at = raw[at:stop], stop
+            if len(mine) < full:  # one piece
+                row.append(i)
+                piece.append(0)
+                start.append(0)
+                length.append(len(mine) // 4 + 1)
+                crc.append(zlib.crc32(end, zlib.crc32(mine)))
+                continue
+            mine = memoryview(bytes(mine) + end)
+            for k, a in enumerate(range(0, len(mine), full)):
+                part = mine[a : a + full]
+                row.append(i)
+                piece.append(k)
+                start.append(a // 4)
+                length.append(len(part) // 4)
+                crc.append(zlib.crc32(part))
+        columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds.of(params)
+        held, size = [], 0
         for batch in batches:
-            row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(words.encode(batch.column(1).to_pylist())):
-                ids = memoryview(ids + end)
-                for k, at in enumerate(range(0, len(ids), 4 * params.size)):
-                    part = ids[at : at + 4 * params.size]
-                    row.append(i)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            held.append(batch)
+            size += batch.nbytes
+            if size >= params.group_bytes:
+                yield pieces(pa.concat_batches(held), words)
+                held, size = [], 0
+        if held:
+            yield pieces(pa.concat_batches(held), words)
 
     return rows.mapInArrow(run, schema)
 
@@ -287,7 +352,8 @@ def plan_slots(counts: dict[int, int], size: int) -> pd.DataFrame:
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: PackParams = PackParams()) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     pieces = materialize(pieces_of(docs, id_col, text_col, params).withColumn("_uid", F.monotonically_increasing_id()), "pieces")
-    keyed = pieces.withColumn("_part", F.pmod(F.xxhash64("_uid"), F.lit(params.buckets)).cast("int"))
+    buckets = max(params.buckets, -(-pieces.count() // params.bucket_pieces))
+    keyed = pieces.withColumn("_part", F.pmod(F.xxhash64("_uid"), F.lit(buckets)).cast("int"))
     cells = materialize(keyed.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("n")), "cells")  # size x buckets rows at most
     counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # size rows at most
     slots = plan_slots(counts, params.size)

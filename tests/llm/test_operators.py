@@ -469,14 +469,20 @@ def test_packing(spark, docs, odd):
 
 
 def test_word_ids_match_the_tokenizer():
+    import public_tokenizers
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
-    p = packing.PackParams(cache_words=5)
-    texts = ["It's DON'T 123abc", "é ́x", "a b\x1cc d", "ΑΣ ΌΣΟΣ İ ﬁ 日本 🙂a", "<|endoftext|> x<|startoftext|>y", "", " \n", "q" * 3000]
-    ids = packing.WordIds(p)
-    t = Tokenizer.from_file(p.path)
-    for _ in range(3):
-        assert [np.frombuffer(b, "<u4").tolist() for b in ids.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    texts = ["It's DON'T 123abc", "é ́x", "a b\x1cc d", "ΑΣ ΌΣΟΣ İ ﬁ 日本 🙂a", "<|endoftext|> x<|startoftext|>y", "", " \n", "q" * 3000, "...a,, (b) ,c", "ÀB×c \u00a0d\u0085e"]
+    texts += [c + "x" + c + "," for c in map(chr, range(0xC0, 0x250))]
+    for p in (packing.PackParams(cache_words=5), packing.PackParams(tokenizer=public_tokenizers.path("byte_bpe_50k.json"))):
+        ids = packing.WordIds(p)
+        assert ids.joins == bool(p.tokenizer)  # a tokenizer that joins across blanks gets whole texts
+        t = Tokenizer.from_file(p.path)
+        want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+        for _ in range(3):
+            got = ids.encode(pa.array(texts))
+            assert [got.flat[b - n : b].tolist() for b, n in zip(got.ends, got.sizes, strict=True)] == want
 
 
 # -- 10 quality rules ----------------------------------------------------------------------------------
