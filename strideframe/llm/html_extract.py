@@ -1,13 +1,22 @@
 """HTML extraction by tree scoring (operator 2).
 
-The page becomes a tree of elements. Subtrees that are not content (navigation, headers, footers, asides,
-forms, scripts, styles, adverts, notices, reader comments) are cut by tag, role and class names. Every
-paragraph gives points to its parent and half of them to its grandparent: one, one more for each comma, and
-one for each 100 characters up to three; a container's points are discounted by its link density. The best
-container is kept with those siblings that score at least a fifth of it or are long, link-poor paragraphs.
+The page becomes a tree of elements. Every paragraph gives points to its ancestors: one, one more for each comma,
+and one for each 100 characters up to three; its parent gets them all, its grandparent half, three more levels a
+sixth and less. A container's points are discounted by its link density. The best container (or the article, else
+the main element, around it) is kept with its siblings: those of a fifth of its points, long link-poor paragraphs,
+headings before it, and all link-poor blocks between the first and the last of these. Where the whole page is best,
+only its lists of links are left out.
+
+What is not content (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) is
+left out by tag, role, and those words of class and id that say so and nothing else (``site-footer``, but not
+``has-sidebar``). A class alone does not take away an element that holds an article or main element, nor does a form
+that holds one; nor, on a page without such an element, a class such as ``overlay`` most of the page's text.
 
 Cases: null and empty html give an empty text, as does a page without content. Unclosed elements, cut-off
-tags and stray end tags are tolerated. Equal pages are extracted row by row; extra columns are ignored.
+tags, stray quotes and stray end tags are read as browsers read them, but for a quote that never closes, which ends
+with its tag. Elements more than 256 deep become siblings, so that time is in proportion to the page, however long.
+Of equally good containers the first in page order wins. Equal pages are extracted row by row; extra columns are
+ignored, and a column with the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -24,98 +33,166 @@ from pyspark.sql.types import StringType
 
 from strideframe.llm.common import table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.DOTALL)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp"}
+_BLANK = r"[ \t\n\f\r]"
+#: A name, then perhaps a value; a quote that never closes belongs to the name.
+_ATTRIBUTE = rf"""(?:{_BLANK}|/)*+[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?:{_BLANK}*+={_BLANK}*+(?:"[^"]*+"|'[^']*+'|[^ \t\n\f\r"'>][^ \t\n\f\r>]*+|(?=>)))?+"""
+TAG = re.compile(rf"<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)((?:{_ATTRIBUTE})*+)((?:{_BLANK}|/)*+)>")
+ATTRIBUTE = re.compile(rf"""(?:{_BLANK}|/)*([^ \t\n\f\r/>][^ \t\n\f\r/>=]*)(?:{_BLANK}*={_BLANK}*("[^"]*"|'[^']*'|[^ \t\n\f\r"'>][^ \t\n\f\r>]*)?)?""")
+#: Comments, declarations, instructions and what else a page doesn't show.
+HIDDEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z)", re.DOTALL)
+DEEPEST = 256
+
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-CUT = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "object", "video", "audio", "canvas", "figure"} | RAW
+CUT = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "video", "audio", "canvas"} | RAW
 BLOCKS = {
     "p", "div", "section", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot",
-    "tr", "td", "th", "blockquote", "pre", "address", "center", "body", "html", "fieldset", "details", "summary", "figcaption", "caption", "hr", "hgroup", "search",
+    "tr", "td", "th", "blockquote", "pre", "address", "center", "body", "html", "fieldset", "details", "summary", "figure", "figcaption", "caption", "hr", "hgroup", "search",
+    "header", "footer", "nav", "aside", "form", "menu", "dialog",
 }
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 PARAGRAPHS = {"p", "pre", "td", "blockquote", "li", "dd"}
-CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
+CLOSES = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
+}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar", "toolbar"}
-NOT_CONTENT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|popups?|modal|overlay|newsletters?|subscribe|signup|paywall"
-    r"|nav(?:bar|igation)?|menus?|breadcrumbs?|pagination|pager|header|footer|masthead|side-?bars?|widgets?|related|recommended|share|sharing|social|toolbar"
-    r"|comments?|disqus|repl(?:y|ies)|respond|discussion|login|search)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words of classes and ids that name what is not content, and words that may stand beside them.
+NOT_CONTENT = set(
+    "comment comments commentlist disqus reply replies respond discussion ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion promotions banner banners cookie cookies consent gdpr notice notices"
+    " popup popups modal overlay newsletter newsletters subscribe signup paywall nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager header footer masthead"
+    " sidebar sidebars widget widgets related recommended share sharing social toolbar login search".split()
 )
+#: Of these, words that also name the wrapping of a whole page.
+WRAPPERS = set("overlay modal widget widgets header social share sharing notice notices search".split())
+BESIDE = set(
+    "site page main global top bottom left right primary secondary mobile desktop side bar box block section area wrap wrapper container inner outer list item items thread form links link"
+    " buttons button icons posts articles stories content panel slot unit space holder zone text bar row group tags tools law policy legal sticky floating google dfp the and for of my".split()
+)
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "cut", "score", "chars", "linked")
-
-    def __init__(self, tag: str, parent: Node | None, cut: bool = False):
-        self.tag, self.parent, self.cut, self.children = tag, parent, cut, []
-        self.score, self.chars, self.linked = 0.0, 0, 0
-
-
-def _cut(tag: str, attributes: str) -> bool:
-    if tag in CUT:
-        return True
-    if not attributes.strip() or tag in ("html", "body"):
-        return False
-    at = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
-    return "hidden" in at or at.get("aria-hidden", "").lower() == "true" or at.get("role", "").lower() in ROLES or bool(re.search(r"display\s*:\s*none", at.get("style", ""), re.IGNORECASE)) or any(
-        NOT_CONTENT.search(at.get(k, "")) for k in ("class", "id")
-    )
+    __slots__ = ("tag", "parent", "children", "cut", "flag", "depth", "scope", "inline", "score", "chars", "linked", "commas", "own")
+
+    def __init__(self, tag: str, parent: Node | None, cut: bool = False, flag: str = ""):
+        self.tag, self.parent, self.cut, self.flag, self.children = tag, parent, cut, flag, []
+        self.depth = parent.depth + 1 if parent else 0
+        block = parent is None or tag in BLOCKS
+        self.scope: Node = self if block else parent.scope  # the block that an inline end tag can't reach beyond
+        self.inline: dict[str, int] | None = {} if block else None  # open inline elements of a block, by name
+        self.score, self.chars, self.linked, self.commas, self.own = 0.0, 0, 0, 0, 0
+
+
+def named(value: str) -> str:
+    """sure or maybe, if one of the class's tokens names such an element and says nothing else."""
+    found = ""
+    for token in value.split():
+        words = [w.lower() for w in WORD.findall(token)]
+        if any(w in NOT_CONTENT for w in words) and all(w in NOT_CONTENT or w in BESIDE or w.isdigit() for w in words):
+            if any(w in NOT_CONTENT and w not in WRAPPERS for w in words):
+                return "sure"
+            found = "maybe"
+    return found
+
+
+def judge_tag(tag: str, attributes: str) -> tuple[bool, str]:
+    """Whether the element is no content for sure, and what its class or id says of it."""
+    if tag in CUT and tag != "form":
+        return True, ""
+    flag = "sure" if tag == "form" else ""
+    if not attributes or tag in ("html", "body"):
+        return False, flag
+    at: dict[str, str] = {}
+    for k, v in ATTRIBUTE.findall(attributes):
+        at.setdefault(k.lower(), v[1:-1] if v[:1] in "\"'" else v)
+    if "hidden" in at or at.get("aria-hidden", "").lower() == "true" or at.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", at.get("style", ""), re.IGNORECASE):
+        return True, ""
+    says = {named(at.get(k, "")) for k in ("class", "id")}
+    return False, "sure" if "sure" in says else "maybe" if "maybe" in says else flag
 
 
 def parse(html: str) -> Node:
     root = node = Node("#root", None)
-    at = 0
-    for m in iter(lambda: TOKEN.search(html, at), None):
-        if m.start() > at:
-            node.children.append(html[at : m.start()])
-        at = max(m.end(), m.start() + 1)
-        tag = m[2]
-        if tag is None or not m[4]:  # a comment or declaration, or a tag that the page's end cuts off
+    at = text_from = 0
+
+    def text(end: int) -> None:
+        if end > text_from:
+            node.children.append(unescape(html[text_from:end]))
+
+    def close(upto: Node) -> Node:
+        """Ends ``upto`` and all that is open in it."""
+        x = node
+        while True:
+            if x.scope is not x:
+                x.scope.inline[x.tag] -= 1
+            if x is upto:
+                return x.parent
+            x = x.parent
+
+    while True:
+        at = html.find("<", at)
+        if at < 0:
+            break
+        m = TAG.match(html, at)
+        if m is None:
+            hidden = HIDDEN.match(html, at)
+            if hidden:
+                text(at)
+                at = text_from = hidden.end()
+            elif re.compile("/?[a-zA-Z]").match(html, at + 1):  # a tag that the page's end cuts off
+                text(at)
+                return root
+            else:
+                at += 1
             continue
-        tag = tag.lower()
+        text(at)
+        at = text_from = m.end()
+        tag = m[2].lower()
         if m[1]:
             if tag == "br":
                 node.children.append(" ")
-                continue
-            up = node
-            while up.parent is not None and up.tag != tag:
-                if tag not in BLOCKS and up.tag in BLOCKS:  # an inline end tag closes no block
-                    up = root
-                    break
-                up = up.parent
-            node = up.parent if up.parent is not None else node
+            elif tag in BLOCKS:
+                up = node
+                while up.parent is not None and up.tag != tag:
+                    up = up.parent
+                if up.parent is not None:
+                    node = close(up)
+            elif node.scope.inline.get(tag):  # an inline end tag closes no block
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = close(up)
             continue
         if tag in VOID:
-            if tag == "hr" and node.tag == "p":
-                node = node.parent
+            if tag == "hr" and node.scope.tag == "p":
+                node = close(node.scope)
             node.children.append(Node("hr", node) if tag == "hr" else " " if tag == "br" else "")
             continue
-        if tag in BLOCKS:  # a block ends an open paragraph, and the formatting inside it
-            up = node
-            while up.parent is not None and up.tag not in BLOCKS:
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+        if tag in BLOCKS and node.scope.tag == "p":  # a block ends an open paragraph, and the formatting inside it
+            node = close(node.scope)
         if tag in CLOSES:
             closes, until = CLOSES[tag]
             up = node
             while up.parent is not None and up.tag not in until:
-                if up.tag in closes.split():
-                    node = up.parent
+                if up.tag in closes:
+                    node = close(up)
                     break
                 up = up.parent
-        child = Node(tag, node, node.cut or _cut(tag, m[3]))
+        if node.depth >= DEEPEST:
+            node = close(node)
+        child = Node(tag, node, *judge_tag(tag, m[3]))
         node.children.append(child)
         if tag in RAW:  # its text is no markup, up to its end tag
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.IGNORECASE).search(html, at)
-            close = html.find(">", end.end() - 1) if end else -1
-            at = close + 1 if close >= 0 else len(html)
+            end = re.compile(rf"</{re.escape(tag)}(?=[ \t\n\f\r/>])", re.IGNORECASE).search(html, at)
+            stop = html.find(">", end.end()) if end else -1
+            at = text_from = stop + 1 if stop >= 0 else len(html)
             continue
-        if not m[3].endswith("/") or tag in BLOCKS or tag in ("a", "b", "i", "span", "em", "strong"):
+        if "/" not in m[4] or tag in BLOCKS or tag in ("a", "b", "i", "span", "em", "strong"):
+            if child.scope is not child:
+                child.scope.inline[tag] = child.scope.inline.get(tag, 0) + 1
             node = child
-    if at < len(html) and not html.startswith("<", at):
-        node.children.append(html[at:])
+    text(len(html))
     return root
 
 
@@ -130,26 +207,49 @@ def _walk(node: Node) -> Iterator[Node]:
 
 
 def _flat(text: str) -> str:
-    return " ".join(unescape(text).split())
+    return " ".join(text.split())
 
 
 def _measure(root: Node) -> list[Node]:
-    """Fills chars and linked of every node (its own text and that below it)."""
+    """Fills chars, commas and linked of every node that is not cut: of its own text and that below it."""
     nodes = list(_walk(root))
     for x in nodes:
-        x.chars = sum(len(_flat(c)) for c in x.children if isinstance(c, str))
-        x.linked = x.chars if x.tag == "a" else 0
+        x.chars = x.linked = x.commas = 0
+        for c in x.children:
+            if isinstance(c, str):
+                x.chars += len(_flat(c))
+                x.commas += c.count(",")
+        x.own = x.chars
     for x in reversed(nodes):
         if x.tag == "a":
             x.linked = x.chars
         if x.parent is not None:
             x.parent.chars += x.chars
             x.parent.linked += x.linked
+            x.parent.commas += x.commas
     return nodes
 
 
-def blocks(node: Node) -> list[str]:
-    """Texts of the blocks below a node, in page order; a block ends where another begins or ends."""
+def _settle(root: Node) -> list[Node]:
+    """Cuts what its class says is no content, unless it holds the article; returns what remains, measured."""
+    nodes = _measure(root)
+    flagged = [x for x in nodes if x.flag]
+    if not flagged:
+        return nodes
+    holds = {id(x) for x in nodes if x.tag in ("article", "main")}
+    for x in reversed(nodes):
+        if id(x) in holds and x.parent is not None and not (x.tag == "article" and x.flag):
+            holds.add(id(x.parent))
+    plain = root.chars - root.linked
+    for x in flagged:
+        most = x.flag == "maybe" and not holds and 2 * (x.chars - x.linked) > plain
+        inside = id(x) in holds and x.tag not in ("article", "main")
+        x.cut = not (most or inside)
+    return _measure(root)
+
+
+def blocks(run: list) -> list[str]:
+    """Texts of the blocks in a run of nodes and strings, in page order; a block ends where another begins or ends."""
     out, parts = [], []
 
     def flush():
@@ -158,14 +258,17 @@ def blocks(node: Node) -> list[str]:
         if text:
             out.append(text)
 
-    stack: list = [node]
+    stack: list = list(reversed(run))
     while stack:
         x = stack.pop()
         if x is None:
             flush()
         elif isinstance(x, str):
             parts.append(x)
-        elif not x.cut:
+        elif x.cut:
+            if x.tag in BLOCKS:
+                flush()
+        else:
             if x.tag in BLOCKS:
                 flush()
                 stack.append(None)
@@ -174,44 +277,54 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def extract(html: str) -> str:
-    root = parse(html)
-    nodes = _measure(root)
-    scored = {}
+def _score(nodes: list[Node]) -> list[Node]:
+    """Passes each paragraph's points on to its ancestors; returns those with points, in page order."""
+    scored = set()
     for x in nodes:
-        if x.tag not in PARAGRAPHS or x.chars == 0 or x.parent is None:
+        text = x.own if x.tag in ("div", "section", "article", "main", "center") else 0  # text without a paragraph around it
+        if x.tag in PARAGRAPHS and x.chars:
+            points, up = 1 + x.commas + min(x.chars / 100, 3), x.parent
+        elif text >= 25:
+            points, up = 1 + min(text / 100, 3), x
+        else:
             continue
-        text = "".join(c for c in _texts(x))
-        points = 1 + text.count(",") + min(x.chars / 100, 3)
-        for up, part in ((x.parent, 1.0), (x.parent.parent, 0.5)):
-            if up is not None:
-                up.score += points * part
-                scored[id(up)] = up
+        for level in range(5):
+            if up is None:
+                break
+            up.score += points / (level + 1 if level < 2 else 3 * level)
+            scored.add(id(up))
+            up = up.parent
     for x in nodes:
-        if x.tag in ("article", "main") and x.chars:  # the page itself says that this is the content
-            x.score = x.score * 2 + 25
-            scored[id(x)] = x
-    for x in scored.values():
         x.score *= 1 - x.linked / max(x.chars, 1)
-    candidates = [x for x in nodes if id(x) in scored and x.score > 0]
-    if not candidates:
-        return "\n".join(blocks(root))
-    best = max(candidates, key=lambda x: x.score)  # the first of equals, in page order
-    if best.tag == "#root" or best.parent is None:
-        return "\n".join(blocks(best))
-    out = []
-    for x in best.parent.children:
-        if isinstance(x, str) or x.cut:
-            continue
-        poor = x.linked / max(x.chars, 1) < 0.25
-        if x is best or x.score >= max(10.0, 0.2 * best.score) or (x.tag == "p" and x.chars > 80 and poor):
-            out += blocks(x)
-    return "\n".join(out)
+    return [x for x in nodes if id(x) in scored and x.score > 0]
 
 
-def _texts(node: Node) -> Iterator[str]:
-    for x in _walk(node):
-        yield from (c for c in x.children if isinstance(c, str))
+def extract(html: str) -> str:
+    root = parse(html)
+    nodes = _settle(root)
+    candidates = _score(nodes)
+    if not candidates:
+        return "\n".join(blocks([root]))
+    best = max(candidates, key=lambda x: x.score)  # the first of equals, in page order
+    for tag in ("article", "main"):  # the page itself says how far the content reaches
+        up = best
+        while up is not None and up.tag != tag:
+            up = up.parent
+        if up is not None:
+            best = up
+            break
+    if best.tag in ("#root", "html", "body"):  # of a whole page, lists of links are menus
+        inner = next((x for x in nodes if x.tag == "body"), best)
+        best = inner if inner.chars == best.chars else best
+        return "\n".join(blocks([x for x in best.children if isinstance(x, str) or x.tag in ("p", *HEADINGS) or x.linked < 0.75 * max(x.chars, 1)]))
+    around = best.parent.children
+    poor = lambda x: x.linked < 0.25 * max(x.chars, 1)
+    kept = [i for i, x in enumerate(around) if not isinstance(x, str) and not x.cut and (x is best or (poor(x) and (x.score >= max(10.0, 0.2 * best.score) or x.tag == "p" and x.chars > 80)))]
+    first, last = kept[0], kept[-1]
+    while first and (isinstance(around[first - 1], str) and not around[first - 1].strip() or not isinstance(around[first - 1], str) and around[first - 1].tag in HEADINGS):
+        first -= 1
+    run = [x for i, x in enumerate(around) if first <= i <= last and (isinstance(x, str) or i in kept or poor(x))]
+    return "\n".join(blocks(run))
 
 
 @pandas_udf(StringType())
@@ -224,6 +337,7 @@ extract_text = _extract.asNondeterministic()
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
+    """``pages`` with the main text of each as ``out_col``."""
     return pages.withColumn(out_col, extract_text(F.coalesce(F.col(html_col), F.lit(""))))
 
 

@@ -105,6 +105,62 @@ def test_html():
     assert html_extract.extract("<div>" * 3000 + "<p>deep</p>") == "deep"
 
 
+ARTICLE = "<p>First of all, a paragraph that says, at length, what is what.</p><p>Second, a further one, with commas, and more.</p><p>Third.</p>"
+SAID = "First of all, a paragraph that says, at length, what is what.\nSecond, a further one, with commas, and more.\nThird."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div title=it's>{ARTICLE}</div><div class=ad>Buy, buy, buy</div><p>isn't</p>", SAID),  # an apostrophe in an unquoted value
+        (f'<div class="a"">{ARTICLE}</div>', SAID),  # a stray quote behind a value
+        (f'<div class="a>{ARTICLE.replace(chr(34), "")}</div>', SAID),  # a quote that never closes
+        (f"<nav><a>m</a></nav><div class='content has-sidebar header-fixed no-comments'>{ARTICLE}</div><div class='side-bar'><p>Aside, aside, aside, aside</p></div>", SAID),
+        (f"<div class=overlay>{ARTICLE}</div><div class=cookie-notice><p>We use cookies</p></div>", SAID),  # a class does not take most of the page away
+        (f"<div class=share-count><article>{ARTICLE}</article></div><div class='comment-list'>" + "<p>A reader, says, a lot, of things</p>" * 20 + "</div>", SAID),
+        ("<p>&am<b>p;</b> x&amp;<!-- -->amp;</p>", "&amp; x&amp;"),  # each text node is decoded by itself
+        (f"<article>{ARTICLE}<figure><img src=x><figcaption>A figure</figcaption></figure><table><tr><td>1<td>2</table></article>", SAID + "\nA figure\n1\n2"),
+        (f"<form><article>{ARTICLE}</article></form><form><p>Name, please</p></form>", SAID),
+        (f"<body><h2>Title</h2><div>{ARTICLE}</div><h3>More</h3><p>Short.</p><div><p>{'Long, link-poor text, which is kept. ' * 5}</p></div><ul><li><a>link</a></ul>", "Title\n" + SAID + "\nMore\nShort.\n" + ("Long, link-poor text, which is kept. " * 5).strip()),
+        ("a < b <3 <> </> <!x> <?y> c", "a < b <3 <> c"),
+        ("<div>Some text without any paragraph, broken<br>by breaks</div>", "Some text without any paragraph, broken by breaks"),
+        ("<svg><text>x</text></svg><p>A<script>if (a<b) {}</script>B</p><p>C<textarea>t</textarea>", "AB\nC"),
+        ("<!-- a > b --!><p>After a comment<!-->, seen</p><!-- open", "After a comment, seen"),
+    ],
+)
+def test_html_as_browsers_read_it(page, text):
+    assert html_extract.extract(page) == text
+
+
+def test_html_takes_time_in_proportion():
+    """No kind of page is quadratic: eight times the page takes far less than 64 times as long."""
+    import time
+
+    kinds = ("<i>", "<div>", "</b>", "<a b='", "<tr></tr>", "<p class='x\">", "<", "<!--", "<ul><li><div>")
+    pages = [lambda n: "<i>" * n + "</b>" * n, lambda n: "<b><div>" + "<i>" * n + "</b>" * n, lambda n: "<div>" * n + "<tr></tr>" * n, *[lambda n, k=k: k * n for k in kinds]]
+    for page in pages:
+        took = []
+        for n in (2500, 20_000):
+            began = time.process_time()
+            html_extract.extract(page(n))
+            took.append(time.process_time() - began)
+        assert took[1] < 24 * took[0] + 0.5, page(1)
+
+
+def test_generated_pages():
+    """Whole pages put together from an article's blocks and what surrounds it, in many markups: exactly the article comes back."""
+    draw = random.Random(3)
+    word = lambda: draw.choice(["plain", "words", "and", "others", "with,", "commas,", "é&amp;t", "a&lt;b"])
+    junk = ["<nav><ul><li><a href=/>Home</a></ul></nav>", "<div class='ad-slot'><p>Buy, now, please</p></div>", "<aside><p>Also, here</p></aside>", "<footer>&copy; us</footer>", "<div id=comments><p>A reader, writes, this</p></div>", "<form><input><label>Name</label></form>", "<script>var a = '<p>no</p>';</script>", "<header><h1>Site</h1></header>", "<div role=navigation><a>x</a></div>", "<div class='newsletter-signup'>Mail?</div>"]
+    for _ in range(300):
+        texts = [" ".join(word() for _ in range(draw.randint(15, 60))) for _ in range(draw.randint(3, 8))]
+        tags = [draw.choice(["<p>{}</p>", "<p>{}", "<p class=x'y>{}</p>", "<blockquote>{}</blockquote>", "<p><b>{}</b></p>", "<p>{}<!-- c --></p>", "<P ID='a'>{}</P>"]) for _ in texts]
+        inner = "".join(t.format(x.replace(" ", draw.choice([" ", "\n ", "  "]))) for t, x in zip(tags, texts, strict=True))
+        body = draw.choice(["<article>{}</article>", "<main><div>{}</div></main>", "<div class='post has-sidebar'>{}</div>", "<div><section>{}</section></div>"]).format(inner)
+        page = "<html><head><title>t</title></head><body>" + "".join(draw.sample(junk, 3)) + body + "".join(draw.sample(junk, 3))
+        assert html_extract.extract(page) == "\n".join(x.replace("&amp;", "&").replace("&lt;", "<") for x in texts), page
+
+
 def test_html_pages(spark, sf):
     """Against a reading of the pages' one template with regular expressions."""
     import html as h
