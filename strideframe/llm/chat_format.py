@@ -4,11 +4,15 @@ A turn's content is an ordered array of parts: text, image, audio or document. T
 part becomes a placeholder such as ``<|image|>``, its reference goes to the attachment list and its expanded
 tokens are counted from its units (tiles, seconds or pages). Turns are framed as
 ``<|im_start|>role\\ntext<|im_end|>\\n``. Escaping puts a backslash before each backslash and inside each
-``<|``, so no control string can occur inside a text, and removing it gives the text back.
-
-Cases: a null text or part list is empty; a null role is the empty role and not assistant; turns are ordered
-by turn, then role, then content, nulls first, and repeated rows stay; a null conv_id is a conversation of its
-own. Empty tables give empty results. A conversation is one output row, so its text must fit in one task.
+``<|``, and in a role writes a newline as a backslash and n, so no control string can occur inside a text or a
+role, and removing it gives them back.
+
+Cases: a null text or part list is empty; a part without a type is text; a type that has no count of tokens a unit
+is written ``<|unknown|>``, whatever it says, counts a token a unit and keeps its name in the attachment list; a null
+role is the empty role and not assistant; turns are ordered by turn, then role, then content, nulls first, and
+repeated rows stay, as do ties; a null conv_id is a conversation of its own. Empty tables give empty results; extra
+columns are ignored, whatever their names. A conversation is one output row, so its text, however long its turns,
+must fit in one task.
 """
 
 from __future__ import annotations
@@ -39,6 +43,17 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"\\([\\|])", "$1")
 
 
+def escape_role(c: Column) -> Column:
+    """A role is one line: its newlines are written as a backslash and n."""
+    return F.replace(escape(c), F.lit("\n"), F.lit("\\n"))
+
+
+def unescape_role(c: Column) -> Column:
+    """Between the escaped backslashes, each other code can only be itself."""
+    plain = lambda p: F.replace(F.replace(p, F.lit("\\|"), F.lit("|")), F.lit("\\n"), F.lit("\n"))
+    return F.array_join(F.transform(F.split(c, r"\\\\"), plain), "\\")
+
+
 def text_part(text: Column) -> Column:
     null = F.lit(None)
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), null.cast("string").alias("ref"), null.cast("bigint").alias("units")))
@@ -49,7 +64,7 @@ def visit(parts: Column, params: ChatParams = ChatParams()) -> Column:
     parts = F.coalesce(parts, F.array().cast(f"array<{PART}>"))
     per = F.create_map(*[F.lit(x) for kv in sorted(params.tokens_per_unit.items()) for x in kv])
     is_text = lambda p: F.coalesce(p["type"], F.lit("text")) == "text"
-    body = F.array_join(F.transform(parts, lambda p: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), p["type"], F.lit("|>")))), "")
+    body = F.array_join(F.transform(parts, lambda p: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), F.when(p["type"].isin(*params.tokens_per_unit), p["type"]).otherwise("unknown"), F.lit("|>")))), "")
     numbered = F.transform(parts, lambda p, i: F.struct(i.alias("pos"), p["type"].alias("type"), p["ref"].alias("ref"), (F.coalesce(p["units"], F.lit(1)) * F.coalesce(F.element_at(per, p["type"]), F.lit(1))).cast("bigint").alias("tokens")))
     attached = F.filter(numbered, lambda p: F.coalesce(p["type"], F.lit("text")) != "text")
     return F.struct(body.alias("body"), attached.alias("attachments"), F.aggregate(attached, F.lit(0).cast("bigint"), lambda n, p: n + p["tokens"]).alias("tokens"))
@@ -58,19 +73,19 @@ def visit(parts: Column, params: ChatParams = ChatParams()) -> Column:
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", parts_col: str | None = None, params: ChatParams = ChatParams()) -> DataFrame:
     """conv_id, formatted, attachments (turn, pos, type, ref, tokens) and expanded_tokens: one row a conversation."""
     parts = F.col(parts_col) if parts_col else text_part(F.col(text_col))
-    role = F.replace(escape(F.coalesce(F.col(role_col), F.lit(""))), F.lit("\n"), F.lit("\\|n"))  # a role is one line
-    each = turns.select(F.col(conv_col), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), visit(parts, params).alias("v")).alias("t"))
-    whole = each.groupBy(conv_col).agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    role = escape_role(F.coalesce(F.col(role_col), F.lit("")))
+    each = turns.select(F.col(conv_col).alias("_conv"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), visit(parts, params).alias("v")).alias("t"))
+    whole = each.groupBy("_conv").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     framed = F.array_join(F.transform("ts", lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["v"]["body"], F.lit(END + "\n"))), "")
     refs = F.flatten(F.transform("ts", lambda t: F.transform(t["v"]["attachments"], lambda a: F.struct(t["turn"].alias("turn"), a["pos"].alias("pos"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
     tokens = F.aggregate("ts", F.lit(0).cast("bigint"), lambda n, t: n + t["v"]["tokens"])
-    return whole.select(conv_col, framed.alias("formatted"), refs.alias("attachments"), tokens.alias("expanded_tokens"))
+    return whole.select(F.col("_conv").alias(conv_col), framed.alias("formatted"), refs.alias("attachments"), tokens.alias("expanded_tokens"))
 
 
 def read_back(formatted: DataFrame, params: ChatParams = ChatParams()) -> DataFrame:
     """Adds turns: array of (role, text, loss), taken from the formatted string alone. loss marks assistant texts."""
     pieces = F.filter(F.split("formatted", r"<\|im_start\|>"), lambda p, i: i > 0)
-    role = lambda p: unescape(F.replace(F.substring_index(p, "\n", 1), F.lit("\\|n"), F.lit("\n")))
+    role = lambda p: unescape_role(F.substring_index(p, "\n", 1))
     text = lambda p: unescape(F.substr(p, F.length(F.substring_index(p, "\n", 1)) + 2, F.length(p) - F.length(F.substring_index(p, "\n", 1)) - 1 - len(END) - 1))
     turn = lambda p: F.struct(role(p).alias("role"), text(p).alias("text"), (F.substring_index(p, "\n", 1) == params.assistant).alias("loss"))
     return formatted.withColumn("turns", F.transform(pieces, turn))
@@ -101,7 +116,7 @@ WITH turns AS (
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), escaped AS (
-  SELECT *, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\|n') AS erole,
+  SELECT *, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') AS erole,
          replace(replace(text, '\', '\\'), '<|', '<\|') AS etext FROM turns
 )
 SELECT conv_id, count(*) AS n_turns,
