@@ -54,6 +54,20 @@ def prepare(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns as one struct ``_row`` with names of its own, so that no name of theirs meets a name of an operator's."""
+    return F.struct(*[_quoted(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)]).alias("_row")
+
+
+def unpacked(docs: DataFrame, **new: Column) -> list[Column]:
+    """The columns that ``packed`` packed, some of them replaced."""
+    return [new.get(c, F.col("_row")[f"_c{i}"]).alias(c) for i, c in enumerate(docs.columns)]
+
+
 def whole(text: str | Column = "text") -> Column:
     """The text with null read as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

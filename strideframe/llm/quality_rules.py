@@ -8,9 +8,14 @@ of strata and rules (Bonferroni) and the allowed share by the number of rules, s
 ``1 - delta`` no stratum loses more than ``alpha`` of its good documents. Among certified cutoffs the one
 with the best balance of bad and good rejections is taken. A stratum with too few labels gets no cutoff.
 
-Cases: a null text has no words (base_failed). Null strata form a stratum of their own. Repeated ids are
-judged row by row; a label with a null or other value than 0 and 1 is unused; contradicting labels of one
-id count as good (the cautious reading). Empty tables give empty results. Extra columns are ignored.
+With the default risk a rule needs some ``ln(strata * rules / delta) / (alpha / rules)`` good labelled documents in a
+stratum, about 600 for four strata, even if it rejects none of them; below that the base rule alone decides there.
+``calibrate`` returns which strata and rules have a cutoff.
+
+Cases: a null text has no words (base_failed). Very long texts are measured whole. Null strata form a stratum of their
+own, beside the empty string's. Repeated ids are judged row by row; a label with a null or other value than 0 and 1 is
+unused; contradicting labels of one id count as good (the cautious reading). Of equally good cutoffs the mildest is
+taken. Empty tables give empty results. Extra columns are ignored, and filtering keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from strideframe.llm.common import BLANKS, fields, materialize, whole
+from strideframe.llm.common import BLANKS, fields, materialize, packed, unpacked, whole
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_shouts long, n_upper long, n_ascii long"
@@ -91,91 +96,115 @@ def ratio(rule: str, m: str = "m") -> Column:
     return F.col(f"{m}.{above}") / F.greatest(F.col(f"{m}.{below}"), F.lit(1))
 
 
+def tail(bad: int, n: int, p: float) -> float:
+    """Probability of at most ``bad`` of ``n`` at share ``p``: the incomplete beta function by its continued fraction.
+
+    Takes some sqrt(n) steps at most, so that millions of labels cost no time."""
+    if bad >= n or p <= 0:
+        return 1.0
+    if p >= 1:
+        return 0.0
+    a, b, x = n - bad, bad + 1, 1 - p
+    flip = x > (a + 1) / (a + b + 2)  # the fraction converges fast on the other side
+    if flip:
+        a, b, x = b, a, 1 - x
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c, d = 1e-300, 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
+    out, m = d, 0
+    while True:
+        m += 1
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + step * d or tiny)
+            c = 1 + step / c or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-14 or m > 1_000_000:
+            break
+    return min(1.0, max(0.0, 1 - front * out if flip else front * out))
+
+
 def upper_bound(bad: int, n: int, level: float) -> float:
-    """Exact binomial upper bound for a share of which ``bad`` of ``n`` were seen, by bisection of the binomial tail."""
+    """Exact binomial (Clopper-Pearson) upper bound for a share of which ``bad`` of ``n`` were seen."""
     if n == 0 or bad >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for k in range(bad + 1)]
-    low, high = bad / n, 1.0
-    for _ in range(60):
+    low = bad / n
+    high = min(1.0, low + math.sqrt(-math.log(level) / (2 * n)))  # Hoeffding's bound, which is never the lower one
+    for _ in range(50):
         p = (low + high) / 2
-        tail = sum(math.exp(x + k * math.log(p) + (n - k) * math.log1p(-p)) for k, x in enumerate(logs)) if p < 1 else 0.0
-        low, high = (p, high) if tail > level else (low, p)
+        low, high = (p, high) if tail(bad, n, p) > level else (low, p)
     return high
 
 
-def select_cutoffs(counts: list[dict], params: RiskParams) -> dict[tuple, float]:
-    """Cutoff for each (stratum, rule), from rows of stratum, rule, cutoff index, good, bad and the rejected of each."""
-    by: dict[tuple, list[dict]] = {}
-    for r in counts:
-        by.setdefault((r["stratum"], r["rule"]), []).append(r)
-    strata = max(1, len({s for s, _ in by}))
-    level, share = params.delta / (strata * len(RULES)), params.alpha / len(RULES)
-    out = {}
-    for key, rows in by.items():
+CUTOFF = "stratum string, rule string, cutoff double, good long, good_rejected long, bad long, bad_rejected long"
+
+
+def select_cutoffs(rows: pd.DataFrame, strata: int, params: RiskParams) -> pd.DataFrame:
+    """The certified cutoff of each rule of one stratum, from rows of stratum, rule, first (the mildest cutoff that rejects), good and bad."""
+    level, share = params.delta / (max(1, strata) * len(RULES)), params.alpha / len(RULES)
+    out = []
+    for rule, mine in rows.groupby("rule"):
+        n = np.zeros((2, len(params.grid) + 1), np.int64)
+        np.add.at(n[0], mine["first"], mine["good"])
+        np.add.at(n[1], mine["first"], mine["bad"])
+        good, bad = (int(x.sum()) for x in n)
         best = None
-        for r in sorted(rows, key=lambda r: r["cut"]):
-            if upper_bound(r["good_cut"], r["good"], level) > share:
+        for cut, (good_cut, bad_cut) in enumerate(np.cumsum(n, axis=1).T[: len(params.grid)].tolist()):
+            if not good or tail(good_cut, good, share) > level:  # its upper bound is above the allowed share
                 break
-            gain = r["bad_cut"] / max(1, r["bad"]) - params.good_cost * r["good_cut"] / max(1, r["good"])
+            gain = bad_cut / max(1, bad) - params.good_cost * good_cut / good
             if gain > 0 and (best is None or gain > best[0] + 1e-12):
-                best = (gain, params.grid[r["cut"]])
+                best = (gain, (rows["stratum"].iloc[0], rule, params.grid[cut], good, good_cut, bad, bad_cut))
         if best:
-            out[key] = best[1]
-    return out
+            out.append(best[1])
+    return pd.DataFrame(out, columns=[x.split()[0] for x in CUTOFF.split(", ")])
+
+
+def stratum_of(column: Column) -> Column:
+    """A null stratum is one of its own, beside the empty one."""
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("null"))
+
 
+def calibrate(measured: DataFrame, labels: DataFrame, id_col: str, params: RiskParams) -> DataFrame:
+    """stratum, rule and certified cutoff, with what it rejects of the labelled documents. ``measured``: _id, _stratum, m.
 
-def calibrate(measured: DataFrame, labels: DataFrame, id_col: str, stratum_col: str, params: RiskParams) -> dict[tuple, float]:
-    """Counts over all labelled documents, one row per stratum, rule and cutoff; only those rows reach the driver."""
+    Counts cover all labelled documents; a stratum's rows (rules x (grid + 1) at most) are one group, and no stratum reaches the driver."""
     truth = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").alias("_good"))
     grid = F.array(*[F.lit(x) for x in params.grid])
     rules = F.array(*[F.struct(F.lit(r).alias("rule"), ratio(r).alias("value")) for r in RULES])
     rows = (
-        measured.where(~base_failed()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), "m")
+        measured.where(~base_failed()).select("_id", F.col("_stratum").alias("stratum"), "m")
         .join(truth.hint("merge"), "_id").select("stratum", "_good", F.explode(rules).alias("r"))
-        # The number of grid cutoffs that the value exceeds from the mildest on: it is rejected by cut >= first.
+        # The number of grid cutoffs that the value does not exceed: it is rejected by every cut from there on.
         .select("stratum", "_good", "r.rule", F.size(F.filter(grid, lambda c: c >= F.col("r.value"))).alias("first"))
-        .groupBy("stratum", "rule", "first").agg(F.sum("_good").alias("good"), F.sum(1 - F.col("_good")).alias("bad"))
+        .groupBy("stratum", "rule", "first").agg(F.sum("_good").cast("long").alias("good"), F.sum(1 - F.col("_good")).cast("long").alias("bad"))
     )
-    tally: dict[tuple, np.ndarray] = {}
-    for r in rows.collect():  # strata x rules x (grid + 1) rows at most
-        t = tally.setdefault((r["stratum"], r["rule"]), np.zeros((2, len(params.grid) + 1), np.int64))
-        t[:, r["first"]] += r["good"], r["bad"]
-    counts = []
-    for (stratum, rule), t in tally.items():
-        for cut in range(len(params.grid)):
-            good_cut, bad_cut = (int(t[k, : cut + 1].sum()) for k in (0, 1))
-            counts.append({"stratum": stratum, "rule": rule, "cut": cut, "good": int(t[0].sum()), "bad": int(t[1].sum()), "good_cut": good_cut, "bad_cut": bad_cut})
-    return select_cutoffs(counts, params)
+    rows = materialize(rows, "rejections")
+    strata = rows.select("stratum").distinct().count()
+    chosen = rows.groupBy("stratum").applyInPandas(lambda mine: select_cutoffs(mine, strata, params), CUTOFF)
+    return materialize(chosen, "cutoffs")
 
 
-def rejected_by(cutoffs: dict[tuple, float], stratum_col: str) -> Column:
-    """Names of the rules that reject the row."""
-    stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit(""))
-    parts = [F.when((stratum == s) & (ratio(rule) > cut), F.lit(rule)) for (s, rule), cut in sorted(cutoffs.items())]
-    return F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
+def with_rejections(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """Adds rejected_by, the names of the rules that reject the row."""
+    by = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cuts"))  # as many entries as rules
+    by = materialize(by.withColumnRenamed("stratum", "_stratum"), "strata")
+    small = by.count() <= 1000
+    joined = measured.join(by.hint("broadcast" if small else "merge"), "_stratum", "left")
+    rejects = F.array(*[F.when(ratio(r) > F.col("_cuts")[r], F.lit(r)) for r in sorted(RULES)])
+    return joined.withColumn("rejected_by", F.array_compact(rejects)).drop("_cuts")
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", params: RiskParams = RiskParams()) -> DataFrame:
     """id, measures, base_failed, kept and the rejecting rules of every document."""
-    measured = materialize(docs.select(F.col(id_col), F.col(stratum_col), measure(whole(text_col)).alias("m")), "quality")
-    cutoffs = calibrate(measured, labels, id_col, stratum_col, params)
-    return measured.select(
-        id_col, "m.*", base_failed().alias("base_failed"), rejected_by(cutoffs, stratum_col).alias("rejected_by"),
-    ).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+    measured = materialize(docs.select(F.col(id_col).alias("_id"), stratum_of(F.col(stratum_col)).alias("_stratum"), measure(whole(text_col)).alias("m")), "quality")
+    judged = with_rejections(measured, calibrate(measured, labels, id_col, params)).withColumn("base_failed", base_failed())
+    return judged.select(F.col("_id").alias(id_col), "m.*", "base_failed", "rejected_by", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", params: RiskParams = RiskParams()) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns. Texts are measured again rather than shuffled."""
-    cutoffs = calibrate(docs.select(id_col, stratum_col, measure(whole(text_col)).alias("m")), labels, id_col, stratum_col, params)
-    mark = "_quality_measures"
-    judged = docs.withColumn(mark, measure(whole(text_col)))
-    rejected = rejected_by(cutoffs, stratum_col)
-    verdict = judged.withColumnRenamed(mark, "m") if "m" not in docs.columns else None
-    if verdict is None:  # a column of that name is there: judge beside it
-        packed = docs.select(F.struct("*").alias("_row"), F.col(stratum_col).alias(stratum_col), measure(whole(text_col)).alias("m"))
-        return packed.where(~base_failed() & (F.size(rejected) == 0)).select("_row.*")
-    return verdict.where(~base_failed() & (F.size(rejected) == 0)).select(*docs.columns)
+    """The rows of ``docs`` that are kept, with their columns. Texts are measured once, beside their rows in a scratch table, and never shuffled."""
+    measured = materialize(docs.select(packed(docs), F.col(id_col).alias("_id"), stratum_of(F.col(stratum_col)).alias("_stratum"), measure(whole(text_col)).alias("m")), "quality")
+    judged = with_rejections(measured, calibrate(measured, labels, id_col, params))
+    return judged.where(~base_failed() & (F.size("rejected_by") == 0)).select(*unpacked(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

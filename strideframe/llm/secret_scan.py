@@ -7,9 +7,14 @@ number is reported, and decides nothing). High-entropy tokens that only look liv
 of kind ``owned``; base spans always stay, with a verdict beside them. The documents table has neither
 repositories nor owners, so the query reads the source as the owner and the document as its repository.
 
-Cases: a null text is empty and gives no spans and the digest of the empty string. Equal texts share one
-decision, so groups of copies cost one row; repeated ids are judged row by row. Null owners count as one.
-Empty tables give empty results; extra columns are ignored.
+How many owners make an example (``example_owners``) is a number and not a share: three people who hold one value are
+evidence that it was copied in a corpus of any size, but a live value that more owners come to hold as the corpus
+grows is then taken for an example.
+
+Cases: a null text is empty and gives no spans and the digest of the empty string. Very long texts are scanned whole,
+in time in proportion. Equal texts share one decision, so groups of copies cost one row; repeated ids are judged row
+by row. Spans that begin together come in the order of their kinds. Null owners count as one owner. Empty tables give
+empty results; extra columns are ignored, and redaction keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,9 +22,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
-from strideframe.llm.common import fields, materialize, table, whole
+from strideframe.llm.common import fields, materialize, packed, table, unpacked, whole
 
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -58,9 +65,10 @@ def find_spans(text: str, entropy_bits: float = 3.0) -> list[tuple[int, int, int
     out += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
     taken = sorted((s, e) for s, _, e, _ in out)
+    begins, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))  # how far spans up to each one reach
     for m in LOOSE.finditer(text):
         v = m[0]
-        if re.search(r"[0-9]", v) and re.search(r"[A-Za-z]", v) and entropy(v) >= entropy_bits and not any(s < m.end() and m.start() < e for s, e in taken):
+        if re.search(r"[0-9]", v) and re.search(r"[A-Za-z]", v) and entropy(v) >= entropy_bits and not ((k := bisect_left(begins, m.end())) and reach[k - 1] > m.start()):
             out.append((m.start(), 3, m.end(), v))
     return sorted(out)
 
@@ -139,18 +147,20 @@ def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", r
 
     One scan, kept in a scratch table; only documents with candidates are shuffled, the others pass straight through.
     ``n_chars`` follows the text."""
-    packed = materialize(docs.select(F.struct("*").alias("_row"), F.md5(whole(text_col).cast("binary")).alias("_text_key"), scan(whole(text_col)).alias("s")), "scanned")
+    scanned = materialize(docs.select(packed(docs), F.col(owner_col).alias("_owner"), F.col(repo_col).alias("_repo"), F.md5(whole(text_col).cast("binary")).alias("_text_key"), scan(whole(text_col)).alias("s")), "scanned")
     some = F.size("s.spans") > 0
-    found = packed.where(some).select("_text_key", F.col(f"_row.{owner_col}").alias("_owner"), F.col(f"_row.{repo_col}").alias("_repo"), "s.spans")
+    found = scanned.where(some).select("_text_key", "_owner", "_repo", "s.spans")
     judged = decide(found, params).select("_text_key", F.filter("judged", lambda s: s["live"]).alias("live")).where(F.size("live") > 0)
     judged = materialize(judged, "live")
-    clean = packed.where(~some).select("_row.*")
-    hit = packed.where(some).join(judged.hint("merge"), "_text_key", "left").select("_row.*", F.col("live").alias("_live_spans"))
-    masked = F.when(F.col("_live_spans").isNull(), F.col(text_col)).otherwise(_mask(whole(text_col), F.coalesce(F.col("_live_spans.start"), F.array().cast("array<int>")), F.coalesce(F.col("_live_spans.end"), F.array().cast("array<int>"))))
-    hit = hit.withColumn(text_col, masked)
+    text = F.col("_row")[f"_c{docs.columns.index(text_col)}"]
+    spans = lambda c: F.col(f"live.{c}")
+    met = scanned.where(some).join(judged.hint("merge"), "_text_key", "left")
+    hit = met.where(F.col("live").isNotNull()).select("_row", _mask(whole(text), spans("start"), spans("end")).alias("masked"))
+    new = {text_col: F.col("masked")}
     if "n_chars" in docs.columns:
-        hit = hit.withColumn("n_chars", F.when(F.col("_live_spans").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(dict(docs.dtypes)["n_chars"])))
-    return clean.unionByName(hit.select(*docs.columns))
+        new["n_chars"] = F.length("masked").cast(dict(docs.dtypes)["n_chars"])
+    same = scanned.where(~some).union(met.where(F.col("live").isNull()).select(*scanned.columns))
+    return same.select(*unpacked(docs)).union(hit.select(*unpacked(docs, **new)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType
 
-from strideframe.llm.common import fields, materialize, table, whole
+from strideframe.llm.common import fields, materialize, packed, table, unpacked, whole
 from strideframe.llm.graph import components
 
 
@@ -164,15 +164,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     rows = materialize(group_near_duplicates(docs, id_col, text_col, params), "near-duplicates")
     stays = rows.where(F.col("_id").eqNullSafe(F.col("component_id")) & (F.col("_text_key") == F.col("_keep_key")))
     keys = materialize(stays.groupBy("_id", "_text_key").agg(F.count(F.lit(1)).alias("_n")), "kept")
-    packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_row_id"), F.md5(whole(text_col).cast("binary")).alias("_row_key"))
-    kept = packed.join(keys.hint("merge"), packed["_row_id"].eqNullSafe(keys["_id"]) & (packed["_row_key"] == keys["_text_key"]), "inner")
+    mine = docs.select(packed(docs), F.col(id_col).alias("_row_id"), F.md5(whole(text_col).cast("binary")).alias("_row_key"))
+    kept = mine.join(keys.hint("merge"), mine["_row_id"].eqNullSafe(keys["_id"]) & (mine["_row_key"] == keys["_text_key"]), "inner")
     if not keys.where("_n > 1").limit(1).count():
-        return kept.select("_row.*")
-    from pyspark.sql import Window
-
-    once = Window.partitionBy("_row_id", "_row_key").orderBy(F.lit(1))
-    repeated = kept.where("_n > 1").withColumn("_k", F.row_number().over(once)).where("_k = 1")
-    return kept.where("_n = 1").select("_row.*").unionByName(repeated.select("_row.*"))
+        return kept.select(*unpacked(docs))
+    # Rows that agree in id and text: one of them stays, the least as it is written in full.
+    several = kept.where("_n > 1").withColumn("_order", F.xxhash64(F.to_json("_row")))
+    least = materialize(several.groupBy("_row_id", "_row_key").agg(F.min_by("_row", F.struct("_order", F.to_json("_row"))).alias("_row")), "once")
+    return kept.where("_n = 1").select(*unpacked(docs)).union(least.select(*unpacked(docs)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
