@@ -2,56 +2,41 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DataType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
+from strideframe.functions.tables import share_package, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words in every contract here: space and the ASCII controls 9 to 13.
 BLANKS = b" \t\n\x0b\x0c\r"
 
-_own_scratch: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_scratch:
-        if spark.sparkContext.master.startswith("local"):
-            _own_scratch[app] = "file://" + tempfile.mkdtemp(prefix="strideframe-")
-        else:  # the warehouse is shared on a cluster
-            _own_scratch[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return _own_scratch[app]
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives lost executors, fixes sizes for the planner."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df, name)
 
 
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches by rows and bytes, and let the Python workers import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    share_package(spark)
+
+
+def first_by_hash(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """The ``n`` rows with the least hashes of ``key``, of ``total`` rows. Only some twice as many reach the task that sorts them."""
+    h = F.xxhash64(key)
+    if total > 4 * n:
+        few = df.where(h < F.lit(int(-(1 << 63) + (1 << 64) * (2 * n / total))))
+        df = few if few.count() >= n else df
+    return df.orderBy(h, key).limit(n)
 
 
 def _quoted(name: str) -> Column:

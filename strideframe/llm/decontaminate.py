@@ -7,28 +7,33 @@ checked by the longest common subsequence of words between the item and the word
 the answer (the item's answer column, else its last third): an item leaks if most of it is there in order, or
 a good part of it together with the answer. So copies and paraphrases that change or drop words are caught.
 
-Words are lower-cased runs of letters, digits and non-ASCII characters. A word that the benchmark lacks lies
-outside the latent space and weighs nothing: it neither adds to a window's cosine nor lowers it, so the search
-finds the same leaks in a large corpus as in a small one. The benchmark is taken in blocks of ``block`` items
-and at most ``rank`` passages (or one longer item), so what is broadcast is bounded however large it is, and the
-latent space spans all passages of a block.
-
-Cases: null and empty texts and items leak nothing; items of fewer than ``least_words`` words are unused, as
-they say too little. Repeated rows are judged row by row; repeated items each report. A null doc_id stays
-null. Empty tables give empty results; extra columns are ignored.
+Words are lower-cased runs of letters, digits and non-ASCII characters; in scripts without spaces each character is a
+word. A word that the benchmark lacks lies outside the latent space and weighs nothing: it neither adds to a window's
+cosine nor lowers it, so the search finds the same leaks in a large corpus as in a small one. A latent space spans a
+block of ``block`` items and at most ``rank`` passages (or one longer item), which its rank covers. The documents are
+read twice for every ``blocks`` blocks, which is what bounds the broadcast and the driver's memory however large the
+benchmark is. Items of fewer than ``least_words`` words say too little for a latent search and are found as exact
+runs of words in the same pass.
+
+Cases: null and empty texts and items, and items without words, leak nothing. Very long texts are read whole. Repeated
+rows are judged row by row; repeated items each report. Of several places of one item in a text the first is
+reported, and of passages that lead to it the first. A null doc_id stays null. Empty tables give empty results; extra
+columns are ignored, and filtering keeps them, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType
@@ -46,13 +51,27 @@ class LatentParams:
     leak: float = 0.8  # share of the item's words in order that is a leak
     paraphrase: float = 0.6  # share that is one together with the answer
     answer: float = 0.8  # share of the answer's words in order
-    least_words: int = 8
-    block: int = 250  # items in one pass
+    least_words: int = 8  # of items that are searched in the latent space; shorter ones as exact runs
+    block: int = 250  # items of one latent space
+    blocks: int = 8  # latent spaces in one pass over the documents: some 8 MB of broadcast each
     seed: int = 11
 
 
+#: Scripts that put no spaces between words: Thai to Myanmar, Khmer, kana, Han and their extensions.
+UNSPACED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def _bytes(text: str) -> bytes:
+    text = text.lower()
+    try:
+        text.encode("latin-1")  # quick, and true of most texts: none of those scripts
+    except UnicodeEncodeError:
+        text = UNSPACED.sub(r" \g<0> ", text)
+    return text.encode("utf-8", "surrogatepass")
+
+
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return hash_words([t.lower().encode("utf-8", "surrogatepass") for t in texts], PUNCTUATION)
+    return hash_words([_bytes(t) for t in texts], PUNCTUATION)
 
 
 def common_subsequence(masks: dict[int, int], n: int, words: list[int]) -> int:
@@ -80,6 +99,7 @@ class Index:
     weight: np.ndarray  # by word; last, for words outside, zero
     scores: np.ndarray  # word x passages: the word's weighted latent vector times the passage's unit one; last row zero
     item: np.ndarray  # of each passage
+    names: list  # of the items
     words: list[list[int]]
     answers: list[list[int]]
 
@@ -155,36 +175,45 @@ def randomised_svd(rows: DataFrame, n_columns: int, rank: int, params: LatentPar
     return q @ turn[:, keep]
 
 
-def build_index(docs: DataFrame, text_col: str, items: list[tuple[str, str]], params: LatentParams) -> Index | None:
-    hashes, offsets = words_of([t for t, _ in items])
-    if not len(hashes):
-        return None
-    vocabulary = np.unique(hashes)
-    df, n = document_frequency(docs, text_col, vocabulary)
-    idf = np.append(np.log((1 + n) / (1 + df)) + 1e-3, 0)  # a word of every document says next to nothing
-    codes = np.searchsorted(vocabulary, hashes)
-    by_item = [codes[a:b] for a, b in zip(offsets, offsets[1:])]
+def build_indexes(docs: DataFrame, text_col: str, blocks: list[list[tuple]], params: LatentParams) -> list[Index]:
+    """The indexes of several blocks of items (name, text, answer), their words' document frequencies counted in one scan."""
+    split = []
+    for block in blocks:
+        hashes, offsets = words_of([t for _, t, _ in block])
+        split.append([hashes[a:b] for a, b in zip(offsets, offsets[1:])])
+    every = np.unique(np.concatenate([w for words in split for w in words] or [np.zeros(0, np.uint64)]))
+    if not len(every):
+        return []
+    df, n = document_frequency(docs, text_col, every)
+    return [build_index(docs.sparkSession, block, words, (every, df, n), params) for block, words in zip(blocks, split, strict=True) if any(map(len, words))]
+
+
+def build_index(spark: SparkSession, block: list[tuple], words: list[np.ndarray], counted: tuple, params: LatentParams) -> Index:
+    every, df, n = counted
+    vocabulary = np.unique(np.concatenate(words))
+    idf = np.append(np.log((1 + n) / (1 + df[np.searchsorted(every, vocabulary)])) + 1e-3, 0)  # a word of every document says next to nothing
     rows, item = [], []
-    for i, c in enumerate(by_item):
-        if len(c) < params.least_words:
+    for i, w in enumerate(words):
+        if len(w) < params.least_words:
             continue
+        c = np.searchsorted(vocabulary, w)
         for a, b in windows_of(c, params.window):
             index, tf = np.unique(c[a:b], return_counts=True)
             value = tf * idf[index]
             rows.append((index.tolist(), (value / np.linalg.norm(value)).tolist()))
             item.append(i)
-    if not rows:
-        return None
-    matrix = docs.sparkSession.createDataFrame(rows, "index array<long>, value array<double>")
-    v = randomised_svd(matrix, len(vocabulary), min(params.rank, len(rows)), params)
-    projected = np.stack([np.asarray(value) @ v[index] for index, value in rows], axis=1)
-    projected /= np.maximum(np.linalg.norm(projected, axis=0), 1e-9)
-    scores = np.vstack([v * idf[:-1, None] @ projected, np.zeros((1, len(rows)))]).astype(np.float32)
+    scores = np.zeros((len(vocabulary) + 1, len(rows)), np.float32)
+    if rows:
+        matrix = spark.createDataFrame(rows, "index array<long>, value array<double>")
+        v = randomised_svd(matrix, len(vocabulary), min(params.rank, len(rows)), params)
+        projected = np.stack([np.asarray(value) @ v[index] for index, value in rows], axis=1)
+        projected /= np.maximum(np.linalg.norm(projected, axis=0), 1e-9)
+        scores[:-1] = v * idf[:-1, None] @ projected
     answers = []
-    for c, (_, answer) in zip(by_item, items, strict=True):
+    for w, (_, _, answer) in zip(words, block, strict=True):
         own = words_of([answer])[0].tolist() if answer else []
-        answers.append(own or vocabulary[c[len(c) - (len(c) + 2) // 3 :]].tolist())
-    return Index(vocabulary, idf.astype(np.float32), scores, np.array(item), [vocabulary[c].tolist() for c in by_item], answers)
+        answers.append(own or w[len(w) - (len(w) + 2) // 3 :].tolist())
+    return Index(vocabulary, idf.astype(np.float32), scores, np.array(item, np.int64), [name for name, _, _ in block], [w.tolist() for w in words], answers)
 
 
 class Screen:
@@ -194,6 +223,11 @@ class Screen:
         self.index, self.params = index, params
         self.masks = [position_masks(w) for w in index.words]
         self.answer_masks = [position_masks(w) for w in index.answers]
+        self.short: dict[int, list[int]] = {}  # items too short for the latent space, by their first word
+        for i, w in enumerate(index.words):
+            if 0 < len(w) < params.least_words:
+                self.short.setdefault(w[0], []).append(i)
+        self.short_first = np.array(sorted(self.short), np.uint64)
 
     def candidates(self, hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(text, first word of the window in the text, passage, cosine).
@@ -224,21 +258,33 @@ class Screen:
             for i, q in zip(*np.nonzero(cosine >= self.params.cosine), strict=True):
                 yield int(text[part[i]]), int(within[part[i]]), int(q), float(cosine[i, q])
 
-    def leaks(self, texts: list[str]) -> list[list[dict]]:
+    def runs(self, hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, word, item) wherever all words of a short item stand one after another."""
+        if not len(self.short_first):
+            return
+        at = np.flatnonzero(np.isin(hashes, self.short_first))
+        for p, text in zip(at.tolist(), (np.searchsorted(offsets, at, side="right") - 1).tolist(), strict=True):
+            for i in self.short[int(hashes[p])]:
+                w = self.index.words[i]
+                if p + len(w) <= offsets[text + 1] and hashes[p : p + len(w)].tolist() == w:
+                    yield text, p - int(offsets[text]), i
+
+    def leaks(self, hashes: np.ndarray, offsets: np.ndarray) -> list[list[dict]]:
         x, p = self.index, self.params
-        hashes, offsets = words_of(texts)
-        out: list[list[dict]] = [[] for _ in texts]
+        out: list[list[dict]] = [[] for _ in offsets[1:]]
         if not len(hashes):
             return out
         done: set[tuple[int, int]] = set()
+        for text, start, i in self.runs(hashes, offsets):
+            if (text, i) not in done:
+                done.add((text, i))
+                out[text].append({"item": x.names[i], "cosine": 1.0, "share": 1.0, "answer": 1.0, "word": start})
         tried: dict[tuple[int, int], int] = {}
-        for text, start, passage, cosine in self.candidates(hashes, offsets):
+        for text, start, passage, cosine in self.candidates(hashes, offsets) if len(x.item) else ():
             i = int(x.item[passage])
-            if (text, i) in done:
+            if (text, i) in done or tried.get((text, i)) == start:  # found, or led to by another passage of the item
                 continue
             n = len(x.words[i])
-            if tried.get((text, i)) == start:  # another passage of the item led here
-                continue
             tried[text, i] = start
             begin = max(0, start - n)
             here = hashes[offsets[text] + begin : min(offsets[text] + start + p.window + n, offsets[text + 1])].tolist()
@@ -249,62 +295,66 @@ class Screen:
             said = common_subsequence(self.answer_masks[i], len(answer), here) / max(1, len(answer))
             if share >= p.leak or (share >= p.paraphrase and said >= p.answer):
                 done.add((text, i))
-                out[text].append({"item": i, "cosine": cosine, "share": share, "answer": said, "word": start})
+                out[text].append({"item": x.names[i], "cosine": cosine, "share": share, "answer": said, "word": start})
         return out
 
 
-FOUND = ArrayType(fields("item int, cosine double, share double, answer double, word int"))
+FOUND = ArrayType(fields("item string, cosine double, share double, answer double, word int"))
 
 
-def leaks_in(text: Column, screen_of, params: LatentParams) -> Column:
+def leaks_in(text: Column, indexes_of, params: LatentParams) -> Column:
     @pandas_udf(FOUND)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        screen = Screen(screen_of.value, params)
+        screens = [Screen(x, params) for x in indexes_of.value]
         for batch in texts:
-            yield pd.Series(screen.leaks(batch.tolist()), index=batch.index, dtype=object)
+            hashes, offsets = words_of(batch.tolist())
+            found = [s.leaks(hashes, offsets) for s in screens]
+            yield pd.Series([[x for each in parts for x in each] for parts in zip(*found, strict=True)], index=batch.index, dtype=object)
 
     return run.asNondeterministic()(text)
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | None, params: LatentParams) -> Iterator[list[tuple]]:
-    """The items, at most ``block`` and, unless one alone has more, ``rank`` passages at a time on the driver."""
+    """The items (name, text, answer), at most ``block`` and, unless one alone has more, ``rank`` passages at a time on the driver."""
     answer = F.col(answer_col) if answer_col else F.lit("")
     block: list[tuple] = []
     passages = 0
-    for r in benchmark.select(F.col(id_col).alias("id"), whole(text_col).alias("text"), F.coalesce(answer, F.lit("")).alias("answer")).orderBy("id", "text").toLocalIterator():
-        n = len(windows_of(words_of([r["text"]])[0], params.window))
+    items = benchmark.select(F.col(id_col).alias("id"), F.col(id_col).cast("string").alias("name"), whole(text_col).alias("text"), F.coalesce(answer, F.lit("")).alias("answer"))
+    for r in items.orderBy("id", "text").toLocalIterator():
+        words = words_of([r["text"]])[0]
+        n = len(windows_of(words, params.window)) if len(words) >= params.least_words else 0
         if block and (len(block) == params.block or passages + n > params.rank):
             yield block
             block, passages = [], 0
-        block.append((r["id"], r["text"], r["answer"]))
+        block.append((r["name"], r["text"], r["answer"]))
         passages += n
     if block:
         yield block
 
 
+def passes(docs: DataFrame, text_col: str, blocks: Iterator[list[tuple]], params: LatentParams) -> Iterator:
+    """Broadcast indexes, of ``params.blocks`` blocks at a time."""
+    while some := list(islice(blocks, params.blocks)):
+        indexes = build_indexes(docs, text_col, some, params)
+        if indexes:
+            yield docs.sparkSession.sparkContext.broadcast(indexes)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, params: LatentParams = LatentParams()) -> DataFrame:
     """id, item id, cosine, share (of the item's words in order), answer and word: one row for each leak."""
     kind = dict(benchmark.dtypes)[item_col]
     out = docs.select(F.col(id_col), F.lit(None).cast(kind).alias(item_col), *[F.lit(None).cast(t).alias(c) for c, t in (("cosine", "double"), ("share", "double"), ("answer", "double"), ("word", "int"))]).limit(0)
-    spark = docs.sparkSession
-    for block in item_blocks(benchmark, item_col, item_text_col, answer_col, params):
-        index = build_index(docs, text_col, [(t, a) for _, t, a in block], params)
-        if index is None:
-            continue
-        screen = spark.sparkContext.broadcast(index)
-        ids = F.array(*[F.lit(i).cast(kind) for i, _, _ in block])  # params.block literals at most
-        found = docs.select(F.col(id_col), F.explode(leaks_in(whole(text_col), screen, params)).alias("f"))
-        out = out.union(found.select(id_col, F.element_at(ids, F.col("f.item") + 1).alias(item_col), "f.cosine", "f.share", "f.answer", "f.word"))
+    for indexes in passes(docs, text_col, item_blocks(benchmark, item_col, item_text_col, answer_col, params), params):
+        found = docs.select(F.col(id_col).alias("_id"), F.explode(leaks_in(whole(text_col), indexes, params)).alias("f"))
+        out = out.union(found.select("_id", F.col("f.item").cast(kind), "f.cosine", "f.share", "f.answer", "f.word"))
     return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, params: LatentParams = LatentParams()) -> DataFrame:
     """The rows of ``docs`` that hold no item, with their columns; nothing is shuffled."""
     out = docs
-    for block in item_blocks(benchmark, item_col, item_text_col, answer_col, params):
-        index = build_index(docs, text_col, [(t, a) for _, t, a in block], params)
-        if index is not None:
-            out = out.where(F.size(leaks_in(whole(text_col), docs.sparkSession.sparkContext.broadcast(index), params)) == 0)
+    for indexes in passes(docs, text_col, item_blocks(benchmark, item_col, item_text_col, answer_col, params), params):
+        out = out.where(F.size(leaks_in(whole(text_col), indexes, params)) == 0)
     return out
 
 

@@ -6,10 +6,11 @@ sample of labelled documents (``sample``, the fold of the contract, in the order
 bucket counts, the driver trains vectors and layer by stochastic gradient descent in numpy. As the mean is
 linear, a trained bucket enters the softmax by one number, which the executors average over whole texts.
 
-Cases: null and empty texts have no n-grams and get the score of the bias. Labels other than 0 and 1 are
-unused; contradicting labels of one id count as 1. Null ids are not held out and have no label. Without
-labels, or with one class alone, the score is the (smoothed) share of label 1. Repeated ids are scored row by
-row. Labels, language, source and id are never inputs. Extra columns are ignored.
+Cases: null and empty texts have no n-grams and get the score of the bias. Very long texts are scored whole; of one that
+is trained on, the ``bag`` fullest buckets count. Labels other than 0 and 1 are unused; contradicting labels of one id
+count as 1. Null ids are not held out and have no label. Without labels, or with one class alone, the score is the
+(smoothed) share of label 1. Repeated ids are scored row by row, and trained on by the text with the least hash.
+Labels, language, source and id are never inputs. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType, DoubleType
 
-from strideframe.llm.common import crc_of_id, groups, hash_words, materialize, table, whole
+from strideframe.llm.common import crc_of_id, first_by_hash, groups, hash_words, materialize, table, whole
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,8 @@ class SubwordParams:
     bits: int = 16  # 2**bits buckets, 16 at most
     grams: tuple[int, ...] = (3, 4)  # bytes in a character n-gram
     dim: int = 8
-    sample: int = 3000  # labelled documents that are trained on: the bound of what the driver receives
+    sample: int = 3000  # labelled documents that are trained on
+    bag: int = 12_288  # buckets, the fullest ones, of a training document: with ``sample`` the bound of what the driver receives
     epochs: int = 12
     rate: float = 0.5
     seed: int = 7
@@ -79,10 +81,13 @@ def margins(blobs: list[bytes], weights: np.ndarray, params: SubwordParams) -> n
     return total / np.maximum(count, 1)
 
 
-def pack_counts(buckets: list[np.ndarray]) -> bytes:
+def pack_counts(buckets: list[np.ndarray], most: int) -> bytes:
     """Sparse bucket shares: the buckets as 2-byte numbers, then their shares as 4-byte floats."""
     every = np.concatenate(buckets)
     index, n = np.unique(every, return_counts=True)
+    if len(index) > most:
+        keep = np.sort(np.argsort(-n, kind="stable")[:most])
+        index, n = index[keep], n[keep]
     return index.astype("<u2").tobytes() + (n / max(1, len(every))).astype("<f4").tobytes()
 
 
@@ -119,16 +124,19 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, params:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, params: SubwordParams) -> tuple[np.ndarray, float]:
     """``labels``: rows (_id, _label) to learn from. Only a bounded sample's bucket counts reach the driver."""
-    some = materialize(labels.orderBy(F.xxhash64("_id"), "_id").limit(params.sample), "labelled")  # params.sample rows at most: safe to broadcast
+    labels = materialize(labels, "labels")
+    some = materialize(first_by_hash(labels, "_id", params.sample, labels.count()), "labelled")  # params.sample rows at most: safe to broadcast
 
     @pandas_udf(BinaryType())
     def bag(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            rows = [pack_counts([b for b, _ in buckets_of([t.encode("utf-8", "surrogatepass")], params)]) for t in batch]
+            rows = [pack_counts([b for b, _ in buckets_of([t.encode("utf-8", "surrogatepass")], params)], params.bag) for t in batch]
             yield pd.Series(rows, index=batch.index, dtype=object)
 
     rows = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).join(F.broadcast(some), "_id")
-    picked = rows.select("_label", bag("_text").alias("bag")).limit(2 * params.sample).collect()  # repeated ids do not exceed the bound
+    bags = rows.select("_id", "_label", F.xxhash64("_text").alias("_order"), bag("_text").alias("bag"))
+    once = bags.groupBy("_id").agg(F.first("_label").alias("_label"), F.min_by("bag", "_order").alias("bag"))  # of a repeated id one text
+    picked = once.collect()  # params.sample rows of params.bag entries at most
     picked.sort(key=lambda r: (r["_label"], bytes(r["bag"])))  # the order of partitions must not matter
     bags = []
     for r in picked:

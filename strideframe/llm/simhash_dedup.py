@@ -6,14 +6,17 @@ pair is ever compared that did not collide. With ``blocks=1`` the ball is drawn
 variants at radius 4; every two members of a bucket are links). With ``blocks=2`` (the default) it is drawn
 around each 32-bit half: of two linked fingerprints at least one half differs in at most 2 bits, so 33
 variants a half suffice, and colliding pairs are verified on all 64 bits. Both give the same links. Buckets
-of more than ``bucket`` members are not paired: inside them the 64-bit ball is drawn after all.
+of more than ``bucket`` members are not paired: inside them the 64-bit ball is drawn after all, with the same links.
+Chance puts n * 33 / 2**32 of n fingerprints in a half's bucket (384 of 5 * 10**10), so a bucket may grow with n.
 
 Equal fingerprints are merged before anything else, so groups of copies cost one row. Links become a spanning
 forest per bucket and then components by minimum labels; nothing is gathered on the driver.
 
 Cases: null and empty texts, and texts of blanks, have fingerprint zero and link like any other. Texts of
 fewer words than a shingle hash the whole sequence. Repeated ids are fingerprinted row by row; a null id is
-never a component's id unless all its ids are null. Empty tables give empty results.
+never a component's id unless all its ids are null. Very long texts are read whole. Of documents with equal ids the one
+with the least text hash stands for a component, and of rows that agree in both the first as it is written in full.
+Empty tables give empty results; extra columns are ignored, and filtering keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType
 
+from strideframe.functions.tables import components
 from strideframe.llm.common import fields, materialize, packed, table, unpacked, whole
-from strideframe.llm.graph import components
 
 
 @dataclass(frozen=True)
@@ -39,7 +42,8 @@ class SimHashParams:
     words: int = 4
     radius: int = 4
     blocks: int = 2
-    bucket: int = 1000  # largest bucket whose members are compared with each other
+    bucket: int = 1000  # largest bucket whose members are compared with each other, or eight times what chance puts in one
+    slices: int = 1  # of the variants of ``blocks=1``, shuffled one after another: the disk holds one slice at a time
 
 
 def fingerprint_batch(texts: list[str], words: int) -> np.ndarray:
@@ -92,12 +96,18 @@ def _masks(values: list[int]) -> Column:
     return F.expr("array(" + ",".join(f"{v}L" if v != -(1 << 63) else "(-9223372036854775807L - 1L)" for v in values) + ")")
 
 
-def ball_links(fps: DataFrame, radius: int) -> DataFrame:
+def ball_links(fps: DataFrame, radius: int, slices: int = 1) -> DataFrame:
     """Links (a, b) of fp by the ball around all 64 bits: each bucket's members to its least, which is a link as both are within half the radius of the variant."""
-    out = fps.select("fp", F.explode(_masks(ball(64, (radius + 1) // 2))).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v"))
-    first = materialize(out.groupBy("v").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "ball")
-    met = out.join(first.hint("merge"), "v").where((F.col("a") != F.col("fp")) & (_distance(F.col("a"), F.col("fp")) <= radius))
-    return met.select("a", F.col("fp").alias("b")).distinct()
+    every = fps.select("fp", F.explode(_masks(ball(64, (radius + 1) // 2))).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v"))
+    links = None
+    for k in range(slices):
+        out = every.where(F.pmod(F.xxhash64("v"), F.lit(slices)) == k) if slices > 1 else every
+        first = materialize(out.groupBy("v").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "ball")
+        met = out.join(first.hint("merge"), "v").where((F.col("a") != F.col("fp")) & (_distance(F.col("a"), F.col("fp")) <= radius))
+        mine = met.select("a", F.col("fp").alias("b")).distinct()
+        mine = materialize(mine, "ball_links") if slices > 1 else mine
+        links = mine if links is None else links.union(mine)
+    return links
 
 
 @pandas_udf(ArrayType(fields("a long, b long")))
@@ -131,16 +141,18 @@ def block_links(fps: DataFrame, params: SimHashParams) -> DataFrame:
     high = F.shiftrightunsigned("fp", 32)
     sides = F.array(F.struct(F.lit(0).alias("side"), low.alias("half")), F.struct(F.lit(1).alias("side"), high.alias("half")))
     split = fps.select("fp", F.explode(sides).alias("s")).select("fp", "s.side", "s.half")
-    keyed = split.select("fp", "side", "half", F.explode(_masks(ball(32, step))).alias("m")).select("fp", "side", F.col("half").bitwiseXOR(F.col("m")).alias("v"))
+    masks = ball(32, step)
+    bucket = max(params.bucket, 8 * fps.count() * len(masks) >> 32)
+    keyed = split.select("fp", "side", "half", F.explode(_masks(masks)).alias("m")).select("fp", "side", F.col("half").bitwiseXOR(F.col("m")).alias("v"))
     sizes = materialize(keyed.groupBy("side", "v").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "sizes")
     twos = sizes.where((F.col("n") == 2) & (_distance(F.col("a"), F.col("b")) <= radius)).select("a", "b")
     members = materialize(keyed.join(sizes.where("n > 2").select("side", "v", "n").hint("merge"), ["side", "v"]), "members")
-    few = members.where(F.col("n") <= params.bucket).groupBy("side", "v").agg(F.collect_list("fp").alias("fps"))
+    few = members.where(F.col("n") <= bucket).groupBy("side", "v").agg(F.collect_list("fp").alias("fps"))
     cold = few.select(F.explode(_forest("fps", F.lit(radius))).alias("e")).select("e.a", "e.b")
-    many = members.where(F.col("n") > params.bucket)
+    many = members.where(F.col("n") > bucket)
     links = twos.union(cold)
     if many.limit(1).count():  # members of hot buckets meet in the ball around all bits instead
-        links = links.union(ball_links(materialize(many.select("fp").distinct(), "hot"), radius))
+        links = links.union(ball_links(materialize(many.select("fp").distinct(), "hot"), radius, params.slices))
     return links
 
 
@@ -151,10 +163,10 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_text_key").alias("key")))
     firsts = materialize(rows.groupBy("fp").agg(first.alias("first")), "firsts")
     fps = firsts.select("fp")
-    links = ball_links(fps, params.radius) if params.blocks == 1 else block_links(fps, params)
+    links = ball_links(fps, params.radius, params.slices) if params.blocks == 1 else block_links(fps, params)
     labels = components(links)
     labelled = materialize(firsts.join(labels.hint("merge").withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "labelled")
-    best = labelled.groupBy("label").agg(F.min("first").alias("best"))
+    best = materialize(labelled.groupBy("label").agg(F.min("first").alias("best")), "best")  # stored, so that a giant component's rows can be split in the join
     ends = materialize(labelled.join(best.hint("merge"), "label").select("fp", F.col("best.id").alias("component_id"), F.col("best.key").alias("_keep_key")), "components")
     return rows.join(ends.hint("merge"), "fp").select("_id", "_text_key", F.col("fp").alias("fingerprint"), "component_id", "_keep_key")
 

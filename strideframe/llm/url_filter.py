@@ -8,7 +8,8 @@ segment) among all labelled urls, each counted once.
 
 Cases: a null url, or one without ``://``, has an empty host and path and is judged by the trees. Without
 labelled urls everything is allowed; if all labels agree, that label is the verdict. Equal urls are trained
-on once; repeated pages are judged row by row. Empty tables give empty results; extra columns are ignored.
+on once; repeated pages are judged row by row. Very long urls are read whole. Of rules that fit, equally long ones can
+only be the same. Empty tables give empty results; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.llm.common import ascii_lower, materialize, table
+from strideframe.llm.common import ascii_lower, first_by_hash, materialize, table
 
 #: The contract's rules: verdict by host and path prefix.
 RULES = {
@@ -101,7 +102,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     seen = once.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("share")).first()
     if not seen["n"] or seen["share"] in (0.0, 1.0):
         return ruled.select(id_col, "host", "path", "rule", F.coalesce("ruled", F.lit("block" if seen["n"] and seen["share"] == 1.0 else "allow")).alias("verdict"), F.lit(None).cast("double").alias("block_share"))
-    sample = materialize(lexical(once.orderBy(F.xxhash64("url"), "url").limit(params.sample)), "urls")
+    sample = materialize(lexical(first_by_hash(once, "url", params.sample, seen["n"])), "urls")
     prior, keys = F.lit(seen["share"]), ("top", "domain", "segment")
     suffixes = once.select("label", "_fold", *suffix_keys())
     own = {k: materialize(suffixes.groupBy(f"k_{k}", "_fold").agg(F.sum("label").alias(f"_fs_{k}"), F.count(F.lit(1)).alias(f"_fn_{k}")), f"suffix_fold_{k}") for k in keys}

@@ -290,6 +290,24 @@ def test_margins_do_not_depend_on_the_batch():
     assert np.allclose(together, [quality_classifier.margins([t], w, p)[0] for t in texts]) and together[0] == 0
 
 
+def test_first_by_hash(spark):
+    from strideframe.llm.common import first_by_hash
+
+    df = spark.range(5000).select(F.col("id").cast("string").alias("k"))
+    want = [r.k for r in df.orderBy(F.xxhash64("k"), "k").limit(100).collect()]
+    assert [r.k for r in first_by_hash(df, "k", 100, 5000).collect()] == want and first_by_hash(df, "k", 9000, 5000).count() == 5000
+
+
+def test_trained_bags_are_bounded_and_repeated_ids_count_once(spark):
+    p = quality_classifier.SubwordParams(bag=50, sample=40)
+    rows = [(i // 3, "good words here " * 30 if i // 3 % 2 else " ".join(f"bad{i}x{k}" for k in range(400))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    a, b = ({(r.doc_id, round(r.score, 6)) for r in quality_classifier.score_documents(docs.repartition(n), labels, params=p).collect()} for n in (1, 7))
+    assert a == b and all((score > 0.5) == bool(i % 2) for i, score in a)
+    assert len(quality_classifier.pack_counts([np.arange(1000), np.array([3, 3, 7])], 50)) == 6 * 50
+
+
 # -- 6 simhash -----------------------------------------------------------------------------------------
 
 
@@ -319,7 +337,7 @@ def plain_components(rows):
     return sorted((str(d), f"{f:016x}", str(low.get(find(i)))) for i, ((d, _), f) in enumerate(zip(rows, fps, strict=True)))
 
 
-@pytest.mark.parametrize("params", [simhash_dedup.SimHashParams(), simhash_dedup.SimHashParams(blocks=1), simhash_dedup.SimHashParams(bucket=2)])
+@pytest.mark.parametrize("params", [simhash_dedup.SimHashParams(), simhash_dedup.SimHashParams(blocks=1), simhash_dedup.SimHashParams(blocks=1, slices=3), simhash_dedup.SimHashParams(bucket=2)])
 def test_simhash(spark, docs, odd, params):
     df = docs.select("doc_id", "text").union(odd.select("doc_id", "text"))
     got = simhash_dedup.group_near_duplicates(df, params=params).collect()
@@ -414,15 +432,44 @@ def test_leaks_are_found_however_large_the_corpus(spark, monkeypatch):
     for times in (1, 10**6):
         monkeypatch.setattr(decontaminate, "document_frequency", lambda *a, times=times: tuple(times * x for x in count(*a)))
         params = decontaminate.LatentParams()
-        index = decontaminate.build_index(common, "text", [(" ".join(i), "") for i in items], params)
-        got = [{f["item"] for f in found} for found in decontaminate.Screen(index, params).leaks(texts)]
+        (index,) = decontaminate.build_indexes(common, "text", [[(k, " ".join(i), "") for k, i in enumerate(items)]], params)
+        got = [{f["item"] for f in found} for found in decontaminate.Screen(index, params).leaks(*decontaminate.words_of(texts))]
         assert all(i in g for i, g in zip(want, got, strict=True))
 
 
 def test_item_blocks_fit_the_rank(spark):
     bench = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(n))) for i, n in enumerate((60, 60, 60, 500, 10))], "item_id long, text string")
     blocks = list(decontaminate.item_blocks(bench, "item_id", "text", None, decontaminate.LatentParams(rank=6)))
-    assert [[i for i, _, _ in b] for b in blocks] == [[0, 1], [2], [3], [4]]
+    assert [[i for i, _, _ in b] for b in blocks] == [["0", "1"], ["2"], ["3"], ["4"]]
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = ["seven words are too few for it", "one", "这是一个问题", "ที่นี่", "…!", "", None, "ends here"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    texts = ["Some, SEVEN words -- are too few for it!", "seven words are too many for it", "other one.", "因为这是一个问题吗", "这是两个问题", "ที่นี่ๆ", "it ends here", "it ends", "here it ends", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == {(0, 0), (2, 1), (3, 2), (5, 3), (6, 7)}
+    assert decontaminate.drop_leaks(docs, bench).count() == len(texts) - 5
+
+
+def test_leak_recall_on_all_documents(spark, sf):
+    """The registered query against the longest common subsequence of every item with every part of every text."""
+    docs, bench = ({r[0]: r.text or "" for r in spark.read.parquet(f"{sf}/{t}.parquet").collect()} for t in ("documents", "benchmark"))
+    words = lambda s: decontaminate.words_of([s])[0].tolist()
+    items = {i: words(t) for i, t in bench.items()}
+    masks, sets = {i: decontaminate.position_masks(w) for i, w in items.items()}, {i: set(w) for i, w in items.items()}
+    want = set()
+    for d, text in docs.items():
+        w = words(text)
+        every = set(w)
+        for i, item in items.items():
+            n = len(item)
+            if len(sets[i] & every) >= 0.75 * len(sets[i]):
+                if any(decontaminate.common_subsequence(masks[i], n, w[a : a + 2 * n]) >= 0.8 * n for a in range(0, len(w), max(1, n // 2))):
+                    want.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.query(spark, sf).collect()}
+    assert want and len(want & got) >= 0.9 * len(want)
 
 
 def test_leaks(spark, sf, docs, odd):
@@ -446,7 +493,7 @@ def test_leaks(spark, sf, docs, odd):
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in df.collect()} - {d for d, _ in got} and clean.columns == df.columns
     assert decontaminate.find_leaks(odd, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
     assert decontaminate.drop_leaks(odd, bench).count() == odd.count() and decontaminate.find_leaks(docs.limit(0), bench).count() == 0
-    blocks = decontaminate.LatentParams(block=40)
+    blocks = decontaminate.LatentParams(block=40, blocks=2)  # several latent spaces, and several passes
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench, params=blocks).collect()} >= exact
 
 
