@@ -3,18 +3,23 @@
 Token counts cover every training document. The output units are the ``words`` commonest tokens and
 ``classes`` classes of all others (by their last two bytes); a token outside the common ones has its class's
 probability times its smoothed share of the class. A unit's score after two context units is bilinear,
-``C1 r(w1) + C2 r(w2)`` against its vector plus a bias. Tasks train on all tokens of their share of the
+``C1 r(w1) + C2 r(w2)`` against its vector plus a bias. Models are trained on all tokens of their share of the
 documents by stochastic gradient steps in numpy, with noise from the unigram distribution shared by a batch;
-Spark averages the parameters by tokens, and the next round starts from the average. For scoring, batched
+Spark averages the parameters by tokens, and the next round starts from the average. The shares are groups of some
+``group_tokens`` tokens by a hash of the document, so that neither tasks nor partitions change a score. For scoring, batched
 matrix products give the logarithm of the normaliser of every context pair, so probabilities are exact and
 sum to one.
 
 The ``head`` commonest tokens' counts go to every task (bounded); all other tokens are joined by token, summed
 to document sums before anything else, so a token is nowhere limited and none is hot.
 
-Cases: null and empty texts are the end token alone. Null ids count as the empty id. Repeated rows count as
-often as they occur. Without training documents every count is zero and the units are uniform. Empty tables
-give empty results; extra columns are ignored.
+Texts are split once: counts come from a first pass, and a second one writes each document's units, two bytes a
+token, from which models are trained and documents scored.
+
+Cases: null and empty texts are the end token alone. Very long texts are read whole. Null ids count as the empty id.
+Repeated rows count as often as they occur. Of equally common tokens those with the least hash are in the head, and
+those first in byte order are units. Without training documents every count is zero and the units are uniform. Empty
+tables give empty results; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +30,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from strideframe.llm.common import crc_of_id, fields, materialize, table, whole
 
@@ -42,6 +49,7 @@ class BilinearParams:
     head: int = 200_000  # commonest tokens whose counts every task holds
     dim: int = 16
     rounds: int = 1
+    group_tokens: int = 1 << 21  # that one model is trained on before models are averaged
     batch: int = 4096
     noise: int = 96  # noise units, shared by the batch
     rate: float = 0.08
@@ -102,13 +110,16 @@ def read_vocabulary(counts: DataFrame, params: BilinearParams) -> Vocabulary:
     # The least count of the head, from a histogram of the counts' logarithms (a few thousand rows): no task sorts the tokens.
     step = F.floor(F.log2("c") * 64).cast("int")
     histogram = {r["k"]: r["n"] for r in counts.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    least, room = None, params.head
+    room, chosen = params.head, F.lit(False)
     for k in sorted(histogram, reverse=True):
-        room -= histogram[k]
-        if room < 0:
-            break
-        least = k
-    top = counts.where(step >= least).collect() if least is not None else []  # params.head rows at most
+        if histogram[k] <= room:
+            chosen = chosen | (step == k)
+            room -= histogram[k]
+            continue
+        share = max(0.0, room - 4 * room**0.5) / histogram[k]  # of the last step's tokens as many as there is room for
+        chosen = chosen | ((step == k) & (F.xxhash64("token") < F.lit(int(-(1 << 63) + (1 << 64) * share))))
+        break
+    top = counts.where(chosen).collect()  # params.head rows, but for chance
     top.sort(key=lambda r: (-r["c"], bytes(r["token"])))
     head, unit_count = {}, np.zeros(params.units, np.int64)
     for i, r in enumerate(top):
@@ -220,42 +231,55 @@ class Steps:
 
 def contexts(units: list[np.ndarray], begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Targets with their last and last but one unit, over several texts."""
-    one, two = [], []
+    one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for u in units:
         padded = np.concatenate([[begin, begin], u])
         one.append(padded[1:-1])
         two.append(padded[:-2])
-    return np.concatenate(units), np.concatenate(one), np.concatenate(two)
-
+    return np.concatenate([np.zeros(0, np.int64), *units]).astype(np.int64), np.concatenate(one), np.concatenate(two)
 
-def unit_arrays(texts: list[str], head: dict, params: BilinearParams) -> list[np.ndarray]:
-    out, get, words, classes, crc = [], head.get, params.words, params.classes, zlib.crc32
-    for text in texts:
-        tokens = tokens_of(text)
-        out.append(np.fromiter((f[0] if (f := get(t)) else words + crc(t[-2:]) % classes for t in tokens), np.int64, len(tokens)))
-    return out
 
-
-def train(docs: DataFrame, v: Vocabulary, params: BilinearParams) -> Model:
-    """``docs``: the training texts. Each round ends in one average row for each row of parameters."""
+def train(encoded: DataFrame, v: Vocabulary, params: BilinearParams) -> Model:
+    """``encoded``: the training documents' units. Each round ends in one average row for each row of parameters."""
     model = start_model(v, params)
-    sc = docs.sparkSession.sparkContext
-    head = sc.broadcast(v.head)
+    sc = encoded.sparkSession.sparkContext
     share = noise_share(v)
+    groups = -(-v.total // params.group_tokens) or 1
+    key = F.xxhash64("_id", "units")
+    placed = encoded.select(F.pmod(key, F.lit(groups)).cast("int").alias("group"), key.alias("key"), "units")
+    placed = placed.repartition(min(groups, 100_000), "group").sortWithinPartitions("group", "key", "units").select("group", "units")
     for round_ in range(params.rounds):
         now = sc.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], now=now, round_=round_) -> Iterator[pa.RecordBatch]:
-            seen, steps = 0, Steps(now.value.copy(), share, params.seed + round_, params)
+            group, steps, seen, held, tokens = None, None, 0, [], 0
+
+            def learn():
+                nonlocal held, tokens, seen
+                if held:
+                    steps.learn(*contexts(held, params.units))
+                    seen, held, tokens = seen + tokens, [], 0
+
+            def made():
+                learn()
+                rows = steps.m.rows() * seen
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int64()), pa.array(np.full(len(rows), seen), pa.int64()), *(pa.array(c) for c in rows.T)], names=["row", "seen", *(f"p{i}" for i in range(rows.shape[1]))])
+
             for batch in batches:
-                t, c1, c2 = contexts(unit_arrays(batch.column(0).to_pylist(), head.value, params), params.units)
-                steps.learn(t, c1, c2)
-                seen += len(t)
-            rows = steps.m.rows() * seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int64()), pa.array(np.full(len(rows), seen), pa.int64()), *(pa.array(c) for c in rows.T)], names=["row", "seen", *(f"p{i}" for i in range(rows.shape[1]))])
+                for g, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if g != group:
+                        if group is not None:
+                            yield made()
+                        group, steps, seen = g, Steps(now.value.copy(), share, params.seed + round_, params), 0
+                    held.append(np.frombuffer(raw.as_buffer(), np.uint16).astype(np.int64))
+                    tokens += len(held[-1])
+                    if tokens >= 1 << 18:  # texts are learnt from so many tokens at a time, however they arrive
+                        learn()
+            if group is not None:
+                yield made()
 
         columns = [f"p{i}" for i in range(params.dim + 1)]
-        parts = docs.select("text").mapInArrow(run, fields("row long, seen long, " + ", ".join(f"{c} double" for c in columns)))
+        parts = placed.mapInArrow(run, fields("row long, seen long, " + ", ".join(f"{c} double" for c in columns)))
         mean = parts.groupBy("row").agg(F.sum("seen").alias("seen"), *[F.sum(c).alias(c) for c in columns]).where("seen > 0").collect()
         if not mean:
             return model
@@ -280,54 +304,58 @@ def tables(m: Model, params: BilinearParams) -> tuple[np.ndarray, np.ndarray, np
     return (s1 / ten).astype(np.float32), (s2 / ten).astype(np.float32), z / ten
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: BilinearParams = BilinearParams()) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    rows = docs.select(F.col(id_col).alias("_id"), (crc_of_id(id_col) % 10 == 0).alias("held_out"), whole(text_col).alias("text"))
-    training = rows.where(~F.col("held_out"))
-    counts = count_tokens(training, params)
-    v = read_vocabulary(counts, params)
-    model = train(training, v, params)
-    sc = docs.sparkSession.sparkContext
-    head, model_tables = sc.broadcast(v.head), sc.broadcast(tables(model, params))
-    class_norm = v.class_norm
-    tail_type = "array<struct<token:binary,tf:bigint>>"
-    schema = StructType([StructField("_id", rows.schema["_id"].dataType), StructField("held_out", rows.schema["held_out"].dataType), *fields("n_tokens long, n_head long, head_sum double, model_sum double").fields])
+def encode_documents(rows: DataFrame, v: Vocabulary, params: BilinearParams) -> DataFrame:
+    """_id, held_out, n_tokens, n_head (tokens of the head), head_sum (of their logarithms), class_sum (of those that are no units of their own), units and tail (the other tokens)."""
+    head = rows.sparkSession.sparkContext.broadcast(v.head)
+    norm = v.class_norm
+    tail = ArrayType(fields("token binary, tf long"))
+    schema = StructType([StructField("_id", rows.schema["_id"].dataType), StructField("held_out", rows.schema["held_out"].dataType), *fields("n_tokens long, n_head long, head_sum double, class_sum double, units binary", tail=tail).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (s1, s2, z) = head.value, model_tables.value
+        known = head.value
         struct = pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())]))
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            n_tokens, n_head, head_sum, tails, units = [], [], [], [], []
-            for text in texts:
+            out = [[] for _ in range(6)]
+            for text in batch.column(2).to_pylist():
                 tokens = tokens_of(text)
                 found = [known.get(t) for t in tokens]
                 rare = Counter(t for t, f in zip(tokens, found, strict=True) if f is None)
-                n_tokens.append(len(tokens))
-                n_head.append(len(tokens) - rare.total())
-                head_sum.append((sum(f[1] for f in found if f), sum(f[1] for f in found if f and f[0] >= params.words)))
-                tails.append([{"token": t, "tf": n} for t, n in rare.items()])
-                units.append(np.fromiter((f[0] if f else params.words + class_of(t, params) for t, f in zip(tokens, found, strict=True)), np.int64, len(tokens)))
-            model_sum = np.zeros(0)
-            if units:
-                t, c1, c2 = contexts(units, params.units)
-                logs = s1[c1, t].astype(np.float64) + s2[c2, t] - z[c1, c2]
-                rare = t >= params.words
-                logs[rare] -= class_norm[t[rare] - params.words]
-                model_sum = np.add.reduceat(logs, np.cumsum([0, *n_tokens[:-1]])) + np.array([x[1] for x in head_sum])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_head, pa.int64()), pa.array([x[0] for x in head_sum], pa.float64()), pa.array(model_sum, pa.float64()), pa.array(tails, struct)],
-                names=[*schema.names, "tail"],
-            )
-
-    from pyspark.sql.types import _parse_datatype_string
-
-    scored = rows.mapInArrow(run, StructType([*schema.fields, StructField("tail", _parse_datatype_string(tail_type))]))
-    scored = materialize(scored.withColumn("_row", F.monotonically_increasing_id()), "scored")
-    rare = scored.where(F.size("tail") > 0).select("_row", F.explode("tail").alias("t")).select("_row", F.col("t.token").alias("token"), F.col("t.tf").alias("tf"))
+                units = np.fromiter((f[0] if f else params.words + class_of(t, params) for t, f in zip(tokens, found, strict=True)), np.uint16, len(tokens))
+                logs = np.fromiter((f[1] if f else 0.0 for f in found), np.float64, len(tokens))
+                others = units >= params.words
+                mine = (len(tokens), len(tokens) - rare.total(), float(logs.sum()), float(logs[others].sum() - norm[units[others] - params.words].sum()), units.tobytes(), [{"token": t, "tf": n} for t, n in rare.items()])
+                for column, value in zip(out, mine, strict=True):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), struct)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=schema.names)
+
+    return rows.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id())
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: BilinearParams = BilinearParams()) -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    rows = docs.select(F.col(id_col).alias("_id"), (crc_of_id(id_col) % 10 == 0).alias("held_out"), whole(text_col).alias("text"))
+    counts = count_tokens(rows.where(~F.col("held_out")), params)
+    v = read_vocabulary(counts, params)
+    encoded = materialize(encode_documents(rows, v, params), "encoded")
+    model = train(encoded.where(~F.col("held_out")), v, params)
+    shared = docs.sparkSession.sparkContext.broadcast(tables(model, params))
+
+    @pandas_udf(DoubleType())
+    def model_sum(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        s1, s2, z = shared.value
+        for batch in texts:
+            units = [np.frombuffer(u, np.uint16) for u in batch]
+            t, c1, c2 = contexts(units, params.units)
+            logs = s1[c1, t].astype(np.float64) + s2[c2, t] - z[c1, c2]
+            sizes = np.array([len(u) for u in units], np.int64)  # one at least: the end
+            yield pd.Series(np.add.reduceat(logs, np.cumsum(sizes) - sizes) if len(units) else np.zeros(0), index=batch.index)
+
+    rare = encoded.where(F.size("tail") > 0).select("_row", F.explode("tail").alias("t")).select("_row", F.col("t.token").alias("token"), F.col("t.tf").alias("tf"))
     smooth = F.log10(F.coalesce("c", F.lit(0)) + F.lit(params.smoothing))
     tail = rare.join(counts.select("token", "c").hint("merge"), "token", "left").groupBy("_row").agg(F.sum(F.col("tf") * smooth).alias("tail_sum"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("tail_known"))
-    out = scored.drop("tail").join(materialize(tail, "tails").hint("merge"), "_row", "left")
+    scored = encoded.select("_id", "held_out", "n_tokens", "n_head", "head_sum", "_row", (F.col("class_sum") + model_sum.asNondeterministic()("units")).alias("model_sum"))
+    out = scored.join(materialize(tail, "tails").hint("merge"), "_row", "left")
     rest, norm = F.coalesce("tail_sum", F.lit(0.0)), float(np.log10(v.total + params.smoothing * (v.distinct + 1)))
     return out.select(
         F.col("_id").alias(id_col), "held_out", "n_tokens", (F.col("n_head") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
@@ -337,5 +365,3 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def query(spark, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
-
-

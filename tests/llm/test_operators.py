@@ -385,10 +385,35 @@ def test_lm(spark, docs, odd):
     assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
     test = [r for r in got if r.held_out]
     assert sum(r.score for r in test) > sum(r.base_score for r in test)  # better than the unigram model on held-out texts
+    again = lm_score.score_documents(df.repartition(5), params=small).collect()
+    pairs = lambda rows: sorted((r.doc_id, r.base_score, r.score) for r in rows)
+    assert all(a[0] == b[0] and a[2] == pytest.approx(b[2], rel=1e-5) for a, b in zip(pairs(got), pairs(again), strict=True))
     empty = lm_score.score_documents(docs.limit(0), params=small)
     assert empty.count() == 0
 
 
+def test_lm_with_the_defaults(spark, docs):
+    """Learnt probabilities, over all units and each class's tokens, sum to one in any context; in groups as in one."""
+    p = lm_score.BilinearParams(group_tokens=20_000)
+    rows = docs.select(F.col("doc_id").alias("_id"), F.lit(False).alias("held_out"), "text")
+    v = lm_score.read_vocabulary(lm_score.count_tokens(rows, p), p)
+    m = lm_score.train(lm_score.encode_documents(rows, v, p), v, p)
+    s1, s2, z = lm_score.tables(m, p)
+    for a, b in ((0, 0), (3, 700), (900, 5), (p.units, p.units)):
+        assert (10.0 ** (s1[a] + s2[b] - z[a, b]).astype(float)).sum() == pytest.approx(1, abs=1e-3)
+    start = lm_score.start_model(v, p)
+    assert not np.allclose(start.output, m.output)
+
+
+def test_lm_head_with_ties(spark):
+    """More tokens of one count than the head has room for: the head is as full as chance allows, and never empty."""
+    docs = spark.createDataFrame([(i, f"only{i} common") for i in range(3000)], "_id long, text string")
+    p = lm_score.BilinearParams(head=1000, words=50, classes=4)
+    v = lm_score.read_vocabulary(lm_score.count_tokens(docs, p), p)
+    assert 700 < len(v.head) <= 1000 and b"common" in v.head and v.distinct == 3002
+    assert lm_score.contexts([], 5)[0].tolist() == []
+
+
 def test_lm_probabilities_sum_to_one():
     p = lm_score.BilinearParams(words=30, classes=4, dim=5)
     m = lm_score.start_model(lm_score.Vocabulary(100, 40, {}, np.arange(34), np.zeros(4)), p)
