@@ -59,7 +59,7 @@ def contact_states(frames: DataFrame, params: ContactParams = ContactParams()) -
 def with_contacts(frames: DataFrame, states: DataFrame) -> DataFrame:
     """Adds ``{limb}_contact_on``, ``_type``, ``_hold`` and the support count."""
     wide = states.groupBy("video_id", "frame_index").agg(*[F.max(F.when(F.col("limb") == p, F.col(c))).alias(f"{p}_{c}") for p in LIMBS for c in STATE.names])
-    return frames.join(wide, ["video_id", "frame_index"], "left").withColumn("support_count", support_count())
+    return frames.join(wide.hint("merge"), ["video_id", "frame_index"], "left").withColumn("support_count", support_count())
 
 
 def support_count() -> Column:

@@ -8,6 +8,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from strideframe.functions.fold import fold
 from strideframe.functions.geometry import distance
+from strideframe.functions.ranks import hinted
+from strideframe.functions.tables import stored
+from strideframe.operators.nearby import nearest
 from strideframe.params import INCLINATIONS, JOINTS, LANDMARKS, MASS, TOUCHING, TRACKED
 
 FRAME = ["video_id", "frame_index"]
@@ -34,7 +37,7 @@ def smooth(landmarks: DataFrame, alpha: float = 0.6) -> DataFrame:
     w = Window.partitionBy("video_id").orderBy("frame_index")
     broken = ~(F.lag("frame_index").over(w).eqNullSafe(F.col("frame_index") - 1) & F.lag("n").over(w).eqNullSafe(F.col("n")))
     runs = per_frame.withColumn("_b", broken.cast("int")).select(*FRAME, F.sum("_b").over(w).alias("run"))
-    joined = landmarks.join(runs, FRAME)
+    joined = landmarks.join(runs.hint("merge"), FRAME)
     return fold(joined, ["video_id", "pos"], ["frame_index"], ["run", "x", "y", "z", "visibility"], SMOOTHED, Smoother(alpha)).drop("run")
 
 
@@ -81,7 +84,7 @@ def body_features(frames: DataFrame, sessions: DataFrame | None = None, wall_ang
 
     ``sessions`` (video_id, climber_height, climber_wingspan, climber_flexibility, ...) is one row a video."""
     if sessions is not None:
-        frames = frames.join(sessions, "video_id", "left")
+        frames = frames.join(hinted(sessions), "video_id", "left")
     height = F.col("climber_height") if sessions is not None else F.lit(None).cast("double")
     present = sum((F.col(f"{n}_x").isNotNull().cast("int") for n in LANDMARKS[1:]), F.col(f"{LANDMARKS[0]}_x").isNotNull().cast("int"))
     out = frames.select(
@@ -112,21 +115,17 @@ def wall_alignment(frames: DataFrame, wall_angle: Column) -> DataFrame:
     )
 
 
-def _measured(x: Column, y: Column):
-    return lambda h: F.struct(F.hypot(h["x"] - x, h["y"] - y).alias("d"), h["hold_ord"].alias("o"), h["hold_id"].alias("id"), h["x"].alias("x"), h["y"].alias("y"))
-
-
 def nearest_holds(frames: DataFrame, holds: DataFrame, threshold: float = 0.05) -> DataFrame:
-    """For each limb: target, distance, target_x, target_y, on_hold. A video's holds come as one array, sorted by hold order,
-    so each frame is read once and pairs of frames and holds are never rows; ties go to the earlier hold."""
-    lists = holds.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("hold_ord", "hold_id", "x", "y"))).alias("_holds"))
-    out = frames.join(lists, "video_id", "left")
-    for limb, name in TOUCHING.items():
-        x, y = F.col(f"{name}_x"), F.col(f"{name}_y")
-        near = F.transform("_holds", _measured(x, y))
-        out = out.withColumn("_n", F.when(x.isNotNull() & y.isNotNull(), F.array_min(near)))
-        out = out.select(
-            *[c for c in out.columns if c != "_n"], F.col("_n.id").alias(f"{limb}_target"), F.col("_n.d").alias(f"{limb}_distance"),
-            F.col("_n.x").alias(f"{limb}_target_x"), F.col("_n.y").alias(f"{limb}_target_y"), F.coalesce((F.col("_n.d") <= threshold).cast("int"), F.lit(0)).alias(f"{limb}_on_hold"),
-        )
-    return out.drop("_holds")
+    """For each limb: target, distance, target_x, target_y, on_hold; ties go to the earlier hold. Frames are stored once; their limbs look for holds in a grid."""
+    kept = stored(frames.withColumn("_row", F.monotonically_increasing_id()), "frames")
+    limbs = F.explode(F.array(*[F.struct(F.lit(p).alias("limb"), F.col(f"{n}_x").alias("x"), F.col(f"{n}_y").alias("y")) for p, n in TOUCHING.items()])).alias("l")
+    found = nearest(kept.select("video_id", "_row", limbs).select("video_id", "_row", "l.*"), holds, ["_row", "limb"])
+    best = F.struct("hold_id", "d", "hx", "hy")
+    wide = stored(found.groupBy("_row").agg(*[F.max(F.when(F.col("limb") == p, best)).alias(p) for p in TOUCHING]), "targets")
+    new = [
+        x for p in TOUCHING for x in (
+            F.col(f"{p}.hold_id").alias(f"{p}_target"), F.col(f"{p}.d").alias(f"{p}_distance"), F.col(f"{p}.hx").alias(f"{p}_target_x"), F.col(f"{p}.hy").alias(f"{p}_target_y"),
+            F.coalesce((F.col(f"{p}.d") <= threshold).cast("int"), F.lit(0)).alias(f"{p}_on_hold"),
+        )
+    ]
+    return kept.join(wide.hint("merge"), "_row", "left").select(*frames.columns, *new)

@@ -44,9 +44,9 @@ def consecutive_similarity(landmarks: DataFrame, least: float = 0.5) -> DataFram
     """Similarity of each frame to the one before, by a join on video, name and frame."""
     now = landmarks.where(F.col("visibility") >= least).select("video_id", "frame_index", "name", "x", "y")
     old = now.select("video_id", (F.col("frame_index") + 1).alias("frame_index"), "name", F.col("x").alias("x0"), F.col("y").alias("y0"))
-    mean = now.join(old, ["video_id", "frame_index", "name"]).groupBy("video_id", "frame_index").agg(F.avg(F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0"))).alias("d"))
+    mean = now.join(old.hint("merge"), ["video_id", "frame_index", "name"]).groupBy("video_id", "frame_index").agg(F.avg(F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0"))).alias("d"))
     every = landmarks.select("video_id", "frame_index").distinct()
-    return every.join(mean, ["video_id", "frame_index"], "left").select("video_id", "frame_index", F.coalesce(1 / (1 + 2 * F.col("d")), F.lit(0.0)).alias("similarity"))
+    return every.join(mean.hint("merge"), ["video_id", "frame_index"], "left").select("video_id", "frame_index", F.coalesce(1 / (1 + 2 * F.col("d")), F.lit(0.0)).alias("similarity"))
 
 
 KEEP = StructType([StructField("kept", BooleanType())])

@@ -7,6 +7,8 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideframe.functions.ranks import counted_medians, hinted
+from strideframe.functions.tables import stored
 from strideframe.params import HOLD_TYPES, LIMBS
 
 
@@ -18,15 +20,22 @@ def hold_features(holds: DataFrame) -> DataFrame:
     return holds.groupBy("video_id").agg(F.count(F.lit(1)).alias("hold_count"), (F.count(F.lit(1)) / (F.when(box > 0, box).otherwise(1.0) + 1e-6)).alias("hold_density"), *shares)
 
 
-def spacing(holds: DataFrame) -> DataFrame:
-    """Distances from each hold to the later ones in the list that lie higher. Pairs are the feature: they are made per hold from the video's array."""
-    lists = holds.groupBy("video_id").agg(F.collect_list(F.struct("hold_ord", "x", "y")).alias("_all"))
-    rows = holds.join(lists, "video_id")
+def spacing(holds: DataFrame, block: int = 512) -> DataFrame:
+    """Distances from each hold to the later ones in the list that lie higher. All pairs are the feature: bounded blocks of a video's holds meet
+    each other, and a block pair's distances leave the row as counts of equal ones."""
+    sizes = hinted(holds.groupBy("video_id").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks")))
+    placed = holds.join(sizes, "video_id").withColumn("_b", F.pmod(F.xxhash64("hold_ord"), F.col("_blocks")))
+    lists = stored(placed.groupBy("video_id", "_b").agg(F.collect_list(F.struct("hold_ord", "x", "y")).alias("_all")), "blocks")
+    rows = placed.select("video_id", "hold_ord", "x", "y").join(lists.drop("_b").hint("merge"), "video_id")
     higher = F.filter("_all", lambda h: (h["hold_ord"] > F.col("hold_ord")) & (h["y"] < F.col("y")))
     d = rows.select("video_id", F.explode(F.transform(higher, lambda h: F.hypot(h["x"] - F.col("x"), h["y"] - F.col("y")))).alias("d"))
-    stats = d.groupBy("video_id").agg(F.avg("d").alias("spacing_mean"), F.percentile("d", F.lit(0.5)).alias("spacing_median"), F.stddev_pop("d").alias("spacing_std"), F.min("d").alias("spacing_min"), F.max("d").alias("spacing_max"))
+    counted = stored(d.groupBy("video_id", "d").agg(F.count(F.lit(1)).alias("n")), "distances")
+    every = stored(counted.groupBy("video_id").agg(F.sum("n").alias("_n"), (F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("spacing_mean"), F.min("d").alias("spacing_min"), F.max("d").alias("spacing_max")), "sums")
+    off = counted.join(hinted(every.select("video_id", "spacing_mean")), "video_id").groupBy("video_id").agg(F.sqrt(F.sum(F.col("n") * F.pow(F.col("d") - F.col("spacing_mean"), 2)) / F.sum("n")).alias("spacing_std"))
+    middle = counted_medians(counted, ["video_id"], "d").withColumnRenamed("median", "spacing_median")
+    stats = every.join(off.hint("merge"), "video_id").join(stored(middle, "middles").hint("merge"), "video_id")
     names = ("mean", "median", "std", "min", "max")
-    return holds.select("video_id").distinct().join(stats, "video_id", "left").select("video_id", *[F.coalesce(f"spacing_{n}", F.lit(0.0)).alias(f"spacing_{n}") for n in names])
+    return holds.select("video_id").distinct().join(stored(stats, "spacing").hint("merge"), "video_id", "left").select("video_id", *[F.coalesce(f"spacing_{n}", F.lit(0.0)).alias(f"spacing_{n}") for n in names])
 
 
 def step_features(scores: DataFrame) -> DataFrame:
@@ -54,6 +63,24 @@ def route_wall_angle(frames: DataFrame, given: Column, angle: str = "wall_angle"
     return frames.groupBy("video_id").agg(F.coalesce(F.max(given), F.avg(angle), F.lit(90.0)).alias("wall_angle"))
 
 
+def route_features(holds: DataFrame, frames: DataFrame, scores: DataFrame, switching: DataFrame, given_angle: Column | None = None) -> DataFrame:
+    """All features of each video's route, one row: its holds, their spacing, steps, extent and wall. ``switching``: frames with their step's times."""
+    parts = [
+        hold_features(holds), spacing(holds), step_features(scores), switching, route_wall_angle(frames, F.lit(None).cast("double") if given_angle is None else given_angle),
+    ]
+    out = stored(route_extent(frames), "routes")
+    for part in parts:
+        out = out.join(stored(part, "part").hint("merge"), "video_id", "left")
+    return out
+
+
+def grade_report(features: DataFrame, columns: list[str], model: GBTRegressionModel | None = None) -> DataFrame:
+    """The features with grade, confidence and band of each route; without a model the grade is unknown and the confidence 0."""
+    if model is None:
+        return features.select("*", F.lit(None).cast("double").alias("grade"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("band"))
+    return predict_grades(model, features, columns)
+
+
 def fit_grades(features: DataFrame, columns: list[str], label: str = "grade", depth: int = 6, rounds: int = 100, step: float = 0.1) -> GBTRegressionModel:
     data = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(features.na.fill(0.0, columns))
     return GBTRegressor(labelCol=label, maxDepth=depth, maxIter=rounds, stepSize=step, seed=42).fit(data)

@@ -38,7 +38,7 @@ def first_hold_distances(frames: DataFrame, holds: DataFrame, n: int = 4) -> Dat
     w = Window.partitionBy("video_id").orderBy("hold_ord")
     first = holds.withColumn("_k", F.row_number().over(w) - 1).where(F.col("_k") < n).groupBy("video_id")
     lists = first.agg(*[F.max(F.when(F.col("_k") == k, F.col(c))).alias(f"_h{k}{c}") for k in range(n) for c in "xy"])
-    out = frames.join(lists, "video_id", "left")
+    out = frames.join(lists.hint("merge"), "video_id", "left")
     far = lambda side, k: F.hypot(F.coalesce(F.col(f"{side}_wrist_x"), F.lit(0.0)) - F.col(f"_h{k}x"), F.coalesce(F.col(f"{side}_wrist_y"), F.lit(0.0)) - F.col(f"_h{k}y"))
     out = out.select("*", *[F.coalesce(far(side, k), F.lit(0.0)).alias(f"{side}_hold_{k}") for side in ("left", "right") for k in range(n)])
     return out.drop(*[f"_h{k}{c}" for k in range(n) for c in "xy"])

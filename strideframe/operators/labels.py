@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideframe.functions.ranks import medians
+from strideframe.functions.tables import stored
 from strideframe.operators.kinematics import by_frame
 
 
@@ -63,8 +65,10 @@ FAMILIES = ("angle", "velocity", "speed", "accel", "jerk", "distance", "contact"
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, family, n, low, high, mean, median and sample deviation of each numeric column."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("u")).select("u.*").where("value IS NOT NULL")
+    long = stored(long, "values")
     family = F.coalesce(*[F.when(F.col("column").contains(f), f) for f in FAMILIES], F.lit("other"))
-    out = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.stddev_samp("value").alias("std"))
+    out = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    out = out.join(stored(medians(long, ["column"], "value"), "medians").hint("merge"), "column")
     return out.select("column", family.alias("family"), "n", "low", "high", "mean", "median", F.when(F.col("n") > 1, F.col("std")).alias("std"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strideframe.functions.ranks import running
+
 
 def _ratio(a, b):
     return F.when(b > 0, a / b).otherwise(0.0)
@@ -40,8 +42,7 @@ def class_accuracy(matrix: DataFrame) -> DataFrame:
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """auc by rank sums with average ranks, 0 with one class only. Rows are first counted by score, so the ranking sees distinct scores."""
     counts = df.groupBy(F.col(score).alias("s")).agg(F.sum((F.col(label) == 1).cast("bigint")).alias("pos"), F.sum((F.col(label) != 1).cast("bigint")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    ranked = running(counts, [], ["s"], ["neg"]).withColumn("won", F.col("pos") * (F.col("before_neg") + F.col("neg") / 2))
     return ranked.agg(F.sum("won").alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("q")).select(_ratio(F.col("w"), F.col("p") * F.col("q")).alias("auc"))
 
 

@@ -8,6 +8,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideframe.functions.ranks import hinted, running
 from strideframe.operators.kinematics import by_frame
 from strideframe.params import LIMBS
 
@@ -68,8 +69,8 @@ def encode(df: DataFrame, drop: list[str], text: list[str]) -> DataFrame:
     out = df.drop(*drop)
     for c in text:
         codes = out.where(F.col(c).isNotNull()).groupBy(c).agg(F.lit(1).alias("_1"))
-        codes = codes.select(c, (F.dense_rank().over(Window.orderBy(c)) - 1).cast("double").alias("_code"))  # one row a category
-        out = out.join(codes.hint("merge"), c, "left").withColumn(c, F.coalesce("_code", F.lit(0.0))).drop("_code")
+        codes = running(codes, [], [c], ["_1"]).select(c, F.col("before__1").cast("double").alias("_code"))
+        out = out.join(hinted(codes), c, "left").withColumn(c, F.coalesce("_code", F.lit(0.0))).drop("_code")
     return out.na.fill(0)
 
 
@@ -79,10 +80,11 @@ def threshold_label(df: DataFrame, target: str, threshold: float | None = 0.6) -
 
 def stratified_split(df: DataFrame, id_col: str, label: str | None = "label", test: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds is_test: a fixed share of each label, by a hash of the id. Compares with a quantile of the hash, so no label is sorted in one task."""
-    marked = df.withColumn("_h", F.abs(F.xxhash64(F.col(id_col), F.lit(seed)) % 1_000_000))
+    digest = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(seed)).cast("binary"))
+    marked = df.withColumn("_h", F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"))
     by = [label] if label else []
     cut = marked.groupBy(*by).agg(F.percentile_approx("_h", F.lit(1 - test), F.lit(100_000)).alias("_cut"))
-    joined = marked.join(F.broadcast(cut), by) if by else marked.join(F.broadcast(cut))  # one row a label
+    joined = marked.join(hinted(cut), by) if by else marked.join(F.broadcast(cut))  # one row a label, or one row
     return joined.withColumn("is_test", F.col("_h") > F.col("_cut")).drop("_h", "_cut")
 
 

@@ -1,4 +1,4 @@
-"""Next-hold ranking and the move planner. A video's holds are one array beside each frame; candidates are made inside the row and only the best few become rows."""
+"""Next-hold ranking and the move planner. Holds meet frames by grid cells or by bounded blocks; only the best few become rows."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.functions.geometry import clamp, distance, point_in_polygon, segment_distance
+from strideframe.functions.tables import stored
 from strideframe.operators.efficiency import scale, support_points
+from strideframe.operators.nearby import hold_blocks, nearest
 from strideframe.params import LIMBS, PlannerParams
 
 
@@ -16,20 +18,34 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", made).select(*df.columns, *[F.col(f"_made.{n}").alias(n) for n in columns])
 
 
-def hold_lists(holds: DataFrame) -> DataFrame:
-    return holds.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("hold_ord", "hold_id", "x", "y", "hold_type"))).alias("_holds"))
+def hold_score(distance_: Column, hold_id: Column, used: Column) -> Column:
+    free = F.when(F.coalesce(F.array_contains(used, hold_id), F.lit(False)), 0.0).otherwise(1.0)
+    return 0.7 * (1 - F.least(distance_, F.lit(1.0))) + 0.3 * free
 
 
 def next_holds(frames: DataFrame, holds: DataFrame, k: int = 3, held: str = "contact_hold") -> DataFrame:
-    """The ``k`` best holds of every frame with a centre of mass: near, and not held (``held``: contact_hold or target)."""
+    """The ``k`` best holds of every frame with a centre of mass: near, and not held (``held``: contact_hold or target).
+
+    At most four holds are held and lose by it, so the best ``k`` are among the nearest ``k + 4``, and those are looked for in a grid."""
+    known = frames.where(F.col("com_x").isNotNull() & F.col("com_y").isNotNull())
+    kept = stored(known.select("video_id", "frame_index", "com_x", "com_y", *[F.col(f"{p}_{held}") for p in LIMBS]).withColumn("_row", F.monotonically_increasing_id()), "frames")
+    near = nearest(kept.select("video_id", "_row", F.col("com_x").alias("x"), F.col("com_y").alias("y")), holds, ["_row"], k + len(LIMBS), 1.0)
     used = F.array(*[F.col(f"{p}_{held}") for p in LIMBS])
+    rows = kept.drop("video_id").join(stored(near, "candidates").drop("rank").hint("merge"), "_row").withColumn("score", hold_score(F.col("d"), F.col("hold_id"), used))
+    by = Window.partitionBy("video_id", "frame_index", "_row").orderBy(F.desc("score"), "hold_ord")
+    return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("video_id", "frame_index", "rank", "hold_id", "score")
+
+
+def next_holds_in_row(frames: DataFrame, holds: DataFrame, k: int = 3, held: str = "contact_hold") -> DataFrame:
+    """The same for a stream, which can't sort or look twice: a video's holds stand beside each frame as one array, so they must fit in a row."""
+    used = F.array(*[F.col(f"{p}_{held}") for p in LIMBS])
+    lists = holds.groupBy("video_id").agg(F.collect_list(F.struct("hold_ord", "hold_id", "x", "y")).alias("_holds"))
 
     def rank(h: Column) -> Column:
-        free = F.when(F.coalesce(F.array_contains(used, h["hold_id"]), F.lit(False)), 0.0).otherwise(1.0)
-        score = 0.7 * (1 - F.least(F.hypot(F.col("com_x") - h["x"], F.col("com_y") - h["y"]), F.lit(1.0))) + 0.3 * free
+        score = hold_score(F.hypot(F.col("com_x") - h["x"], F.col("com_y") - h["y"]), h["hold_id"], used)
         return F.struct((-score).alias("cost"), h["hold_ord"].alias("hold_ord"), h["hold_id"].alias("hold_id"))
 
-    rows = frames.where(F.col("com_x").isNotNull() & F.col("com_y").isNotNull()).join(hold_lists(holds), "video_id")
+    rows = frames.where(F.col("com_x").isNotNull() & F.col("com_y").isNotNull()).join(lists, "video_id")
     best = F.slice(F.array_sort(F.transform("_holds", rank)), 1, k)
     out = rows.select("video_id", "frame_index", F.posexplode(best).alias("rank", "b"))
     return out.select("video_id", "frame_index", (F.col("rank") + 1).alias("rank"), "b.hold_id", (-F.col("b.cost")).alias("score"))
@@ -58,12 +74,14 @@ def plan_moves(frames: DataFrame, holds: DataFrame, params: PlannerParams = Plan
         return F.struct((-score).alias("cost"), h["hold_ord"].alias("hold_ord"), h["hold_id"].alias("hold_id"), h["x"].alias("x"), h["y"].alias("y"), h["hold_type"].alias("hold_type"))
 
     needed = ["video_id", "frame_index", "com_x", "com_y", "body_scale", "hip_center_x", "hip_center_y", "climber_height", "climber_wingspan", "climber_flexibility", *[f"{p}_{c}" for p in LIMBS for c in ("x", "y", "target_x", "target_y", "contact_on", "contact_hold")]]
-    slim = frames.select(F.explode(F.array(F.struct(*needed))).alias("_f")).select("_f.*")  # a barrier: what made the columns is not copied into each use
-    rows = settled(slim.join(hold_lists(holds), "video_id"), _scale=scale(), _supports=supports)
+    slim = stored(frames.select(*needed).withColumn("_row", F.monotonically_increasing_id()), "frames")
+    rows = settled(slim.join(hold_blocks(holds).hint("merge"), "video_id"), _scale=scale(), _supports=supports)
     free = F.filter("_holds", lambda h: ~F.coalesce(F.array_contains(used, h["hold_id"]), F.lit(False)))
     rows = rows.where(F.col("com_x").isNotNull() & F.col("com_y").isNotNull()).withColumn("_c", F.slice(F.array_sort(F.transform(free, sample)), 1, params.candidates))
     keep = [c for c in rows.columns if c not in ("_holds", "_c")]
-    rows = rows.select(*keep, F.posexplode("_c").alias("_order", "c")).select(*keep, "_order", F.col("c.hold_ord").alias("hold_ord"), F.col("c.hold_id").alias("hold_id"), F.col("c.x").alias("hx"), F.col("c.y").alias("hy"), F.col("c.hold_type").alias("hold_type"))
+    first = Window.partitionBy("_row").orderBy("c.cost", "c.hold_ord")
+    rows = rows.select(*keep, F.explode("_c").alias("c")).withColumn("_order", F.row_number().over(first) - 1).where(F.col("_order") < params.candidates)  # the best of each block, then of all
+    rows = stored(rows.select(*keep, "_order", F.col("c.hold_ord").alias("hold_ord"), F.col("c.hold_id").alias("hold_id"), F.col("c.x").alias("hx"), F.col("c.y").alias("hy"), F.col("c.hold_type").alias("hold_type")), "moves")
     or_com = lambda c, axis: F.when(F.coalesce(F.col(c), F.lit(0.0)) == 0, F.col(f"com_{axis}")).otherwise(F.col(c))
     target = (F.col("hx"), F.col("hy"))
 
@@ -88,22 +106,28 @@ def plan_moves(frames: DataFrame, holds: DataFrame, params: PlannerParams = Plan
     rows = rows.withColumn("efficiency", F.greatest(F.lit(0.0), 0.5 * stability + 1 - 0.1 * F.size("violations")))
     rows = rows.withColumn("delta", F.col("efficiency") - 0.5 + F.coalesce(bonus(F.col("hold_type"), F.col("hy"), False), F.lit(0.0)))
     critical = F.exists("violations", lambda v: v.contains("exceeded") | v.contains("low_support"))
-    frame = Window.partitionBy("video_id", "frame_index")
+    frame = Window.partitionBy("_row")
     rows = rows.withColumn("_bad", critical).withColumn("_some", F.max((~F.col("_bad")).cast("int")).over(frame)).where(~F.col("_bad") | (F.col("_some") == 0))
     rows = rows.withColumn("rank", F.row_number().over(frame.orderBy(F.desc("efficiency"), "_order"))).where(F.col("rank") <= params.top_k)
     why = F.concat_ws("; ", F.when(F.col("delta") > 0, F.format_string("Improves efficiency by %.2f", F.col("delta"))), F.when(F.col("hy") < com_y, "Upward progression"), F.when(F.col("hold_type").isNotNull(), F.concat(F.lit("Hold type: "), "hold_type")), F.when(F.size("violations") == 0, "No constraint violations"))
     return rows.select("video_id", "frame_index", "rank", "limb", "hold_id", "hold_type", "efficiency", "delta", "violations", F.when(why == "", "Candidate move").otherwise(why).alias("reasoning"))
 
 
-def frame_report(frames: DataFrame, holds: DataFrame, frame_index: int | None = None, k: int = 5) -> DataFrame:
-    """Of each video the given frame, or the last one: centre, contacts and the ``k`` best holds."""
+def frame_report(frames: DataFrame, holds: DataFrame, frame_index: int | None = None, k: int = 5, height: float | None = None, wingspan: float | None = None, flexibility: float | None = None) -> DataFrame:
+    """Of each video the given frame, or the last one: centre, contacts, the climber and the ``k`` best holds.
+
+    A given height, wingspan or flexibility replaces the session's."""
+    for name, value in (("height", height), ("wingspan", wingspan), ("flexibility", flexibility)):
+        column = f"climber_{name}"
+        if value is not None or column not in frames.columns:
+            frames = frames.withColumn(column, F.lit(value).cast("double"))
     if frame_index is None:
         last = F.max("frame_index").over(Window.partitionBy("video_id"))
         rows = frames.withColumn("_last", last).where(F.col("frame_index") == F.col("_last")).drop("_last")
     else:
         rows = frames.where(F.col("frame_index") == frame_index)
     best = next_holds(rows, holds, k).groupBy("video_id", "frame_index").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "hold_id"))), lambda b: b["hold_id"]).alias("next_holds"))
-    return rows.join(best, ["video_id", "frame_index"], "left").select("video_id", "frame_index", "com_x", "com_y", *[f"{p}_contact_hold" for p in LIMBS], "next_holds")
+    return rows.join(stored(best, "best").hint("merge"), ["video_id", "frame_index"], "left").select("video_id", "frame_index", "com_x", "com_y", "climber_height", "climber_wingspan", "climber_flexibility", *[f"{p}_contact_hold" for p in LIMBS], "next_holds")
 
 
 def hit_rate(ranked: DataFrame, frames: DataFrame, k: int = 3) -> DataFrame:

@@ -59,7 +59,7 @@ class Sustain:
 def activity_segments(scored: DataFrame, limits: DataFrame, min_duration: float = 0.5, sustain: int = 1) -> DataFrame:
     """video_id, segment_id, start_index, end_index, start_time, end_time, label. Neighbours share their boundary frame;
     short segments are dropped, the last one only if another is left."""
-    rows = scored.join(limits, "video_id").select("video_id", "frame_index", "ts", F.when(F.col("activity") >= F.col("threshold"), "movement").otherwise("rest").alias("label"))
+    rows = scored.join(limits.hint("merge"), "video_id").select("video_id", "frame_index", "ts", F.when(F.col("activity") >= F.col("threshold"), "movement").otherwise("rest").alias("label"))
     if sustain == 1:
         flips = rows.withColumn("begin", F.when(F.lag("label").over(by_frame()).isNull() | (F.col("label") != F.lag("label").over(by_frame())), F.col("frame_index")))
     else:
@@ -68,9 +68,9 @@ def activity_segments(scored: DataFrame, limits: DataFrame, min_duration: float
     ends = rows.groupBy("video_id").agg(F.max("frame_index").alias("last"))
     starts = flips.where("begin IS NOT NULL").select("video_id", F.col("begin").alias("start_index"), "label")
     by = Window.partitionBy("video_id").orderBy("start_index")
-    spans = starts.withColumn("next", F.lead("start_index").over(by)).join(ends, "video_id").withColumn("end_index", F.coalesce("next", "last"))
+    spans = starts.withColumn("next", F.lead("start_index").over(by)).join(ends.hint("merge"), "video_id").withColumn("end_index", F.coalesce("next", "last"))
     at = rows.select("video_id", F.col("frame_index").alias("at"), F.col("ts").alias("time"))
-    timed = spans.join(at.select("video_id", F.col("at").alias("start_index"), F.col("time").alias("start_time")), ["video_id", "start_index"]).join(at.select("video_id", F.col("at").alias("end_index"), F.col("time").alias("end_time")), ["video_id", "end_index"])
+    timed = spans.join(at.select("video_id", F.col("at").alias("start_index"), F.col("time").alias("start_time")).hint("merge"), ["video_id", "start_index"]).join(at.select("video_id", F.col("at").alias("end_index"), F.col("time").alias("end_time")).hint("merge"), ["video_id", "end_index"])
     long = F.col("end_time") - F.col("start_time") >= min_duration
     others = F.max((long & F.col("next").isNotNull()).cast("int")).over(Window.partitionBy("video_id"))
     kept = timed.withColumn("_others", others).where(long | (F.col("next").isNull() & (F.col("_others") == 0)))
@@ -107,7 +107,7 @@ def contact_steps(rows: DataFrame, fps: float = 25.0, min_duration: float = 0.2,
     ended = cuts.withColumn("_last", last).where(F.col("cut") | F.col("_last")).select("video_id", F.col("from_index").alias("start_index"), F.col("frame_index").alias("end_index"), F.col("ts").alias("end_time"))
     begun = cuts.select("video_id", F.col("frame_index").alias("start_index"), F.col("ts").alias("start_time"))
     by = Window.partitionBy("video_id").orderBy("end_index")
-    return ended.join(begun, ["video_id", "start_index"]).select("video_id", (F.row_number().over(by) - 1).cast("bigint").alias("step_id"), "start_index", "end_index", "start_time", "end_time")
+    return ended.join(begun.hint("merge"), ["video_id", "start_index"]).select("video_id", (F.row_number().over(by) - 1).cast("bigint").alias("step_id"), "start_index", "end_index", "start_time", "end_time")
 
 
 def frames_of(segments: DataFrame, key: str = "segment_id") -> DataFrame:
@@ -137,7 +137,7 @@ def label_steps(rows: DataFrame, steps: DataFrame, strict: bool = True) -> DataF
         .when(feet & ~hands, "foot_adjust").when((F.col("s1") > F.col("s0")) | ((F.col("speed") > 0.05) & hands), "reach")
         .when((F.col("s0") == F.col("s1")) & (F.col("speed") < 0.03), "stabilize").when((hands & feet) | (F.col("speed") > 0.08), "dynamic_move").otherwise("movement")
     )
-    return steps.join(facts.select("video_id", "step_id", label.alias("label")), ["video_id", "step_id"])
+    return steps.join(facts.select("video_id", "step_id", label.alias("label")).hint("merge"), ["video_id", "step_id"])
 
 
 def step_of_frame(rows: DataFrame, steps: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from strideframe.functions.tables import share_package
-from strideframe.plans import body, routes, steps
+from strideframe.plans import body, files, machines, routes, steps, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,8 +27,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _shared(q) for name, q in (body.QUERIES | steps.QUERIES | routes.QUERIES).items()}
+    return {name: _shared(q) for name, q in (body.QUERIES | steps.QUERIES | routes.QUERIES | files.QUERIES | streams.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return body.SQL | steps.SQL | routes.SQL
+    return body.SQL | steps.SQL | routes.SQL | machines.SQL | files.SQL | streams.SQL

@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from strideframe.functions.tables import stored
 from strideframe.operators import efficiency, features, kinematics, recommend, segments
 from strideframe.params import JOINTS, LIMBS, StepWeights
 from strideframe.plans import body as b
@@ -30,6 +31,10 @@ def query(name: str, oracle: str | None = None):
 def touching(spark, sf_dir):
     """Frames whose limbs are in contact while within 0.05 of a hold, with derivatives of the centre."""
     out = kinematics.derivatives(features.nearest_holds(b.bodies(spark, sf_dir), fx.holds(spark, sf_dir)), points=("com",))
+    return stored(touches(out), "touching")  # read by several parts of what follows
+
+
+def touches(out):
     return out.select("*", *[x for p in LIMBS for x in (F.col(f"{p}_on_hold").alias(f"{p}_contact_on"), F.when(F.col(f"{p}_on_hold") == 1, "hold").otherwise("none").alias(f"{p}_contact_type"), F.when(F.col(f"{p}_on_hold") == 1, F.col(f"{p}_target")).alias(f"{p}_contact_hold"))])
 
 
@@ -197,10 +202,10 @@ def plan_moves(spark, sf_dir):
     return b.rounded(out.withColumn("violations", F.concat_ws(",", "violations")))
 
 
-@query("frame_report", _next_sql("contact_hold") + " SELECT t.video_id, t.frame_index, round(com_x, 6) AS com_x, round(com_y, 6) AS com_y, " + ", ".join(f"{p}_contact_hold" for p in LIMBS) + ", (SELECT string_agg(hold_id, ',' ORDER BY rank) FROM k WHERE k.video_id = t.video_id AND k.frame_index = t.frame_index AND rank <= 5) AS next_holds FROM touch t WHERE frame_index = (SELECT max(frame_index) FROM touch u WHERE u.video_id = t.video_id)")
+@query("frame_report", _next_sql("contact_hold") + " SELECT t.video_id, t.frame_index, round(com_x, 6) AS com_x, round(com_y, 6) AS com_y, " + ", ".join(f"{p}_contact_hold" for p in LIMBS) + ", (SELECT string_agg(hold_id, ',' ORDER BY rank) FROM k WHERE k.video_id = t.video_id AND k.frame_index = t.frame_index AND rank <= 5) AS next_holds, climber_height, 181::DOUBLE AS climber_wingspan, round(climber_flexibility, 6) AS climber_flexibility FROM touch t WHERE frame_index = (SELECT max(frame_index) FROM touch u WHERE u.video_id = t.video_id)")
 def frame_report(spark, sf_dir):
-    """R8."""
-    return b.rounded(recommend.frame_report(touching(spark, sf_dir), fx.holds(spark, sf_dir)).withColumn("next_holds", F.concat_ws(",", "next_holds")))
+    """R8, with a wingspan given for all."""
+    return b.rounded(recommend.frame_report(touching(spark, sf_dir), fx.holds(spark, sf_dir), wingspan=181.0).withColumn("next_holds", F.concat_ws(",", "next_holds")))
 
 
 @query("next_hold_hit_rate", _next_sql("contact_hold") + ", m AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT video_id, frame_index, lead({p}_contact_hold) {W} AS nxt, {p}_contact_hold AS cur FROM touch" for p in LIMBS) + ") WHERE nxt IS NOT NULL AND nxt IS DISTINCT FROM cur) SELECT count(*) AS moves, CAST(count(k.hold_id) AS BIGINT) AS hits, round(coalesce(count(k.hold_id)::DOUBLE / nullif(count(*), 0), 0), 6) AS hit_rate FROM m LEFT JOIN k ON k.video_id = m.video_id AND k.frame_index = m.frame_index AND k.hold_id = m.nxt AND rank <= 3")

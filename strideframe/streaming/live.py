@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from strideframe.operators.contacts import ContactStep
 from strideframe.operators.holds import TRACKS, Tracker
 from strideframe.params import ContactParams, TrackerParams
-from strideframe.operators.recommend import next_holds
+from strideframe.operators.recommend import next_holds_in_row
 
 KINEMATICS = "video_id long, frame_index long, s_x double, s_y double, vx double, vy double, ax double, ay double, jx double, jy double, late long"
 
@@ -112,4 +112,4 @@ def live_tracks(boxes: DataFrame, params: TrackerParams = TrackerParams()) -> Da
 
 def live_next_holds(frames: DataFrame, holds: DataFrame, k: int = 3) -> DataFrame:
     """The best next holds of each frame as it arrives: a join of the stream with the table of holds, ranked inside the row."""
-    return next_holds(frames, holds, k)
+    return next_holds_in_row(frames, holds, k)
