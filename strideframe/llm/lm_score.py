@@ -110,15 +110,13 @@ def read_vocabulary(counts: DataFrame, params: BilinearParams) -> Vocabulary:
     # The least count of the head, from a histogram of the counts' logarithms (a few thousand rows): no task sorts the tokens.
     step = F.floor(F.log2("c") * 64).cast("int")
     histogram = {r["k"]: r["n"] for r in counts.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    room, chosen = params.head, F.lit(False)
+    room, chosen = params.head, step >= 0
     for k in sorted(histogram, reverse=True):
-        if histogram[k] <= room:
-            chosen = chosen | (step == k)
-            room -= histogram[k]
-            continue
-        share = max(0.0, room - 4 * room**0.5) / histogram[k]  # of the last step's tokens as many as there is room for
-        chosen = chosen | ((step == k) & (F.xxhash64("token") < F.lit(int(-(1 << 63) + (1 << 64) * share))))
-        break
+        if histogram[k] > room:
+            share = max(0.0, room - 4 * room**0.5) / histogram[k]  # of this step's tokens as many as there is room for
+            chosen = (step > k) | ((step == k) & (F.xxhash64("token") < F.lit(int(-(1 << 63) + (1 << 64) * share))))
+            break
+        room -= histogram[k]
     top = counts.where(chosen).collect()  # params.head rows, but for chance
     top.sort(key=lambda r: (-r["c"], bytes(r["token"])))
     head, unit_count = {}, np.zeros(params.units, np.int64)
