@@ -88,7 +88,7 @@ def _events(spark, sf_dir, *columns):
     return fx.contact_rows(spark, sf_dir).select("video_id", "frame_index", "event_id").join(stored(e, "events").hint("merge"), "event_id").select(*(columns or ("video_id", "ts", "motion")))
 
 
-@query("live_contacts", sql(b.NEARED, mc.CONTACTED + " SELECT video_id, limb, frame_index, held::INT AS contact_on, kind AS contact_type, hold AS contact_hold FROM machine WHERE frame_index >= 0"))
+@query("live_contacts", sql(b.NEARED, mc.CONTACTED + " SELECT video_id, limb, frame_index, held::INT AS contact_on, kind AS contact_type, hold AS contact_hold, CAST(0 AS BIGINT) AS late FROM machine WHERE frame_index >= 0"))
 def live_contacts(spark, sf_dir):
     """T3."""
     rows = contacts.limb_rows(kinematics.derivatives(features.nearest_holds(b.bodies(spark, sf_dir), fx.holds(spark, sf_dir)), 1.0))

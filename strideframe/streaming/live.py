@@ -47,29 +47,30 @@ def live_kinematics(points: DataFrame, alpha: float = 0.6, fps: float = 25.0) ->
 
 
 def live_contacts(rows: DataFrame, params: ContactParams = ContactParams()) -> DataFrame:
-    """Contact hysteresis. rows: as ``limb_rows`` gives."""
+    """Contact hysteresis, and the late rows so far. rows: as ``limb_rows`` gives."""
     step = ContactStep(params)
-    out = "video_id long, limb string, frame_index long, contact_on int, contact_type string, contact_hold string"
+    out = "video_id long, limb string, frame_index long, contact_on int, contact_type string, contact_hold string, late long"
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, held = -1, None
+        last, late, held = -1, 0, None
         if state.exists:
-            last, on, since, pending, kind, hold = state.get
+            last, late, on, since, pending, kind, hold = state.get
             held = (bool(on), since, pending, kind, hold)
         rows = pd.concat(list(batches)).sort_values("frame_index", kind="stable").astype(object)
         rows = rows.where(rows.notna(), None)
         made = []
         for r in rows[["frame_index", "limb", "distance", "speed", "body_scale", "z", "target"]].itertuples(index=False, name=None):
             if r[0] <= last:
+                late += 1
                 continue
             held, (on, kind, hold) = step(held, r[1:])
             last = r[0]
-            made.append((key[0], key[1], last, on, kind, hold))
+            made.append((key[0], key[1], last, on, kind, hold, late))
         if held is not None:
-            state.update((int(last), bool(held[0]), int(held[1]), int(held[2]), held[3], held[4]))
+            state.update((int(last), int(late), bool(held[0]), int(held[1]), int(held[2]), held[3], held[4]))
         yield pd.DataFrame(made, columns=[c.split()[0] for c in out.split(", ")])
 
-    return rows.groupBy("video_id", "limb").applyInPandasWithState(run, out, "last long, on boolean, since int, pending int, kind string, hold string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("video_id", "limb").applyInPandasWithState(run, out, "last long, late long, on boolean, since int, pending int, kind string, hold string", "append", GroupStateTimeout.NoTimeout)
 
 
 def without_repeats(frames: DataFrame, delay: str = "10 seconds") -> DataFrame:

@@ -273,6 +273,16 @@ def test_live_contacts_equal_batch(spark, sf, tmp_path):
     assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
 
 
+def test_live_contacts_count_late_rows(spark, tmp_path):
+    kind = "video_id long, limb string, frame_index int, distance double, speed double, body_scale double, z double, target string"
+    rows = lambda frames: [(1, "left_hand", f, 0.01, 0.0, 1.0, 0.0, "a") for f in frames]
+    for frames in ([0, 1, 2, 3], [2, 3], [4, 5]):
+        spark.createDataFrame(rows(frames), kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {r.frame_index: r.late for r in drain(live.live_contacts(stream()), "late").collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 2, 5: 2}
+
+
 def test_live_windows_and_bouts(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("video_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("motion"))
     parts_of(e, str(tmp_path / "in"), 3, ["ts"])
