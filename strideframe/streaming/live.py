@@ -1,33 +1,31 @@
 """The causal operators as Structured Streaming queries, equal to their batch forms.
 
 State is kept by video (or video and limb) in the state store. Frames that arrive in a batch are put in frame
-order first; a frame not newer than the last one emitted is late: it is dropped and counted.
+order first; a frame not newer than the last one emitted is late: it is dropped and counted. ``idle`` ends the
+state of a video that has no new frames, see ``keyed``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strideframe.operators.contacts import ContactStep
 from strideframe.operators.holds import TRACKS, Tracker
-from strideframe.params import ContactParams, TrackerParams
 from strideframe.operators.recommend import next_holds_in_row
+from strideframe.params import ContactParams, TrackerParams
+from strideframe.streaming.keyed import keyed
 
 KINEMATICS = "video_id long, frame_index long, s_x double, s_y double, vx double, vy double, ax double, ay double, jx double, jy double, late long"
 
 
-def live_kinematics(points: DataFrame, alpha: float = 0.6, fps: float = 25.0) -> DataFrame:
+def live_kinematics(points: DataFrame, alpha: float = 0.6, fps: float = 25.0, idle: str | None = None) -> DataFrame:
     """Smoothed point, velocity, acceleration and jerk. points: video_id, frame_index, x, y. State: the last row and the count of late frames."""
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, *held = state.get if state.exists else (-1, 0, *[None] * 8)
-        late, held = held[0], list(held[1:])
-        rows = pd.concat(list(batches)).sort_values("frame_index", kind="stable")
+    def step(key, rows: pd.DataFrame, state):
+        last, late, *held = state or (-1, 0, *[None] * 8)
+        rows = rows.sort_values("frame_index", kind="stable")
         out = []
         for frame, x, y in rows[["frame_index", "x", "y"]].itertuples(index=False, name=None):
             if frame <= last:
@@ -39,38 +37,36 @@ def live_kinematics(points: DataFrame, alpha: float = 0.6, fps: float = 25.0) ->
                 now += [None if p is None or q is None else (q - p) * fps for p, q in zip(old[2 * order : 2 * order + 2], now[2 * order : 2 * order + 2], strict=True)]
             out.append((key[0], frame, *now, late))
             last, held = frame, now
-        state.update((int(last), int(late), *held))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in KINEMATICS.split(", ")])
+        return (int(last), int(late), *held), pd.DataFrame(out, columns=[c.split()[0] for c in KINEMATICS.split(", ")])
 
     kept = "last long, late long, " + ", ".join(f"v{i} double" for i in range(8))
-    return points.groupBy("video_id").applyInPandasWithState(run, KINEMATICS, kept, "append", GroupStateTimeout.NoTimeout)
+    return keyed(points, ["video_id"], step, KINEMATICS, kept, idle=idle)
 
 
-def live_contacts(rows: DataFrame, params: ContactParams = ContactParams()) -> DataFrame:
+def live_contacts(rows: DataFrame, params: ContactParams = ContactParams(), idle: str | None = None) -> DataFrame:
     """Contact hysteresis, and the late rows so far. rows: as ``limb_rows`` gives."""
-    step = ContactStep(params)
+    advance = ContactStep(params)
     out = "video_id long, limb string, frame_index long, contact_on int, contact_type string, contact_hold string, late long"
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(key, rows: pd.DataFrame, state):
         last, late, held = -1, 0, None
-        if state.exists:
-            last, late, on, since, pending, kind, hold = state.get
+        if state:
+            last, late, on, since, pending, kind, hold = state
             held = (bool(on), since, pending, kind, hold)
-        rows = pd.concat(list(batches)).sort_values("frame_index", kind="stable").astype(object)
+        rows = rows.sort_values("frame_index", kind="stable").astype(object)
         rows = rows.where(rows.notna(), None)
         made = []
         for r in rows[["frame_index", "limb", "distance", "speed", "body_scale", "z", "target"]].itertuples(index=False, name=None):
             if r[0] <= last:
                 late += 1
                 continue
-            held, (on, kind, hold) = step(held, r[1:])
+            held, (on, kind, hold) = advance(held, r[1:])
             last = r[0]
             made.append((key[0], key[1], last, on, kind, hold, late))
-        if held is not None:
-            state.update((int(last), int(late), bool(held[0]), int(held[1]), int(held[2]), held[3], held[4]))
-        yield pd.DataFrame(made, columns=[c.split()[0] for c in out.split(", ")])
+        kept = None if held is None else (int(last), int(late), bool(held[0]), int(held[1]), int(held[2]), held[3], held[4])
+        return kept, pd.DataFrame(made, columns=[c.split()[0] for c in out.split(", ")])
 
-    return rows.groupBy("video_id", "limb").applyInPandasWithState(run, out, "last long, late long, on boolean, since int, pending int, kind string, hold string", "append", GroupStateTimeout.NoTimeout)
+    return keyed(rows, ["video_id", "limb"], step, out, "last long, late long, on boolean, since int, pending int, kind string, hold string", idle=idle)
 
 
 def without_repeats(frames: DataFrame, delay: str = "10 seconds") -> DataFrame:
@@ -92,23 +88,22 @@ def movement_bouts(frames: DataFrame, gap: str = "5 minutes", delay: str = "1 mi
     return out.select("video_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "frames", "motion")
 
 
-def live_tracks(boxes: DataFrame, params: TrackerParams = TrackerParams()) -> DataFrame:
+def live_tracks(boxes: DataFrame, params: TrackerParams = TrackerParams(), idle: str | None = None) -> DataFrame:
     """T5: confirmed tracks after each batch (update mode). State: the live tracks, as bytes; a frame must arrive whole."""
     import pickle
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, raw = state.get if state.exists else (-1, pickle.dumps(([], 0)))
+    def step(key, rows: pd.DataFrame, state):
+        last, raw = state or (-1, pickle.dumps(([], 0)))
         tracks, made = pickle.loads(raw)  # noqa: S301  written by this function alone
         tracker = Tracker(params, tracks, made)
-        rows = pd.concat(list(batches)).sort_values(["frame_index", "x_center", "y_center"], kind="stable")
+        rows = rows.sort_values(["frame_index", "x_center", "y_center"], kind="stable")
         for frame, part in rows[rows["frame_index"] > last].groupby("frame_index", sort=True):
             part = part.astype(object).where(part.notna(), None)
             tracker.advance(int(frame), part[["x_center", "y_center", "width", "height"]].to_numpy(float), part["label"].tolist(), part["hold_type"].tolist(), part["confidence"].tolist())
             last = int(frame)
-        state.update((last, pickle.dumps((tracker.tracks, tracker.made))))
-        yield pd.DataFrame([(key[0], *t) for t in tracker.confirmed()], columns=TRACKS.names)
+        return (last, pickle.dumps((tracker.tracks, tracker.made))), pd.DataFrame([(key[0], *t) for t in tracker.confirmed()], columns=TRACKS.names)
 
-    return boxes.groupBy("video_id").applyInPandasWithState(run, TRACKS, "last long, tracks binary", "update", GroupStateTimeout.NoTimeout)
+    return keyed(boxes, ["video_id"], step, TRACKS, "last long, tracks binary", "update", idle)
 
 
 def live_next_holds(frames: DataFrame, holds: DataFrame, k: int = 3) -> DataFrame:

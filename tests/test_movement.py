@@ -1,5 +1,6 @@
 """State machines, clustering, planning, streams and readers against plain Python."""
 
+import datetime
 import json
 import math
 import random
@@ -283,6 +284,23 @@ def test_live_contacts_count_late_rows(spark, tmp_path):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 2, 5: 2}
 
 
+def test_live_state_of_ended_videos_is_forgotten(spark, tmp_path):
+    kind = "video_id long, frame_index int, x double, y double, ts timestamp"
+    at = lambda minute: datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(minutes=minute)
+    for video, frame, minute in ((1, 5, 0), (2, 0, 300), (2, 1, 301), (2, 2, 302), (1, 3, 303), (1, 2, 304)):
+        spark.createDataFrame([(video, frame, 0.5, 0.5, at(minute))], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for idle, name in (("1 hour", "idle"), (None, "ever")):  # forgotten, video 1 begins anew at frame 3; else both come late
+        q = live.live_kinematics(stream, idle=idle).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        got = spark.table(name).collect()
+        assert sorted((r.video_id, r.frame_index) for r in got) == sorted([(1, 5), (2, 0), (2, 1), (2, 2)] + ([(1, 3)] if idle else []))
+        assert all(r.late == 0 for r in got)
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
+        removed = sum(p["stateOperators"][0]["numRowsRemoved"] for p in q.recentProgress)
+        assert removed == (1 if idle else 0)
+
+
 def test_live_windows_and_bouts(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("video_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("motion"))
     parts_of(e, str(tmp_path / "in"), 3, ["ts"])
