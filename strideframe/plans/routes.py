@@ -219,11 +219,11 @@ def route_steps(spark, sf_dir):
 
 @query("grade_model")
 def grade_model(spark, sf_dir):
-    """D8 to D11 on customers: sizes of their orders stand for route features; 8 rounds of depth 4."""
+    """D8 to D11 on customers: sizes of their orders stand for route features."""
     o = fx.read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("video_id")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.col("o_totalprice").cast("double")).alias("mean"), F.coalesce(F.stddev_pop(F.col("o_totalprice").cast("double")), F.lit(0.0)).alias("std"), F.max(F.col("o_totalprice").cast("double")).alias("high"))
     data = o.withColumn("grade", F.least(F.lit(10.0), F.col("mean") / 30000 + F.col("n") / 10))
     columns = ["n", "mean", "std", "high"]
-    return b.rounded(grading.predict_grades(grading.fit_grades(data, columns, depth=4, rounds=8), data.drop("grade"), columns).select("video_id", "grade", "confidence", "band"), 4)
+    return b.rounded(grading.predict_grades(grading.fit_grades(data, columns), data.drop("grade"), columns).select("video_id", "grade", "confidence", "band"), 4)
 
 
 @query("grade_bands", "SELECT o_orderkey AS id, CASE WHEN g >= 10 THEN 'Elite (V10+)' ELSE ['Beginner', 'Intermediate', 'Advanced', 'Expert', 'Elite'][CAST(floor(g / 2) AS INTEGER) + 1] || ' (V' || CAST(CAST(floor(g) AS INTEGER) AS VARCHAR) || ')' END AS band FROM (SELECT o_orderkey, least(10, CAST(o_totalprice AS DOUBLE) / 40000) AS g FROM orders)")
@@ -381,10 +381,10 @@ def stratified_split(spark, sf_dir):
 
 @query("boosted_baseline")
 def boosted_baseline(spark, sf_dir):
-    """Importances of a boosted classifier of 5 rounds."""
+    """Importances of a boosted classifier."""
     o = fx.read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"), (F.col("o_custkey") % 7).cast("double").alias("a"), (F.col("o_orderkey") % 5).cast("double").alias("c"))
     data = mlprep.stratified_split(mlprep.threshold_label(o, "price", 200000.0), "o_orderkey")
-    _, importances = mlprep.fit_boosted(data, ["price", "a", "c"], rounds=5)
+    _, importances = mlprep.fit_boosted(data, ["price", "a", "c"])
     return spark.createDataFrame([(n, float(v)) for n, v in importances], "feature string, importance double")
 
 
