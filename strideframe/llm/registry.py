@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideframe.llm import chat_format, decontaminate, html_extract, lm_score, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, url_filter
+from strideframe.llm import chat_format, decontaminate, divergence, html_extract, language_id, lm_score, packing, quality_classifier, quality_rules, secret_scan, simhash_dedup, url_filter, whitening
 from strideframe.llm.common import prepare
 
 
@@ -31,6 +31,9 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_best_fit_packing": packing.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_embedding_whitening": whitening.query,
+    "op12_source_divergence": divergence.query,
+    "op13_language_id": language_id.query,
 }
 
 
@@ -39,4 +42,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": chat_format.SQL}
+    return {"op4_chat_format": chat_format.SQL, "op12_source_divergence": divergence.SQL}
