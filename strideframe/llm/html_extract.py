@@ -5,17 +5,18 @@ and one for each 100 characters up to three; its parent gets them all, its grand
 sixth and less. A container's points are discounted by its link density. The best container (or the article, else
 the main element, around it) is kept with its siblings: those of a fifth of its points, long link-poor paragraphs,
 headings before it, and all link-poor blocks between the first and the last of these. Where the whole page is best,
-only its lists of links are left out.
+only its lists of links are left out. Buttons, menus, drawings and ``noscript`` are content in an article or main element
+or a paragraph, and nowhere else.
 
 What is not content (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) is
 left out by tag, role, and those words of class and id that say so and nothing else (``site-footer``, but not
 ``has-sidebar``). A class alone does not take away an element that holds an article or main element, nor does a form
-that holds one; nor, on a page without such an element, a class such as ``overlay`` most of the page's text.
+that holds one; nor, on a page without such an element, a class such as ``overlay`` most of the page's text; nor such a
+class, which may mean the subject, a paragraph.
 
 Cases: null and empty html give an empty text, as does a page without content. Unclosed elements, cut-off
 tags, stray quotes and stray end tags are read as browsers read them, but for a quote that never closes, which ends
-with its tag. Elements more than 256 deep become siblings, so that time is in proportion to the page, however long.
-Of equally good containers the first in page order wins. Equal pages are extracted row by row; extra columns are
+with its tag. Time is in proportion to the page, however long or deeply nested. Of equally good containers the first in page order wins. Equal pages are extracted row by row; extra columns are
 ignored, and a column with the result's name is replaced.
 """
 
@@ -40,11 +41,12 @@ TAG = re.compile(rf"<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)((?:{_ATTRIBUTE})*+)((?:{_BLA
 ATTRIBUTE = re.compile(rf"""(?:{_BLANK}|/)*([^ \t\n\f\r/>][^ \t\n\f\r/>=]*)(?:{_BLANK}*={_BLANK}*("[^"]*"|'[^']*'|[^ \t\n\f\r"'>][^ \t\n\f\r>]*)?)?""")
 #: Comments, declarations, instructions and what else a page doesn't show.
 HIDDEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z)", re.DOTALL)
-DEEPEST = 256
 
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp"}
+RAW = {"script", "style", "textarea", "title", "template", "iframe", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-CUT = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "video", "audio", "canvas"} | RAW
+CUT = {"head", "nav", "header", "footer", "aside", "form", "select", "dialog", "video", "audio", "canvas"} | RAW
+#: Content in the article alone.
+SOFT = {"button", "menu", "svg", "noscript"}
 BLOCKS = {
     "p", "div", "section", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot",
     "tr", "td", "th", "blockquote", "pre", "address", "center", "body", "html", "fieldset", "details", "summary", "figure", "figcaption", "caption", "hr", "hgroup", "search",
@@ -56,6 +58,9 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
+#: Elements among which such a tag looks for what it closes.
+FAMILIES = ({"li", "ul", "ol", "menu"}, {"dt", "dd", "dl"}, {"tr", "td", "th", "table"}, {"option", "select"})
+FAMILY = {tag: i for i, family in enumerate(FAMILIES) for tag in family}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar", "toolbar"}
 #: Words of classes and ids that name what is not content, and words that may stand beside them.
 NOT_CONTENT = set(
@@ -73,14 +78,16 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "cut", "flag", "depth", "scope", "inline", "score", "chars", "linked", "commas", "own")
+    __slots__ = ("tag", "parent", "children", "cut", "flag", "scope", "inline", "near", "score", "chars", "linked", "commas", "own")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool = False, flag: str = ""):
         self.tag, self.parent, self.cut, self.flag, self.children = tag, parent, cut, flag, []
-        self.depth = parent.depth + 1 if parent else 0
         block = parent is None or tag in BLOCKS
         self.scope: Node = self if block else parent.scope  # the block that an inline end tag can't reach beyond
         self.inline: dict[str, int] | None = {} if block else None  # open inline elements of a block, by name
+        self.near: tuple = parent.near if parent is not None else (None,) * len(FAMILIES)  # of each family the element, or the nearest around it
+        if tag in FAMILY:
+            self.near = (*self.near[: FAMILY[tag]], self, *self.near[FAMILY[tag] + 1 :])
         self.score, self.chars, self.linked, self.commas, self.own = 0.0, 0, 0, 0, 0
 
 
@@ -88,7 +95,10 @@ def named(value: str) -> str:
     """sure or maybe, if one of the class's tokens names such an element and says nothing else."""
     found = ""
     for token in value.split():
-        words = [w.lower() for w in WORD.findall(token)]
+        words: list[str] = []
+        for w in WORD.findall(token.lower() if token.isupper() else token):
+            joined = words[-1] + w.lower() if words else ""
+            words[-1:] = [joined] if joined in NOT_CONTENT else [*words[-1:], w.lower()]  # side-bar is sidebar
         if any(w in NOT_CONTENT for w in words) and all(w in NOT_CONTENT or w in BESIDE or w.isdigit() for w in words):
             if any(w in NOT_CONTENT and w not in WRAPPERS for w in words):
                 return "sure"
@@ -100,7 +110,7 @@ def judge_tag(tag: str, attributes: str) -> tuple[bool, str]:
     """Whether the element is no content for sure, and what its class or id says of it."""
     if tag in CUT and tag != "form":
         return True, ""
-    flag = "sure" if tag == "form" else ""
+    flag = "sure" if tag == "form" else "soft" if tag in SOFT else ""
     if not attributes or tag in ("html", "body"):
         return False, flag
     at: dict[str, str] = {}
@@ -109,12 +119,13 @@ def judge_tag(tag: str, attributes: str) -> tuple[bool, str]:
     if "hidden" in at or at.get("aria-hidden", "").lower() == "true" or at.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", at.get("style", ""), re.IGNORECASE):
         return True, ""
     says = {named(at.get(k, "")) for k in ("class", "id")}
-    return False, "sure" if "sure" in says else "maybe" if "maybe" in says else flag
+    return False, "sure" if "sure" in says else flag or ("maybe" if "maybe" in says else "")
 
 
 def parse(html: str) -> Node:
     root = node = Node("#root", None)
     at = text_from = 0
+    open_: dict[str, int] = {}  # blocks, by name
 
     def text(end: int) -> None:
         if end > text_from:
@@ -126,6 +137,8 @@ def parse(html: str) -> Node:
         while True:
             if x.scope is not x:
                 x.scope.inline[x.tag] -= 1
+            else:
+                open_[x.tag] -= 1
             if x is upto:
                 return x.parent
             x = x.parent
@@ -153,10 +166,10 @@ def parse(html: str) -> Node:
             if tag == "br":
                 node.children.append(" ")
             elif tag in BLOCKS:
-                up = node
-                while up.parent is not None and up.tag != tag:
-                    up = up.parent
-                if up.parent is not None:
+                if open_.get(tag):
+                    up = node
+                    while up.tag != tag:
+                        up = up.parent
                     node = close(up)
             elif node.scope.inline.get(tag):  # an inline end tag closes no block
                 up = node
@@ -173,14 +186,9 @@ def parse(html: str) -> Node:
             node = close(node.scope)
         if tag in CLOSES:
             closes, until = CLOSES[tag]
-            up = node
-            while up.parent is not None and up.tag not in until:
-                if up.tag in closes:
-                    node = close(up)
-                    break
-                up = up.parent
-        if node.depth >= DEEPEST:
-            node = close(node)
+            up = node.near[FAMILY[tag]]
+            if up is not None and up.tag in closes:
+                node = close(up)
         child = Node(tag, node, *judge_tag(tag, m[3]))
         node.children.append(child)
         if tag in RAW:  # its text is no markup, up to its end tag
@@ -191,6 +199,8 @@ def parse(html: str) -> Node:
         if "/" not in m[4] or tag in BLOCKS or tag in ("a", "b", "i", "span", "em", "strong"):
             if child.scope is not child:
                 child.scope.inline[tag] = child.scope.inline.get(tag, 0) + 1
+            else:
+                open_[tag] = open_.get(tag, 0) + 1
             node = child
     text(len(html))
     return root
@@ -241,7 +251,14 @@ def _settle(root: Node) -> list[Node]:
         if id(x) in holds and x.parent is not None and not (x.tag == "article" and x.flag):
             holds.add(id(x.parent))
     plain = root.chars - root.linked
+    within = set()  # of the article or a paragraph
+    for x in nodes if any(x.flag == "soft" for x in flagged) else ():
+        if x.parent is not None and (id(x.parent) in within or x.parent.tag in ("article", "main") or x.parent.tag in PARAGRAPHS):
+            within.add(id(x))
     for x in flagged:
+        if x.flag == "soft" or x.flag == "maybe" and x.tag == "p":
+            x.cut = x.flag == "soft" and id(x) not in within
+            continue
         most = x.flag == "maybe" and not holds and 2 * (x.chars - x.linked) > plain
         inside = id(x) in holds and x.tag not in ("article", "main")
         x.cut = not (most or inside)
@@ -319,7 +336,7 @@ def extract(html: str) -> str:
         return "\n".join(blocks([x for x in best.children if isinstance(x, str) or x.tag in ("p", *HEADINGS) or x.linked < 0.75 * max(x.chars, 1)]))
     around = best.parent.children
     poor = lambda x: x.linked < 0.25 * max(x.chars, 1)
-    kept = [i for i, x in enumerate(around) if not isinstance(x, str) and not x.cut and (x is best or (poor(x) and (x.score >= max(10.0, 0.2 * best.score) or x.tag == "p" and x.chars > 80)))]
+    kept = [i for i, x in enumerate(around) if not isinstance(x, str) and not x.cut and (x is best or (poor(x) and (x.score >= 0.2 * best.score or x.tag == "p" and x.chars > 80)))]
     first, last = kept[0], kept[-1]
     while first and (isinstance(around[first - 1], str) and not around[first - 1].strip() or not isinstance(around[first - 1], str) and around[first - 1].tag in HEADINGS):
         first -= 1
