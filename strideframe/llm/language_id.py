@@ -29,7 +29,7 @@ from pyspark.sql.functions import pandas_udf
 
 from strideframe.functions.ranks import hinted
 from strideframe.llm.common import crc_of_id, fields, groups, materialize, table, whole
-from strideframe.llm.quality_classifier import SubwordParams, buckets_of, pack_counts
+from strideframe.llm.quality_classifier import Bag, SubwordParams, bag_of, buckets_of, pack_counts, parts_of
 from strideframe.llm.quality_rules import upper_bound
 
 UNKNOWN = "und"
@@ -42,9 +42,9 @@ class LanguageParams:
     bits: int = 15
     grams: tuple[int, ...] = (2, 3, 4)
     dim: int = 16
-    per_lang: int = 1500  # about so many labelled rows of a language are learnt from
-    part_bytes: int = 64 << 20  # of the sample's bucket counts that the driver holds at once
-    epochs: int = 10
+    per_lang: int = 1000  # about so many labelled rows of a language are learnt from
+    part_bytes: int = 8 << 20  # of the sample's bucket counts that the driver holds at once
+    epochs: int = 8
     rate: float = 0.5
     risk: float = 0.05  # wrong answers among accepted texts
     alpha: float = 0.05
@@ -77,7 +77,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def sgd(parts: Callable[[], Iterator[list[tuple[np.ndarray, np.ndarray, int]]]], classes: int, prior: np.ndarray, params: LanguageParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sgd(parts: Callable[[], Iterator[list[Bag]]], classes: int, prior: np.ndarray, params: LanguageParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vectors, layer and bias. ``parts()`` gives the sample again, a part (buckets, shares, class) at a time."""
     draw = np.random.default_rng(params.seed)
     vectors = draw.normal(0, 0.1, (1 << params.bits, params.dim)).astype(np.float32)
@@ -156,41 +156,25 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, params: Lang
     @pandas_udf("binary")
     def bag(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            packed = [pack_counts([b for b, _ in buckets_of([normal(t)], params.subwords)], 1 << params.bits) for t in batch]
+            packed = [pack_counts([b for b, _ in buckets_of([normal(t)], params.subwords)]) for t in batch]
             yield pd.Series(packed, index=batch.index, dtype=object)
 
-    sample = materialize(labelled_sample(rows, params).select("lang", "_h", bag("text").alias("bag")), "bags")
-    names = tuple(r["lang"] for r in sample.select("lang").distinct().orderBy("lang").collect())  # one row a language
+    sample = materialize(labelled_sample(rows, params).select(F.col("lang").alias("_label"), "_h", bag("text").alias("bag")), "sample")
+    shares = {r["_label"]: r["count"] for r in sample.groupBy("_label").count().collect()}  # one row a language
+    names = tuple(sorted(shares))
     if not names:
         return None
-    code = {name: i for i, name in enumerate(names)}
-    trained, held = sample.where(F.pmod("_h", F.lit(5)) != 0), sample.where(F.pmod("_h", F.lit(5)) == 0)
-    total = trained.agg(F.sum(F.length("bag"))).first()[0] or 0
-    n = 1 + int(total) // params.part_bytes
-    kept: list = []
-
-    def unpack(r) -> tuple[np.ndarray, np.ndarray, int]:
-        raw, size = bytes(r["bag"]), len(r["bag"]) // 6
-        return np.frombuffer(raw, "<u2", size).astype(np.int64), np.frombuffer(raw, "<f4", size, 2 * size), code[r["lang"]]
-
-    def parts() -> Iterator[list[tuple[np.ndarray, np.ndarray, int]]]:
-        """Parts by hash, of part_bytes about; the order of Spark's partitions has no influence."""
-        for k in range(n):
-            if n > 1 or not kept:
-                found = trained.where(F.pmod(F.xxhash64("_h"), F.lit(n)) == k).collect()
-                kept[:] = [unpack(r) for r in sorted(found, key=lambda r: (r["_h"], r["lang"]))]
-            yield kept
-
-    shares = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    code = {name: i for i, name in enumerate(names)}.__getitem__
+    held = sample.where(F.pmod("_h", F.lit(5)) == 0)
+    parts = parts_of(materialize(sample.where(F.pmod("_h", F.lit(5)) != 0), "trained"), code, params.part_bytes)
     prior = np.array([shares[name] for name in names], float) / sum(shares.values())
     vectors, layer, bias = sgd(parts, len(names), prior, params)
-    kept.clear()
     if len(names) <= params.dim:
         vectors, layer = vectors @ layer, None
 
     def rescored() -> Iterator[tuple[np.ndarray, int]]:
         for r in held.toLocalIterator():
-            index, weight, label = unpack(r)
+            index, weight, label = bag_of(r, code)
             mean = weight @ vectors[index]
             yield (mean if layer is None else mean @ layer) + bias, label
 

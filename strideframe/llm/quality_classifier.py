@@ -3,11 +3,12 @@
 Words, word pairs and byte n-grams are hashed into buckets; each bucket has a learned vector; a document is
 the mean of its vectors; a softmax layer gives the two classes. The executors hash the texts of a bounded
 sample of labelled documents (``sample``, the fold of the contract, in the order of a hash of the id) into
-bucket counts, the driver trains vectors and layer by stochastic gradient descent in numpy. As the mean is
-linear, a trained bucket enters the softmax by one number, which the executors average over whole texts.
+bucket counts and write them to the shared folder; the driver trains vectors and layer by stochastic gradient descent in
+numpy, a part of that table (``part_bytes``) at a time, so that every bucket of a text counts and its memory stays bounded.
+As the mean is linear, a trained bucket enters the softmax by one number, which the executors average over whole texts.
 
-Cases: null and empty texts have no n-grams and get the score of the bias. Very long texts are scored whole; of one that
-is trained on, the ``bag`` fullest buckets count. Labels other than 0 and 1 are unused; contradicting labels of one id
+Cases: null and empty texts have no n-grams and get the score of the bias. Very long texts are trained on and scored
+whole. Labels other than 0 and 1 are unused; contradicting labels of one id
 count as 1. Null ids are not held out and have no label. Without labels, or with one class alone, the score is the
 (smoothed) share of label 1. Repeated ids are scored row by row, and trained on by the text with the least hash.
 Labels, language, source and id are never inputs. Empty tables give empty results; extra columns are ignored.
@@ -15,7 +16,7 @@ Labels, language, source and id are never inputs. Empty tables give empty result
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +35,7 @@ class SubwordParams:
     grams: tuple[int, ...] = (3, 4)  # bytes in a character n-gram
     dim: int = 8
     sample: int = 3000  # labelled documents that are trained on
-    bag: int = 12_288  # buckets, the fullest ones, of a training document: with ``sample`` the bound of what the driver receives
+    part_bytes: int = 16 << 20  # of the sample's bucket counts that the driver holds at once; one document's are 6 * 2**bits at most
     epochs: int = 12
     rate: float = 0.5
     seed: int = 7
@@ -81,36 +82,63 @@ def margins(blobs: list[bytes], weights: np.ndarray, params: SubwordParams) -> n
     return total / np.maximum(count, 1)
 
 
-def pack_counts(buckets: list[np.ndarray], most: int) -> bytes:
+def pack_counts(buckets: list[np.ndarray]) -> bytes:
     """Sparse bucket shares: the buckets as 2-byte numbers, then their shares as 4-byte floats."""
     every = np.concatenate(buckets)
     index, n = np.unique(every, return_counts=True)
-    if len(index) > most:
-        keep = np.sort(np.argsort(-n, kind="stable")[:most])
-        index, n = index[keep], n[keep]
     return index.astype("<u2").tobytes() + (n / max(1, len(every))).astype("<f4").tobytes()
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, params: SubwordParams) -> tuple[np.ndarray, float]:
-    """Stochastic gradient descent with adaptive rates; returns each bucket's number in the softmax and the bias."""
-    share = float((labels.sum() + 1) / (len(labels) + 2))
+#: A text's buckets and their shares, and its label.
+Bag = tuple[np.ndarray, np.ndarray, int]
+
+
+def bag_of(row, code: Callable[[object], int]) -> Bag:
+    raw, n = bytes(row["bag"]), len(row["bag"]) // 6
+    return np.frombuffer(raw, "<u2", n), np.frombuffer(raw, "<f4", n, 2 * n), code(row["_label"])
+
+
+def parts_of(sample: DataFrame, code: Callable[[object], int], part_bytes: int) -> Callable[[], Iterator[list[Bag]]]:
+    """A function that reads the written sample (_h, _label, bag) anew, a part of about ``part_bytes`` at a time. Parts and their order come from the hash _h, not from Spark's partitions."""
+    total = sample.agg(F.sum(F.length("bag"))).first()[0] or 0
+    n = 1 + int(total) // part_bytes
+    tables = [materialize(sample.where(F.pmod(F.xxhash64("_h"), F.lit(n)) == k), "bags") for k in range(n)] if n > 1 else [sample]
+    held: list[list[Bag]] = []
+
+    def read() -> Iterator[list[Bag]]:
+        if held:
+            yield held[0]
+            return
+        for table_ in tables:
+            part = [bag_of(r, code) for r in sorted(table_.collect(), key=lambda r: (r["_h"], r["_label"], bytes(r["bag"])))]
+            if n == 1:
+                held.append(part)
+            yield part
+            del part
+
+    return read
+
+
+def train(parts: Callable[[], Iterator[list[Bag]]], good: int, total: int, params: SubwordParams) -> tuple[np.ndarray, float]:
+    """Stochastic gradient descent with adaptive rates; returns each bucket's number in the softmax and the bias. ``good`` of ``total`` labels are 1."""
+    share = float((good + 1) / (total + 2))
     prior = float(np.log(share / (1 - share)))
-    if not len(labels) or labels.min() == labels.max():
+    if not 0 < good < total:
         return np.zeros(1 << params.bits, np.float32), prior
     draw = np.random.default_rng(params.seed)
     vectors = draw.normal(0, 0.1, (1 << params.bits, params.dim)).astype(np.float32)
     layer, bias = draw.normal(0, 0.1, (params.dim, 2)).astype(np.float32), np.array([0.0, prior], np.float32)
     seen_v, seen_l, seen_b = np.full(1 << params.bits, 1e-6, np.float32), np.full_like(layer, 1e-6), np.full_like(bias, 1e-2)
-    target = np.eye(2, dtype=np.float32)[labels]
+    target = np.eye(2, dtype=np.float32)
     for epoch in range(params.epochs):
         rate = np.float32(params.rate * (1 - epoch / params.epochs))
-        for i in draw.permutation(len(bags)):
-            index, weight = bags[i]
+        for part, i in ((part, i) for part in parts() for i in draw.permutation(len(part))):
+            index, weight, label = part[i]
             mine = vectors[index]
             mean = weight @ mine
             z = mean @ layer + bias
             p = np.exp(z - z.max())
-            g = p / p.sum() - target[i]
+            g = p / p.sum() - target[label]
             back = layer @ g
             step = np.outer(mean, g)
             seen_l += step * step
@@ -123,26 +151,22 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, params:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, params: SubwordParams) -> tuple[np.ndarray, float]:
-    """``labels``: rows (_id, _label) to learn from. Only a bounded sample's bucket counts reach the driver."""
+    """``labels``: rows (_id, _label) to learn from. Only a bounded sample's bucket counts reach the driver, in parts."""
     labels = materialize(labels, "labels")
     some = materialize(first_by_hash(labels, "_id", params.sample, labels.count()), "labelled")  # params.sample rows at most: safe to broadcast
 
     @pandas_udf(BinaryType())
     def bag(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            rows = [pack_counts([b for b, _ in buckets_of([t.encode("utf-8", "surrogatepass")], params)], params.bag) for t in batch]
+            rows = [pack_counts([b for b, _ in buckets_of([t.encode("utf-8", "surrogatepass")], params)]) for t in batch]
             yield pd.Series(rows, index=batch.index, dtype=object)
 
     rows = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).join(F.broadcast(some), "_id")
     bags = rows.select("_id", "_label", F.xxhash64("_text").alias("_order"), bag("_text").alias("bag"))
     once = bags.groupBy("_id").agg(F.first("_label").alias("_label"), F.min_by("bag", "_order").alias("bag"))  # of a repeated id one text
-    picked = once.collect()  # params.sample rows of params.bag entries at most
-    picked.sort(key=lambda r: (r["_label"], bytes(r["bag"])))  # the order of partitions must not matter
-    bags = []
-    for r in picked:
-        raw, n = bytes(r["bag"]), len(r["bag"]) // 6
-        bags.append((np.frombuffer(raw, "<u2", n).astype(np.int64), np.frombuffer(raw, "<f4", n, 2 * n)))
-    return train(bags, np.array([int(r["_label"]) for r in picked], np.int64), params)
+    sample = materialize(once.select(F.xxhash64("_id").alias("_h"), "_label", "bag"), "sample")  # params.sample rows at most
+    good, total = sample.agg(F.coalesce(F.sum("_label"), F.lit(0)), F.count(F.lit(1))).first()
+    return train(parts_of(sample, int, params.part_bytes), int(good), int(total), params)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", params: SubwordParams = SubwordParams()) -> DataFrame:
