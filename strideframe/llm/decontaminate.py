@@ -1,18 +1,20 @@
 """Benchmark decontamination by latent semantic retrieval (operator 8).
 
 Benchmark items are cut into passages and weighed by TF-IDF, with document frequencies counted over the whole
-corpus. A distributed randomised SVD of the passages gives a latent space. Every document is read in half
-overlapping windows; a window whose projection has enough cosine with a passage is a candidate. Candidates are
-checked by the longest common subsequence of words between the item and the words around the window, and by
+corpus. A distributed randomised SVD of the passages gives a latent space of fewer dimensions than passages, so that
+passages that share words share directions, and words that go together stand for each other: as many dimensions as
+keep ``energy`` of all passages and ``least_energy`` of each, so that a copy is always near its own passage. Every
+document is read in half overlapping windows; a window whose projection has enough cosine with a passage's is a
+candidate; what lies outside the space counts against it, half at most. Candidates are checked by the longest common subsequence of words between the item and the words around the window, and by
 the answer (the item's answer column, else its last third): an item leaks if most of it is there in order, or
 a good part of it together with the answer. So copies and paraphrases that change or drop words are caught.
 
 Words are lower-cased runs of letters, digits and non-ASCII characters; in scripts without spaces each character is a
 word. A word that the benchmark lacks lies outside the latent space and weighs nothing: it neither adds to a window's
 cosine nor lowers it, so the search finds the same leaks in a large corpus as in a small one. A latent space spans a
-block of ``block`` items and at most ``rank`` passages (or one longer item), which its rank covers. The documents are
-read twice for every ``blocks`` blocks, which is what bounds the broadcast and the driver's memory however large the
-benchmark is. Items of fewer than ``least_words`` words say too little for a latent search and are found as exact
+block of ``block`` items and at most ``passages`` passages (or one longer item). The documents are read twice for every
+``blocks`` blocks, and what is found is written before the next, which is what bounds the broadcasts and the memory of
+driver and tasks however large the benchmark is. Items of fewer than ``least_words`` words say too little for a latent search and are found as exact
 runs of words in the same pass.
 
 Cases: null and empty texts and items, and items without words, leak nothing. Very long texts are read whole. Repeated
@@ -38,13 +40,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType
 
-from strideframe.llm.common import PUNCTUATION, fields, hash_words, materialize, table, whole
+from strideframe.llm.common import PUNCTUATION, fields, hash_words, materialize, packed, table, unpacked, whole
 
 
 @dataclass(frozen=True)
 class LatentParams:
     window: int = 24  # words of a passage, and of a window; windows begin every half of it
-    rank: int = 512  # at most, and passages of a block, so that the rank covers them
+    passages: int = 512  # of a block
+    energy: float = 0.8  # share of all passages' squared length that the latent space keeps
+    least_energy: float = 0.5  # of each passage's
     oversample: int = 16
     rounds: int = 4  # power iterations
     cosine: float = 0.3
@@ -97,7 +101,8 @@ class Index:
 
     vocabulary: np.ndarray  # sorted word hashes
     weight: np.ndarray  # by word; last, for words outside, zero
-    scores: np.ndarray  # word x passages: the word's weighted latent vector times the passage's unit one; last row zero
+    latent: np.ndarray  # word x dimensions: the word's weighted latent vector; last row zero
+    passages: np.ndarray  # dimensions x passages: the passages' unit latent vectors
     item: np.ndarray  # of each passage
     names: list  # of the items
     words: list[list[int]]
@@ -188,6 +193,13 @@ def build_indexes(docs: DataFrame, text_col: str, blocks: list[list[tuple]], par
     return [build_index(docs.sparkSession, block, words, (every, df, n), params) for block, words in zip(blocks, split, strict=True) if any(map(len, words))]
 
 
+def dimensions(projected: np.ndarray, params: LatentParams) -> int:
+    """The fewest leading dimensions that keep enough of all passages (columns, of length 1 before they were projected) and of each."""
+    kept = np.cumsum(projected**2, axis=0)
+    enough = (kept.mean(axis=1) >= params.energy * kept[-1].mean()) & (kept.min(axis=1) >= min(params.least_energy, kept[-1].min()) - 1e-12)
+    return int(np.argmax(enough)) + 1
+
+
 def build_index(spark: SparkSession, block: list[tuple], words: list[np.ndarray], counted: tuple, params: LatentParams) -> Index:
     every, df, n = counted
     vocabulary = np.unique(np.concatenate(words))
@@ -202,18 +214,19 @@ def build_index(spark: SparkSession, block: list[tuple], words: list[np.ndarray]
             value = tf * idf[index]
             rows.append((index.tolist(), (value / np.linalg.norm(value)).tolist()))
             item.append(i)
-    scores = np.zeros((len(vocabulary) + 1, len(rows)), np.float32)
+    latent, projected = np.zeros((len(vocabulary) + 1, 0), np.float32), np.zeros((0, 0))
     if rows:
         matrix = spark.createDataFrame(rows, "index array<long>, value array<double>")
-        v = randomised_svd(matrix, len(vocabulary), min(params.rank, len(rows)), params)
+        v = randomised_svd(matrix, len(vocabulary), len(rows), params)
         projected = np.stack([np.asarray(value) @ v[index] for index, value in rows], axis=1)
-        projected /= np.maximum(np.linalg.norm(projected, axis=0), 1e-9)
-        scores[:-1] = v * idf[:-1, None] @ projected
+        r = dimensions(projected, params)
+        projected = projected[:r] / np.maximum(np.linalg.norm(projected[:r], axis=0), 1e-9)
+        latent = np.append(v[:, :r] * idf[:-1, None], np.zeros((1, r)), axis=0)
     answers = []
     for w, (_, _, answer) in zip(words, block, strict=True):
         own = words_of([answer])[0].tolist() if answer else []
         answers.append(own or w[len(w) - (len(w) + 2) // 3 :].tolist())
-    return Index(vocabulary, idf.astype(np.float32), scores, np.array(item, np.int64), [name for name, _, _ in block], [w.tolist() for w in words], answers)
+    return Index(vocabulary, idf.astype(np.float32), latent.astype(np.float32), projected.astype(np.float32), np.array(item, np.int64), [name for name, _, _ in block], [w.tolist() for w in words], answers)
 
 
 class Screen:
@@ -232,8 +245,8 @@ class Screen:
     def candidates(self, hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(text, first word of the window in the text, passage, cosine).
 
-        The cosine is of the window's words in the benchmark; windows without such words are passed over, the others are
-        projected a bounded number at a time."""
+        The cosine is of the window's words in the benchmark, in the latent space; windows without such words are passed
+        over, the others are projected a bounded number at a time."""
         x, w = self.index, self.params.window
         step = w // 2
         codes = x.codes(hashes).astype(np.int32)
@@ -251,10 +264,10 @@ class Screen:
             mine = codes[np.where(at < offsets[text[part] + 1, None], at, len(codes) - 1)]  # past the text's end: a word outside
             again = (mine[:, :, None] == mine[:, None, :]).sum(axis=2)  # a word's squared weight counts once for each time it is said
             norms = np.sqrt(np.maximum((x.weight[mine].astype(np.float64) ** 2 * again).sum(axis=1), 1e-12)).astype(np.float32)
-            cosine = np.zeros((len(part), x.scores.shape[1]), np.float32)
+            place = np.zeros((len(part), x.latent.shape[1]), np.float32)
             for k in range(w):
-                cosine += x.scores[mine[:, k]]
-            cosine /= norms[:, None]
+                place += x.latent[mine[:, k]]
+            cosine = place @ x.passages / np.maximum(np.linalg.norm(place, axis=1), norms / 2)[:, None]
             for i, q in zip(*np.nonzero(cosine >= self.params.cosine), strict=True):
                 yield int(text[part[i]]), int(within[part[i]]), int(q), float(cosine[i, q])
 
@@ -315,7 +328,7 @@ def leaks_in(text: Column, indexes_of, params: LatentParams) -> Column:
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | None, params: LatentParams) -> Iterator[list[tuple]]:
-    """The items (name, text, answer), at most ``block`` and, unless one alone has more, ``rank`` passages at a time on the driver."""
+    """The items (name, text, answer), at most ``block`` and, unless one alone has more, ``passages`` passages at a time on the driver."""
     answer = F.col(answer_col) if answer_col else F.lit("")
     block: list[tuple] = []
     passages = 0
@@ -323,7 +336,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, answer_col: st
     for r in items.orderBy("id", "text").toLocalIterator():
         words = words_of([r["text"]])[0]
         n = len(windows_of(words, params.window)) if len(words) >= params.least_words else 0
-        if block and (len(block) == params.block or passages + n > params.rank):
+        if block and (len(block) == params.block or passages + n > params.passages):
             yield block
             block, passages = [], 0
         block.append((r["name"], r["text"], r["answer"]))
@@ -333,29 +346,44 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, answer_col: st
 
 
 def passes(docs: DataFrame, text_col: str, blocks: Iterator[list[tuple]], params: LatentParams) -> Iterator:
-    """Broadcast indexes, of ``params.blocks`` blocks at a time."""
-    while some := list(islice(blocks, params.blocks)):
+    """Broadcast indexes, of ``params.blocks`` blocks at a time, and whether they are the last; the broadcast before is given up then."""
+    some, held = list(islice(blocks, params.blocks)), None
+    while some:
+        more = list(islice(blocks, params.blocks))
+        if held is not None:
+            held.unpersist()
         indexes = build_indexes(docs, text_col, some, params)
         if indexes:
-            yield docs.sparkSession.sparkContext.broadcast(indexes)
+            held = docs.sparkSession.sparkContext.broadcast(indexes)
+            yield held, not more
+        some = more
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, params: LatentParams = LatentParams()) -> DataFrame:
     """id, item id, cosine, share (of the item's words in order), answer and word: one row for each leak."""
     kind = dict(benchmark.dtypes)[item_col]
     out = docs.select(F.col(id_col), F.lit(None).cast(kind).alias(item_col), *[F.lit(None).cast(t).alias(c) for c, t in (("cosine", "double"), ("share", "double"), ("answer", "double"), ("word", "int"))]).limit(0)
-    for indexes in passes(docs, text_col, item_blocks(benchmark, item_col, item_text_col, answer_col, params), params):
+    for indexes, last in passes(docs, text_col, item_blocks(benchmark, item_col, item_text_col, answer_col, params), params):
         found = docs.select(F.col(id_col).alias("_id"), F.explode(leaks_in(whole(text_col), indexes, params)).alias("f"))
-        out = out.union(found.select("_id", F.col("f.item").cast(kind), "f.cosine", "f.share", "f.answer", "f.word"))
+        found = found.select("_id", F.col("f.item").cast(kind).alias("item"), "f.cosine", "f.share", "f.answer", "f.word")
+        out = out.union(found if last else materialize(found, "leaks"))
     return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, params: LatentParams = LatentParams()) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with their columns; nothing is shuffled."""
-    out = docs
-    for indexes in passes(docs, text_col, item_blocks(benchmark, item_col, item_text_col, answer_col, params), params):
-        out = out.where(F.size(leaks_in(whole(text_col), indexes, params)) == 0)
-    return out
+    """The rows of ``docs`` that hold no item, with their columns. One pass filters as it reads and shuffles nothing; where the
+    benchmark needs several, rows get numbers in a written table and each pass writes the numbers of those it rejects."""
+    rows, rejected = None, None
+    for indexes, last in passes(docs, text_col, item_blocks(benchmark, item_col, item_text_col, answer_col, params), params):
+        if rows is None and last:
+            return docs.where(F.size(leaks_in(whole(text_col), indexes, params)) == 0)
+        if rows is None:
+            rows = materialize(docs.select(packed(docs), F.monotonically_increasing_id().alias("_n"), whole(text_col).alias("_text")), "numbered")
+        leaking = materialize(rows.where(F.size(leaks_in(F.col("_text"), indexes, params)) > 0).select("_n"), "rejected")
+        rejected = leaking if rejected is None else rejected.union(leaking)
+    if rows is None:
+        return docs
+    return rows.join(rejected.hint("merge"), "_n", "left_anti").select(*unpacked(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -126,6 +126,12 @@ SAID = "First of all, a paragraph that says, at length, what is what.\nSecond, a
         ("<div>Some text without any paragraph, broken<br>by breaks</div>", "Some text without any paragraph, broken by breaks"),
         ("<svg><text>x</text></svg><p>A<script>if (a<b) {}</script>B</p><p>C<textarea>t</textarea>", "AB\nC"),
         ("<!-- a > b --!><p>After a comment<!-->, seen</p><!-- open", "After a comment, seen"),
+        ("<body><div><section><p>One, of three.</p></section><section><p>Two, of three.</p></section><section><p>Three, of three.</p></section></div><nav>m</nav>", "One, of three.\nTwo, of three.\nThree, of three."),
+        (f"<main><article>{ARTICLE}</article><article><p>Another, second article, as long.</p></article></main><footer>f</footer>", SAID + "\nAnother, second article, as long."),
+        (f"<article>{ARTICLE}<p>Press <button>Start</button> now</p></article><button>Sign in</button>", SAID + "\nPress Start now"),
+        (f"<article>{ARTICLE}<menu><li>One<li>Two</menu><svg><title>t</title><text>Drawn</text></svg><noscript><p>Without scripts</p></noscript></article><menu><li>Home</menu><noscript>Turn on scripts</noscript>", SAID + "\nOne\nTwo\nDrawn\nWithout scripts"),
+        (f"<article>{ARTICLE}<p class='social'>A social science text.</p><p class='ad'>Buy</p></article>", SAID + "\nA social science text."),
+        ("<article>" + "<div>" * 400 + "<p>Deep, in the tree</p>" + "</div>" * 400 + "<p>After, on top</p></article>", "Deep, in the tree\nAfter, on top"),
     ],
 )
 def test_html_as_browsers_read_it(page, text):
@@ -136,8 +142,8 @@ def test_html_takes_time_in_proportion():
     """No kind of page is quadratic: eight times the page takes far less than 64 times as long."""
     import time
 
-    kinds = ("<i>", "<div>", "</b>", "<a b='", "<tr></tr>", "<p class='x\">", "<", "<!--", "<ul><li><div>")
-    pages = [lambda n: "<i>" * n + "</b>" * n, lambda n: "<b><div>" + "<i>" * n + "</b>" * n, lambda n: "<div>" * n + "<tr></tr>" * n, *[lambda n, k=k: k * n for k in kinds]]
+    kinds = ("<i>", "<div>", "</b>", "<a b='", "<tr></tr>", "<li><ul>", "<p class='x\">", "<", "<!--", "<ul><li><div>")
+    pages = [lambda n: "<i>" * n + "</b>" * n, lambda n: "<b><div>" + "<i>" * n + "</b>" * n, lambda n: "<div>" * n + "<tr></tr>" * n, lambda n: "<li><ul>" + "<div>" * n + "<li></li>" * n, lambda n: "<div>" * n + "</p>" * n, *[lambda n, k=k: k * n for k in kinds]]
     for page in pages:
         took = []
         for n in (2500, 20_000):
@@ -298,14 +304,57 @@ def test_first_by_hash(spark):
     assert [r.k for r in first_by_hash(df, "k", 100, 5000).collect()] == want and first_by_hash(df, "k", 9000, 5000).count() == 5000
 
 
-def test_trained_bags_are_bounded_and_repeated_ids_count_once(spark):
-    p = quality_classifier.SubwordParams(bag=50, sample=40)
+def test_parts_are_bounded_and_repeated_ids_count_once(spark):
+    p = quality_classifier.SubwordParams(part_bytes=20_000, sample=40)
     rows = [(i // 3, "good words here " * 30 if i // 3 % 2 else " ".join(f"bad{i}x{k}" for k in range(400))) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
     a, b = ({(r.doc_id, round(r.score, 6)) for r in quality_classifier.score_documents(docs.repartition(n), labels, params=p).collect()} for n in (1, 7))
     assert a == b and all((score > 0.5) == bool(i % 2) for i, score in a)
-    assert len(quality_classifier.pack_counts([np.arange(1000), np.array([3, 3, 7])], 50)) == 6 * 50
+    sample = spark.createDataFrame([(i, i % 2, bytearray(quality_classifier.pack_counts([np.arange(100 + i), np.array([3, 3, 7])]))) for i in range(50)], "_h long, _label int, bag binary")
+    read = quality_classifier.parts_of(sample, int, 5000)
+    parts = list(read())
+    assert len(parts) > 3 and sum(map(len, parts)) == 50 and max(sum(6 * len(b[0]) for b in part) for part in parts) < 15_000
+    index, weight, _ = parts[0][0]
+    assert len(index) >= 100 and weight.sum() == pytest.approx(1) and [len(x) for x in parts] == [len(x) for x in read()]
+
+
+def plain_training(texts, labels, p):
+    """The same descent with dictionaries of dense vectors, one text after another."""
+    draw = np.random.default_rng(p.seed)
+    vectors = draw.normal(0, 0.1, (1 << p.bits, p.dim)).astype(np.float32).astype(float)
+    layer, bias = draw.normal(0, 0.1, (p.dim, 2)).astype(np.float32).astype(float), np.array([0.0, math.log((sum(labels) + 1) / (len(labels) - sum(labels) + 1))])
+    seen_v, seen_l, seen_b = np.full(1 << p.bits, 1e-6), np.full((p.dim, 2), 1e-6), np.full(2, 1e-2)
+    for epoch in range(p.epochs):
+        rate = p.rate * (1 - epoch / p.epochs)
+        for i in draw.permutation(len(texts)):
+            dense = np.bincount(np.concatenate([b for b, _ in quality_classifier.buckets_of([texts[i]], p)]), minlength=1 << p.bits).astype(float)
+            dense /= dense.sum()
+            mean = dense @ vectors
+            e = np.exp(mean @ layer + bias)
+            g = e / e.sum() - np.eye(2)[labels[i]]
+            back = layer @ g
+            seen_l += np.outer(mean, g) ** 2
+            layer = layer - rate * np.outer(mean, g) / np.sqrt(seen_l)
+            seen_b += g**2
+            bias = bias - 0.1 * rate * g / np.sqrt(seen_b)
+            seen_v += dense**2 * (back @ back)
+            vectors -= rate * (dense / np.sqrt(seen_v))[:, None] * back
+    return lambda text: (lambda d: (d / max(1, d.sum()) @ vectors @ layer + bias))(np.bincount(np.concatenate([b for b, _ in quality_classifier.buckets_of([text], p)]), minlength=1 << p.bits).astype(float))
+
+
+def test_classifier_against_plain_descent(spark):
+    p = quality_classifier.SubwordParams(bits=10, dim=4, epochs=3)
+    draw = random.Random(2)
+    texts = [" ".join(draw.choice("good fine nice well done".split() if i % 2 else "spam buy cheap now free".split()) for _ in range(12)) for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality_classifier.score_documents(docs, labels, params=p).collect()}
+    learnt = [r.doc_id for r in docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).orderBy(F.xxhash64("doc_id")).collect()]
+    model = plain_training([texts[i].encode() for i in learnt], [i % 2 for i in learnt], p)
+    for i, text in enumerate(texts):
+        z = model(text.encode())
+        assert got[i] == pytest.approx(1 / (1 + math.exp(z[0] - z[1])), abs=2e-3)
 
 
 # -- 6 simhash -----------------------------------------------------------------------------------------
@@ -464,7 +513,7 @@ def test_leaks_are_found_however_large_the_corpus(spark, monkeypatch):
 
 def test_item_blocks_fit_the_rank(spark):
     bench = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(n))) for i, n in enumerate((60, 60, 60, 500, 10))], "item_id long, text string")
-    blocks = list(decontaminate.item_blocks(bench, "item_id", "text", None, decontaminate.LatentParams(rank=6)))
+    blocks = list(decontaminate.item_blocks(bench, "item_id", "text", None, decontaminate.LatentParams(passages=6)))
     assert [[i for i, _, _ in b] for b in blocks] == [["0", "1"], ["2"], ["3"], ["4"]]
 
 
@@ -519,7 +568,51 @@ def test_leaks(spark, sf, docs, odd):
     assert decontaminate.find_leaks(odd, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
     assert decontaminate.drop_leaks(odd, bench).count() == odd.count() and decontaminate.find_leaks(docs.limit(0), bench).count() == 0
     blocks = decontaminate.LatentParams(block=40, blocks=2)  # several latent spaces, and several passes
-    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench, params=blocks).collect()} >= exact
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench, params=blocks).collect()}
+    assert found >= exact
+    kept = decontaminate.drop_leaks(df, bench, params=blocks)
+    assert kept.columns == df.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in df.collect() if r.doc_id not in {d for d, _ in found})
+    everything = decontaminate.drop_leaks(odd, bench, params=blocks)
+    assert everything.columns == odd.columns and everything.count() == odd.count()
+
+
+def test_latent_space_is_smaller_than_the_passages(spark, sf, docs):
+    """Passages share directions: cosines differ from those of plain TF-IDF, yet each passage is near itself."""
+    params = decontaminate.LatentParams()
+    (block,) = decontaminate.item_blocks(spark.read.parquet(f"{sf}/benchmark.parquet"), "item_id", "text", None, params)
+    (x,) = decontaminate.build_indexes(docs, "text", [block], params)
+    r, n = x.passages.shape
+    assert r <= 0.8 * n and x.latent.shape == (len(x.vocabulary) + 1, r)
+    hashes, offsets = decontaminate.words_of([t for _, t, _ in block])
+    plain, k = [], 0
+    for a, b in zip(offsets, offsets[1:], strict=False):
+        codes = x.codes(hashes[a:b])
+        for c, d in decontaminate.windows_of(codes, params.window) if b - a >= params.least_words else ():
+            plain.append(np.bincount(codes[c:d], minlength=len(x.vocabulary)) * x.weight[:-1])
+            own = plain[-1] @ (x.latent[:-1] / x.weight[:-1, None]) @ x.passages
+            assert own[k] / np.linalg.norm(plain[-1]) >= params.least_energy**0.5 - 1e-3
+            k += 1
+    plain = np.stack(plain) / np.linalg.norm(plain, axis=1, keepdims=True)
+    assert np.abs(x.passages.T @ x.passages - plain @ plain.T).max() > 0.05
+
+
+def test_words_that_go_together_stand_for_each_other(spark, monkeypatch):
+    """Two words that all passages use in the same company: a text with the one is near passages with the other."""
+    draw, company = random.Random(5), [f"c{i}" for i in range(12)]
+    texts = [" ".join(draw.sample(company, 9) + [word] * 2 + [f"own{k}"]) for k, word in enumerate(["car", "auto"] * 20)]
+    rows = [(sorted(range(len(t.split()))), None) for t in texts]
+    words = sorted({w for t in texts for w in t.split()})
+    at = {w: i for i, w in enumerate(words)}
+    rows = []
+    for t in texts:
+        c = collections.Counter(at[w] for w in t.split())
+        norm = math.sqrt(sum(v * v for v in c.values()))
+        rows.append((sorted(c), [c[i] / norm for i in sorted(c)]))
+    v = decontaminate.randomised_svd(spark.createDataFrame(rows, "index array<long>, value array<double>"), len(words), len(rows), decontaminate.LatentParams())
+    r = decontaminate.dimensions(np.stack([np.asarray(b) @ v[a] for a, b in rows], axis=1), decontaminate.LatentParams())
+    cosine = lambda a, b: a @ b / (np.linalg.norm(a) * np.linalg.norm(b))
+    assert r < len(rows) / 2
+    assert cosine(v[at["c0"], :r], v[at["c1"], :r]) > 0.3 + abs(cosine(v[at["c0"]], v[at["c1"]]))
 
 
 def test_svd(spark):
