@@ -5,7 +5,7 @@ corpus. A distributed randomised SVD of the passages gives a latent space of few
 passages that share words share directions, and words that go together stand for each other: as many dimensions as
 keep ``energy`` of all passages and ``least_energy`` of each, so that a copy is always near its own passage. Every
 document is read in half overlapping windows; a window whose projection has enough cosine with a passage's is a
-candidate; what lies outside the space counts against it, half at most. Candidates are checked by the longest common subsequence of words between the item and the words around the window, and by
+candidate; what lies outside the space counts against it. Candidates are checked by the longest common subsequence of words between the item and the words around the window, and by
 the answer (the item's answer column, else its last third): an item leaks if most of it is there in order, or
 a good part of it together with the answer. So copies and paraphrases that change or drop words are caught.
 
@@ -267,7 +267,7 @@ class Screen:
             place = np.zeros((len(part), x.latent.shape[1]), np.float32)
             for k in range(w):
                 place += x.latent[mine[:, k]]
-            cosine = place @ x.passages / np.maximum(np.linalg.norm(place, axis=1), norms / 2)[:, None]
+            cosine = place @ x.passages / norms[:, None]
             for i, q in zip(*np.nonzero(cosine >= self.params.cosine), strict=True):
                 yield int(text[part[i]]), int(within[part[i]]), int(q), float(cosine[i, q])
 
