@@ -1,20 +1,22 @@
 """Quality rules with risk-controlled thresholds (operator 10).
 
-Each rule rejects a document whose ratio exceeds a cutoff. Labelled documents are the holdout: for each
-stratum and rule the cutoffs of a fixed grid are tested from the mildest down, each by an exact
-(Clopper-Pearson) upper bound on the share of good documents that it would reject. Testing stops at the
-first cutoff that fails, so the sequence needs no further correction; the level is divided by the number
-of strata and rules (Bonferroni) and the allowed share by the number of rules, so that with probability
-``1 - delta`` no stratum loses more than ``alpha`` of its good documents. Among certified cutoffs the one
-with the best balance of bad and good rejections is taken. A stratum with too few labels gets no cutoff.
-
-With the default risk a rule needs some ``ln(strata * rules / delta) / (alpha / rules)`` good labelled documents in a
-stratum, about 600 for four strata, even if it rejects none of them; below that the base rule alone decides there.
-``calibrate`` returns which strata and rules have a cutoff.
+Each rule rejects a document whose ratio exceeds a cutoff. Labelled documents are the holdout. In each stratum a third of
+them, chosen by a hash of the id, draws a path of combined settings: no cutoffs at first, then at each step the cutoff of
+one rule a notch stricter, the notch that catches most of the bad for what it costs of the good; notches that catch none
+are not taken. The other two thirds test the settings of this path, one after another, each by an exact
+(Clopper-Pearson) upper bound on the share of good documents that all its rules together would reject. Testing stops at
+the first setting that fails, so the sequence needs no further correction and the allowed share is not divided among the
+rules; the level is divided by the number of strata (Bonferroni), so that with probability ``1 - delta`` no stratum loses
+more than ``alpha`` of its good documents. Among certified settings the one with the best balance of bad and good
+rejections is taken.
+
+A setting is certified with ``ln(strata / delta) / alpha`` good labelled documents that it does not reject, about 86 of the
+test part for four strata. ``calibrate`` returns a row for every stratum with labels: its certified setting, or none, in
+which case the base rule alone decides there.
 
 Cases: a null text has no words (base_failed). Very long texts are measured whole. Null strata form a stratum of their
 own, beside the empty string's. Repeated ids are judged row by row; a label with a null or other value than 0 and 1 is
-unused; contradicting labels of one id count as good (the cautious reading). Of equally good cutoffs the mildest is
+unused; contradicting labels of one id count as good (the cautious reading). Of equally good settings the mildest is
 taken. Empty tables give empty results. Extra columns are ignored, and filtering keeps them, whatever their names.
 """
 
@@ -50,6 +52,7 @@ class RiskParams:
     delta: float = 0.05  # probability that the guarantee fails anywhere
     grid: tuple[float, ...] = tuple(round(1.25**-k, 6) for k in range(-6, 25))  # cutoffs, mildest first
     good_cost: float = 20.0  # a good document lost weighs as much as so many bad ones caught
+    seed: int = 10  # of the hash that draws the paths' labels
 
 
 def measure_text(text: str) -> tuple[int, ...]:
@@ -134,28 +137,56 @@ def upper_bound(bad: int, n: int, level: float) -> float:
     return high
 
 
-CUTOFF = "stratum string, rule string, cutoff double, good long, good_rejected long, bad long, bad_rejected long"
+#: A stratum's setting: the cutoff of each rule that has one, and what it rejects of the labelled documents it was tested on.
+SETTING = "stratum string, cutoffs map<string,double>, good long, good_rejected long, bad long, bad_rejected long"
+PATH = "stratum string, rule string, notch int, step int"
 
 
-def select_cutoffs(rows: pd.DataFrame, strata: int, params: RiskParams) -> pd.DataFrame:
-    """The certified cutoff of each rule of one stratum, from rows of stratum, rule, first (the mildest cutoff that rejects), good and bad."""
-    level, share = params.delta / (max(1, strata) * len(RULES)), params.alpha / len(RULES)
-    out = []
+def draw_path(rows: pd.DataFrame, params: RiskParams) -> pd.DataFrame:
+    """The path of one stratum, from rows of stratum, rule, first (the mildest notch that rejects), good and bad: which notch of which rule comes at which step.
+
+    A ladder of cutoffs a rule; the next step is the top of the ladder, or the run of notches from it, with the most bad
+    documents for each good one, counted twice for caution; good documents may be lost up to twice the allowed share."""
+    last, out = len(params.grid), []
+    counts, total = {}, 0
     for rule, mine in rows.groupby("rule"):
-        n = np.zeros((2, len(params.grid) + 1), np.int64)
+        n = np.zeros((2, last + 1), np.int64)
         np.add.at(n[0], mine["first"], mine["good"])
         np.add.at(n[1], mine["first"], mine["bad"])
-        good, bad = (int(x.sum()) for x in n)
+        counts[rule], total = n, int(n[0].sum())
+    at, lost = dict.fromkeys(counts, 0), 0
+    while True:
         best = None
-        for cut, (good_cut, bad_cut) in enumerate(np.cumsum(n, axis=1).T[: len(params.grid)].tolist()):
-            if not good or tail(good_cut, good, share) > level:  # its upper bound is above the allowed share
-                break
-            gain = bad_cut / max(1, bad) - params.good_cost * good_cut / good
-            if gain > 0 and (best is None or gain > best[0] + 1e-12):
-                best = (gain, (rows["stratum"].iloc[0], rule, params.grid[cut], good, good_cut, bad, bad_cut))
-        if best:
-            out.append(best[1])
-    return pd.DataFrame(out, columns=[x.split()[0] for x in CUTOFF.split(", ")])
+        for rule in sorted(counts):
+            good, bad = np.cumsum(counts[rule][:, at[rule] : last], axis=1)
+            for k in np.flatnonzero(bad > 0):
+                worth = bad[k] / (2 * good[k] + 1)
+                if best is None or worth > best[0] + 1e-12:
+                    best = (worth, rule, int(at[rule] + k), int(good[k]))
+        if best is None or lost + best[3] > 2 * params.alpha * total:
+            return pd.DataFrame(out, columns=[x.split()[0] for x in PATH.split(", ")])
+        _, rule, notch, good = best
+        out.append((rows["stratum"].iloc[0], rule, notch, len(out)))
+        at[rule], lost = notch + 1, lost + good
+
+
+def select_setting(rows: pd.DataFrame, strata: int, params: RiskParams) -> pd.DataFrame:
+    """The certified setting of one stratum, from rows of stratum, step (the first that rejects; null if none does), good, bad and path."""
+    path = sorted((p["step"], p["rule"], p["notch"]) for p in rows["path"].iloc[0]) if rows["path"].iloc[0] is not None else []
+    n = np.zeros((2, len(path) + 1), np.int64)
+    step = rows["step"].fillna(len(path)).astype(int)
+    np.add.at(n[0], step, rows["good"])
+    np.add.at(n[1], step, rows["bad"])
+    good, bad = (int(x.sum()) for x in n)
+    best = None
+    for k, (good_cut, bad_cut) in enumerate(np.cumsum(n, axis=1).T[: len(path)].tolist()):
+        if not good or tail(good_cut, good, params.alpha) > params.delta / max(1, strata):  # its upper bound is above the allowed share
+            break
+        gain = bad_cut / max(1, bad) - params.good_cost * good_cut / good
+        if gain > 0 and (best is None or gain > best[0] + 1e-12):
+            best = (gain, k, good_cut, bad_cut)
+    cutoffs = {} if best is None else {rule: params.grid[notch] for _, rule, notch in path[: best[1] + 1]}  # of a rule's notches the last
+    return pd.DataFrame([(rows["stratum"].iloc[0], cutoffs, good, 0 if best is None else best[2], bad, 0 if best is None else best[3])], columns=[x.split()[0] for x in SETTING.replace("<string,double>", "").split(", ")])
 
 
 def stratum_of(column: Column) -> Column:
@@ -164,29 +195,31 @@ def stratum_of(column: Column) -> Column:
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, id_col: str, params: RiskParams) -> DataFrame:
-    """stratum, rule and certified cutoff, with what it rejects of the labelled documents. ``measured``: _id, _stratum, m.
+    """stratum, its certified setting (no cutoffs if there is none), and what that rejects of the tested labels. ``measured``: _id, _stratum, m.
 
-    Counts cover all labelled documents; a stratum's rows (rules x (grid + 1) at most) are one group, and no stratum reaches the driver."""
+    Counts cover all labelled documents; a stratum's rows (rules x notches, then steps of the path) are one group, and no stratum reaches the driver."""
     truth = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").alias("_good"))
     grid = F.array(*[F.lit(x) for x in params.grid])
-    rules = F.array(*[F.struct(F.lit(r).alias("rule"), ratio(r).alias("value")) for r in RULES])
-    rows = (
-        measured.where(~base_failed()).select("_id", F.col("_stratum").alias("stratum"), "m")
-        .join(truth.hint("merge"), "_id").select("stratum", "_good", F.explode(rules).alias("r"))
-        # The number of grid cutoffs that the value does not exceed: it is rejected by every cut from there on.
-        .select("stratum", "_good", "r.rule", F.size(F.filter(grid, lambda c: c >= F.col("r.value"))).alias("first"))
-        .groupBy("stratum", "rule", "first").agg(F.sum("_good").cast("long").alias("good"), F.sum(1 - F.col("_good")).cast("long").alias("bad"))
-    )
-    rows = materialize(rows, "rejections")
-    strata = rows.select("stratum").distinct().count()
-    chosen = rows.groupBy("stratum").applyInPandas(lambda mine: select_cutoffs(mine, strata, params), CUTOFF)
-    return materialize(chosen, "cutoffs")
-
-
-def with_rejections(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    counts = [F.sum("_good").cast("long").alias("good"), F.sum(1 - F.col("_good")).cast("long").alias("bad")]
+    rows = measured.where(~base_failed()).select("_id", F.col("_stratum").alias("stratum"), "m").join(truth.hint("merge"), "_id")
+    # The number of grid cutoffs that the value does not exceed: it is rejected by every notch from there on.
+    mildest = lambda value: F.size(F.filter(grid, lambda c: c >= value)).alias("first")
+    notch = F.array(*[F.struct(F.lit(r).alias("rule"), mildest(ratio(r))) for r in sorted(RULES)])
+    marked = materialize(rows.select("stratum", "_good", (F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit(params.seed)), F.lit(3)) == 0).alias("_draws"), notch.alias("_notches")), "labelled")
+    drawn = marked.where("_draws").select("stratum", "_good", F.explode("_notches").alias("r")).groupBy("stratum", "r.rule", "r.first").agg(*counts)
+    path = materialize(drawn.groupBy("stratum").applyInPandas(lambda mine: draw_path(mine, params), PATH), "path")
+    by = path.groupBy("stratum").agg(F.collect_list(F.struct("step", "rule", "notch")).alias("path"))  # as many entries as rules x notches at most
+    by = materialize(by, "paths")
+    tested = marked.where("NOT _draws").join(by.hint("broadcast" if by.count() <= 1000 else "merge"), "stratum", "left")
+    first = F.array_min(F.transform(F.filter("path", lambda p: F.exists("_notches", lambda r: (r["rule"] == p["rule"]) & (r["first"] <= p["notch"]))), lambda p: p["step"]))
+    steps = materialize(tested.select("stratum", "_good", first.alias("step")).groupBy("stratum", "step").agg(*counts), "steps").join(by.hint("merge"), "stratum", "left")
+    strata = marked.select("stratum").distinct().count()
+    return materialize(steps.groupBy("stratum").applyInPandas(lambda mine: select_setting(mine, strata, params), SETTING), "settings")
+
+
+def with_rejections(measured: DataFrame, settings: DataFrame) -> DataFrame:
     """Adds rejected_by, the names of the rules that reject the row."""
-    by = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cuts"))  # as many entries as rules
-    by = materialize(by.withColumnRenamed("stratum", "_stratum"), "strata")
+    by = materialize(settings.select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cuts")), "strata")
     small = by.count() <= 1000
     joined = measured.join(by.hint("broadcast" if small else "merge"), "_stratum", "left")
     rejects = F.array(*[F.when(ratio(r) > F.col("_cuts")[r], F.lit(r)) for r in sorted(RULES)])
