@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from strideframe.functions.fold import fold
+from strideframe.functions.blocks import by_frame, in_blocks, settled
+from strideframe.functions.fold import Carried, Machine, fold
 from strideframe.functions.geometry import clamp, hull_vertices
 from strideframe.params import LIMBS, ContactParams
 
 STATE = StructType([StructField("contact_on", IntegerType()), StructField("contact_type", StringType()), StructField("contact_hold", StringType())])
 
 
-class ContactStep:
-    """One limb's state: (on, frames since, pending, type, hold). Inputs: limb, distance, speed, body scale, z, target."""
+class ContactStep(Machine):
+    """One limb's state: (on, frames since up to min_on, pending, type, hold). Inputs: limb, distance, speed, body scale, z, target."""
 
     def __init__(self, params: ContactParams = ContactParams()):
         self.p = params
 
+    def entries(self):
+        n = max(1, self.p.min_on)
+        return [(False, 0, k, "none", None) for k in range(n)] + [(True, k, 0, Carried(3), Carried(4)) for k in range(n + 1)]
+
+    def entry(self, state):
+        on, since, pending, *_ = state
+        return max(1, self.p.min_on) + since if on else pending
+
     def __call__(self, state, row):
         limb, dist, speed, scale, z, target = row
         p = self.p
@@ -29,7 +38,7 @@ class ContactStep:
         near = dist is not None and dist <= p.r_on * scale and still
         away = dist is not None and dist >= p.r_off * scale
         if on:
-            since += 1
+            since = min(since + 1, max(1, p.min_on))
             if since >= p.min_on and away and not smear:
                 on, since, pending, kind, hold = False, 0, 0, "none", None
             else:
@@ -72,11 +81,12 @@ def signature() -> Column:
 
 
 def technique(frames: DataFrame) -> DataFrame:
-    """bicycle, back_flag and drop_knee of each frame."""
+    """bicycle, back_flag and drop_knee of each frame; an unknown speed counts as 0."""
     on = lambda p: F.coalesce(F.col(f"{p}_contact_on") != 0, F.lit(False))
     both = on("left_foot") & on("right_foot")
     same = F.col("left_foot_contact_hold").eqNullSafe(F.col("right_foot_contact_hold"))
-    bicycle = F.when(both & same & F.col("left_foot_vx").isNotNull() & F.col("right_foot_vx").isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(F.col("left_foot_vx") + F.col("right_foot_vx")))).otherwise(0.0)
+    vx = lambda p: F.coalesce(F.col(f"{p}_vx"), F.lit(0.0))
+    bicycle = F.when(both & same, F.greatest(F.lit(0.0), 1 - F.abs(vx("left_foot") + vx("right_foot")))).otherwise(0.0)
     side = lambda p: F.signum(F.col(f"{p}_x") - F.col("hip_center_x"))
     flag = F.when(F.coalesce((side("left_foot") == side("right_foot")) & (side("left_foot") != 0), F.lit(False)), 0.5).otherwise(0.0)
     drop = lambda s: F.least(F.lit(1.0), F.abs(F.col(f"{s}_foot_x") - F.col(f"{s}_knee_x")) / (F.abs(F.col("hip_center_x") - F.col(f"{s}_foot_x")) + 1e-6))
@@ -112,6 +122,5 @@ def overlay(frames: DataFrame, min_detection: float = 0.3) -> DataFrame:
 
 def com_trail(frames: DataFrame, length: int = 12) -> DataFrame:
     """Of each frame with a known centre of mass the last ``length`` such points, oldest first."""
-    w = Window.partitionBy("video_id").orderBy("frame_index").rowsBetween(1 - length, 0)
-    known = frames.where(F.col("com_x").isNotNull() & F.col("com_y").isNotNull())
-    return known.withColumn("com_trail", F.collect_list(F.struct("com_x", "com_y")).over(w))
+    known = settled(frames, com_x=F.col("com_x"), com_y=F.col("com_y")).where(F.col("com_x").isNotNull() & F.col("com_y").isNotNull())
+    return in_blocks(known, lambda f: f.withColumn("com_trail", F.collect_list(F.struct("com_x", "com_y")).over(by_frame().rowsBetween(1 - length, 0))), length - 1)

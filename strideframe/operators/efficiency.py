@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions.geometry import hull_distance
 from strideframe.operators.segments import within
-from strideframe.operators.kinematics import by_frame
+from strideframe.functions.blocks import by_frame, in_blocks
 from strideframe.params import JOINTS, LIMBS, StepWeights
 
 
@@ -66,6 +66,32 @@ def band(score: Column) -> Column:
     return F.when(score >= 0.8, "excellent").when(score >= 0.6, "good").when(score >= 0.4, "moderate").when(score >= 0.2, "poor").otherwise("very_poor")
 
 
+def rolling_score(frames: DataFrame, window: int = 5) -> DataFrame:
+    """Adds the five parts and the score over each frame and the ``window - 1`` before it."""
+    last, pairs = by_frame().rowsBetween(1 - window, 0), by_frame().rowsBetween(2 - window, 0)
+    bend = [F.abs(F.col(j)) for j in JOINTS]
+    joints = sum((F.coalesce(b, F.lit(0.0)) for b in bend[1:]), F.coalesce(bend[0], F.lit(0.0)))
+    known = sum((b.isNotNull().cast("int") for b in bend[1:]), bend[0].isNotNull().cast("int"))
+    same = [F.col(f"{p}_target").eqNullSafe(F.lag(f"{p}_target").over(by_frame())).cast("int") for p in LIMBS]
+
+    def scored(rows: DataFrame) -> DataFrame:
+        later = F.row_number().over(by_frame()) > 1
+        rows = rows.select("*", joints.alias("_j"), known.alias("_jn"), F.when(later, sum(same[1:], same[0])).alias("_same"), F.when(later, F.lit(len(LIMBS))).alias("_all"))
+        spread = F.var_pop("com_perp_wall").over(last)
+        contact = F.sum("_same").over(pairs) / F.sum("_all").over(pairs) if window > 1 else F.lit(None).cast("double")
+        return rows.select(
+            "*", F.coalesce(F.avg("detection_score").over(last), F.lit(0.0)).alias("detection"), F.coalesce(1 - F.sum("_j").over(last) / (F.sum("_jn").over(last) * 180.0), F.lit(0.5)).alias("joint"),
+            F.when(F.count("com_perp_wall").over(last) >= 2, 1 / (1 + spread / F.greatest(spread, F.lit(1e-6)))).otherwise(0.5).alias("com"), F.coalesce(contact, F.lit(0.5)).alias("contact"),
+            F.coalesce(1 - F.col("hip_alignment_error") / 90.0, F.lit(0.5)).alias("hip"),
+        ).drop("_j", "_jn", "_same", "_all")
+
+    return in_blocks(frames, scored, max(1, window - 1)).withColumn("score", five_parts())
+
+
+def five_parts() -> Column:
+    return 0.3 * F.col("detection") + 0.2 * F.col("joint") + 0.2 * F.col("com") + 0.2 * F.col("contact") + 0.1 * F.col("hip")
+
+
 def recent_score(frames: DataFrame, window: int = 5) -> DataFrame:
     """The five-part score of each video's last ``window`` frames."""
     back = Window.partitionBy("video_id").orderBy(F.desc("frame_index"))
@@ -82,4 +108,4 @@ def recent_score(frames: DataFrame, window: int = 5) -> DataFrame:
         F.when(F.count("com_perp_wall") >= 2, 1 / (1 + spread / F.greatest(spread, F.lit(1e-6)))).otherwise(0.5).alias("com"),
         F.coalesce(F.sum("_same") / F.sum("_all"), F.lit(0.5)).alias("contact"), F.coalesce(1 - F.max_by("hip_alignment_error", "frame_index") / 90.0, F.lit(0.5)).alias("hip"),
     )
-    return out.withColumn("score", 0.3 * F.col("detection") + 0.2 * F.col("joint") + 0.2 * F.col("com") + 0.2 * F.col("contact") + 0.1 * F.col("hip"))
+    return out.withColumn("score", five_parts())

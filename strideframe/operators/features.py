@@ -4,41 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from strideframe.functions.fold import fold
+from strideframe.functions.blocks import by_frame, in_blocks
+from strideframe.functions.fold import Smoothing, Total, fold
 from strideframe.functions.geometry import distance
 from strideframe.functions.ranks import hinted
 from strideframe.functions.tables import stored
 from strideframe.operators.nearby import nearest
+from strideframe.operators.wall import device_angle
 from strideframe.params import INCLINATIONS, JOINTS, LANDMARKS, MASS, TOUCHING, TRACKED
 
 FRAME = ["video_id", "frame_index"]
 SMOOTHED = StructType([StructField(f"s_{c}", DoubleType()) for c in ("x", "y", "z", "visibility")])
 
 
-class Smoother:
-    """State: the last run and the last smoothed values."""
-
-    def __init__(self, alpha: float):
-        self.alpha = alpha
-
-    def __call__(self, state, row):
-        run, *now = row
-        a = self.alpha
-        if state is not None and state[0] == run and 0 < a < 1:
-            now = [a * x + (1 - a) * p for x, p in zip(now, state[1], strict=True)]
-        return (run, now), now
-
-
 def smooth(landmarks: DataFrame, alpha: float = 0.6) -> DataFrame:
-    """Exponential smoothing by landmark position; starts anew after a frame without landmarks or with another number of them."""
+    """Exponential smoothing by landmark position; starts anew after a frame without landmarks or with another number of them.
+    An unknown value is unknown until the next start."""
     per_frame = landmarks.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("video_id").orderBy("frame_index")
-    broken = ~(F.lag("frame_index").over(w).eqNullSafe(F.col("frame_index") - 1) & F.lag("n").over(w).eqNullSafe(F.col("n")))
-    runs = per_frame.withColumn("_b", broken.cast("int")).select(*FRAME, F.sum("_b").over(w).alias("run"))
-    joined = landmarks.join(runs.hint("merge"), FRAME)
-    return fold(joined, ["video_id", "pos"], ["frame_index"], ["run", "x", "y", "z", "visibility"], SMOOTHED, Smoother(alpha)).drop("run")
+    broken = ~(F.lag("frame_index").over(by_frame()).eqNullSafe(F.col("frame_index") - 1) & F.lag("n").over(by_frame()).eqNullSafe(F.col("n")))
+    marked = in_blocks(per_frame, lambda f: f.select(*FRAME, broken.cast("bigint").alias("_b")), 1)
+    runs = fold(marked, ["video_id"], ["frame_index"], ["_b"], StructType([StructField("run", LongType())]), Total()).drop("_b")
+    joined = landmarks.join(stored(runs, "runs").hint("merge"), FRAME)
+    return fold(joined, ["video_id", "pos"], ["frame_index"], ["run", "x", "y", "z", "visibility"], SMOOTHED, Smoothing(alpha)).drop("run")
 
 
 def detection_score(landmarks: DataFrame, visibility: str = "visibility") -> DataFrame:
@@ -53,6 +42,12 @@ def pivot(landmarks: DataFrame) -> DataFrame:
     return rows.select(*FRAME, "ts", "detection_score", "landmark_count", *[F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in LANDMARKS for c in ("x", "y", "z", "visibility")])
 
 
+def visible(frames: DataFrame, least: float = 0.2) -> DataFrame:
+    """Pivoted frames without the places of landmarks that are seen less well; what is not known to be seen counts as seen."""
+    hidden = lambda n: F.coalesce(F.col(f"{n}_visibility") < least, F.lit(False))
+    return frames.withColumns({f"{n}_{c}": F.when(~hidden(n), F.col(f"{n}_{c}")) for n in LANDMARKS for c in "xyz"})
+
+
 def _at(name: str) -> list[Column]:
     return [F.col(f"{name}_{c}") for c in "xyz"]
 
@@ -100,9 +95,9 @@ def body_features(frames: DataFrame, sessions: DataFrame | None = None, wall_ang
     return out if wall_angle is None else wall_alignment(out, wall_angle)
 
 
-def resolve_wall_angle(*angles: Column) -> Column:
-    """The given angle, else the device's, else the one seen in the image."""
-    return F.coalesce(*angles)
+def resolve_wall_angle(given: Column, quaternion: Column, angles: Column, seen: Column) -> Column:
+    """The given angle, else the device's (from its quaternion or else its pitch, roll and yaw), else the one seen in the image."""
+    return F.coalesce(given, device_angle(quaternion, angles)[0], seen)
 
 
 def wall_alignment(frames: DataFrame, wall_angle: Column) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from strideframe.functions.fold import fold
-from strideframe.operators.kinematics import by_frame
+from strideframe.functions.fold import Carried, Machine, bound, fold
+from strideframe.functions.blocks import by_frame
 
 BY_VIDEO = "video_id"
 
@@ -76,14 +76,31 @@ def diverse(frames: DataFrame, threshold: float = 0.8, gap: int = 5, least: floa
     return fold(frames, ["video_id"], ["frame_index"], ["frame_index", "landmarks"], KEEP, Diverse(threshold, gap, least))
 
 
-class Apart:
+class Apart(Machine):
+    """State: the last kept frame. It matters up to a block's first kept frame, which is among the first ``gap`` and one more:
+    the summary is the last kept frame for each of them."""
+
     def __init__(self, gap: int):
         self.gap = gap
 
     def __call__(self, state, row):
         (frame,) = row
-        keep = state is None or frame - state >= self.gap
-        return (frame if keep else state), (keep,)
+        keep = state is None or frame - state[0] >= self.gap
+        return ((frame,) if keep else state), (keep,)
+
+    def summary(self, rows):
+        heads, last, opened = [], [], True
+        for k, (frame,) in enumerate(rows):
+            first = frame if k == 0 else first
+            last = [frame if frame - x >= self.gap else x for x in last]
+            if opened:
+                heads.append(frame)
+                last.append(frame)
+                opened = frame - first < self.gap - 1
+        return list(zip(heads, last, strict=True))
+
+    def after(self, summary, state):
+        return next(((last,) for head, last in summary if head - state[0] >= self.gap), state)
 
 
 def spaced(frames: DataFrame, gap: int = 5) -> DataFrame:
@@ -113,8 +130,8 @@ def limb_velocity(landmarks: DataFrame, least: float = 0.5) -> DataFrame:
     return out.withColumn("velocity", F.greatest(*[F.col(f"{n}_velocity") for n in FASTEST]))
 
 
-class Moments:
-    """State: velocity before, whether holding, since when."""
+class Moments(Machine):
+    """State: velocity before, whether holding, since when. After a block's first frame the velocity is known."""
 
     def __init__(self, spike: float, low: float, frames: int):
         self.spike, self.low, self.n = spike, low, frames
@@ -124,11 +141,21 @@ class Moments:
         if state is None:
             return (now, False, 0), (None,)
         old, holding, begun = state
+        i_held = None if isinstance(begun, Carried) else i - begun
         if old > self.spike and now < self.low:
             return (now, True, i), ("contact",)
         if holding and old < self.low and now > self.spike:
-            return (now, False, begun), ("release" if i - begun >= self.n else None,)
-        return (now, holding, begun), ("middle" if holding and i - begun == self.n // 2 else None,)
+            return (now, False, begun), ("release" if i_held is not None and i_held >= self.n else None,)
+        return (now, holding, begun), ("middle" if holding and i_held == self.n // 2 else None,)
+
+    def summary(self, rows):
+        first = next(rows)
+        return first, self.lead([(first[1], holding, Carried(2)) for holding in (False, True)], rows)
+
+    def after(self, summary, state):
+        first, leads = summary
+        state = self(state, first)[0]
+        return bound(leads[state[1]], state)
 
 
 def contact_moments(velocities: DataFrame, spike: float = 0.05, low: float = 0.01, frames: int = 3) -> DataFrame:

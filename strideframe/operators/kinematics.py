@@ -1,25 +1,25 @@
-"""Velocity, acceleration, jerk and the derived per-frame series. All lags share one window: one shuffle, one sort."""
+"""Velocity, acceleration, jerk and the derived per-frame series. All lags share one shuffle and sort, by blocks of a video."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideframe.functions.blocks import by_frame, in_blocks
 from strideframe.params import LIMBS
 
-def by_frame() -> WindowSpec:
-    """Made on call: workers import these modules without a session."""
-    return Window.partitionBy("video_id").orderBy("frame_index")
-
 
 def derivatives(frames: DataFrame, fps: float | Column = 25.0, points: tuple[str, ...] = ("com", *LIMBS)) -> DataFrame:
     """vx, vy, speed, ax, ay, accel, jx, jy, jerk of each point ``{p}_x, {p}_y``; null where a side is null."""
     rate = fps if isinstance(fps, Column) else F.lit(float(fps))
-    out = frames
-    for old, new in (("{p}_{c}", "{p}_v{c}"), ("{p}_v{c}", "{p}_a{c}"), ("{p}_a{c}", "{p}_j{c}")):
-        out = out.select("*", *[((F.col(old.format(p=p, c=c)) - F.lag(old.format(p=p, c=c)).over(by_frame())) * rate).alias(new.format(p=p, c=c)) for p in points for c in "xy"])
+
+    def lags(out: DataFrame) -> DataFrame:
+        for old, new in (("{p}_{c}", "{p}_v{c}"), ("{p}_v{c}", "{p}_a{c}"), ("{p}_a{c}", "{p}_j{c}")):
+            out = out.select("*", *[((F.col(old.format(p=p, c=c)) - F.lag(old.format(p=p, c=c)).over(by_frame())) * rate).alias(new.format(p=p, c=c)) for p in points for c in "xy"])
+        return out
+
     size = lambda p, k: F.hypot(F.col(f"{p}_{k}x"), F.col(f"{p}_{k}y"))
-    return out.select("*", *[size(p, k).alias(f"{p}_{name}") for p in points for k, name in (("v", "speed"), ("a", "accel"), ("j", "jerk"))])
+    return in_blocks(frames, lags, 3).select("*", *[size(p, k).alias(f"{p}_{name}") for p in points for k, name in (("v", "speed"), ("a", "accel"), ("j", "jerk"))])
 
 
 SELECTOR_JOINTS = ("left_shoulder", "right_shoulder", "left_elbow", "right_elbow", "left_wrist", "right_wrist")
@@ -28,9 +28,13 @@ SELECTOR_JOINTS = ("left_shoulder", "right_shoulder", "left_elbow", "right_elbow
 def selector_kinematics(frames: DataFrame, fps: float = 30.0) -> DataFrame:
     """Velocity and acceleration of the six upper-body joints; zero where the point before is missing."""
     cols = [f"{j}_{c}" for j in SELECTOR_JOINTS for c in "xy"]
-    out = frames.select("*", *[F.coalesce((F.col(c) - F.lag(c).over(by_frame())) * fps, F.lit(0.0)).alias(f"{c}_vel") for c in cols])
     there = F.row_number().over(by_frame()) > 1
-    return out.select("*", *[F.when(there & F.col(c).isNotNull(), (F.col(f"{c}_vel") - F.lag(f"{c}_vel", 1, 0.0).over(by_frame())) * fps).otherwise(0.0).alias(f"{c}_acc") for c in cols])
+
+    def lags(rows: DataFrame) -> DataFrame:
+        out = rows.select("*", *[F.coalesce((F.col(c) - F.lag(c).over(by_frame())) * fps, F.lit(0.0)).alias(f"{c}_vel") for c in cols])
+        return out.select("*", *[F.when(there & F.col(c).isNotNull(), (F.col(f"{c}_vel") - F.lag(f"{c}_vel", 1, 0.0).over(by_frame())) * fps).otherwise(0.0).alias(f"{c}_acc") for c in cols])
+
+    return in_blocks(frames, lags, 2)
 
 
 def first_hold_distances(frames: DataFrame, holds: DataFrame, n: int = 4) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions.ranks import medians
 from strideframe.functions.tables import stored
-from strideframe.operators.kinematics import by_frame
+from strideframe.functions.blocks import by_frame
 
 
 def annotation_counts(annotations: DataFrame, splits: tuple[str, ...], kinds: tuple[str, ...]) -> DataFrame:
@@ -32,6 +32,19 @@ def pool(rows: DataFrame, key: str, time: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max(time).alias("latest")).orderBy(F.desc("latest"), key)
 
 
+def key_frame_pool(frames: DataFrame, metadata: DataFrame, key: str = "video_id", time: str = "created_at") -> DataFrame:
+    """Of each video of the pool its selected frames, first frame and metadata, the newest first. frames: key, path, chosen;
+    metadata: key, time, hold_colour, route_difficulty, a row for each video of the pool; those without chosen frames count 0."""
+    chosen = frames.where("chosen").groupBy(key).agg(F.count(F.lit(1)).alias("selected_frames"), F.min("path").alias("first_frame"))
+    rows = metadata.select(key, time, "hold_colour", "route_difficulty").join(chosen.hint("merge"), key, "left")
+    return rows.withColumn("selected_frames", F.coalesce("selected_frames", F.lit(0))).orderBy(F.desc_nulls_last(time), key)
+
+
+def pool_totals(pool: DataFrame) -> DataFrame:
+    """One row: videos and selected frames of a key-frame pool."""
+    return pool.agg(F.count(F.lit(1)).alias("video_count"), F.coalesce(F.sum("selected_frames"), F.lit(0)).alias("frame_count"))
+
+
 def progress(frames: DataFrame, key: str = "session_id") -> DataFrame:
     """frames, labelled frames, segments and whole percent."""
     out = frames.groupBy(key).agg(F.count(F.lit(1)).alias("frames"), F.sum((F.col("segments") > 0).cast("bigint")).alias("labelled"), F.sum("segments").alias("segments"))

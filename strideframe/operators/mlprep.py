@@ -8,8 +8,9 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideframe.functions.blocks import by_frame, in_blocks, numbered
 from strideframe.functions.ranks import hinted, running
-from strideframe.operators.kinematics import by_frame
+from strideframe.functions.tables import stored
 from strideframe.params import LIMBS
 
 VECTOR_JOINTS = ("left_wrist", "right_wrist", "left_ankle", "right_ankle", "left_hip", "right_hip", "left_shoulder", "right_shoulder")
@@ -29,7 +30,8 @@ def next_action(frames: DataFrame, ahead: int = 5) -> DataFrame:
     """Adds action: 1 to 4 for the limb whose hold first changes to another within the next frames, 0 if none does or too few remain."""
     holds = F.array(*[F.col(f"{p}_contact_hold") for p in LIMBS])
     later = F.collect_list(F.struct("frame_index", holds.alias("h"))).over(by_frame().rowsBetween(1, ahead))
-    rows = frames.withColumn("_later", later).withColumn("_now", holds).withColumn("_enough", F.lead("frame_index", ahead).over(by_frame()).isNotNull())
+    enough = F.lead("frame_index", ahead).over(by_frame()).isNotNull()
+    rows = in_blocks(frames, lambda f: f.select("*", later.alias("_later"), enough.alias("_enough")), 0, ahead).withColumn("_now", holds)
     moved = lambda h, i: h["h"][i].isNotNull() & ~h["h"][i].eqNullSafe(F.col("_now")[i])
     limb = lambda h: F.coalesce(*[F.when(moved(h, i), F.lit(i + 1)) for i in range(len(LIMBS))])
     found = F.filter(F.transform("_later", limb), lambda x: x.isNotNull())
@@ -39,18 +41,24 @@ def next_action(frames: DataFrame, ahead: int = 5) -> DataFrame:
 def windows(frames: DataFrame, size: int = 32, stride: int = 1, values: tuple[str, ...] = ("vector",), efficiency: str | None = None, label: str | None = None) -> DataFrame:
     """Full windows: start_frame, end_frame, centre (start + size // 2), arrays of ``values``, mean efficiency, label at the last frame."""
     ahead = by_frame().rowsBetween(0, size - 1)
-    out = [F.col("frame_index").alias("start_frame"), F.lead("frame_index", size - 1).over(by_frame()).alias("end_frame"), (F.row_number().over(by_frame()) - 1).alias("_k"), *[F.collect_list(v).over(ahead).alias(v) for v in values]]
+    out = [F.lead("frame_index", size - 1).over(by_frame()).alias("end_frame"), *[F.collect_list(v).over(ahead).alias(f"_{v}") for v in values]]
+    names = list(values)
     if efficiency:
-        out.append(F.avg(efficiency).over(ahead).alias("efficiency"))
+        out.append(F.avg(efficiency).over(ahead).alias("_efficiency"))
+        names.append("efficiency")
     if label:
-        out.append(F.lead(label, size - 1).over(by_frame()).alias("label"))
-    rows = frames.select("video_id", *out).where(F.col("end_frame").isNotNull() & (F.col("_k") % stride == 0)).drop("_k")
-    return rows.withColumn("centre_frame", F.col("start_frame") + size // 2)
+        out.append(F.lead(label, size - 1).over(by_frame()).alias("_label"))
+        names.append("label")
+    placed = numbered(frames) if stride > 1 else frames
+    rows = in_blocks(placed, lambda f: f.select("*", *out), 0, size - 1).where("end_frame IS NOT NULL")
+    if stride > 1:
+        rows = rows.where(F.col("_k") % stride == 0)
+    return rows.select("video_id", F.col("frame_index").alias("start_frame"), "end_frame", *[F.col(f"_{n}").alias(n) for n in names], (F.col("frame_index") + size // 2).alias("centre_frame"))
 
 
 def ordered_split(df: DataFrame, order: list[str], shares: tuple[float, ...] = (0.7, 0.2, 0.1), names: tuple[str, ...] = ("train", "validation", "test"), parts: int = 64) -> DataFrame:
     """Adds split by global position, cut at whole rows: ranges of the order are numbered apart, then shifted by the rows before them."""
-    sorted_ = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    sorted_ = stored(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")  # once: a second exchange would draw other bounds
     counts = sorted_.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))  # one row a range
     rows = sorted_.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).join(F.broadcast(before), "_part")  # parts rows

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideframe.functions.blocks import settled
 from strideframe.functions.geometry import clamp, distance, point_in_polygon, segment_distance
 from strideframe.functions.tables import stored
 from strideframe.operators.efficiency import scale, support_points
@@ -12,12 +13,6 @@ from strideframe.operators.nearby import hold_blocks, nearest
 from strideframe.params import LIMBS, PlannerParams
 
 
-def settled(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns behind a generator, so that the optimiser computes each once and does not copy it into every use."""
-    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made")
-    return df.select("*", made).select(*df.columns, *[F.col(f"_made.{n}").alias(n) for n in columns])
-
-
 def hold_score(distance_: Column, hold_id: Column, used: Column) -> Column:
     free = F.when(F.coalesce(F.array_contains(used, hold_id), F.lit(False)), 0.0).otherwise(1.0)
     return 0.7 * (1 - F.least(distance_, F.lit(1.0))) + 0.3 * free

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from strideframe.functions.fold import fold
-from strideframe.operators.kinematics import by_frame
+from strideframe.functions.fold import Machine, fold
+from strideframe.functions.blocks import by_frame, in_blocks
 from strideframe.params import JOINTS, LIMBS
 
 
@@ -22,7 +22,7 @@ def motion(frames: DataFrame, joints: tuple[str, ...] = tuple(JOINTS), targets:
     for t in targets:
         changed = changed | ~F.col(t).eqNullSafe(F.lag(t).over(by_frame()))
     first = F.row_number().over(by_frame()) == 1
-    return frames.select("*", F.when(n > 0, total / n).otherwise(0.0).alias("motion_score"), (~first & changed).alias("hold_changed"))
+    return in_blocks(frames, lambda f: f.select("*", F.when(n > 0, total / n).otherwise(0.0).alias("motion_score"), (~first & changed).alias("hold_changed")), 1)
 
 
 def activity_scores(frames: DataFrame, hold_bonus: float = 0.12) -> DataFrame:
@@ -39,18 +39,21 @@ def thresholds(scored: DataFrame, percentile: float = 75.0, least: float = 0.05,
     return scored.groupBy("video_id").agg(F.greatest(F.lit(least), F.max(value) if given is not None else value).alias("threshold"))
 
 
-class Sustain:
-    """State: label, frames of movement and of rest in a row. Output: where the new segment begins, at a flip."""
+class Sustain(Machine):
+    """State: label, frames of movement and of rest in a row, up to ``frames``. Output: where the new segment begins, at a flip."""
 
     def __init__(self, frames: int):
         self.n = frames
 
+    def entries(self):
+        return [(label, *run) for label in ("movement", "rest") for k in range(self.n + 1) for run in dict.fromkeys([(k, 0), (0, k)])]
+
     def __call__(self, state, row):
         frame, label = row
         if state is None:
             return (label, 0, 0), (None,)
         current, active, rest = state
-        active, rest = (active + 1, 0) if label == "movement" else (0, rest + 1)
+        active, rest = (min(active + 1, self.n), 0) if label == "movement" else (0, min(rest + 1, self.n))
         if label != current and max(active, rest) >= self.n:
             return (label, active, rest), (frame - self.n + 1,)
         return (current, active, rest), (None,)
@@ -80,8 +83,11 @@ def activity_segments(scored: DataFrame, limits: DataFrame, min_duration: float
 CUT = StructType([StructField("cut", BooleanType()), StructField("from_index", LongType()), StructField("open_index", LongType())])
 
 
-class StepCut:
-    """State: start and its time of the open step, whether any step ended. A step ends at a candidate frame."""
+class StepCut(Machine):
+    """State: start and its time of the open step, whether any step ended. A step ends at a candidate frame. Times rise with frames.
+
+    What enters a block matters up to the block's first cut alone, which comes within ``max_duration`` or never: its summary
+    is the state in which each candidate of that time leaves the block if it is the first cut."""
 
     def __init__(self, min_frames: int, max_duration: float):
         self.min_frames, self.max_duration = min_frames, max_duration
@@ -91,10 +97,33 @@ class StepCut:
         if state is None:
             return (frame, ts, False), (False, frame, frame)
         start, began, some = state
-        if candidate and (frame - start >= self.min_frames or not some) and max(0.0, ts - began) <= self.max_duration:
+        if candidate and self.cuts(state, frame, ts):
             return (frame, ts, True), (True, start, frame)
         return state, (False, start, start)
 
+    def cuts(self, state, frame, ts):
+        start, began, some = state
+        return (frame - start >= self.min_frames or not some) and max(0.0, ts - began) <= self.max_duration
+
+    def summary(self, rows):
+        heads, open_, until = [], {}, None  # open_: of each state the heads that have come to it
+        for frame, ts, candidate in rows:
+            until = ts + self.max_duration if until is None else until
+            if not candidate:
+                continue
+            moved = {}
+            for state, mine in open_.items():
+                moved.setdefault((frame, ts, True) if self.cuts(state, frame, ts) else state, []).extend(mine)
+            if ts <= until:
+                moved.setdefault((frame, ts, True), []).append(len(heads))
+                heads.append((frame, ts))
+            open_ = moved
+        left = {h: state for state, mine in open_.items() for h in mine}
+        return [(*head, left[k]) for k, head in enumerate(heads)]
+
+    def after(self, summary, state):
+        return next((left for frame, ts, left in summary if self.cuts(state, frame, ts)), state)
+
 
 def contact_steps(rows: DataFrame, fps: float = 25.0, min_duration: float = 0.2, max_duration: float = 4.0) -> DataFrame:
     """video_id, step_id, start_index, end_index, start_time, end_time: a step ends where one limb's contact changes with two in support."""

@@ -46,4 +46,4 @@ def device_angle(quaternion: Column, angles: Column) -> tuple[Column, Column, Co
     pitch = F.when(has_q & ok_q, pitch).when(~has_q & ok_e, F.get(angles, F.lit(0)))
     roll = F.when(has_q & ok_q, roll).when(~has_q & ok_e, F.get(angles, F.lit(1)))
     method = F.when(has_q, F.when(ok_q, "imu_sensor").otherwise("imu_error")).when(has_e, F.when(ok_e, "imu_sensor").otherwise("imu_error")).otherwise("imu_missing")
-    return F.least(F.abs(pitch), F.lit(180.0)), F.when(pitch.isNull(), 0.0).when(F.abs(roll) > 45, 0.7).otherwise(1.0), method
+    return F.when(pitch.isNotNull(), F.least(F.abs(pitch), F.lit(180.0))), F.when(pitch.isNull(), 0.0).when(F.abs(roll) > 45, 0.7).otherwise(1.0), method

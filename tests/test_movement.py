@@ -6,9 +6,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strideframe.functions.fold import Smoothing
 from strideframe.functions.geometry import hull_distance, point_in_polygon
 from strideframe.operators import contacts, features, frames, grading, holds, mlprep, recommend, segments
 from strideframe.params import LIMBS, ContactParams, PlannerParams
@@ -18,11 +20,10 @@ from strideframe.streaming import live
 
 
 def test_smoothing_golden():
-    s = features.Smoother(0.5)
-    state, _ = s(None, (0, 0.2, 0.2, 0.0, 0.8))
-    _, out = s(state, (0, 0.4, 0.4, 0.0, 0.95))
-    assert out[0] == pytest.approx(0.3) and out[3] == pytest.approx(0.875)
-    assert s(state, (1, 0.4, 0.4, 0.0, 0.95))[1][0] == 0.4  # another run starts anew
+    columns = [pa.array(c) for c in ([0, 0, 1], [0.2, 0.4, 0.4], [0.2, 0.4, 0.4], [0.0, 0.0, 0.0], [0.8, 0.95, 0.95])]
+    _, out = Smoothing(0.5).run(None, columns)
+    assert out[0][1] == pytest.approx(0.3) and out[3][1] == pytest.approx(0.875)
+    assert out[0][2] == 0.4  # another run starts anew
 
 
 def test_contact_golden():
