@@ -170,3 +170,17 @@ def com_trail(spark, sf_dir):
     out = contacts.com_trail(bodies(spark, sf_dir))
     total = lambda c: F.round(F.aggregate("com_trail", F.lit(0.0), lambda s, q: s + q[c]), 6)
     return out.select("video_id", "frame_index", F.size("com_trail").cast("bigint").alias("trail_length"), total("com_x").alias("trail_x"), total("com_y").alias("trail_y"))
+
+
+_SHOWN = ", ".join(f"CASE WHEN {n}_visibility >= 0.5 THEN {n}_{c} END AS {n}_{c}" for n in LANDMARKS for c in "xy")
+_WEIGHED = {c: "(" + " + ".join(f"coalesce({w} * {n}_{c}, 0)" for n, w in MASS.items()) + ") / (" + " + ".join(f"CASE WHEN {n}_{c} IS NULL THEN 0 ELSE {w} END" for n, w in MASS.items()) + ")" for c in "xy"}
+
+
+@query("visible_overlay", sql("pose_frames landmarks wide", f""", s AS (SELECT video_id, frame_index, {_SHOWN} FROM wide WHERE detection_score >= 0.3)
+SELECT video_id, frame_index, round({_WEIGHED["x"]}, 6) AS com_x, round({_WEIGHED["y"]}, 6) AS com_y,
+  round(least(1, abs(90 - abs(degrees(atan2((left_hip_y + right_hip_y) / 2 - (left_shoulder_y + right_shoulder_y) / 2, (left_hip_x + right_hip_x) / 2 - (left_shoulder_x + right_shoulder_x) / 2)))) / 60), 6) AS torso_tilt FROM s"""))
+def visible_overlay(spark, sf_dir):
+    """Centre of mass and tilt of well seen frames by well seen landmarks alone."""
+    seen = features.body_features(features.visible(frames(spark, sf_dir), 0.5))
+    off = seen.withColumns({f"{p}_on_hold": F.lit(0) for p in LIMBS})
+    return rounded(contacts.overlay(off).select("video_id", "frame_index", "com_x", "com_y", "torso_tilt"))

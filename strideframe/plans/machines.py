@@ -55,8 +55,8 @@ SELECT video_id, frame_index, {_ON} AS support_count, {", ".join(f"{p}_contact_{
 SIDE = "sign({p}_x - hip_center_x)"
 DROP = "least(1, abs({s}_foot_x - {s}_knee_x) / (abs(hip_center_x - {s}_foot_x) + 1e-6))"
 TECHNIQUE = f""", technique AS MATERIALIZED (SELECT slow.*, states.* EXCLUDE (video_id, frame_index),
-  CASE WHEN left_foot_contact_on = 1 AND right_foot_contact_on = 1 AND left_foot_contact_hold IS NOT DISTINCT FROM right_foot_contact_hold AND left_foot_vx IS NOT NULL
-       THEN greatest(0, 1 - abs(left_foot_vx + right_foot_vx)) ELSE 0 END::DOUBLE AS technique_bicycle,
+  CASE WHEN left_foot_contact_on = 1 AND right_foot_contact_on = 1 AND left_foot_contact_hold IS NOT DISTINCT FROM right_foot_contact_hold
+       THEN greatest(0, 1 - abs(coalesce(left_foot_vx, 0) + coalesce(right_foot_vx, 0))) ELSE 0 END::DOUBLE AS technique_bicycle,
   CASE WHEN {SIDE.format(p="left_foot")} = {SIDE.format(p="right_foot")} AND {SIDE.format(p="left_foot")} <> 0 THEN 0.5 ELSE 0 END::DOUBLE AS technique_back_flag,
   greatest({DROP.format(s="left")}, {DROP.format(s="right")})::DOUBLE AS technique_drop_knee
   FROM slow JOIN states USING (video_id, frame_index))"""
@@ -225,9 +225,18 @@ SELECT video_id, 'route_' || k::VARCHAR AS route_id, CASE WHEN k < {len(ROUTE_CO
 
 SQL["box_overlap"] = """WITH t AS MATERIALIZED (SELECT p_partkey // 20 AS video_id, f AS frame_index, p_partkey AS object_id, CAST(p_size AS DOUBLE) / 50 + ((p_partkey * 7 + f * 13) % 11 - 5) * 0.001::DOUBLE AS x,
   (CAST(p_retailprice AS DOUBLE) - floor(CAST(p_retailprice AS DOUBLE) / 100) * 100) / 100 + ((p_partkey * 5 + f * 17) % 13 - 6) * 0.001::DOUBLE AS y FROM part, (SELECT range AS f FROM range(40)) WHERE (p_partkey + f) % 5 <> 0),
-o AS (SELECT video_id, frame_index, a.object_id, c.object_id AS other_id, greatest(0, 0.05 - abs(a.x - c.x)) * greatest(0, 0.05 - abs(a.y - c.y)) AS i FROM t a JOIN t c USING (video_id, frame_index) WHERE a.object_id < c.object_id)
+g AS MATERIALIZED (SELECT *, CAST(floor(x / 0.05) AS BIGINT) AS cx, CAST(floor(y / 0.05) AS BIGINT) AS cy FROM t),
+n AS MATERIALIZED (SELECT video_id, frame_index, object_id, x, y, cx + dx AS cx, cy + dy AS cy FROM g, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy)),
+o AS (SELECT g.video_id, g.frame_index, g.object_id, n.object_id AS other_id, greatest(0, 0.05 - abs(g.x - n.x)) * greatest(0, 0.05 - abs(g.y - n.y)) AS i FROM g JOIN n USING (video_id, frame_index, cx, cy) WHERE g.object_id < n.object_id)
 SELECT video_id, frame_index, object_id, other_id, round(i / (0.005 - i), 6) AS iou FROM o WHERE i / (0.005 - i) > 0.000001"""
 
+_COVER = "greatest(0, least(a.{c}_center + a.{s} / 2, o.{c}_center + o.{s} / 2) - greatest(a.{c}_center - a.{s} / 2, o.{c}_center - o.{s} / 2))"
+SQL["detection_overlap"] = sql("detections", """, d AS MATERIALIZED (SELECT * EXCLUDE (width, height), row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS k, power(width, 3) * 100 AS width, power(height, 3) * 100 AS height FROM detections),
+o AS (SELECT a.video_id, a.frame_index, """ + _COVER.format(c="x", s="width") + " * " + _COVER.format(c="y", s="height") + """ AS i, a.width * a.height + o.width * o.height AS total FROM d a JOIN d o ON a.video_id = o.video_id AND a.frame_index = o.frame_index AND a.k < o.k)
+SELECT video_id, frame_index, count(*) AS pairs, round(sum(i / (total - i)), 6) AS overlap FROM o WHERE i / (total - i) >= 0.1 GROUP BY ALL""")
+
+SQL["route_grade_report"] = ("SELECT h.* , s.* EXCLUDE (video_id), r.* EXCLUDE (video_id), CAST(NULL AS DOUBLE) AS grade, 0::DOUBLE AS confidence, CAST(NULL AS VARCHAR) AS band FROM (" + rt.SQL["route_holds"] + ") h JOIN (" + rt.SQL["hold_spacing"] + ") s USING (video_id) JOIN (" + rt.SQL["route_steps"] + ") r USING (video_id)")
+
 # -- training data --------------------------------------------------------------------------------------
 
 _J = ("left_wrist", "right_wrist", "left_ankle", "right_ankle", "left_hip", "right_hip", "left_shoulder", "right_shoulder")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strideframe.functions.tables import stored
 from strideframe.operators import efficiency, features, frames, grading, holds, kinematics, labels, metrics, mlprep, segments, wall
 from strideframe.params import HOLD_TYPES, LIMBS
 from strideframe.plans import body as b
@@ -107,15 +108,17 @@ def density_clusters(spark, sf_dir):
 
 @query("box_overlap")
 def box_overlap(spark, sf_dir):
-    """H8: overlapping boxes of one frame, joined by video, frame and neighbouring grid cell."""
-    t = fx.tracked_boxes(spark, sf_dir)
-    cell = lambda c: F.floor(F.col(c) / 0.05)
-    a = t.select("video_id", "frame_index", "object_id", *[F.col(c).alias(f"a_{c}") for c in ("x_center", "y_center", "width", "height")], cell("x_center").alias("_x"), cell("y_center").alias("_y"))
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    c = t.select("video_id", "frame_index", F.col("object_id").alias("other_id"), *[F.col(c).alias(f"b_{c}") for c in ("x_center", "y_center", "width", "height")], F.explode(near).alias("_dx"))
-    c = c.withColumn("_dy", F.explode(near)).withColumn("_x", F.floor(F.col("b_x_center") / 0.05) + F.col("_dx")).withColumn("_y", F.floor(F.col("b_y_center") / 0.05) + F.col("_dy")).drop("_dx", "_dy")
-    pairs = a.join(c.hint("merge"), ["video_id", "frame_index", "_x", "_y"]).where(F.col("object_id") < F.col("other_id")).withColumn("iou", holds.iou("a_", "b_")).where(F.col("iou") > 0.000001)
-    return b.rounded(pairs.select("video_id", "frame_index", "object_id", "other_id", "iou"))
+    """H8: overlapping boxes of one frame."""
+    pairs = holds.overlaps(fx.tracked_boxes(spark, sf_dir), ("video_id", "frame_index"), "object_id").where(F.col("iou") > 0.000001)
+    return b.rounded(pairs.withColumnRenamed("other_object_id", "other_id"))
+
+
+@query("detection_overlap")
+def detection_overlap(spark, sf_dir):
+    """H8 on boxes of many sizes: how many detections of one frame cover each other by a tenth and more."""
+    sized = fx.detections(spark, sf_dir).withColumn("width", F.pow("width", 3) * 100).withColumn("height", F.pow("height", 3) * 100)
+    pairs = holds.overlaps(sized, ("video_id", "frame_index"), "det_id").where(F.col("iou") >= 0.1)
+    return pairs.groupBy("video_id", "frame_index").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("iou"), 6).alias("overlap"))
 
 
 @query("hold_tracks")
@@ -172,7 +175,7 @@ def wall_angle(spark, sf_dir):
 _S = "(2 * (e[1] * e[3] - e[4] * e[2]))"
 
 
-@query("device_angle", sql("pose_frames", f"SELECT vec_id, round(least(abs(CASE WHEN video_id % 3 = 0 THEN NULL WHEN abs({_S}) >= 1 THEN sign({_S}) * 90 ELSE degrees(asin({_S})) END), 180), 6) AS angle, CASE WHEN video_id % 3 = 0 THEN 0::DOUBLE WHEN abs(degrees(atan2(2 * (e[1]*e[2] + e[3]*e[4]), 1 - 2 * (e[2]**2 + e[3]**2)))) > 45 THEN 0.7::DOUBLE ELSE 1::DOUBLE END AS confidence, CASE WHEN video_id % 3 = 0 THEN 'imu_missing' ELSE 'imu_sensor' END AS method FROM pose_frames"))
+@query("device_angle", sql("pose_frames", f"SELECT vec_id, CASE WHEN video_id % 3 <> 0 THEN round(least(abs(CASE WHEN video_id % 3 = 0 THEN NULL WHEN abs({_S}) >= 1 THEN sign({_S}) * 90 ELSE degrees(asin({_S})) END), 180), 6) END AS angle, CASE WHEN video_id % 3 = 0 THEN 0::DOUBLE WHEN abs(degrees(atan2(2 * (e[1]*e[2] + e[3]*e[4]), 1 - 2 * (e[2]**2 + e[3]**2)))) > 45 THEN 0.7::DOUBLE ELSE 1::DOUBLE END AS confidence, CASE WHEN video_id % 3 = 0 THEN 'imu_missing' ELSE 'imu_sensor' END AS method FROM pose_frames"))
 def device_angle(spark, sf_dir):
     """The first four numbers of a vector as a quaternion; every third video has none."""
     q = F.when(F.col("video_id") % 3 != 0, F.slice("e", 1, 4))
@@ -180,6 +183,23 @@ def device_angle(spark, sf_dir):
     return fx.pose_frames(spark, sf_dir).select("vec_id", F.round(angle, 6).alias("angle"), confidence.alias("confidence"), method.alias("method"))
 
 
+_T = "radians(60 + video_id)"
+fx.CTE["angles"] = f"SELECT DISTINCT video_id, CASE video_id % 4 WHEN 0 THEN 95::DOUBLE WHEN 1 THEN degrees(asin(2 * cos({_T} / 2) * sin({_T} / 2))) WHEN 2 THEN least(abs(-20.0 - video_id), 180)::DOUBLE ELSE CASE WHEN video_id % 8 = 3 THEN 88::DOUBLE END END AS a FROM pose_frames"
+
+
+@query("wall_angle_sources", sql("pose_frames landmarks wide sessions body angles", """
+SELECT video_id, frame_index, round(a, 6) AS wall_angle, round(least(abs(hip_line_inclination - a) % 180, 180 - abs(hip_line_inclination - a) % 180), 6) AS hip_alignment_error,
+  round(com_x * cos(radians(a)) + com_y * sin(radians(a)), 6) AS com_along_wall, round(-com_x * sin(radians(a)) + com_y * cos(radians(a)), 6) AS com_perp_wall FROM body JOIN angles USING (video_id)"""))
+def wall_angle_sources(spark, sf_dir):
+    """Of four videos one has a given angle, one a device's quaternion, one its angles, one what an image shows or nothing."""
+    v, turn = F.col("video_id"), F.radians(60.0 + F.col("video_id")) / 2
+    quaternion = F.when(v % 4 == 1, F.array(F.cos(turn), F.lit(0.0), F.sin(turn), F.lit(0.0)))
+    angles = F.when(v % 4 == 2, F.array(-20.0 - v, F.lit(0.0), F.lit(0.0)))
+    rows = b.frames(spark, sf_dir).withColumn("wall_angle", features.resolve_wall_angle(F.when(v % 4 == 0, 95.0), quaternion, angles, F.when(v % 8 == 3, 88.0)))
+    out = features.body_features(rows, None, F.col("wall_angle"))
+    return b.rounded(out.select("video_id", "frame_index", "wall_angle", "hip_alignment_error", "com_along_wall", "com_perp_wall"))
+
+
 # -- routes --------------------------------------------------------------------------------------------
 
 
@@ -226,6 +246,25 @@ def grade_model(spark, sf_dir):
     return b.rounded(grading.predict_grades(grading.fit_grades(data, columns), data.drop("grade"), columns).select("video_id", "grade", "confidence", "band"), 4)
 
 
+@query("route_grade_report")
+def route_grade_report(spark, sf_dir):
+    """D11 without a model: the features D1 to D7 of each route, its grade unknown."""
+    t, scores, switching = _route_parts(spark, sf_dir)
+    out = grading.grade_report(grading.route_features(fx.holds(spark, sf_dir), t, scores, switching), [])
+    long = ("route_length", "route_duration", "wall_angle")
+    return out.select(*[F.round(c, 6 if c in long or c.startswith("spacing") or c.endswith("_ratio") else 4).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+@query("graded_routes")
+def graded_routes(spark, sf_dir):
+    """D8 to D11 with a model: routes' features, a grade learnt from half of them (a route's mean reach stands for its label) and given to all."""
+    t, scores, switching = _route_parts(spark, sf_dir)
+    features = stored(grading.route_features(fx.holds(spark, sf_dir), t, scores, switching), "route_features")
+    columns = [c for c, kind in features.dtypes if c != "video_id"]
+    known = features.where("video_id % 2 = 0").withColumn("grade", F.least(F.lit(10.0), 2 * F.col("reach_mean")))
+    return b.rounded(grading.grade_report(features, columns, grading.fit_grades(known, columns, depth=3, rounds=5)).select("video_id", "grade", "confidence", "band"), 4)
+
+
 @query("grade_bands", "SELECT o_orderkey AS id, CASE WHEN g >= 10 THEN 'Elite (V10+)' ELSE ['Beginner', 'Intermediate', 'Advanced', 'Expert', 'Elite'][CAST(floor(g / 2) AS INTEGER) + 1] || ' (V' || CAST(CAST(floor(g) AS INTEGER) AS VARCHAR) || ')' END AS band FROM (SELECT o_orderkey, least(10, CAST(o_totalprice AS DOUBLE) / 40000) AS g FROM orders)")
 def grade_bands(spark, sf_dir):
     """D10."""
@@ -472,6 +511,29 @@ def label_pool(spark, sf_dir):
     return labels.pool(fx.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), "o_orderkey"), "session_id", "o_orderkey")
 
 
+POOL = """WITH chosen AS (SELECT o_custkey AS video_id, count(*) AS selected_frames, min('frame_' || o_orderkey) AS first_frame FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL)
+SELECT c_custkey AS video_id, c_custkey * 7 % 1000 AS created_at, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS hold_colour, CASE WHEN c_custkey % 3 <> 0 THEN 'V' || c_nationkey END AS route_difficulty, coalesce(selected_frames, 0) AS selected_frames, first_frame FROM customer LEFT JOIN chosen ON c_custkey = video_id"""
+
+
+def _key_frame_pool(spark, sf_dir):
+    frames_ = fx.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("video_id"), F.concat(F.lit("frame_"), F.col("o_orderkey").cast("string")).alias("path"), (F.col("o_orderstatus") == "F").alias("chosen"))
+    told = F.col("c_custkey") % 3 != 0
+    metadata = fx.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("video_id"), (F.col("c_custkey") * 7 % 1000).alias("created_at"), F.when(told, F.col("c_mktsegment")).alias("hold_colour"), F.when(told, F.concat(F.lit("V"), F.col("c_nationkey").cast("string"))).alias("route_difficulty"))
+    return labels.key_frame_pool(frames_, metadata)
+
+
+@query("key_frame_pool", POOL)
+def key_frame_pool(spark, sf_dir):
+    """L4: customers as videos of the pool; every third has no metadata."""
+    return _key_frame_pool(spark, sf_dir)
+
+
+@query("key_frame_totals", f"SELECT count(*) AS video_count, CAST(sum(selected_frames) AS BIGINT) AS frame_count FROM ({POOL})")
+def key_frame_totals(spark, sf_dir):
+    """L4."""
+    return labels.pool_totals(_key_frame_pool(spark, sf_dir))
+
+
 @query("session_progress", "SELECT o_custkey AS session_id, count(*) AS frames, sum(CASE WHEN o_orderkey % 4 > 0 THEN 1 ELSE 0 END)::BIGINT AS labelled, sum(o_orderkey % 4)::BIGINT AS segments, CAST(floor(sum(CASE WHEN o_orderkey % 4 > 0 THEN 1 ELSE 0 END) * 100 / count(*)) AS INTEGER) AS percent FROM orders GROUP BY o_custkey")
 def session_progress(spark, sf_dir):
     """L5."""

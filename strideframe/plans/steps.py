@@ -179,6 +179,19 @@ def recent_score(spark, sf_dir):
     return b.rounded(efficiency.recent_score(touching(spark, sf_dir)))
 
 
+_LAST = "OVER (PARTITION BY video_id ORDER BY frame_index ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+_PAIRS = "OVER (PARTITION BY video_id ORDER BY frame_index ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
+
+
+@query("rolling_score", sql(b.NEARED, TOUCH + ", q AS (SELECT *, " + " + ".join(f"abs({j})" for j in JOINTS) + " AS js, CASE WHEN frame_index > 0 THEN " + " + ".join(f"CASE WHEN {p}_target IS NOT DISTINCT FROM lag({p}_target) {W} THEN 1 ELSE 0 END" for p in LIMBS) + f""" END AS same FROM touch),
+p AS (SELECT video_id, frame_index, avg(detection_score) {_LAST} AS detection, 1 - sum(js) {_LAST} / (count(*) {_LAST} * 8 * 180) AS joint, CASE WHEN count(*) {_LAST} >= 2 THEN 1 / (1 + var_pop(com_perp_wall) {_LAST} / greatest(var_pop(com_perp_wall) {_LAST}, 1e-6)) ELSE 0.5 END AS com,
+  coalesce(sum(same) {_PAIRS} / nullif(count(same) {_PAIRS} * 4, 0), 0.5) AS contact, 1 - least(_d, 180 - _d) / 90 AS hip FROM q)
+SELECT video_id, frame_index, round(0.3 * detection + 0.2 * joint + 0.2 * com + 0.2 * contact + 0.1 * hip, 6) AS score FROM p"""))
+def rolling_score(spark, sf_dir):
+    """E15 at each frame."""
+    return b.rounded(efficiency.rolling_score(touching(spark, sf_dir)).select("video_id", "frame_index", "score"))
+
+
 def _next_sql(held: str, extra: str = "") -> str:
     return sql(b.NEARED, TOUCH + f", r AS (SELECT t.video_id, t.frame_index, hold_id, hold_ord, 0.7::DOUBLE * (1 - least(sqrt((com_x - x)**2 + (com_y - y)**2), 1)) + 0.3::DOUBLE * CASE WHEN hold_id IN ({', '.join(f'coalesce({p}_{held}, {chr(39)}{chr(39)})' for p in LIMBS)}) THEN 0 ELSE 1 END AS score FROM touch t JOIN holds h ON h.video_id = t.video_id {extra}), k AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_index ORDER BY score DESC, hold_ord) AS rank FROM r)")
 
