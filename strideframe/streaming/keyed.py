@@ -1,43 +1,81 @@
-"""State by key for the streaming operators, with a limit in event time."""
+"""State by key for the streaming operators, in a RocksDB state store, with a limit in event time."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: What a step takes (key, the batch's rows of that key, state or None) and gives (new state or None, rows to emit).
+#: What a step takes (key, the batch's rows of that key, state or None) and gives (new state or None, rows to emit). With
+#: ``listed`` the state's last value is a list of rows of that schema.
 Step = Callable[[tuple, pd.DataFrame, tuple | None], tuple[tuple | None, pd.DataFrame]]
 
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def keyed(rows: DataFrame, keys: list[str], step: Step, out: str, kept: str, mode: str = "append", idle: str | None = None, time: str = "ts") -> DataFrame:
-    """``step`` over each key's rows of a batch, which must fit in a task (bound them by the source's options).
 
-    With ``idle`` (such as "1 hour") rows carry a timestamp ``time``, the stream's watermark is ``idle`` behind the newest of
-    them, and a key is forgotten once the watermark is ``idle`` past its newest row. Rows older than the watermark are
-    dropped by Spark, which counts them in its own progress. Without ``idle`` state stays for ever. The limit is in event
-    time: for a limit in processing time Spark always runs one batch more, so a query that takes what is there never ends.
-    """
-    span = 0 if idle is None else int(pd.Timedelta(idle) / pd.Timedelta(milliseconds=1))
+def prepare_store(spark: SparkSession) -> None:
+    """State in RocksDB, its changes alone written at each batch: state may be larger than memory, and recovers from the checkpoint."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+class Keyed(StatefulProcessor):
+    """Keeps one value a key, and with ``listed`` a list of rows beside it, which are read and written as rows."""
+
+    def __init__(self, step: Step, kept: str, listed: str | None, span: int | None):
+        self.step, self.kept, self.listed, self.span = step, kept, listed, span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("kept", self.kept)
+        self.rows = handle.getListState("rows", self.listed) if self.listed else None
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = [r for r in rows if len(r)]
+        if not frames:
             return
-        part = pd.concat(list(batches))
-        held, made = step(key, part, state.get if state.exists else None)
+        part = pd.concat(frames)
+        state = tuple(self.value.get()) if self.value.exists() else None
+        if state is not None and self.rows is not None:
+            state = (*state, [tuple(r) for r in self.rows.get()])
+        held, made = self.step(key, part, state)
         if held is not None:
-            state.update(held)
-        if idle is not None and state.exists:
-            newest = part["_newest_ms"].max()
-            now = state.getCurrentWatermarkMs()
-            state.setTimeoutTimestamp(max(now, now if pd.isna(newest) else int(newest)) + span)
+            if self.rows is not None:
+                *held, listed = held
+                self.rows.put(listed) if listed else self.rows.clear()
+            self.value.update(tuple(held))
+        if self.span is not None and self.value.exists():
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            now, newest = timerValues.getCurrentWatermarkInMs(), part["newest_ms"].max()
+            self.handle.registerTimer(max(now, now if pd.isna(newest) else int(newest)) + self.span)
         yield made
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.value.clear()
+        if self.rows is not None:
+            self.rows.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def keyed(rows: DataFrame, keys: list[str], step: Step, out: str, kept: str, mode: str = "append", idle: str | None = None, time: str = "ts", listed: str | None = None) -> DataFrame:
+    """``step`` over each key's rows of a batch, which must fit in a task (bound them by the source's options).
+
+    With ``idle`` (such as "1 hour") rows carry a timestamp ``time``, the stream's watermark is ``idle`` behind the newest of
+    them, and a key is forgotten, by a timer, once the watermark is ``idle`` past its newest row. Rows older than the
+    watermark are dropped by Spark, which counts them in its own progress. Without ``idle`` state stays for ever. The limit
+    is in event time: for a limit in processing time Spark always runs one batch more, so a query that takes what is there
+    never ends.
+    """
+    prepare_store(rows.sparkSession)
     if idle is None:
-        return rows.groupBy(*keys).applyInPandasWithState(run, out, kept, mode, GroupStateTimeout.NoTimeout)
-    source = rows.withWatermark(time, idle).withColumn("_newest_ms", F.unix_millis(time))
-    return source.groupBy(*keys).applyInPandasWithState(run, out, kept, mode, GroupStateTimeout.EventTimeTimeout)
+        return rows.groupBy(*keys).transformWithStateInPandas(Keyed(step, kept, listed, None), out, mode, "None")
+    span = int(pd.Timedelta(idle) / pd.Timedelta(milliseconds=1))
+    source = rows.withWatermark(time, idle).withColumn("newest_ms", F.unix_millis(time))
+    return source.groupBy(*keys).transformWithStateInPandas(Keyed(step, kept, listed, span), out, mode, "EventTime")

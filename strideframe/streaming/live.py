@@ -7,6 +7,7 @@ state of a video that has no new frames, see ``keyed``.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,22 +89,35 @@ def movement_bouts(frames: DataFrame, gap: str = "5 minutes", delay: str = "1 mi
     return out.select("video_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "frames", "motion")
 
 
+#: A live track as a row of the list state: the tracker's fields in order, its motion's state and covariance as arrays.
+TRACK = {"id": "long", "first": "long", "state": "array<double>", "cov": "array<double>", "box": "array<double>", "age": "long", "hits": "long", "misses": "long", "label": "string", "type": "string", "sum": "double", "n": "long"}
+
+
+def _as_row(track: dict) -> tuple:
+    plain = {"long": int, "double": float, "array<double>": lambda v: np.ravel(v).astype(float).tolist(), "string": lambda v: v}
+    return tuple(plain[kind](track[name]) for name, kind in TRACK.items())
+
+
+def _as_track(row: tuple) -> dict:
+    track = dict(zip(TRACK, row, strict=True))
+    return track | {"state": np.array(track["state"]), "cov": np.array(track["cov"]).reshape(4, 4), "box": np.array(track["box"])}
+
+
 def live_tracks(boxes: DataFrame, params: TrackerParams = TrackerParams(), idle: str | None = None) -> DataFrame:
-    """T5: confirmed tracks after each batch (update mode). State: the live tracks, as bytes; a frame must arrive whole."""
-    import pickle
+    """T5: confirmed tracks after each batch (update mode). State: a row for each live track, which goes when the track has
+    been missed too often, the last frame and the number of tracks made; a frame must arrive whole."""
 
     def step(key, rows: pd.DataFrame, state):
-        last, raw = state or (-1, pickle.dumps(([], 0)))
-        tracks, made = pickle.loads(raw)  # noqa: S301  written by this function alone
-        tracker = Tracker(params, tracks, made)
+        last, made, tracks = state or (-1, 0, [])
+        tracker = Tracker(params, [_as_track(t) for t in tracks], made)
         rows = rows.sort_values(["frame_index", "x_center", "y_center"], kind="stable")
         for frame, part in rows[rows["frame_index"] > last].groupby("frame_index", sort=True):
             part = part.astype(object).where(part.notna(), None)
             tracker.advance(int(frame), part[["x_center", "y_center", "width", "height"]].to_numpy(float), part["label"].tolist(), part["hold_type"].tolist(), part["confidence"].tolist())
             last = int(frame)
-        return (last, pickle.dumps((tracker.tracks, tracker.made))), pd.DataFrame([(key[0], *t) for t in tracker.confirmed()], columns=TRACKS.names)
+        return (last, tracker.made, [_as_row(t) for t in tracker.tracks]), pd.DataFrame([(key[0], *t) for t in tracker.confirmed()], columns=TRACKS.names)
 
-    return keyed(boxes, ["video_id"], step, TRACKS, "last long, tracks binary", "update", idle)
+    return keyed(boxes, ["video_id"], step, TRACKS, "last long, made long", "update", idle, listed=", ".join(f"`{n}` {kind}" for n, kind in TRACK.items()))
 
 
 def live_next_holds(frames: DataFrame, holds: DataFrame, k: int = 3) -> DataFrame:

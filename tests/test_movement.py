@@ -302,6 +302,34 @@ def test_live_state_of_ended_videos_is_forgotten(spark, tmp_path):
         assert removed == (1 if idle else 0)
 
 
+def test_live_tracks_of_ended_videos_are_forgotten_and_state_outlives_a_restart(spark, tmp_path):
+    """Two runs over one checkpoint equal one run; a track that is missed too often leaves the list state."""
+    kind = "video_id long, frame_index long, x_center double, y_center double, width double, height double, label string, hold_type string, confidence double, ts timestamp"
+    at = lambda frame: datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(minutes=frame)
+    box = lambda v, f, x: (v, f, x, 0.5, 0.1, 0.1, "jug", None, 0.5, at(f))
+    batches = [[box(1, f, 0.2 + 0.001 * f) for f in range(4)] + [box(2, f, 0.7) for f in range(4)], [box(1, f, 0.204) for f in range(4, 8)] + [box(1, f, 0.8) for f in range(8, 11)], [box(1, f, 0.8) for f in range(11, 18)]]
+
+    def run(name, groups, idle=None):
+        found = []
+        for group in groups:
+            for rows in group:
+                spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+            stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name / "in"))
+            out = live.live_tracks(stream, idle=idle).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / name / "cp"))
+            q = out.foreachBatch(lambda df, n: found.append(sorted(map(str, df.collect())))).trigger(availableNow=True).start()
+            assert q.awaitTermination(120)
+        return [f for f in found if f], q
+
+    whole, q = run("whole", [batches])
+    parted, _ = run("parted", [batches[:1], batches[1:2], batches[2:]])
+    assert whole == parted and len(whole) == 3
+    assert [sum("video_id=1," in r for r in f) for f in whole] == [1, 2, 1]  # the first track is missed from frame 8 on
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider")
+    late = [box(3, 500, 0.3)], [box(3, 900, 0.3)], [box(2, 910, 0.7)]  # video 2 was forgotten long before
+    forgotten, q = run("idle", [batches[:1] + list(late)], "1 hour")
+    assert not any("video_id=2," in r for f in forgotten[1:] for r in f)
+
+
 def test_live_windows_and_bouts(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("video_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("motion"))
     parts_of(e, str(tmp_path / "in"), 3, ["ts"])
