@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.functions.ranks import counted_medians, hinted
+from strideframe.functions.ranks import hinted
 from strideframe.functions.tables import stored
 from strideframe.params import HOLD_TYPES, LIMBS
 
@@ -20,20 +24,84 @@ def hold_features(holds: DataFrame) -> DataFrame:
     return holds.groupBy("video_id").agg(F.count(F.lit(1)).alias("hold_count"), (F.count(F.lit(1)) / (F.when(box > 0, box).otherwise(1.0) + 1e-6)).alias("hold_density"), *shares)
 
 
+BINS = 1024  # of a pass that looks for a median
+
+
+def _block_pairs(holds: DataFrame, block: int) -> DataFrame:
+    """video_id, a and b: two bounded blocks of a video's holds, of which ``b`` has some hold later in the list than one of ``a``."""
+    known = holds.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    sizes = hinted(known.groupBy("video_id").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks")))
+    placed = known.join(sizes, "video_id").withColumn("_b", F.pmod(F.xxhash64("hold_ord"), F.col("_blocks")))
+    lists = placed.groupBy("video_id", "_b").agg(F.array_sort(F.collect_list(F.struct(F.col("hold_ord").cast("double").alias("k"), "x", "y"))).alias("h"))
+    lists = stored(lists.drop("_b"), "blocks")
+    met = lists.withColumnRenamed("h", "a").join(lists.withColumnRenamed("h", "b").hint("merge"), "video_id")
+    return met.where(F.get("a", F.lit(0))["k"] < F.element_at("b", -1)["k"])
+
+
+def _sweep(pairs: DataFrame, extra: list[str], out: str, work: Callable[[np.ndarray, tuple], list[tuple]]) -> DataFrame:
+    """``work(distances, values of extra)`` of every pair of blocks, as rows after video_id. Distances are from each hold to the later ones that lie higher, and never leave the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                a, b = (np.array([[h["k"], h["x"], h["y"]] for h in r[side]], float) for side in "ab")
+                higher = (a[:, None, 0] < b[None, :, 0]) & (b[None, :, 2] < a[:, None, 2])
+                i, j = np.nonzero(higher)
+                d = np.hypot(a[i, 1] - b[j, 1], a[i, 2] - b[j, 2])
+                if len(d):
+                    rows += [(r["video_id"], *made) for made in work(d, tuple(r[c] for c in extra))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["video_id", *[c.split()[0] for c in out.split(", ")]])
+
+    return pairs.select("video_id", *extra, "a", "b").mapInArrow(run, f"video_id long, {out}")
+
+
+def _binned(d: np.ndarray, target: tuple) -> list[tuple]:
+    rank, low, high = target
+    d = d[(d >= low) & (d <= high)]
+    if not len(d):
+        return []
+    at = np.minimum(((d - low) * (BINS / (high - low))).astype(np.int64), BINS - 1)
+    order = np.argsort(at, kind="stable")
+    at, d = at[order], d[order]
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    ends = np.append(starts[1:], len(at))
+    return [(rank, int(at[s]), int(e - s), float(d[s:e].min()), float(d[s:e].max())) for s, e in zip(starts, ends, strict=True)]
+
+
+def _medians(pairs: DataFrame, sums: DataFrame) -> DataFrame:
+    """video_id, spacing_median: of each video the two middle distances are looked for by counting, in ever narrower ranges."""
+    middle = F.explode(F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))).alias("rank")
+    target = stored(sums.select("video_id", middle, F.col("low").alias("low"), F.col("high").alias("high")).select("*", F.col("rank").alias("left")), "targets")
+    found = []
+    for _ in range(60):  # a range of doubles is narrowed a thousandfold each time
+        found.append(target.where("low = high").select("video_id", "rank", F.col("low").alias("d")))
+        target = target.where("low < high")
+        if not target.limit(1).count():
+            break
+        swept = _sweep(pairs.join(hinted(target.select("video_id", "rank", "low", "high")), "video_id"), ["rank", "low", "high"], "rank long, bin long, n long, low double, high double", _binned)
+        bins = stored(swept.groupBy("video_id", "rank", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")), "bins")
+        upto = F.sum("n").over(Window.partitionBy("video_id", "rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))  # BINS rows at most
+        placed = bins.withColumn("_upto", upto).join(target.select("video_id", "rank", "left").hint("merge"), ["video_id", "rank"])
+        hit = placed.where((F.col("left") < F.col("_upto")) & (F.col("left") >= F.col("_upto") - F.col("n")))
+        target = stored(hit.select("video_id", "rank", "low", "high", (F.col("left") - F.col("_upto") + F.col("n")).alias("left")), "targets")
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    return every.groupBy("video_id").agg((F.min("d") + (F.max("d") - F.min("d")) * 0.5).alias("spacing_median"))
+
+
 def spacing(holds: DataFrame, block: int = 512) -> DataFrame:
-    """Distances from each hold to the later ones in the list that lie higher. All pairs are the feature: bounded blocks of a video's holds meet
-    each other, and a block pair's distances leave the row as counts of equal ones."""
-    sizes = hinted(holds.groupBy("video_id").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks")))
-    placed = holds.join(sizes, "video_id").withColumn("_b", F.pmod(F.xxhash64("hold_ord"), F.col("_blocks")))
-    lists = stored(placed.groupBy("video_id", "_b").agg(F.collect_list(F.struct("hold_ord", "x", "y")).alias("_all")), "blocks")
-    rows = placed.select("video_id", "hold_ord", "x", "y").join(lists.drop("_b").hint("merge"), "video_id")
-    higher = F.filter("_all", lambda h: (h["hold_ord"] > F.col("hold_ord")) & (h["y"] < F.col("y")))
-    d = rows.select("video_id", F.explode(F.transform(higher, lambda h: F.hypot(h["x"] - F.col("x"), h["y"] - F.col("y")))).alias("d"))
-    counted = stored(d.groupBy("video_id", "d").agg(F.count(F.lit(1)).alias("n")), "distances")
-    every = stored(counted.groupBy("video_id").agg(F.sum("n").alias("_n"), (F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("spacing_mean"), F.min("d").alias("spacing_min"), F.max("d").alias("spacing_max")), "sums")
-    off = counted.join(hinted(every.select("video_id", "spacing_mean")), "video_id").groupBy("video_id").agg(F.sqrt(F.sum(F.col("n") * F.pow(F.col("d") - F.col("spacing_mean"), 2)) / F.sum("n")).alias("spacing_std"))
-    middle = counted_medians(counted, ["video_id"], "d").withColumnRenamed("median", "spacing_median")
-    stats = every.join(off.hint("merge"), "video_id").join(stored(middle, "middles").hint("merge"), "video_id")
+    """Distances from each hold to the later ones in the list that lie higher. All pairs are the feature, but none is written:
+    bounded blocks of a video's holds meet, and a block pair leaves its task as sums, or as counts by range."""
+    pairs = _block_pairs(holds, block)
+    totals = _sweep(pairs, [], "n long, s double, low double, high double", lambda d, _: [(len(d), float(d.sum()), float(d.min()), float(d.max()))])
+    sums = stored(totals.groupBy("video_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("low").alias("low"), F.max("high").alias("high")), "sums")
+    means = hinted(sums.select("video_id", (F.col("s") / F.col("n")).alias("mean")))
+    off = _sweep(pairs.join(means, "video_id"), ["mean"], "q double", lambda d, mean: [(float(((d - mean[0]) ** 2).sum()),)]).groupBy("video_id").agg(F.sum("q").alias("q"))
+    stats = sums.join(stored(off, "deviations").hint("merge"), "video_id").join(stored(_medians(pairs, sums), "middles").hint("merge"), "video_id")
+    stats = stats.select("video_id", (F.col("s") / F.col("n")).alias("spacing_mean"), "spacing_median", F.sqrt(F.col("q") / F.col("n")).alias("spacing_std"), F.col("low").alias("spacing_min"), F.col("high").alias("spacing_max"))
     names = ("mean", "median", "std", "min", "max")
     return holds.select("video_id").distinct().join(stored(stats, "spacing").hint("merge"), "video_id", "left").select("video_id", *[F.coalesce(f"spacing_{n}", F.lit(0.0)).alias(f"spacing_{n}") for n in names])
 

