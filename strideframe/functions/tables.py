@@ -13,14 +13,15 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it names none, a private folder in local mode and one in the warehouse on a cluster."""
+    """The session's spark.checkpoint.dir; where it names none, a private folder in local mode. On a cluster it must name one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        local = spark.sparkContext.master.startswith("local")
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="strideframe-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="strideframe-")
     return _own[app]
 
 

@@ -196,7 +196,7 @@ def grey_difference(images: DataFrame) -> DataFrame:
 def zip_manifest(manifest: DataFrame, motion: DataFrame, flags: DataFrame) -> DataFrame:
     """Frames with motion and hold flag by their place, as many as the shortest has."""
     key = ["video_id", "ordinal"]
-    return manifest.join(motion, key).join(flags, key)
+    return manifest.join(motion.hint("merge"), key).join(flags.hint("merge"), key)
 
 
 def key_frames(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -205,13 +205,13 @@ def key_frames(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def filter_manifest(manifest: DataFrame, selected: DataFrame) -> DataFrame:
     """The manifest's frames that are selected; all of a video's frames if none is."""
-    marked = manifest.join(selected.select("video_id", "relative_path", F.lit(True).alias("_in")).distinct(), ["video_id", "relative_path"], "left")
+    marked = manifest.join(selected.select("video_id", "relative_path", F.lit(True).alias("_in")).distinct().hint("merge"), ["video_id", "relative_path"], "left")
     return keep_or_all(marked, F.coalesce(F.col("_in"), F.lit(False))).drop("_in")
 
 
 def key_labels(frames: DataFrame, chosen: DataFrame) -> DataFrame:
     """Adds label 1.0 for chosen file names; fails if there is none."""
-    out = frames.join(chosen.select("file_name", F.lit(1.0).alias("label")).distinct(), "file_name", "left").withColumn("label", F.coalesce("label", F.lit(0.0)))
+    out = frames.join(chosen.select("file_name", F.lit(1.0).alias("label")).distinct().hint("merge"), "file_name", "left").withColumn("label", F.coalesce("label", F.lit(0.0)))
     if not out.where("label = 1.0").limit(1).count():
         raise ValueError("no frame was chosen")
     return out

@@ -24,7 +24,7 @@ def label_summary(labels: DataFrame, key: str = "session_id") -> DataFrame:
     totals = marked.groupBy(key).agg(F.sum(F.col("_p").cast("bigint")).alias("positive"), F.sum((~F.col("_p")).cast("bigint")).alias("negative"), F.max("given_colour").alias("_given"))
     colours = marked.where(F.col("_p") & F.col("colour").isNotNull()).groupBy(key, "colour").agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("_first"))
     modal = colours.groupBy(key).agg(F.min_by(F.col("colour"), F.struct(-F.col("_n"), F.col("_first"))).alias("_modal"))
-    return totals.join(modal, key, "left").select(key, "positive", "negative", F.coalesce("_given", "_modal").alias("hold_colour"))
+    return totals.join(modal.hint("merge"), key, "left").select(key, "positive", "negative", F.coalesce("_given", "_modal").alias("hold_colour"))
 
 
 def pool(rows: DataFrame, key: str, time: str) -> DataFrame:
@@ -89,4 +89,4 @@ def run_summary(frames: DataFrame, sample: int = 10) -> DataFrame:
     """Coverage of landmarks in percent, range of scores, and the first frames, of each video."""
     out = frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("frames"), (100 * F.avg((F.col("landmark_count") > 0).cast("double"))).alias("coverage"), F.min("detection_score").alias("low"), F.max("detection_score").alias("high"))
     first = frames.withColumn("_k", F.row_number().over(by_frame())).where(F.col("_k") <= sample).groupBy("video_id").agg(F.sort_array(F.collect_list("frame_index")).alias("first_frames"))
-    return out.join(first, "video_id")
+    return out.join(first.hint("merge"), "video_id")

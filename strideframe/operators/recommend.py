@@ -40,7 +40,7 @@ def next_holds_in_row(frames: DataFrame, holds: DataFrame, k: int = 3, held: str
         score = hold_score(F.hypot(F.col("com_x") - h["x"], F.col("com_y") - h["y"]), h["hold_id"], used)
         return F.struct((-score).alias("cost"), h["hold_ord"].alias("hold_ord"), h["hold_id"].alias("hold_id"))
 
-    rows = frames.where(F.col("com_x").isNotNull() & F.col("com_y").isNotNull()).join(lists, "video_id")
+    rows = frames.where(F.col("com_x").isNotNull() & F.col("com_y").isNotNull()).join(lists.hint("merge") if not frames.isStreaming else lists, "video_id")
     best = F.slice(F.array_sort(F.transform("_holds", rank)), 1, k)
     out = rows.select("video_id", "frame_index", F.posexplode(best).alias("rank", "b"))
     return out.select("video_id", "frame_index", (F.col("rank") + 1).alias("rank"), "b.hold_id", (-F.col("b.cost")).alias("score"))

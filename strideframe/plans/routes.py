@@ -166,7 +166,7 @@ def wall_angle(spark, sf_dir):
     c = lambda n, k=1: F.col(n).cast("double") * k
     lines = fx.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image_id"), c("l_quantity").alias("x1"), c("l_discount", 100).alias("y1"), c("l_linenumber").alias("x2"), c("l_tax", 100).alias("y2"))
     points = lines.select("image_id", F.col("x1").alias("x"), F.col("y1").alias("y"))
-    both = wall.line_angle(lines, ["image_id"]).join(wall.principal_axis(points, ["image_id"]).drop("points"), "image_id", "left")
+    both = wall.line_angle(lines, ["image_id"]).join(wall.principal_axis(points, ["image_id"]).drop("points").hint("merge"), "image_id", "left")
     angle, confidence, method = wall.fuse(F.col("line_angle"), F.col("axis_angle"), F.col("lines"))
     r = lambda x, n: F.round(x, 4).alias(n)
     return both.select("image_id", "lines", r(F.col("line_angle"), "line_angle"), r(F.col("axis_angle"), "axis_angle"), r(angle, "angle"), confidence.alias("confidence"), method.alias("method"))

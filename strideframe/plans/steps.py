@@ -67,7 +67,7 @@ def scored(spark, sf_dir):
 def motion_score(spark, sf_dir):
     """G1, G2."""
     s = scored(spark, sf_dir).select("video_id", "frame_index", "motion_score", "hold_changed", "activity")
-    return b.rounded(s.join(segments.thresholds(s), "video_id"))
+    return b.rounded(s.join(segments.thresholds(s).hint("merge"), "video_id"))
 
 
 @query("activity_segments", sql(b.NEARED, TOUCH + MOTION + SEGMENTS + " SELECT video_id, segment_id, start_index, end_index, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, label FROM segs"))

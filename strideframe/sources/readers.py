@@ -58,7 +58,7 @@ def read_routes(spark: SparkSession, path: str, features: str) -> DataFrame:
     item = f"array<struct<{','.join(f'{n}:{t}' for n, t in (f.strip().rsplit(' ', 1) for f in features.split(',')))}>>"
     rows = text("pose_features.json").select("route", F.from_json("value", item).alias("frames"))
     other = lambda name, column: text(name).select("route", F.col("value").alias(column))
-    out = grades.join(rows, "route").join(other("holds.json", "holds"), "route", "left").join(other("step_efficiency.json", "steps"), "route", "left")
+    out = grades.join(rows.hint("merge"), "route").join(other("holds.json", "holds").hint("merge"), "route", "left").join(other("step_efficiency.json", "steps").hint("merge"), "route", "left")
     angle = F.get(F.filter(F.transform("frames", lambda f: f["wall_angle"]), lambda a: a.isNotNull()), F.lit(0)) if "wall_angle" in features else F.lit(None).cast("double")
     return out.withColumn("wall_angle", angle)
 
@@ -73,6 +73,16 @@ def read_label_text(spark: SparkSession, path: str, classes: dict[int, str]) ->
     return rows.withColumn("hold_type", F.coalesce(F.element_at(names, F.col("class_id")), F.lit("unknown")))
 
 
+def read_frame_labels(spark: SparkSession, path: str, classes: dict[int, str]) -> DataFrame:
+    """split, video_id, frame_index and the labels of each line of what ``write_frame_labels`` wrote; broken lines are skipped, unknown classes are ``unknown``."""
+    rows = spark.read.schema("split string, video_id long, frame_index long, lines string").json(path)
+    parts = rows.select("split", "video_id", "frame_index", F.explode(F.split("lines", "\n")).alias("value")).select("*", F.split(F.trim("value"), r"\s+").alias("p")).where(F.size("p") >= 5)
+    number = lambda i, kind="double": F.expr(f"try_cast(p[{i}] AS {kind})")
+    out = parts.select("split", "video_id", "frame_index", number(0, "int").alias("class_id"), *[number(i).alias(n) for i, n in enumerate(("x_center", "y_center", "width", "height"), 1)]).where("class_id IS NOT NULL AND height IS NOT NULL")
+    names = F.create_map(*[F.lit(x) for kv in sorted(classes.items()) for x in kv])
+    return out.withColumn("hold_type", F.coalesce(F.element_at(names, F.col("class_id")), F.lit("unknown")))
+
+
 def list_videos(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """path, length, modificationTime of video files; their contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select("path", "length", "modificationTime")

@@ -41,5 +41,11 @@ def prediction_documents(predictions: DataFrame, model_type: str) -> DataFrame:
 
 
 def write_frame_labels(exported: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One file of label lines a frame, below its split and video. ``exported``: as ``export_lines`` gives."""
-    exported.select("split", "video_id", "frame_index", "lines").repartition("video_id").write.mode(mode).partitionBy("split", "video_id", "frame_index").text(path)
+    """The label lines of many frames in each file, a JSON line a frame, below their split; files by size, however many
+    frames there are. ``exported``: as ``export_lines`` gives. ``readers.read_frame_labels`` reads them back."""
+    exported.select("split", "video_id", "frame_index", "lines").hint("rebalance", "split").write.mode(mode).partitionBy("split").json(path)
+
+
+def write_label_files(exported: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """For detectors that want it, one file of label lines a frame, below its split and video: as many files as frames."""
+    exported.select("split", "video_id", "frame_index", "lines").repartition("video_id", "frame_index").write.mode(mode).partitionBy("split", "video_id", "frame_index").text(path)
