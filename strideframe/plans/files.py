@@ -199,7 +199,7 @@ def prediction_documents(spark, sf_dir):
     return b.rounded(text.select(F.col("d.video").cast("bigint").alias("video_id"), F.explode("d.predictions").alias("p")).select("video_id", "p.*"))
 
 
-@query("frame_labels", sql("detections", ", f AS (SELECT DISTINCT video_id, frame_index FROM detections WHERE label IN ('jug', 'crimp')), k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_index) - 1 AS place, count(*) OVER (PARTITION BY video_id) AS n FROM f), s AS (SELECT *, CASE WHEN place < CAST(floor(n * 0.7) AS INT) THEN 'train' WHEN place < CAST(floor(n * 0.7) AS INT) + CAST(floor(n * 0.15) AS INT) THEN 'val' ELSE 'test' END AS split FROM k) SELECT split, d.video_id, d.frame_index, d.label AS hold_type, count(*) AS n, round(sum(round(x_center, 6)), 4) AS x, round(sum(round(height, 6)), 4) AS h FROM detections d JOIN s USING (video_id, frame_index) WHERE label IN ('jug', 'crimp') GROUP BY ALL"))
+@query("frame_labels", sql("detections", ", f AS (SELECT DISTINCT video_id, frame_index FROM detections WHERE label IN ('jug', 'crimp')), k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_index) - 1 AS place, count(*) OVER (PARTITION BY video_id) AS n FROM f), s AS (SELECT *, CASE WHEN place < CAST(floor(n * 0.7) AS INT) THEN 'train' WHEN place < CAST(floor(n * 0.7) AS INT) + CAST(floor(n * 0.15) AS INT) THEN 'val' ELSE 'test' END AS split FROM k) SELECT split, d.video_id, d.frame_index, d.label AS hold_type, count(*) AS n, CAST(sum(CAST(round(x_center * 1000000) AS BIGINT)) AS BIGINT) AS x, CAST(sum(CAST(round(height * 1000000) AS BIGINT)) AS BIGINT) AS h FROM detections d JOIN s USING (video_id, frame_index) WHERE label IN ('jug', 'crimp') GROUP BY ALL"))
 def frame_labels(spark, sf_dir):
     """Label lines of many frames a file, and back."""
     from strideframe.operators import labels
@@ -207,7 +207,7 @@ def frame_labels(spark, sf_dir):
     path = folder(spark, "frame-labels")
     sinks.write_frame_labels(labels.export_lines(fx.detections(spark, sf_dir), ("jug", "crimp")), path)
     rows = readers.read_frame_labels(spark, path, {0: "jug", 1: "crimp"})
-    return rows.groupBy("split", "video_id", "frame_index", "hold_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x_center"), 4).alias("x"), F.round(F.sum("height"), 4).alias("h"))
+    return rows.groupBy("split", "video_id", "frame_index", "hold_type").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.round(F.col(c) * 1_000_000).cast("bigint")).alias(n) for c, n in (("x_center", "x"), ("height", "h"))])
 
 
 @query("frame_label_files", sql("detections", "SELECT video_id, frame_index, count(*) AS n FROM detections WHERE label IN ('jug', 'crimp') GROUP BY ALL"))
