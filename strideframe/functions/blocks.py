@@ -37,11 +37,10 @@ def in_blocks(frames: DataFrame, work: Callable[[DataFrame], DataFrame], before:
     follow = lambda n: F.lead("frame_index", n).over(by_frame()).isNull() if n else F.lit(False)
     placed = placed.select("*", ahead.alias("_ahead"), follow(edge).alias("_near_end"), follow(after).alias("_at_end"))
     beyond = (F.col("_ahead") <= before) | F.col("_at_end")
-    video = F.col("video_id.video_id").alias("video_id")
-    plain = lambda df: df.select(video, *[F.col(c) for c in df.columns if c != "video_id"])
+    plain = lambda df: df.withColumn("video_id", F.col("video_id.video_id"))
     inside = plain(work(placed).where(~beyond))
     edges = work(plain(placed.where((F.col("_ahead") <= edge) | F.col("_near_end")))).where(beyond)
-    return inside.unionByName(edges).drop("_ahead", "_near_end", "_at_end")
+    return inside.union(edges).drop("_ahead", "_near_end", "_at_end")
 
 
 def numbered(frames: DataFrame, name: str = "_k", length: int = BLOCK) -> DataFrame:
