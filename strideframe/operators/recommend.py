@@ -1,4 +1,4 @@
-"""Next-hold ranking and the move planner. Holds meet frames by grid cells or by bounded blocks; only the best few become rows."""
+"""Next-hold ranking and the move planner. Frames meet holds by grid cells, or by the boxes of a tree; only the best few become rows."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from strideframe.functions.blocks import settled
 from strideframe.functions.geometry import clamp, distance, point_in_polygon, segment_distance
 from strideframe.functions.tables import stored
 from strideframe.operators.efficiency import scale, support_points
-from strideframe.operators.nearby import hold_blocks, nearest
+from strideframe.operators.hold_tree import FAN, LEAF, hold_tree, near_and_far, reached
+from strideframe.operators.nearby import nearest
 from strideframe.params import LIMBS, PlannerParams
 
 
@@ -52,8 +53,12 @@ def reach_limit(params: PlannerParams) -> Column:
     return params.max_reach * span * F.coalesce(1 + 0.05 + 0.05 * F.col("climber_flexibility"), F.lit(1.0))
 
 
-def plan_moves(frames: DataFrame, holds: DataFrame, params: PlannerParams = PlannerParams()) -> DataFrame:
-    """The best moves of every frame: rank, limb, hold_id, efficiency, delta, violations, reasoning."""
+def plan_moves(frames: DataFrame, holds: DataFrame, params: PlannerParams = PlannerParams(), leaf: int = LEAF, fan: int = FAN) -> DataFrame:
+    """The best moves of every frame: rank, limb, hold_id, efficiency, delta, violations, reasoning.
+
+    The candidates are the best free holds by nearness, height over the centre and type, all of which a box of holds
+    bounds, so each frame opens few boxes. Holds that are held are no candidates, so that many more are looked for.
+    Holds without coordinates and frames without a centre give no moves; equal scores go to the earlier hold."""
     on = lambda p: F.coalesce(F.col(f"{p}_contact_on") != 0, F.lit(False))
     supports = sum((on(p).cast("int") for p in LIMBS[1:]), on(LIMBS[0]).cast("int"))
     used = F.array(*[F.when(on(p), F.col(f"{p}_contact_hold")) for p in LIMBS])
@@ -70,12 +75,25 @@ def plan_moves(frames: DataFrame, holds: DataFrame, params: PlannerParams = Plan
 
     needed = ["video_id", "frame_index", "com_x", "com_y", "body_scale", "hip_center_x", "hip_center_y", "climber_height", "climber_wingspan", "climber_flexibility", *[f"{p}_{c}" for p in LIMBS for c in ("x", "y", "target_x", "target_y", "contact_on", "contact_hold")]]
     slim = stored(frames.select(*needed).withColumn("_row", F.monotonically_increasing_id()), "frames")
-    rows = settled(slim.join(hold_blocks(holds).hint("merge"), "video_id"), _scale=scale(), _supports=supports)
+    held = holds.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("video_id", "hold_id").agg(F.count(F.lit(1)).alias("n"))
+    need = params.candidates + len(LIMBS) * (held.agg(F.max("n")).first()[0] or 0)  # an id in contact may stand on several rows
+    up_by = lambda y: F.when(y < com_y, params.upward_bias * (com_y - y)).otherwise(0.0)
+    most, least = max(0.0, params.jug_bonus, params.reach_bonus), min(0.0, params.jug_bonus, params.reach_bonus)
+
+    def bounds(b: Column) -> tuple[Column, Column]:
+        """Scores in box ``b``: by its nearest and farthest point and its top and bottom. A scale that is no length bounds nothing."""
+        (near, far), ups, real = near_and_far(b, *com), (up_by(b["y0"]), up_by(b["y1"])), F.col("_scale") > 0
+        low = 1 / (far / F.col("_scale") + 1e-6) + F.least(*ups) + least
+        up = 1 / (near / F.col("_scale") + 1e-6) + F.greatest(*ups) + most
+        return F.when(real, low).otherwise(float("-inf")), F.when(real, up).otherwise(float("inf"))
+
+    placed = settled(slim.where(F.col("com_x").isNotNull() & F.col("com_y").isNotNull()), _scale=scale(), _supports=supports)
+    rows = reached(placed, hold_tree(holds, need, ("x", "y", "hold_type"), leaf, fan), ["_row"], bounds, need)
     free = F.filter("_holds", lambda h: ~F.coalesce(F.array_contains(used, h["hold_id"]), F.lit(False)))
-    rows = rows.where(F.col("com_x").isNotNull() & F.col("com_y").isNotNull()).withColumn("_c", F.slice(F.array_sort(F.transform(free, sample)), 1, params.candidates))
+    rows = rows.withColumn("_c", F.slice(F.array_sort(F.transform(free, sample)), 1, params.candidates))
     keep = [c for c in rows.columns if c not in ("_holds", "_c")]
     first = Window.partitionBy("_row").orderBy("c.cost", "c.hold_ord")
-    rows = rows.select(*keep, F.explode("_c").alias("c")).withColumn("_order", F.row_number().over(first) - 1).where(F.col("_order") < params.candidates)  # the best of each block, then of all
+    rows = rows.select(*keep, F.explode("_c").alias("c")).withColumn("_order", F.row_number().over(first) - 1).where(F.col("_order") < params.candidates)  # the best of each box, then of all
     rows = stored(rows.select(*keep, "_order", F.col("c.hold_ord").alias("hold_ord"), F.col("c.hold_id").alias("hold_id"), F.col("c.x").alias("hx"), F.col("c.y").alias("hy"), F.col("c.hold_type").alias("hold_type")), "moves")
     or_com = lambda c, axis: F.when(F.coalesce(F.col(c), F.lit(0.0)) == 0, F.col(f"com_{axis}")).otherwise(F.col(c))
     target = (F.col("hx"), F.col("hy"))
