@@ -36,6 +36,7 @@ INCLINATIONS = {
     "hip_line_inclination": ("left_hip", "right_hip"),
     "shoulder_line_inclination": ("left_shoulder", "right_shoulder"),
 }
+# Types of holds and names of routes, in this order.
 HOLD_TYPES = ("jug", "crimp", "sloper", "pinch", "foot_only", "volume", "unknown")
 ROUTE_COLOURS = ("red", "blue", "green", "yellow", "orange", "purple", "pink", "white", "black", "gray")
 
