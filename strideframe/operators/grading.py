@@ -27,47 +27,80 @@ def hold_features(holds: DataFrame) -> DataFrame:
 BINS = 1024  # of a pass that looks for a median
 
 
-def _block_pairs(holds: DataFrame, block: int) -> DataFrame:
-    """video_id, a and b: two bounded blocks of a video's holds, of which ``b`` has some hold later in the list than one of ``a``."""
-    known = holds.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    sizes = hinted(known.groupBy("video_id").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks")))
-    placed = known.join(sizes, "video_id").withColumn("_b", F.pmod(F.xxhash64("hold_ord"), F.col("_blocks")))
-    lists = placed.groupBy("video_id", "_b").agg(F.array_sort(F.collect_list(F.struct(F.col("hold_ord").cast("double").alias("k"), "x", "y"))).alias("h"))
-    lists = stored(lists.drop("_b"), "blocks")
-    met = lists.withColumnRenamed("h", "a").join(lists.withColumnRenamed("h", "b").hint("merge"), "video_id")
-    return met.where(F.get("a", F.lit(0))["k"] < F.element_at("b", -1)["k"])
+SHARE = 256  # holds of one place that make an entry of a block, about
+DEALT = 16  # parts of a video's pairs of blocks
 
 
-def _sweep(pairs: DataFrame, extra: list[str], out: str, work: Callable[[np.ndarray, tuple], list[tuple]]) -> DataFrame:
-    """``work(distances, values of extra)`` of every pair of blocks, as rows after video_id. Distances are from each hold to the later ones that lie higher, and never leave the task."""
+def _block_pairs(holds: DataFrame, block: int) -> DataFrame:
+    """video_id, a and b: two blocks of a video's places with the numbers of their holds, of which ``b`` has some hold later in the list than one of ``a``.
+
+    Holds in one place are one entry, or several where they are very many: their distances to others are the same."""
+    known = holds.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select("video_id", "x", "y", F.col("hold_ord").cast("double").alias("k"))
+    place = ["video_id", "x", "y"]
+    crowded = stored(known.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("_shares")).where("_shares > 1"), "crowded")
+    share = F.pmod(F.xxhash64("k"), F.coalesce("_shares", F.lit(1)))
+    entries = known.join(hinted(crowded), place, "left").groupBy(*place, share.alias("_share")).agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    entries = stored(entries, "entries")
+    sizes = hinted(entries.groupBy("video_id").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks")))
+    placed = entries.join(sizes, "video_id").withColumn("_b", F.pmod(F.xxhash64("x", "y", "_share"), F.col("_blocks")))
+    ends = [F.min(F.get("ks", F.lit(0))).alias("first"), F.max(F.element_at("ks", -1)).alias("last")]
+    lists = placed.groupBy("video_id", "_b").agg(F.collect_list(F.struct("x", "y", "ks")).alias("h"), *ends)
+    lists = stored(lists, "blocks")
+    part = ["video_id", "_part"]  # a video's pairs are dealt over tasks, however few bytes its blocks have
+    parts = max(DEALT, int(holds.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    left = lists.select("video_id", F.pmod(F.col("_b"), F.lit(DEALT)).alias("_part"), F.col("h").alias("a"), "first").repartition(parts, *part)
+    right = lists.select("video_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(DEALT - 1).cast("bigint"))).alias("_part"), F.col("h").alias("b"), "last").repartition(parts, *part)
+    met = left.join(right.hint("merge"), part).drop("_part")
+    return met.where(F.col("first") < F.col("last")).drop("first", "last")
+
+
+def _later(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Of each entry of ``a`` and of ``b`` the number of pairs of a hold and a later one."""
+    if len(a) == sum(map(len, a)) and len(b) == sum(map(len, b)):
+        return (np.concatenate(a)[:, None] < np.concatenate(b)[None, :]).astype(np.int64)
+    flat, owner = np.concatenate(a), np.repeat(np.arange(len(a)), [len(ks) for ks in a])
+    order = np.argsort(flat, kind="stable")
+    owner, before = owner[order], np.searchsorted(flat[order], np.concatenate(b))  # holds of ``a`` before each of ``b``
+    starts, made = np.cumsum([0, *map(len, b[:-1])]), []
+    for i in range(0, len(a), 32):  # entries whose counts are in memory at once
+        mine = np.arange(i, min(i + 32, len(a)))
+        upto = np.zeros((len(flat) + 1, len(mine)), np.int32)
+        np.cumsum(owner[:, None] == mine, axis=0, out=upto[1:])
+        made.append(np.add.reduceat(upto[before], starts, axis=0, dtype=np.int64).T)
+    return np.concatenate(made)
+
+
+def _sweep(pairs: DataFrame, extra: list[str], out: str, work: Callable[[np.ndarray, np.ndarray, tuple], list[tuple]]) -> DataFrame:
+    """``work(distances, how often each, values of extra)`` of every pair of blocks, as rows after video_id. Distances are from each hold to the later ones that lie higher, and never leave the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                a, b = (np.array([[h["k"], h["x"], h["y"]] for h in r[side]], float) for side in "ab")
-                higher = (a[:, None, 0] < b[None, :, 0]) & (b[None, :, 2] < a[:, None, 2])
-                i, j = np.nonzero(higher)
-                d = np.hypot(a[i, 1] - b[j, 1], a[i, 2] - b[j, 2])
+                (a, ka), (b, kb) = ((np.array([[h["x"], h["y"]] for h in r[side]], float), [np.array(h["ks"], float) for h in r[side]]) for side in "ab")
+                often = np.where(b[None, :, 1] < a[:, None, 1], _later(ka, kb), 0)
+                i, j = np.nonzero(often)
+                d = np.hypot(a[i, 0] - b[j, 0], a[i, 1] - b[j, 1])
                 if len(d):
-                    rows += [(r["video_id"], *made) for made in work(d, tuple(r[c] for c in extra))]
+                    rows += [(r["video_id"], *made) for made in work(d, often[i, j], tuple(r[c] for c in extra))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["video_id", *[c.split()[0] for c in out.split(", ")]])
 
     return pairs.select("video_id", *extra, "a", "b").mapInArrow(run, f"video_id long, {out}")
 
 
-def _binned(d: np.ndarray, target: tuple) -> list[tuple]:
+def _binned(d: np.ndarray, often: np.ndarray, target: tuple) -> list[tuple]:
     rank, low, high = target
-    d = d[(d >= low) & (d <= high)]
+    inside = (d >= low) & (d <= high)
+    d, often = d[inside], often[inside]
     if not len(d):
         return []
     at = np.minimum(((d - low) * (BINS / (high - low))).astype(np.int64), BINS - 1)
     order = np.argsort(at, kind="stable")
     at, d = at[order], d[order]
     starts = np.flatnonzero(np.diff(at, prepend=-1))
-    ends = np.append(starts[1:], len(at))
-    return [(rank, int(at[s]), int(e - s), float(d[s:e].min()), float(d[s:e].max())) for s, e in zip(starts, ends, strict=True)]
+    ends, n = np.append(starts[1:], len(at)), np.add.reduceat(often[order], starts)
+    return [(rank, int(at[s]), int(c), float(d[s:e].min()), float(d[s:e].max())) for s, e, c in zip(starts, ends, n, strict=True)]
 
 
 def _medians(pairs: DataFrame, sums: DataFrame) -> DataFrame:
@@ -94,12 +127,13 @@ def _medians(pairs: DataFrame, sums: DataFrame) -> DataFrame:
 
 def spacing(holds: DataFrame, block: int = 512) -> DataFrame:
     """Distances from each hold to the later ones in the list that lie higher. All pairs are the feature, but none is written:
-    bounded blocks of a video's holds meet, and a block pair leaves its task as sums, or as counts by range."""
+    bounded blocks of a video's places meet, and a block pair leaves its task as sums, or as counts by range. Holds in one
+    place are measured once and counted as often as they occur."""
     pairs = _block_pairs(holds, block)
-    totals = _sweep(pairs, [], "n long, s double, low double, high double", lambda d, _: [(len(d), float(d.sum()), float(d.min()), float(d.max()))])
+    totals = _sweep(pairs, [], "n long, s double, low double, high double", lambda d, n, _: [(int(n.sum()), float((d * n).sum()), float(d.min()), float(d.max()))])
     sums = stored(totals.groupBy("video_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("low").alias("low"), F.max("high").alias("high")), "sums")
     means = hinted(sums.select("video_id", (F.col("s") / F.col("n")).alias("mean")))
-    off = _sweep(pairs.join(means, "video_id"), ["mean"], "q double", lambda d, mean: [(float(((d - mean[0]) ** 2).sum()),)]).groupBy("video_id").agg(F.sum("q").alias("q"))
+    off = _sweep(pairs.join(means, "video_id"), ["mean"], "q double", lambda d, n, mean: [(float((n * (d - mean[0]) ** 2).sum()),)]).groupBy("video_id").agg(F.sum("q").alias("q"))
     stats = sums.join(stored(off, "deviations").hint("merge"), "video_id").join(stored(_medians(pairs, sums), "middles").hint("merge"), "video_id")
     stats = stats.select("video_id", (F.col("s") / F.col("n")).alias("spacing_mean"), "spacing_median", F.sqrt(F.col("q") / F.col("n")).alias("spacing_std"), F.col("low").alias("spacing_min"), F.col("high").alias("spacing_max"))
     names = ("mean", "median", "std", "min", "max")

@@ -195,6 +195,22 @@ def test_spacing_of_blocks(spark, block):
         assert (r.spacing_mean, r.spacing_median, r.spacing_std, r.spacing_min, r.spacing_max) == pytest.approx(want, abs=1e-9)
 
 
+def test_spacing_measures_copies_once(spark, monkeypatch):
+    """Places with many holds each, in any order of the list, and so many in one place that it makes several entries."""
+    monkeypatch.setattr(grading, "SHARE", 4, raising=False)
+    draw = random.Random(9)
+    places = [(0.1 * i, 0.2 * j) for i in range(4) for j in range(3)]
+    rows = [(1, k, *draw.choice(places)) for k in range(200)]
+    df = spark.createDataFrame(rows, "video_id long, hold_ord long, x double, y double")
+    entries = sum(len(r.a) for r in grading._block_pairs(df, 512).collect())
+    assert entries < 100  # not 200 holds
+    r = grading.spacing(df, 5).first()
+    d = sorted(math.hypot(a[2] - b[2], a[3] - b[3]) for a in rows for b in rows if b[1] > a[1] and b[3] < a[3])
+    mean = sum(d) / len(d)
+    want = (mean, (d[(len(d) - 1) // 2] + d[len(d) // 2]) / 2, math.sqrt(sum((x - mean) ** 2 for x in d) / len(d)), d[0], d[-1])
+    assert (r.spacing_mean, r.spacing_median, r.spacing_std, r.spacing_min, r.spacing_max) == pytest.approx(want, abs=1e-9)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_overlaps_of_boxes_of_all_sizes(spark, seed):
     from strideframe.operators.holds import overlaps
