@@ -230,3 +230,27 @@ def test_overlaps_of_boxes_of_all_sizes(spark, seed):
                     want[a[1], b[1]] = inner / (a[4] * a[5] + b[4] * b[5] - inner)
     assert set(got) == set(want) and all(got[k] == pytest.approx(v) for k, v in want.items()) and len(got) == overlaps(df, ("frame",), "box").count()
     assert overlaps(df.limit(0), ("frame",), "box").count() == 0
+
+
+def test_overlap_totals_meet_copies_once(spark, monkeypatch):
+    from strideframe.operators import holds
+
+    draw = random.Random(3)
+    some = [(draw.random(), draw.random(), draw.choice([0.1, 0.4]), draw.choice([0.1, 0.3])) for _ in range(15)]
+    rows = [(i % 2, *draw.choice(some)) for i in range(150)] + [(0, 0.5, 0.5, 0.0, 0.1), (0, None, 0.5, 0.1, 0.1)]
+    df = spark.createDataFrame(rows, "frame long, x_center double, y_center double, width double, height double")
+    met, overlaps = [], holds.overlaps
+    monkeypatch.setattr(holds, "overlaps", lambda boxes, *a: met.append(boxes.count()) or overlaps(boxes, *a))
+    got = {r.frame: (r.pairs, r.overlap) for r in holds.overlap_totals(df, ("frame",), 0.1).collect()}
+    cover = lambda a, b, c, s: max(0.0, min(a[c] + a[s] / 2, b[c] + b[s] / 2) - max(a[c] - a[s] / 2, b[c] - b[s] / 2))
+    want = {}
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            if a[0] == b[0] and None not in a + b and a[3] * a[4] * b[3] * b[4] > 0:
+                inner = cover(a, b, 1, 3) * cover(a, b, 2, 4)
+                iou = inner / (a[3] * a[4] + b[3] * b[4] - inner)
+                if iou >= 0.1:
+                    n, total = want.get(a[0], (0, 0.0))
+                    want[a[0]] = (n + 1, total + iou)
+    assert met == [len({r for r in rows if r[3] and None not in r})] and met[0] < 32
+    assert set(got) == set(want) and all(got[f][0] == want[f][0] and got[f][1] == pytest.approx(want[f][1]) for f in want)
