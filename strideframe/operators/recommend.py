@@ -35,7 +35,9 @@ def next_holds(frames: DataFrame, holds: DataFrame, k: int = 3, held: str = "con
 def next_holds_in_row(frames: DataFrame, holds: DataFrame, k: int = 3, held: str = "contact_hold") -> DataFrame:
     """The same for a stream, which can't sort or look twice: a video's holds stand beside each frame as one array, so they must fit in a row."""
     used = F.array(*[F.col(f"{p}_{held}") for p in LIMBS])
-    lists = holds.groupBy("video_id").agg(F.collect_list(F.struct("hold_ord", "hold_id", "x", "y")).alias("_holds"))
+    same = F.row_number().over(Window.partitionBy("video_id", "x", "y").orderBy("hold_ord"))
+    few = holds.withColumn("_same", same).where(F.col("_same") <= k + len(LIMBS))  # of one place four may be held, and the others tie
+    lists = few.groupBy("video_id").agg(F.collect_list(F.struct("hold_ord", "hold_id", "x", "y")).alias("_holds"))
 
     def rank(h: Column) -> Column:
         score = hold_score(F.hypot(F.col("com_x") - h["x"], F.col("com_y") - h["y"]), h["hold_id"], used)

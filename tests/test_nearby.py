@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from strideframe.operators import nearby
+from strideframe.operators import nearby, recommend
+from strideframe.params import LIMBS
 
 HOLDS = "video_id long, hold_ord long, hold_id string, x double, y double, hold_type string"
 POINTS = "video_id long, _row long, x double, y double"
@@ -61,3 +62,17 @@ def test_copies_of_holds_leave_no_points_to_look_at_all(spark, monkeypatch):
     points = [(rng.choice((1, 2)), i, rng.uniform(0.05, 0.85), rng.uniform(0.05, 0.9)) for i in range(40)]
     assert closest(spark, holds, points, 1) == looked_up(holds, points, 1)
     assert sum(looked) <= 402  # one of each place, where anything is left
+
+
+def test_rows_of_a_stream_hold_few_copies_of_a_place(spark):
+    """Some of the copies are held. What stands beside a frame does not grow with them."""
+    rng = random.Random(6)
+    holds = [(1, c * 30 + n, f"H{c * 30 + n}", n % 5 / 5, n % 6 / 6, "jug") for c in range(40) for n in range(30)]
+    frames = [(1, i, rng.random(), rng.random(), *(f"H{rng.randrange(90)}" for _ in LIMBS)) for i in range(20)]
+    df = spark.createDataFrame(frames, "video_id long, frame_index long, com_x double, com_y double, " + ", ".join(f"{p}_contact_hold string" for p in LIMBS))
+    out = recommend.next_holds_in_row(df, spark.createDataFrame(holds, HOLDS))
+    got = {(r.frame_index, r.rank): r.hold_id for r in out.collect()}
+    for _, i, x, y, *held in frames:
+        best = sorted((-(0.7 * (1 - min(math.hypot(x - h[3], y - h[4]), 1)) + 0.3 * (h[2] not in held)), h[1]) for h in holds)
+        assert [got[i, r] for r in (1, 2, 3)] == [f"H{o}" for _, o in best[:3]]
+    assert "_same" in out._jdf.queryExecution().analyzed().toString()
