@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.operators.contacts import ContactStep
-from strideframe.operators.holds import TRACKS, Tracker
+from strideframe.operators.holds import TRACKS, Tracker, advance_frames
 from strideframe.operators.recommend import next_holds_in_row
 from strideframe.params import ContactParams, TrackerParams
 from strideframe.streaming.keyed import keyed
@@ -111,11 +111,10 @@ def live_tracks(boxes: DataFrame, params: TrackerParams = TrackerParams(), idle:
         last, made, tracks = state or (-1, 0, [])
         tracker = Tracker(params, [_as_track(t) for t in tracks], made)
         rows = rows.sort_values(["frame_index", "x_center", "y_center"], kind="stable")
-        for frame, part in rows[rows["frame_index"] > last].groupby("frame_index", sort=True):
-            part = part.astype(object).where(part.notna(), None)
-            tracker.advance(int(frame), part[["x_center", "y_center", "width", "height"]].to_numpy(float), part["label"].tolist(), part["hold_type"].tolist(), part["confidence"].tolist())
-            last = int(frame)
-        return (last, tracker.made, [_as_row(t) for t in tracker.tracks]), pd.DataFrame([(key[0], *t) for t in tracker.confirmed()], columns=TRACKS.names)
+        rows = rows[rows["frame_index"] > last]
+        advance_frames(tracker, rows)
+        last = int(rows["frame_index"].max()) if len(rows) else last
+        return (last, int(tracker.made[0]), [_as_row(t) for t in tracker.tracks]), pd.DataFrame([(key[0], *t[1:]) for t in tracker.confirmed()], columns=TRACKS.names)
 
     return keyed(boxes, ["video_id"], step, TRACKS, "last long, made long", "update", idle, listed=", ".join(f"`{n}` {kind}" for n, kind in TRACK.items()))
 

@@ -254,3 +254,25 @@ def test_overlap_totals_meet_copies_once(spark, monkeypatch):
                     want[a[0]] = (n + 1, total + iou)
     assert met == [len({r for r in rows if r[3] and None not in r})] and met[0] < 32
     assert set(got) == set(want) and all(got[f][0] == want[f][0] and got[f][1] == pytest.approx(want[f][1]) for f in want)
+
+
+def test_tracks_of_many_videos_advance_together(spark, monkeypatch):
+    """The frames of many videos are few steps; a video by itself takes one a frame; the tracks are the same."""
+    from strideframe.operators import holds
+
+    rows = [(v, f, 0.1 + 0.2 * k + 0.001 * ((v * 7 + f * 3 + k) % 5), 0.5 + 0.002 * ((v + f) % 3), 0.05, 0.05, 0.5 + 0.01 * k, "hold", None) for v in range(60) for f in range(v % 3 * 4 + 4) for k in range(4) if (v + f + k) % 5]
+    df = spark.createDataFrame(rows, "video_id long, frame_index long, x_center double, y_center double, width double, height double, confidence double, label string, hold_type string").coalesce(1)
+    pdf = df.toPandas().sort_values(["video_id", "frame_index", "x_center", "y_center"], kind="stable")
+    steps, advance = [], holds.Tracker.advance
+    monkeypatch.setattr(holds.Tracker, "advance", lambda self, *a: steps.append(1) or advance(self, *a))
+    together = sorted(holds.tracks_of(pdf, holds.TrackerParams()), key=lambda t: t[:2])
+    assert len(steps) == 12
+    apart = []
+    for v, part in pdf.groupby("video_id"):
+        tracker = holds.Tracker()
+        holds.advance_frames(tracker, part)
+        apart += [(v, *t[1:]) for t in tracker.confirmed()]
+    assert together == sorted(apart, key=lambda t: t[:2]) and len(together) >= 120
+    monkeypatch.undo()
+    want = sorted(map(tuple, holds.track(df).collect()), key=lambda t: t[:2])
+    assert want == together
