@@ -276,3 +276,18 @@ def test_tracks_of_many_videos_advance_together(spark, monkeypatch):
     monkeypatch.undo()
     want = sorted(map(tuple, holds.track(df).collect()), key=lambda t: t[:2])
     assert want == together
+
+
+def test_overlaps_of_small_frames_need_no_cells(spark, monkeypatch):
+    """Boxes of frames that have few are compared side by side: the same pairs as by cells, also where one frame is crowded."""
+    from strideframe.operators import holds
+
+    draw = random.Random(5)
+    rows = [(i % 9 if i < 240 else 9, i, draw.random(), draw.random(), draw.choice([0.02, 0.1, 0.4]), draw.random() * 0.2) for i in range(330)] + [(None, 999, 0.5, 0.5, 0.9, 0.9)]
+    df = spark.createDataFrame(rows, "frame long, box long, x_center double, y_center double, width double, height double")
+    found = lambda d: sorted((r.frame, r.box, r.other_box, round(r.iou, 12)) for r in holds.overlaps(d, ("frame",), "box").collect())
+    mixed, plain, written, stored = found(df), found(df.where("frame < 9")), [], holds.stored
+    monkeypatch.setattr(holds, "stored", lambda d, name: written.append(name) or stored(d, name))
+    assert found(df.where("frame < 9")) == plain and written == ["box_lists"]
+    monkeypatch.setattr(holds, "FEW", 0)
+    assert found(df) == mixed and {r[0] for r in mixed} == set(range(10)) and found(df.where("frame < 9")) == plain
