@@ -76,3 +76,29 @@ def test_rows_of_a_stream_hold_few_copies_of_a_place(spark):
         best = sorted((-(0.7 * (1 - min(math.hypot(x - h[3], y - h[4]), 1)) + 0.3 * (h[2] not in held)), h[1]) for h in holds)
         assert [got[i, r] for r in (1, 2, 3)] == [f"H{o}" for _, o in best[:3]]
     assert "_same" in out._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("query", ["activity_segments_report"])
+def test_queries_look_at_a_place_once(spark, sf, tmp_path, monkeypatch, query):
+    """However often the table of holds is repeated, a search keeps the first few holds of each place, and the result is the same."""
+    import __spark_entry__
+    from pyspark.sql import functions as F
+
+    (tmp_path / "embeddings.parquet").symlink_to(f"{sf}/embeddings.parquet")
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    times = F.explode(F.sequence(F.lit(0), F.lit(11))).alias("t")
+    part.select("*", times).withColumn("p_partkey", F.col("p_partkey") + 20_000 * F.col("t")).drop("t").write.parquet(str(tmp_path / "part.parquet"))
+    kept, stored = [], nearby.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "holds":
+            kept.append(out.groupBy("video_id", "x", "y").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(nearby, "stored", counted)
+    run = __spark_entry__.queries()[query]
+    many = sorted(map(str, run(spark, str(tmp_path)).collect()))
+    assert kept and max(kept) < 12
+    if query != "frame_report":  # which lists copies beside each other
+        assert many == sorted(map(str, run(spark, sf).collect()))
