@@ -78,7 +78,7 @@ def test_rows_of_a_stream_hold_few_copies_of_a_place(spark):
     assert "_same" in out._jdf.queryExecution().analyzed().toString()
 
 
-@pytest.mark.parametrize("query", ["activity_segments_report"])
+@pytest.mark.parametrize("query", ["activity_segments_report", "frame_report"])
 def test_queries_look_at_a_place_once(spark, sf, tmp_path, monkeypatch, query):
     """However often the table of holds is repeated, a search keeps the first few holds of each place, and the result is the same."""
     import __spark_entry__
