@@ -17,6 +17,7 @@ from strideframe.plans import steps as st
 from strideframe.plans.fixtures import sql
 from strideframe.streaming import live
 
+FILE_ROWS = 500_000
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 W = b.W
@@ -38,10 +39,11 @@ def streamed(df: DataFrame, order: str, operator, parts: int = 3, mode: str = "a
     kept = stored(df, "source")
     cuts = kept.select(F.percentile_approx(F.col(order).cast("double"), [(i + 1) / parts for i in range(parts - 1)])).first()[0]
     at = F.col(order).cast("double")
-    for i in range(parts):
-        low = at > cuts[i - 1] if i else F.lit(True)
-        kept.where(low & (at <= cuts[i]) if i < parts - 1 else low).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    source = spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    inside = [(at > cuts[i - 1] if i else F.lit(True)) & (at <= cuts[i] if i < parts - 1 else F.lit(True)) for i in range(parts)]
+    files = max(1, min(kept.select(*[F.count_if(x) for x in inside]).first()) // FILE_ROWS)  # of each batch; so many rows that none is empty
+    for rows in inside:
+        kept.where(rows).repartition(files).write.mode("append").parquet(f"{root}/in")
+    source = spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
     out = operator(source)
     writer = out.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
     if mode == "append":

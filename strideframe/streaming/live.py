@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.operators.contacts import ContactStep
-from strideframe.operators.holds import TRACKS, Tracker, advance_frames
+from strideframe.operators.holds import TRACKS, Tracker, advance_videos
 from strideframe.operators.recommend import next_holds_in_row
 from strideframe.params import ContactParams, TrackerParams
 from strideframe.streaming.keyed import keyed
@@ -24,21 +24,22 @@ KINEMATICS = "video_id long, frame_index long, s_x double, s_y double, vx double
 def live_kinematics(points: DataFrame, alpha: float = 0.6, fps: float = 25.0, idle: str | None = None) -> DataFrame:
     """Smoothed point, velocity, acceleration and jerk. points: video_id, frame_index, x, y. State: the last row and the count of late frames."""
 
-    def step(key, rows: pd.DataFrame, state):
-        last, late, *held = state or (-1, 0, *[None] * 8)
-        rows = rows.sort_values("frame_index", kind="stable")
+    def step(keys, number, rows: pd.DataFrame, states):
+        states = [(-1, 0, *[None] * 8) if s is None else s for s in states]
+        by = np.lexsort((rows["frame_index"], number))
         out = []
-        for frame, x, y in rows[["frame_index", "x", "y"]].itertuples(index=False, name=None):
+        for k, (frame, x, y) in zip(number[by].tolist(), rows[["frame_index", "x", "y"]].iloc[by].itertuples(index=False, name=None), strict=True):
+            last, late, *held = states[k]
             if frame <= last:
-                late += 1
+                states[k] = (last, late + 1, *held)
                 continue
             old = held if last >= 0 and frame == last + 1 else [None] * 8
             now = [v if p is None or not 0 < alpha < 1 else alpha * v + (1 - alpha) * p for v, p in zip((x, y), old[:2], strict=True)]
             for order in range(3):  # each derivative from the one below it, now and before
                 now += [None if p is None or q is None else (q - p) * fps for p, q in zip(old[2 * order : 2 * order + 2], now[2 * order : 2 * order + 2], strict=True)]
-            out.append((key[0], frame, *now, late))
-            last, held = frame, now
-        return (int(last), int(late), *held), pd.DataFrame(out, columns=[c.split()[0] for c in KINEMATICS.split(", ")])
+            out.append((keys[k][0], frame, *now, late))
+            states[k] = (int(frame), late, *now)
+        return states, pd.DataFrame(out, columns=[c.split()[0] for c in KINEMATICS.split(", ")])
 
     kept = "last long, late long, " + ", ".join(f"v{i} double" for i in range(8))
     return keyed(points, ["video_id"], step, KINEMATICS, kept, idle=idle)
@@ -49,22 +50,21 @@ def live_contacts(rows: DataFrame, params: ContactParams = ContactParams(), idle
     advance = ContactStep(params)
     out = "video_id long, limb string, frame_index long, contact_on int, contact_type string, contact_hold string, late long"
 
-    def step(key, rows: pd.DataFrame, state):
-        last, late, held = -1, 0, None
-        if state:
-            last, late, on, since, pending, kind, hold = state
-            held = (bool(on), since, pending, kind, hold)
-        rows = rows.sort_values("frame_index", kind="stable").astype(object)
+    def step(keys, number, rows: pd.DataFrame, states):
+        states = [(-1, 0, None) if s is None else (s[0], s[1], tuple(s[2:])) for s in states]
+        by = np.lexsort((rows["frame_index"], number))
+        rows = rows[["frame_index", "limb", "distance", "speed", "body_scale", "z", "target"]].iloc[by].astype(object)
         rows = rows.where(rows.notna(), None)
         made = []
-        for r in rows[["frame_index", "limb", "distance", "speed", "body_scale", "z", "target"]].itertuples(index=False, name=None):
+        for k, r in zip(number[by].tolist(), rows.itertuples(index=False, name=None), strict=True):
+            last, late, held = states[k]
             if r[0] <= last:
-                late += 1
+                states[k] = (last, late + 1, held)
                 continue
             held, (on, kind, hold) = advance(held, r[1:])
-            last = r[0]
-            made.append((key[0], key[1], last, on, kind, hold, late))
-        kept = None if held is None else (int(last), int(late), bool(held[0]), int(held[1]), int(held[2]), held[3], held[4])
+            states[k] = (int(r[0]), late, held)
+            made.append((*keys[k], r[0], on, kind, hold, late))
+        kept = [None if held is None else (last, late, *held) for last, late, held in states]
         return kept, pd.DataFrame(made, columns=[c.split()[0] for c in out.split(", ")])
 
     return keyed(rows, ["video_id", "limb"], step, out, "last long, late long, on boolean, since int, pending int, kind string, hold string", idle=idle)
@@ -89,34 +89,32 @@ def movement_bouts(frames: DataFrame, gap: str = "5 minutes", delay: str = "1 mi
     return out.select("video_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "frames", "motion")
 
 
-#: A live track as a row of the list state: the tracker's fields in order, its motion's state and covariance as arrays.
-TRACK = {"id": "long", "first": "long", "state": "array<double>", "cov": "array<double>", "box": "array<double>", "age": "long", "hits": "long", "misses": "long", "label": "string", "type": "string", "sum": "double", "n": "long"}
-
-
-def _as_row(track: dict) -> tuple:
-    plain = {"long": int, "double": float, "array<double>": lambda v: np.ravel(v).astype(float).tolist(), "string": lambda v: v}
-    return tuple(plain[kind](track[name]) for name, kind in TRACK.items())
-
-
-def _as_track(row: tuple) -> dict:
-    track = dict(zip(TRACK, row, strict=True))
-    return track | {"state": np.array(track["state"]), "cov": np.array(track["cov"]).reshape(4, 4), "box": np.array(track["box"])}
-
-
 def live_tracks(boxes: DataFrame, params: TrackerParams = TrackerParams(), idle: str | None = None) -> DataFrame:
-    """T5: confirmed tracks after each batch (update mode). State: a row for each live track, which goes when the track has
-    been missed too often, the last frame and the number of tracks made; a frame must arrive whole."""
-
-    def step(key, rows: pd.DataFrame, state):
-        last, made, tracks = state or (-1, 0, [])
-        tracker = Tracker(params, [_as_track(t) for t in tracks], made)
-        rows = rows.sort_values(["frame_index", "x_center", "y_center"], kind="stable")
-        rows = rows[rows["frame_index"] > last]
-        advance_frames(tracker, rows)
-        last = int(rows["frame_index"].max()) if len(rows) else last
-        return (last, int(tracker.made[0]), [_as_row(t) for t in tracker.tracks]), pd.DataFrame([(key[0], *t[1:]) for t in tracker.confirmed()], columns=TRACKS.names)
-
-    return keyed(boxes, ["video_id"], step, TRACKS, "last long, made long", "update", idle, listed=", ".join(f"`{n}` {kind}" for n, kind in TRACK.items()))
+    """T5: confirmed tracks after each batch (update mode). State: the last frame, the number of tracks made, and the live
+    tracks, which go when they have been missed too often; a frame must arrive whole. The videos of a bucket advance together."""
+
+    def step(keys, number, rows: pd.DataFrame, states):
+        states = [(-1, 0, [], [], []) if s is None else s for s in states]
+        last = np.array([s[0] for s in states])
+        new = rows["frame_index"].to_numpy() > last[number]
+        rows, number = rows[new], number[new]
+        by = np.lexsort((rows["y_center"], rows["x_center"], rows["frame_index"], number))
+        rows, number = rows.iloc[by], number[by]
+
+        def begin(order: np.ndarray) -> Tracker:
+            tracker = Tracker(params, len(order))
+            tracker.unpack([states[k][1] for k in order], [states[k][2:] for k in order])
+            return tracker
+
+        order, ended = advance_videos(rows, number, len(keys), begin)
+        np.maximum.at(last, number, rows["frame_index"].to_numpy())
+        tracks = {k: t for tracker in ended for k, t in tracker.packed().items()}
+        kept: list = [None] * len(keys)
+        for n, k in enumerate(order.tolist()):
+            kept[k] = (int(last[k]), int(ended[-1].made[n]), *tracks.get(n, ([], [], [])))
+        return kept, pd.DataFrame([(keys[order[t[0]]][0], *t[1:]) for tracker in ended for t in tracker.confirmed()], columns=TRACKS.names)
+
+    return keyed(boxes, ["video_id"], step, TRACKS, "last long, made long, counts array<long>, numbers array<double>, names array<string>", "update", idle)
 
 
 def live_next_holds(frames: DataFrame, holds: DataFrame, k: int = 3) -> DataFrame:
