@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from strideframe.functions.tables import shared_folder
@@ -32,8 +35,27 @@ def folder(spark, name: str) -> str:
 
 
 def documents(df: DataFrame, path: str, name: str) -> str:
-    """One text file a video, ``video_id=.../name``, from rows of video_id and value. Spark writes the parts; they are renamed where they lie."""
+    """One text file a video, ``video_id=.../name``, from rows of video_id and value, one a video.
+
+    In a shared folder of the file system tasks write the files where they belong, as the committer would move each of them
+    in turn. On other storage Spark writes the parts; they are renamed where they lie."""
     spark = df.sparkSession
+    at = urlsplit(path)
+    if at.scheme == "file":
+        root = unquote(at.path)
+        os.makedirs(root, exist_ok=True)
+
+        def write(rows: Iterator[Row]) -> None:
+            for row in rows:
+                folder = f"{root}/video_id={'__HIVE_DEFAULT_PARTITION__' if row.video_id is None else row.video_id}"
+                os.makedirs(folder, exist_ok=True)
+                part = f"{folder}/.{name}-{uuid.uuid4().hex}"  # an attempt that fails leaves no half of a file
+                with open(part, "w", encoding="utf-8", newline="") as f:
+                    f.write((row.value or "") + "\n")
+                os.replace(part, f"{folder}/{name}")
+
+        df.select("video_id", "value").repartition("video_id").foreachPartition(write)
+        return path
     df.repartition("video_id").write.partitionBy("video_id").text(path)
     jvm = spark._jvm.org.apache.hadoop.fs
     root = jvm.Path(path)
