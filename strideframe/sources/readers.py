@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,18 @@ POSES = f"video string, frame_count int, frames array<struct<image_path:string,t
 MANIFEST = "video string, fps double, interval_seconds double, total_frames int, saved_frames int, frames array<struct<frame_index:bigint,timestamp_seconds:double,relative_path:string,saved_index:bigint>>"
 
 
+@contextmanager
+def listing(spark: SparkSession) -> Iterator[None]:
+    """While files are listed: a few tasks a core take the folders, not a task for each of up to 10,000 folders."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), 4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def read_poses(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Landmarks, one row each: video_id, frame_index, ts, detection_score, image_path, pos, name, x, y, z, visibility. One row with null pos for a frame without."""
     raw = spark.read.schema(POSES).option("recursiveFileLookup", recursive).json(path, multiLine=True)
@@ -20,7 +35,8 @@ def read_poses(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """All manifest.json files below a folder, a row a frame; the interval is the given one, else the mean step (where the frame rate, 30 if absent, is positive), else 1."""
-    raw = spark.read.schema(MANIFEST).option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.json").json(path, multiLine=True)
+    with listing(spark):
+        raw = spark.read.schema(MANIFEST).option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.json").json(path, multiLine=True)
     n = F.size("frames")
     step = (F.element_at("frames", -1)["timestamp_seconds"] - F.element_at("frames", 1)["timestamp_seconds"]) / F.greatest(F.lit(1), n - 1)
     interval = F.coalesce("interval_seconds", F.when((n > 1) & (F.coalesce("fps", F.lit(30.0)) > 0), step), F.lit(1.0))
@@ -42,7 +58,8 @@ def hold_position(x: Column, center: Column) -> Column:
 
 def read_features(spark: SparkSession, path: str, row: str) -> DataFrame:
     """Rows of files that hold a list, or an object with ``features`` or ``rows``. ``row``: the fields, as DDL."""
-    text = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    with listing(spark):
+        text = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     fields = ",".join(f"{n}:{t}" for n, t in (f.strip().rsplit(" ", 1) for f in row.split(",")))
     item = f"struct<{fields}>"
     boxed = F.from_json("value", f"struct<features:array<{item}>,rows:array<{item}>>")
