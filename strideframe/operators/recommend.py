@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from strideframe.functions.blocks import settled
 from strideframe.functions.geometry import clamp, distance, point_in_polygon, segment_distance
 from strideframe.functions.tables import stored
 from strideframe.operators.efficiency import scale, support_points
-from strideframe.operators.hold_tree import FAN, LEAF, hold_tree, near_and_far, reached
+from strideframe.operators.hold_tree import FAN, LEAF, hold_tree, near_and_far, reached, reached_by_stream, sized
 from strideframe.operators.nearby import nearest
 from strideframe.params import LIMBS, PlannerParams
 
@@ -33,7 +38,7 @@ def next_holds(frames: DataFrame, holds: DataFrame, k: int = 3, held: str = "con
 
 
 def next_holds_in_row(frames: DataFrame, holds: DataFrame, k: int = 3, held: str = "contact_hold") -> DataFrame:
-    """The same for a stream, which can't sort or look twice: a video's holds stand beside each frame as one array, so they must fit in a row."""
+    """The same where a video has few holds: they stand beside each frame as one array."""
     used = F.array(*[F.col(f"{p}_{held}") for p in LIMBS])
     same = F.row_number().over(Window.partitionBy("video_id", "x", "y").orderBy("hold_ord"))
     few = holds.withColumn("_same", same).where(F.col("_same") <= k + len(LIMBS))  # of one place four may be held, and the others tie
@@ -49,6 +54,68 @@ def next_holds_in_row(frames: DataFrame, holds: DataFrame, k: int = 3, held: str
     return out.select("video_id", "frame_index", (F.col("rank") + 1).alias("rank"), "b.hold_id", (-F.col("b.cost")).alias("score"))
 
 
+MERGED = 1 << 17  # rows that are gathered before the best are kept
+
+
+def best_of_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The ``k`` rows of each _row that have the least cost, then hold_ord, in any order of the rows of a task: video_id, frame_index, rank, hold_id, score."""
+
+    def best(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        rows = rows.sort_by([("_row", "ascending"), ("cost", "ascending"), ("hold_ord", "ascending"), ("hold_id", "ascending")])
+        row = rows.column("_row").to_numpy()
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+        return rows.filter(pa.array(place < k)), place[place < k] + 1
+
+    parts, n, most = [], 0, MERGED
+    for batch in batches:
+        parts, n = [*parts, pa.Table.from_batches([batch])], n + batch.num_rows
+        if n > most:
+            parts = [best(pa.concat_tables(parts))[0]]
+            n = parts[0].num_rows
+            most = max(MERGED, 2 * n)
+    if n:
+        rows, rank = best(pa.concat_tables(parts))
+        score = pa.array(-rows.column("cost").to_numpy())
+        yield from pa.table([rows.column("video_id"), rows.column("frame_index"), pa.array(rank, pa.int32()), rows.column("hold_id"), score], names=["video_id", "frame_index", "rank", "hold_id", "score"]).to_batches()
+
+
+def next_holds_by_boxes(frames: DataFrame, holds: DataFrame, k: int = 3, held: str = "contact_hold") -> DataFrame:
+    """The same for a stream, which can't sort or look twice: frames open boxes of the tree of holds, and what its boxes give of a frame is merged in a task.
+
+    Distances over 1 are ties, as unknown ones are, so the first few holds of a video stand beside each of its frames; the
+    tree has the others. No row grows with a video's holds."""
+    copies = holds.where(F.col("hold_id").isNotNull()).groupBy("video_id", "hold_id").count().agg(F.max("count")).first()[0] or 0
+    need = k + len(LIMBS) * copies  # an id that is held may stand on several rows
+    early = F.row_number().over(Window.partitionBy("video_id").orderBy("hold_ord"))
+    kind = F.col("hold_type") if "hold_type" in holds.columns else F.lit(None).cast("string")
+    ranked = stored(holds.select("video_id", "hold_ord", "hold_id", "x", "y", kind.alias("hold_type")).withColumn("_early", early), "ranked_holds")
+    hold = F.struct("hold_ord", "hold_id", "x", "y", "hold_type")
+    first = stored(ranked.where(F.col("_early") <= need).groupBy("video_id").agg(F.collect_list(hold).alias("_first")), "first_holds")
+    others = ranked.where((F.col("_early") > need) & ~F.isnan("x") & ~F.isnan("y"))
+    com = F.col("com_x"), F.col("com_y")
+
+    def bounds(b: Column) -> tuple[Column, Column]:
+        near, far = near_and_far(b, *com)
+        return -far, -near
+
+    used = F.array(*[F.col(f"{p}_{held}") for p in LIMBS]).alias("_used")
+    known = frames.where(com[0].isNotNull() & com[1].isNotNull()).select("video_id", "frame_index", "com_x", "com_y", used, F.expr("uuid()").alias("_row"))
+    placed = known.repartition("_row").join(sized(first), "video_id")
+    rows = reached_by_stream(placed, hold_tree(others, need), bounds, need)
+
+    def rank(h: Column) -> Column:
+        score = hold_score(F.hypot(com[0] - h["x"], com[1] - h["y"]), h["hold_id"], F.col("_used"))
+        return F.struct((-score).alias("cost"), h["hold_ord"].alias("hold_ord"), h["hold_id"].alias("hold_id"))
+
+    none = F.slice("_first", 1, 0)
+    mine = F.concat(F.coalesce("_holds", none), F.when(F.col("_head"), F.col("_first")).otherwise(none))
+    rows = rows.select("_row", "video_id", "frame_index", F.explode(F.slice(F.array_sort(F.transform(mine, rank)), 1, k)).alias("b"))
+    rows = rows.select("_row", "video_id", "frame_index", "b.*").repartition("_row")
+    out = StructType([rows.schema["video_id"], rows.schema["frame_index"], StructField("rank", IntegerType()), rows.schema["hold_id"], StructField("score", DoubleType())])
+    return rows.mapInArrow(lambda batches: best_of_rows(batches, k), out)
+
+
 def reach_limit(params: PlannerParams) -> Column:
     ratio = clamp(0.9 + 0.2 * F.col("climber_wingspan") / F.col("climber_height"), 0.8, 1.2)
     span = F.when((F.col("climber_height") > 0) & F.col("climber_wingspan").isNotNull(), ratio).otherwise(1.0)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strideframe.operators.contacts import ContactStep
 from strideframe.operators.holds import TRACKS, Tracker, advance_videos
-from strideframe.operators.recommend import next_holds_in_row
+from strideframe.operators.recommend import next_holds_by_boxes
 from strideframe.params import ContactParams, TrackerParams
 from strideframe.streaming.keyed import keyed
 
@@ -118,5 +118,5 @@ def live_tracks(boxes: DataFrame, params: TrackerParams = TrackerParams(), idle:
 
 
 def live_next_holds(frames: DataFrame, holds: DataFrame, k: int = 3) -> DataFrame:
-    """The best next holds of each frame as it arrives: a join of the stream with the table of holds, ranked inside the row."""
-    return next_holds_in_row(frames, holds, k)
+    """The best next holds of each frame as it arrives: joins of the stream with a tree of the holds, see ``next_holds_by_boxes``."""
+    return next_holds_by_boxes(frames, holds, k)

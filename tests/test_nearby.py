@@ -102,3 +102,41 @@ def test_queries_look_at_a_place_once(spark, sf, tmp_path, monkeypatch, query):
     assert kept and max(kept) < 12
     if query != "frame_report":  # which lists copies beside each other
         assert many == sorted(map(str, run(spark, sf).collect()))
+
+
+@pytest.mark.parametrize("size", [1.0, 500.0])  # in pixels most holds tie beyond the farthest
+def test_frames_of_a_stream_look_at_few_holds_in_a_row(spark, tmp_path, monkeypatch, size):
+    """Rows have a leaf's holds and the first few of the video, not all 2,400, and the result is that of looking at all."""
+    rng = random.Random(8)
+    holds = lattice(4, size) + [(5, 20_000 + i, f"H{20_000 + i}", rng.random() * size, rng.random() * size, "jug") for i in range(2_400)]
+    holds += [(6, 30_000 + i, "H30000", None if i % 2 else math.nan, 0.5, "jug") for i in range(9)] + [(5, 1, "H1", None, None, "jug"), (5, 40_000, "H20001", 0.5, 0.5, "jug")]
+    some = {v: [h[2] for h in holds if h[0] == v] for v in range(1, 8)}
+    frames = [(v, i, x, y, *(rng.choice([None, *some[v][:9]]) for _ in LIMBS)) for i, (v, x, y) in enumerate((rng.randrange(1, 8), rng.uniform(-0.3, 1.3) * size, rng.uniform(-0.3, 1.3) * size) for _ in range(150))]
+    frames += [(5, 0, 0.5, 0.5, *[None] * 4), (5, 0, 0.1, 0.9, *[None] * 4), (1, 999, None, 0.5, *[None] * 4)]  # one number twice
+    df = spark.createDataFrame(frames, "video_id long, frame_index long, com_x double, com_y double, " + ", ".join(f"{p}_contact_hold string" for p in LIMBS))
+    table, want = spark.createDataFrame(holds, HOLDS), []
+    away = lambda x, y, h: math.inf if None in h[3:5] or math.isnan(h[3]) else math.hypot(x - h[3], y - h[4])
+    for v, i, x, y, *held in frames:
+        if x is not None:
+            best = sorted((-(0.7 * (1 - min(away(x, y, h), 1)) + 0.3 * (h[2] not in held)), h[1], h[2]) for h in holds if h[0] == v)
+            want += [(v, i, n + 1, h, round(-s, 9)) for n, (s, _, h) in enumerate(best[:3])]
+    plain = lambda out: sorted((r.video_id, r.frame_index, r["rank"], r.hold_id, round(r.score, 9)) for r in out.collect())
+    widest, sized = [], recommend.reached_by_stream
+
+    def watched(*a):
+        out = sized(*a)
+        if not out.isStreaming:
+            from pyspark.sql import functions as F
+
+            widest.append(out.select(F.max(F.size("_holds") + F.size("_first"))).first()[0])
+        return out
+
+    monkeypatch.setattr(recommend, "reached_by_stream", watched)
+    monkeypatch.setattr(recommend, "MERGED", 50)
+    from strideframe.streaming import live
+
+    assert plain(live.live_next_holds(df, table)) == sorted(want) and 0 < widest[0] <= 200
+    df.repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = live.live_next_holds(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), table)
+    q = stream.writeStream.format("memory").queryName("next_by_boxes").trigger(availableNow=True).start()
+    assert q.awaitTermination(120) and plain(spark.table("next_by_boxes")) == sorted(want)
