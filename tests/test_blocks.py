@@ -319,3 +319,28 @@ def test_overlaps_of_small_frames_need_no_cells(spark, monkeypatch):
     assert found(df.where("frame < 9")) == plain and written == ["box_lists"]
     monkeypatch.setattr(holds, "FEW", 0)
     assert found(df) == mixed and {r[0] for r in mixed} == set(range(10)) and found(df.where("frame < 9")) == plain
+
+
+def test_boxes_of_crowded_frames_meet_in_blocks(spark, monkeypatch):
+    """Boxes of all sizes in blocks of 16, by the axis along which a frame's boxes overlap less; pairs below ``least`` are not made."""
+    from strideframe.operators import holds
+
+    monkeypatch.setattr(holds, "RUN", 16)
+    draw = random.Random(11)
+    side = lambda flat: draw.choice([0.001, 0.01, 0.05]) if flat else draw.choice([0.001, 0.1, 0.7])
+    rows = [(i % 2, i, draw.choice([0.5, draw.random()]), draw.random(), side(i % 2), side(not i % 2)) for i in range(400)]
+    df = spark.createDataFrame(rows, "frame long, box long, x_center double, y_center double, width double, height double")
+    cover = lambda a, b, c, s: max(0.0, min(a[c] + a[s] / 2, b[c] + b[s] / 2) - max(a[c] - a[s] / 2, b[c] - b[s] / 2))
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] < b[1] and (inner := cover(a, b, 2, 4) * cover(a, b, 3, 5)) > 0:
+                want[a[1], b[1]] = inner / (a[4] * a[5] + b[4] * b[5] - inner)
+    written, stored = {}, holds.stored
+    monkeypatch.setattr(holds, "stored", lambda d, name: written.setdefault(name, stored(d, name)))
+    got = holds.overlaps(df, ("frame",), "box").collect()
+    assert len(got) == len(want) and all(want[r.box, r.other_box] == pytest.approx(r.iou) for r in got)
+    assert written["box_blocks"].agg(F.max(F.size("_boxes"))).first()[0] == 16 and {r["_tall"] for r in written["box_blocks"].collect()} == {True, False}
+    assert written["box_meetings"].count() < 2 * 13 * 14 / 2 / 2  # not half of all
+    few = {(r.box, r.other_box) for r in holds.overlaps(df, ("frame",), "box", 0.3).collect()}
+    assert {k for k, v in want.items() if v >= 0.3} <= few and len(few) < len(want) / 4
